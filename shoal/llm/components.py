@@ -1,0 +1,28 @@
+"""Connected components of a distributed edge table."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from shoal.llm.shared import materialise
+
+
+def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    """Edges between longs to (node, component), the smallest node reachable, for every node of an edge.
+
+    Every round each label moves to the smallest label of a neighbour of its smallest neighbour; edges are rewritten to labels
+    and those inside one label drop out, so the table shrinks quickly. All steps are joins and map-side combined minima, hence
+    no vertex has to meet its neighbours in one task. Each round is checkpointed.
+    """
+    edges = materialise(edges.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).where("a < b").distinct())
+    labels = materialise(edges.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("component", F.col("node")))
+    while not edges.isEmpty():
+        both = edges.union(edges.select("b", "a"))
+        least = both.groupBy(F.col("a").alias("v")).agg(F.min("b").alias("m")).select("v", F.least("v", "m").alias("m"))
+        step = materialise(least.alias("x").join(least.alias("y"), F.col("x.m") == F.col("y.v")).select(F.col("x.v").alias("v"), F.col("y.m").alias("m")))
+        labels = materialise(labels.join(step, labels["component"] == step["v"], "left").select("node", F.coalesce("m", "component").alias("component")))
+        left = edges.join(step, edges["a"] == step["v"]).select(F.col("m").alias("a"), "b")
+        moved = left.join(step, left["b"] == step["v"]).select("a", F.col("m").alias("b"))
+        edges = materialise(moved.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct())
+    return labels
