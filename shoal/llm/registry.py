@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from shoal.llm import minhash, mixing, packing, quality, toxicity
+from shoal.llm import minhash, mixing, packing, pii, quality, toxicity
 
 QUERIES = {
     "op2_toxicity": toxicity.op2_toxicity,
     "op3_minhash_near_dedup": minhash.op3_minhash_near_dedup,
     "op6_quality_cascade": quality.op6_quality_cascade,
+    "op7_pii_pseudonyms": pii.op7_pii_pseudonyms,
     "op8_best_fit_packing": packing.op8_best_fit_packing,
     "op9_source_mix": mixing.op9_source_mix,
 }

@@ -28,10 +28,10 @@ from pyspark.sql import functions as F
 from shoal.llm.shared import table
 from shoal.llm.text import Polynomial, mix, row_of, slices, words
 
-MAX_POSITIVE, MAX_NEGATIVE, MAX_WINDOWS = 1500, 3000, 128
+MAX_POSITIVE, MAX_NEGATIVE, MAX_WINDOWS = 1200, 2400, 96
 WINDOW, STRIDE, GRAMS = 16, 8, (3, 4, 5)
 BUCKETS, DIM, BATCH, RATE, KEEP = 1 << 17, 8, 256, 0.3, 0.5
-FIRST_WINDOWS, NEXT_EPOCHS = 250_000, 4  # the first phase sees so many windows, or each once
+FIRST_WINDOWS, NEXT_EPOCHS = 200_000, 4  # the first phase sees so many windows, or each once
 THRESHOLD = 0.3
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 32
@@ -102,24 +102,32 @@ def score(data: np.ndarray, offs: np.ndarray, weight: np.ndarray, bias: float) -
     return 1 / (1 + np.exp(-np.clip(best, -30, 30)))
 
 
-def train(texts: list[str], docs: np.ndarray, labels: np.ndarray, seed: int = 5) -> tuple[np.ndarray, float]:
+def train(texts: pa.Array, docs: np.ndarray, labels: np.ndarray, seed: int = 5) -> tuple[np.ndarray, float]:
     """Windows of labelled documents to (number of each bucket, bias). docs: the document of each window."""
     labels = labels.astype(np.int64)
     if not labels.any() or labels.all():
         return np.zeros(BUCKETS, np.float32), -30.0 if not labels.any() else 0.0
-    split = [list(dict.fromkeys(t.encode().lower().split())) for t in texts]
-    ids: dict[bytes, int] = {}
-    bag = [np.array([ids.setdefault(w, len(ids)) for w in ws], np.int64) for ws in split]
-    lengths = np.array([len(w) for w in ids])
-    data = np.frombuffer(b"".join(ids), np.uint8)
-    ends = np.cumsum(lengths)
-    by_n, at = grams(data, ends - lengths, ends)
-    word_of = np.repeat(np.arange(len(ids)), lengths + 2)
+    (_, _, data, offs), = slices(texts, limit=1 << 40)
+    starts, ends, first = words(data, offs)
+    hashes, at, word = np.unique(_HASH.spans(_HASH.prefix(data), starts, ends), return_index=True, return_inverse=True)
+    once = np.unique(row_of(first) * len(hashes) + word)  # a word counts once a window
+    window, bag = once // len(hashes), (once % len(hashes)).astype(np.int32)
+    bag_first = np.searchsorted(window, np.arange(len(texts) + 1))
+    lengths = (ends - starts)[at]
+    by_n, _ = grams(data, starts[at], ends[at])
+    word_of = np.repeat(np.arange(len(at), dtype=np.int32), lengths + 2)
     gram_word = np.concatenate([word_of[v] for _, v in by_n])
-    gram_bucket = np.concatenate([b[v] for b, v in by_n])
-    order = np.argsort(gram_word, kind="stable")
-    gram_bucket = gram_bucket[order].astype(np.int64)
-    gram_first = np.searchsorted(gram_word[order], np.arange(len(ids) + 1))
+    gram_bucket = np.concatenate([b[v] for b, v in by_n]).astype(np.int32)
+    order = np.argsort(gram_word, kind="stable").astype(np.int32)
+    gram_bucket = gram_bucket[order]
+    gram_first = np.concatenate([[0], np.cumsum(np.bincount(gram_word, minlength=len(at)))])
+    del once, window, word, word_of, gram_word, order, by_n, starts, ends, data
+
+    def scores(fold: np.ndarray, bias: np.ndarray) -> np.ndarray:
+        each = np.add.reduceat(fold[gram_bucket], gram_first[:-1]) / np.diff(gram_first)
+        sums = np.concatenate([[0], np.cumsum(each[bag], dtype=float)])
+        return (sums[bag_first[1:]] - sums[bag_first[:-1]]) / WINDOW + bias[1] - bias[0]
+
     rng = np.random.default_rng(seed)
     vectors = rng.uniform(-1 / DIM, 1 / DIM, (BUCKETS, DIM))
     soft, bias = rng.uniform(-0.1, 0.1, (DIM, 2)), np.zeros(2)
@@ -127,7 +135,7 @@ def train(texts: list[str], docs: np.ndarray, labels: np.ndarray, seed: int = 5)
     aside = mix(docs.astype(np.uint64)) % np.uint64(4) == 0  # documents kept for the calibration
     if len(np.unique(labels[aside])) < 2 or len(np.unique(labels[~aside])) < 2:
         aside[:] = False
-    full = np.array([len(b) > 0 for b in bag]) & ~aside
+    full = (np.diff(bag_first) > 0) & ~aside
     use = full.copy()
     phases = max(1, min(20, FIRST_WINDOWS // len(texts))) + NEXT_EPOCHS
     for epoch in range(phases):
@@ -135,10 +143,10 @@ def train(texts: list[str], docs: np.ndarray, labels: np.ndarray, seed: int = 5)
         share = labels[rows].mean()
         for lo in range(0, len(rows), BATCH):
             part = rows[lo : lo + BATCH]
-            flat = np.concatenate([bag[r] for r in part])
-            seen, inverse = np.unique(flat, return_inverse=True)
-            size = np.array([len(bag[r]) for r in part])
+            size = np.diff(bag_first)[part]
             row = np.repeat(np.arange(len(part)), size)
+            flat = bag[bag_first[part][row] + np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)]
+            seen, inverse = np.unique(flat, return_inverse=True)
             count = gram_first[seen + 1] - gram_first[seen]
             own = np.repeat(np.arange(len(seen)), count)
             pick = gram_first[seen][own] + np.arange(len(own)) - np.repeat(np.cumsum(count) - count, count)
@@ -164,19 +172,17 @@ def train(texts: list[str], docs: np.ndarray, labels: np.ndarray, seed: int = 5)
         fold = (vectors @ (soft[:, 1] - soft[:, 0])).astype(np.float32)
         if epoch < phases - NEXT_EPOCHS - 1 or epoch == phases - 1:
             continue
-        each = np.add.reduceat(fold[gram_bucket], gram_first[:-1]) / np.diff(gram_first)
-        z = np.array([each[b].sum() / WINDOW for b in bag]) + bias[1] - bias[0]
+        z = scores(fold, bias)
         clean, toxic = np.flatnonzero(full & (labels == 0)), np.flatnonzero(full & (labels == 1))
         hard = max(len(clean) // 8, 1)
-        use = np.zeros(len(bag), bool)
+        use = np.zeros(len(labels), bool)
         use[clean[np.argsort(-z[clean], kind="stable")[:hard]]] = True
         use[rng.choice(clean, hard, replace=False)] = True
         by_doc = toxic[np.lexsort((-z[toxic], docs[toxic]))]
         use[by_doc[np.concatenate([[True], docs[by_doc][1:] != docs[by_doc][:-1]])]] = True
         use[toxic[z[toxic] > max(np.quantile(z[clean], 0.999), 0)]] = True
-    each = np.add.reduceat(fold[gram_bucket], gram_first[:-1]) / np.diff(gram_first)
-    z = np.array([each[b].sum() / WINDOW for b in bag]) + bias[1] - bias[0]
-    held = aside if aside.any() else np.ones(len(bag), bool)
+    z = scores(fold, bias)
+    held = aside if aside.any() else np.ones(len(labels), bool)
     of = np.unique(docs[held])
     best = np.full(len(of), -np.inf)
     np.maximum.at(best, np.searchsorted(of, docs[held]), z[held])
@@ -223,7 +229,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_positive: int = MAX_POSITIVE, ma
 
     marked = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", F.col("toxic").cast("int").alias("toxic"), "text")
     got = marked.mapInArrow(run, "doc_id long, toxic int, text string").toArrow().sort_by([("doc_id", "ascending"), ("text", "ascending")])
-    return train(got["text"].to_pylist(), got["doc_id"].to_numpy(), got["toxic"].to_numpy() > 0)
+    return train(got["text"].combine_chunks(), got["doc_id"].to_numpy(), got["toxic"].to_numpy() > 0)
 
 
 def score_texts(docs: DataFrame, model: tuple[np.ndarray, float]) -> DataFrame:
