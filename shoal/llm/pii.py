@@ -22,7 +22,7 @@ from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from shoal.llm.shared import table
 
@@ -226,9 +226,7 @@ def replace(text: str, key: bytes = KEY) -> tuple[str, Counter]:
 def pseudonymise(docs: DataFrame, key: bytes = KEY, counts: bool = False) -> DataFrame:
     """docs with text replaced; with `counts`, also the number of values of each kind (n_email, n_card, ...)."""
     at = docs.columns.index("text")
-    schema = docs.schema
-    for k in KINDS if counts else ():
-        schema = schema.add(f"n_{k}", "long")
+    schema = StructType([*docs.schema.fields, *(StructField(f"n_{k}", LongType()) for k in KINDS if counts)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
