@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from shoal.llm import minhash, mixing, packing, pii, quality, toxicity
+from shoal.llm import minhash, mixing, packing, pii, quality, substrings, toxicity
 
 QUERIES = {
+    "op1_suffix_dedup": substrings.op1_suffix_dedup,
     "op2_toxicity": toxicity.op2_toxicity,
     "op3_minhash_near_dedup": minhash.op3_minhash_near_dedup,
     "op6_quality_cascade": quality.op6_quality_cascade,
