@@ -272,3 +272,11 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
 
 def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), k=3, percent=85)
+
+
+def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """docs without all but one document of each group of near duplicates (that of the smallest doc_id), all columns kept.
+    Rows with a null doc_id stay."""
+    kept = near_duplicates(docs, k, percent).where("kept and doc_id is not null").select("doc_id").distinct()
+    single = docs.join(kept.hint("shuffle_hash"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return single.unionByName(docs.where("doc_id is null"))

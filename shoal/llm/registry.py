@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from shoal.llm import minhash, mixing, packing, pii, quality, substrings, toxicity
+from shoal.llm import licenses, minhash, mixing, neighbours, packing, pii, quality, substrings, toxicity
 
 QUERIES = {
     "op1_suffix_dedup": substrings.op1_suffix_dedup,
     "op2_toxicity": toxicity.op2_toxicity,
     "op3_minhash_near_dedup": minhash.op3_minhash_near_dedup,
+    "op5_license_scan": licenses.op5_license_scan,
     "op6_quality_cascade": quality.op6_quality_cascade,
     "op7_pii_pseudonyms": pii.op7_pii_pseudonyms,
     "op8_best_fit_packing": packing.op8_best_fit_packing,
     "op9_source_mix": mixing.op9_source_mix,
+    "op10_additive_neighbours": neighbours.op10_additive_neighbours,
 }
 ORACLES = {
     "op6_quality_cascade": quality.SQL,
