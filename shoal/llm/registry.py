@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from shoal.llm import licenses, minhash, mixing, neighbours, packing, pii, quality, substrings, toxicity
+from shoal.llm import licenses, minhash, mixing, neighbours, packing, passages, pii, quality, substrings, toxicity
 
 QUERIES = {
     "op1_suffix_dedup": substrings.op1_suffix_dedup,
     "op2_toxicity": toxicity.op2_toxicity,
     "op3_minhash_near_dedup": minhash.op3_minhash_near_dedup,
+    "op4_compact_windows": passages.op4_compact_windows,
     "op5_license_scan": licenses.op5_license_scan,
     "op6_quality_cascade": quality.op6_quality_cascade,
     "op7_pii_pseudonyms": pii.op7_pii_pseudonyms,
