@@ -47,7 +47,7 @@ def grams(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[list[
     word = np.repeat(np.arange(len(starts), dtype=np.int64), lengths)
     within = np.arange(len(word)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
     laid[at[word] + 1 + within] = _LOWER[data[starts[word] + within]]
-    left = np.repeat(at[1:], lengths + 2) - np.arange(at[-1])  # positions to the end of the word
+    left = (np.repeat(at[1:], lengths + 2) - np.arange(at[-1])).astype(np.int32)  # positions to the end of the word
     out, h = [], laid.copy()
     for n in range(2, GRAMS[-1] + 1):
         h[: len(h) - n + 1] = h[: len(h) - n + 1] * np.uint32(0x01000193) + laid[n - 1 :]
@@ -107,21 +107,26 @@ def train(texts: pa.Array, docs: np.ndarray, labels: np.ndarray, seed: int = 5)
     labels = labels.astype(np.int64)
     if not labels.any() or labels.all():
         return np.zeros(BUCKETS, np.float32), -30.0 if not labels.any() else 0.0
-    (_, _, data, offs), = slices(texts, limit=1 << 40)
-    starts, ends, first = words(data, offs)
-    hashes, at, word = np.unique(_HASH.spans(_HASH.prefix(data), starts, ends), return_index=True, return_inverse=True)
+    found, base = [], 0
+    for _, _, data, offs in slices(texts):
+        starts, ends, first = words(data, offs)
+        found.append((_HASH.spans(_HASH.prefix(data), starts, ends), starts + base, ends + base, np.diff(first), data))
+        base += len(data)
+    spans, starts, ends, sizes, data = (np.concatenate(x) for x in zip(*found, strict=True))
+    first = np.concatenate([[0], np.cumsum(sizes)])
+    hashes, at, word = np.unique(spans, return_index=True, return_inverse=True)
+    del found, spans
     once = np.unique(row_of(first) * len(hashes) + word)  # a word counts once a window
-    window, bag = once // len(hashes), (once % len(hashes)).astype(np.int32)
+    bag, window = (once % len(hashes)).astype(np.int32), once // len(hashes)
     bag_first = np.searchsorted(window, np.arange(len(texts) + 1))
+    del word, window, once
     lengths = (ends - starts)[at]
     by_n, _ = grams(data, starts[at], ends[at])
-    word_of = np.repeat(np.arange(len(at), dtype=np.int32), lengths + 2)
-    gram_word = np.concatenate([word_of[v] for _, v in by_n])
-    gram_bucket = np.concatenate([b[v] for b, v in by_n]).astype(np.int32)
-    order = np.argsort(gram_word, kind="stable").astype(np.int32)
-    gram_bucket = gram_bucket[order]
-    gram_first = np.concatenate([[0], np.cumsum(np.bincount(gram_word, minlength=len(at)))])
-    del once, window, word, word_of, gram_word, order, by_n, starts, ends, data
+    valid = np.stack([v for _, v in by_n], 1)
+    gram_bucket = np.stack([b for b, _ in by_n], 1)[valid].astype(np.int32)  # word by word
+    ends_at = np.cumsum(lengths + 2)
+    gram_first = np.concatenate([[0], np.cumsum(valid.sum(1, dtype=np.int32))[ends_at - 1]])
+    del by_n, valid, starts, ends, data
 
     def scores(fold: np.ndarray, bias: np.ndarray) -> np.ndarray:
         each = np.add.reduceat(fold[gram_bucket], gram_first[:-1]) / np.diff(gram_first)
