@@ -50,7 +50,8 @@ def grams(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[list[
     left = (np.repeat(at[1:], lengths + 2) - np.arange(at[-1])).astype(np.int32)  # positions to the end of the word
     out, h = [], laid.copy()
     for n in range(2, GRAMS[-1] + 1):
-        h[: len(h) - n + 1] = h[: len(h) - n + 1] * np.uint32(0x01000193) + laid[n - 1 :]
+        whole = max(len(h) - n + 1, 0)
+        h[:whole] = h[:whole] * np.uint32(0x01000193) + laid[n - 1 :]
         if n in GRAMS:
             g = (h ^ (h >> np.uint32(15))) * np.uint32(0x2C1B3C6D) + np.uint32(n)
             out.append(((g >> np.uint32(9)) & np.uint32(BUCKETS - 1), left >= n))

@@ -1,0 +1,358 @@
+"""Operators against brute force, round trips and held-out accuracy; nulls, empties, ties, repeats and clashing columns."""
+
+import bisect
+import datetime
+import hashlib
+import random
+import re
+import zlib
+
+import numpy as np
+import public_tokenizers
+import pytest
+
+from shoal.llm import licenses, minhash, mixing, neighbours, packing, passages, pii, quality, substrings, toxicity
+from shoal.llm.registry import ORACLES, QUERIES
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+FOLD = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def prose(rng, n, words=400):
+    return " ".join(f"w{rng.randrange(words)}" for _ in range(n))
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    """Nulls in every column, empty and long texts, ties, repeated rows, and columns whose names clash with internal ones."""
+    rng = random.Random(4)
+    base, long = prose(rng, 300), prose(rng, 30_000)
+    near = base.replace("w7 ", "x ")
+    rows = [(1, base), (2, base), (3, near), (4, None), (5, ""), (6, "a"), (7, long), (None, base), (8, base + " " + base), (9, "  \n\t "), (10, "é" * 700), (11, "x" * 1000), (2, base)]
+    full = [(i, t, None if i == 3 else "en", None if i in (1, 7) else f"s{(i or 0) % 3}", len(t or "")) for i, t in rows]
+    df = spark.createDataFrame(full, DOCS)
+    for name in ("row", "rep", "size", "rank", "score", "key", "component", "salt"):
+        df = df.selectExpr("*", f"'z' as `{name}`")
+    return df
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], DOCS)
+
+
+@pytest.mark.parametrize("name", sorted(ORACLES))
+def test_sql(name, same_as_sql):
+    same_as_sql(QUERIES[name], ORACLES[name])
+
+
+# 1
+
+
+def brute_spans(rows, span=substrings.SPAN):
+    raw = [(i, (t or "").encode()) for i, t in rows]
+    seen, twice = set(), set()
+    for _, b in raw:
+        for p in range(len(b) - span + 1):
+            h = b[p : p + span]
+            (twice if h in seen else seen).add(h)
+    out = []
+    for i, b in raw:
+        gone = np.zeros(len(b) + 1, int)
+        for p in range(len(b) - span + 1):
+            if b[p : p + span] in twice:
+                gone[p] += 1
+                gone[p + span] -= 1
+        gone = np.cumsum(gone)[:-1] > 0
+        kept = bytes(np.frombuffer(b, np.uint8)[~gone])
+        spans = int((np.diff(np.concatenate([[0], gone.astype(int)])) == 1).sum())
+        out.append((i, len(b), int(gone.sum()), spans, hashlib.sha256(kept).hexdigest()))
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize("hot", [1, substrings.HOT])
+def test_repeats_removed(spark, odd, hot):
+    rows = [(r.doc_id, r.text) for r in odd.select("doc_id", "text").collect() if len(r.text or "") < 10_000]
+    rng = random.Random(9)
+    shared = prose(rng, 160)
+    rows += [(100 + i, prose(rng, 40 + i) + " " + shared + " " + prose(rng, 30)) for i in range(30)]
+    got = substrings.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), hot=hot).collect()
+    assert sorted((tuple(r) for r in got), key=str) == brute_spans(rows)
+
+
+def test_suffixes_are_sorted():
+    rng = np.random.default_rng(0)
+    data = rng.integers(97, 99, 3000).astype(np.uint8)
+    data[1000:1600] = data[:600]
+    starts = np.arange(0, 2500, 7)
+    group = np.repeat([0, 1], [200, len(starts) - 200])
+    order = substrings.merge_sorted(substrings._FIRST.prefix(data), substrings._FIRST.down, data, starts, group)
+    keys = [(g, bytes(data[s : s + substrings.SPAN])) for g, s in zip(group[order], starts[order], strict=True)]
+    assert keys == sorted(keys)
+
+
+def test_colliding_hashes_are_found_out(monkeypatch):
+    class Blind(substrings.Polynomial):
+        def prefix(self, data):
+            self.powers(len(data) + 1)
+            return np.zeros(len(data) + 1, np.uint64)
+
+    monkeypatch.setattr(substrings, "_FIRST", Blind(1))
+    rng = np.random.default_rng(1)
+    data = rng.integers(0, 255, 1000).astype(np.uint8)
+    assert not substrings.repeats(data, np.array([0, 500]), np.array([50, 50]), np.array([0, 0]), np.array([0, 0])).any()
+
+
+# 2
+
+
+def test_toxicity_held_out(spark):
+    rng = random.Random(2)
+    bad = ["moron", "scumbag", "vequ{}", "idiot"]
+    rows, marks = [], []
+    for i in range(1500):
+        words = [f"{rng.choice('abcdefgh')}{rng.choice('aeiou')}{rng.choice('lmnrst')}{rng.randrange(40)}" for _ in range(60)]
+        toxic = i % 5 == 0
+        for _ in range(3 if toxic else 0):
+            words[rng.randrange(60)] = rng.choice(bad).format(rng.choice(["la", "to", "mi", "re"]))
+        rows.append((i, " ".join(words)))
+        marks.append((i, int(toxic)))
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(marks, "doc_id long, toxic int")
+    model = toxicity.fit(docs, labels)
+    scores = {r.doc_id: r.score for r in toxicity.score_texts(docs, model).collect()}
+    held = [i for i, _ in rows if zlib.crc32(str(i).encode()) % 4 == 2]
+    right = sum((scores[i] >= toxicity.THRESHOLD) == (i % 5 == 0) for i in held)
+    assert right >= 0.93 * len(held)
+
+
+def test_toxicity_without_labels(spark, odd, empty):
+    none = spark.createDataFrame([], "doc_id long, toxic int")
+    assert {r.score < 1e-6 for r in toxicity.score_texts(odd, toxicity.fit(odd, none)).collect()} == {True}
+    assert toxicity.score_texts(empty, toxicity.fit(empty, none)).count() == 0
+
+
+# 3
+
+
+def brute_components(rows, k, percent):
+    sets = []
+    for _, t in rows:
+        w = WORD.findall((t or "").translate(FOLD))
+        sets.append({tuple(w[a : a + k]) for a in range(max(len(w) - k + 1, 1 if w else 0))})
+    root = list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            root[x] = x = root[root[x]]
+        return x
+
+    for a in range(len(rows)):
+        for b in range(a):
+            if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
+                root[find(a)] = find(b)
+    low = {}
+    for n, (i, _) in enumerate(rows):
+        low[find(n)] = min(low.get(find(n), 1 << 62), i)
+    return {(i, len(sets[n]), low[find(n)]) for n, (i, _) in enumerate(rows)}
+
+
+@pytest.mark.parametrize("k,percent", [(3, 85), (5, 80)])
+def test_near_duplicates(spark, odd, k, percent):
+    rng = random.Random(5)
+    rows = [(r.doc_id, r.text) for r in odd.select("doc_id", "text").collect() if r.doc_id is not None]
+    base = prose(rng, 200).split()
+    for i in range(60):
+        copy = list(base)
+        for _ in range(rng.randrange(8)):
+            copy[rng.randrange(200)] = f"n{rng.randrange(1000)}"
+        rows.append((100 + i, " ".join(copy)))
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), k, percent).collect()
+    assert {(r.doc_id, r.n_shingles, r.component_id) for r in got} == brute_components(rows, k, percent)
+    assert all(r.kept == (r.doc_id == r.component_id) for r in got)
+
+
+def test_near_duplicates_of_nothing(empty):
+    assert minhash.near_duplicates(empty).count() == 0
+
+
+def test_blocks_give_the_same(spark, monkeypatch, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    whole = {tuple(r) for r in minhash.near_duplicates(docs, 3, 85).collect()}
+    monkeypatch.setattr(minhash, "BLOCK_ROWS", 2)
+    assert {tuple(r) for r in minhash.near_duplicates(docs, 3, 85).collect()} == whole
+
+
+def test_keep_one(spark, odd):
+    kept = minhash.keep_one(odd)
+    assert kept.columns == odd.columns
+    ids = sorted(r.doc_id for r in kept.where("doc_id is not null").select("doc_id").collect())
+    assert ids == sorted(set(ids)) and 1 in ids and 2 not in ids and {4, 5, 6, 7, 9} <= set(ids)
+
+
+# 4
+
+
+def test_compact_windows():
+    values = np.random.default_rng(0).integers(0, 50, 400).astype(np.uint64)
+    first, got = np.array([0, 150, 155, 400]), {}
+    for a, b, d in zip(*passages.compact_windows(values, first, 10), strict=True):
+        for i in range(a, b + 1):
+            for j in range(max(b, i + 9), d + 1):
+                assert (i, j) not in got
+                got[i, j] = b
+    assert got == {(i, j): i + int(np.argmin(values[i : j + 1])) for s, e in zip(first[:-1], first[1:], strict=True) for i in range(s, e) for j in range(i + 9, e)}
+
+
+def test_repeated_passages(spark, small, odd, empty):
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    rows = [(r.doc_id, WORD.findall((r.text or "").translate(FOLD))) for r in docs.select("doc_id", "text").collect()]
+    where = {}
+    for i, w in rows:
+        for p in range(len(w) - 50):
+            where.setdefault(tuple(w[p : p + 51]), set()).add(i)
+    want = {i for ids in where.values() if len(ids) > 1 for i in ids}
+    got = passages.repeated_passages(docs).collect()
+    assert want <= {r.doc_id for r in got}
+    texts = dict(rows)
+    for r in got:
+        a, b = texts[r.doc_id][r.start_word : r.end_word], texts[r.match_doc_id][r.match_start_word : r.match_end_word]
+        one, two = ({tuple(x[i : i + 5]) for i in range(len(x) - 4)} for x in (a, b))
+        assert len(one & two) >= 0.8 * len(one | two) and r.doc_id != r.match_doc_id
+    assert {r.doc_id for r in passages.repeated_passages(odd).collect()} >= {1, 2, 3, 8}
+    assert passages.repeated_passages(empty).count() == 0
+
+
+# 5
+
+
+def test_patience():
+    rng = random.Random(3)
+    for _ in range(50):
+        a = [rng.randrange(60) for _ in range(40)]
+        b = list(a)
+        for _ in range(6):
+            b[rng.randrange(40)] = 99
+        pairs = licenses.patience(a, b)
+        assert all(a[i] == b[j] for i, j in pairs) and pairs == sorted(set(pairs)) and len({j for _, j in pairs}) == len(pairs)
+        assert [j for _, j in pairs] == sorted(j for _, j in pairs)
+
+
+def test_licenses_found(spark, odd, empty):
+    mit = licenses.TEMPLATES[4][1]
+    rows = [(1, "foo bar " + mit.upper() + " baz"), (2, mit.replace("without restriction", "with some restriction")), (3, "Licensed under the Apache License, Version 2.0."), (4, "the license of apache"), (5, None), (6, "x " * 5000 + "Released under the MIT License. " + "y " * 50 + "Released under the MIT License.")]
+    got = {(r.doc_id, r.license): r for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert set(got) == {(1, "MIT"), (2, "MIT"), (3, "Apache-2.0"), (6, "MIT")}
+    assert got[1, "MIT"].coverage == 1.0 and (got[1, "MIT"].start_word, got[2, "MIT"].coverage < 1) == (2, True) and got[6, "MIT"].start_word == 5000
+    assert licenses.scan(odd).count() == 0 == licenses.scan(empty).count()
+
+
+# 6
+
+
+def test_quality_filter(odd, empty):
+    kept = quality.quality_filter(odd, order=[r.name for r in quality.BASE + quality.STYLE])
+    other = quality.quality_filter(odd, order=[r.name for r in (quality.BASE + quality.STYLE)[::-1]])
+    assert sorted(map(str, kept.collect())) == sorted(map(str, other.collect()))
+    assert kept.columns == odd.columns and {4, 5, 6, 9}.isdisjoint(r.doc_id for r in kept.collect())
+    assert quality.quality_filter(empty).count() == 0
+
+
+def test_cascade_order():
+    assert quality.plan([("few_words", 1.0, 0.1), ("symbols", 0.1, 0.1), ("shouting", 0.1, 0.0)], (quality.BASE[0], *quality.STYLE[:2])) == ["symbols", "few_words", "shouting"]
+
+
+# 7
+
+
+def test_permutation():
+    for size in (1, 2, 97, 1000):
+        assert sorted(pii.permute(i, size, b"k", "t") for i in range(size)) == list(range(size))
+
+
+def test_pseudonyms_keep_format_and_links():
+    text = "card 4111 1111 1111 1111, again 4111111111111111; (212) 555-0199 ssn 123-45-6789 ip 10.0.0.255 on 2020-02-29 or 29/02/2020 mail jo.x@a1.example.org DE89370400440532013000 password=abc12345"
+    new, found = pii.replace(text)
+    assert sum(found.values()) == 10
+    cards = re.findall(r"\d{4}(?: ?\d{4}){3}", new)
+    assert cards[0].replace(" ", "") == cards[1] and pii.luhn_digit(cards[1][:-1]) == cards[1][-1] and cards[1] != "4111111111111111"
+    iso, dmy = re.search(r"\d{4}-\d\d-\d\d", new).group(), re.search(r"\d\d/\d\d/\d{4}", new).group()
+    assert datetime.date.fromisoformat(iso).strftime("%d/%m/%Y") == dmy
+    assert all(v not in new for v in ("4111", "555-0199", "123-45-6789", "jo.x", "abc12345", "DE8937"))
+    assert pii.replace("4111 1111 1111 1112 and 300.1.1.1 and 31/31/2020")[1].total() == 0
+
+
+def test_pseudonymise_table(odd, empty):
+    got = pii.pseudonymise(odd)
+    assert got.columns == odd.columns and got.count() == odd.count() and got.where("doc_id = 4 and text is null").count() == 1
+    assert pii.pseudonymise(empty).count() == 0
+
+
+# 8
+
+
+def test_packing(spark, odd, empty):
+    got = packing.pack(packing.pieces(odd)).toPandas()
+    fill = got.sort_values(["sequence_id", "offset"])
+    for _, s in fill.groupby("sequence_id"):
+        assert s.offset.tolist() == [0, *s.length.cumsum().tolist()[:-1]] and s.length.sum() <= packing.CAPACITY
+    gaps, n = [], 0
+    for length in sorted(got.length, reverse=True):
+        at = bisect.bisect_left(gaps, length)
+        gap = gaps.pop(at) if at < len(gaps) else packing.CAPACITY
+        n += gap == packing.CAPACITY
+        bisect.insort(gaps, gap - length)
+    assert got.sequence_id.nunique() == n
+    encode = packing.encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    for doc_id, text in [(r.doc_id, r.text) for r in odd.where("doc_id in (4, 7, 10)").collect()]:
+        ids = np.array([*encode(text or ""), 0], "<u4")
+        own = got[got.doc_id == doc_id].sort_values("piece")
+        assert own.length.sum() == len(ids) and [zlib.crc32(ids[s : s + k].tobytes()) for s, k in zip(own.start, own.length, strict=True)] == own.ids_crc32.tolist()
+    assert packing.pack(packing.pieces(empty)).count() == 0
+
+
+def test_both_libraries_give_the_same_ids():
+    fast, slow = packing.encoder(public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken")), packing.encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    rng = random.Random(1)
+    signs = [chr(c) for c in [*range(9, 14), *range(28, 127), *range(0x80, 0x250), *range(0x2000, 0x2040), 0x4E2D, 0x1F600]]
+    for text in ["<|endoftext|> x", *("".join(rng.choices(signs, k=rng.randrange(60))) for _ in range(1500))]:
+        assert fast(text) == slow(text)
+
+
+# 9
+
+
+def test_mix(odd, empty):
+    rows = mixing.with_copies(odd.select("doc_id", "text", "source")).collect()
+    assert len(rows) == odd.count() and all(0 <= r.copies <= 3 and r.target <= 3 * r.source_size + 1e-6 for r in rows)
+    assert {r["size"] for r in rows if r.doc_id in (4, 5, 9)} == {0}
+    assert abs(sum({r.source: r.target for r in rows}.values()) - sum(r["size"] for r in rows)) < 1
+    assert mixing.mix(odd).columns == odd.columns and mixing.mix(odd).count() == sum(r.copies for r in rows)
+    assert mixing.mix(empty).count() == 0
+
+
+# 10
+
+
+def test_neighbours(spark, small):
+    rows = spark.read.parquet(f"{small}/embeddings.parquet").select("vec_id", "embedding")
+    got = neighbours.search(rows, rows.where("vec_id % 100 = 0")).toPandas()
+    data = rows.toPandas()
+    x, ids = np.stack(data.embedding.to_numpy()).astype(float), data.vec_id.to_numpy()
+    hit = 0
+    for q, own in got.groupby("query_id"):
+        d = np.sqrt(((x - x[ids == q][0]) ** 2).sum(1))
+        want = [i for i in ids[np.lexsort((ids, d))] if i != q][:10]
+        hit += len(set(want) & set(own.vec_id))
+        assert own.sort_values("rank")["rank"].tolist() == list(range(1, 11))
+        assert np.allclose(own.score, [d[ids == v][0] for v in own.vec_id], atol=1e-12)
+    assert hit >= 0.9 * len(got)
+
+
+def test_neighbours_of_odd_vectors(spark):
+    rows = [(i, [float(i % 3), 1.0, 2.0]) for i in range(40)] + [(100, None), (101, [0.0, 0.0, 0.0]), (102, [float("nan"), 1.0, 1.0]), (103, [1.0, None, 1.0]), (None, [1.0, 1.0, 1.0]), (104, [1.0]), (5, [2.0, 1.0, 2.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = neighbours.search(df, df.where("vec_id in (0, 100, 101)"), k=5).orderBy("rank").collect()
+    assert [(r.query_id, r.vec_id, r.score) for r in got] == [(0, v, 0.0) for v in (3, 6, 9, 12, 15)]
+    none = spark.createDataFrame([], "vec_id long, embedding array<float>")
+    assert neighbours.search(none, none).count() == 0
