@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from shoal.functions import scalar as S
 from shoal.operators import facts, lineage, selection, sequences
 from shoal.sources import adapters as A
+from shoal.streaming import state
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -386,3 +387,31 @@ def _(spark, d):
 @query("agg_fingerprint")
 def _(spark, d):
     return A.meta(spark, d).select("asset_id", S.fingerprint(F.col("name")).alias("fnv"))
+
+
+# Streams, drained to the end of their input
+
+
+@query("st_progress", "SELECT user_id, CAST(ts AS DATE) AS day, count(*) AS n, round(sum(value), 6) AS value FROM events GROUP BY 1, 2")
+def _(spark, d):
+    return state.drain(state.daily_progress(state.events(spark, d)), "complete")
+
+
+@query("st_deletions", "SELECT user_id, event_type, (array_agg(event_id ORDER BY ts, event_id))[1] AS event_id FROM events GROUP BY 1, 2")
+def _(spark, d):
+    return state.drain(state.first_deletions(state.events(spark, d)), "complete")
+
+
+@query("st_last_verdicts", "SELECT user_id, (array_agg(event_id ORDER BY ts DESC, event_id DESC, event_type DESC))[1] AS event_id, (array_agg(event_type ORDER BY ts DESC, event_id DESC, event_type DESC))[1] AS status FROM events GROUP BY 1")
+def _(spark, d):
+    return state.drain(state.last_verdicts(state.events(spark, d)), "complete")
+
+
+@query("st_sessions", "WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) <= INTERVAL 3 HOUR THEN 0 ELSE 1 END AS b FROM events), s AS (SELECT *, sum(b) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g) SELECT user_id, epoch_us(min(ts)) // 1000 AS start_ms, count(*) AS n FROM s GROUP BY user_id, k")
+def _(spark, d):
+    return state.drain(state.sessions(state.events(spark, d)), "complete").select("user_id", F.unix_millis("start").alias("start_ms"), "n")
+
+
+@query("lim_low_water")
+def _(spark, d):
+    return state.drain(state.low_water(state.events(spark, d), 10.0, 60.0), "append")
