@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from shoal.functions import scalar as S
-from shoal.operators import facts, lineage, selection, sequences
+from shoal.operators import facts, lineage, selection, sequences, tables, vectors
 from shoal.sources import adapters as A
 from shoal.streaming import state
 
@@ -415,3 +415,240 @@ def _(spark, d):
 @query("lim_low_water")
 def _(spark, d):
     return state.drain(state.low_water(state.events(spark, d), 10.0, 60.0), "append")
+
+
+# Vector kernels
+
+
+GRID = "list_transform(embedding, lambda x: floor((CAST(x AS DOUBLE) + 1) * 127.5))"
+
+
+def _grids(spark, d):
+    return A.read(spark, d, "embeddings").select("vec_id", "label", vectors.grid(F.col("embedding")).alias("g"))
+
+
+def _grid_pairs(spark, d):
+    a = _grids(spark, d).where("vec_id < 500")
+    return a.toDF("vec_id", "label", "ga").join(a.select((F.col("vec_id") - 1).alias("vec_id"), F.col("g").alias("gb")), "vec_id")
+
+
+_SHIFTED = "least(" + ", ".join(f"list_sum(list_transform(range(0, 64), lambda i: CASE WHEN i % 8 + ({dx}) BETWEEN 0 AND 7 THEN abs(a.g[i + 1] - b.g[i + 1 + ({dx})]) ELSE 0 END)) / {8.0 * (8 - abs(dx))}" for dx in range(-2, 3)) + ")"
+
+
+@query("vec_aligned", f"WITH g AS (SELECT vec_id, {GRID} AS g FROM embeddings WHERE vec_id < 500) SELECT a.vec_id, round({_SHIFTED}, 6) AS distance FROM g a JOIN g b ON b.vec_id = a.vec_id + 1")
+def _(spark, d):
+    return _grid_pairs(spark, d).select("vec_id", F.round(vectors.aligned_distance(F.col("ga"), F.col("gb")), 6).alias("distance"))
+
+
+@query("vec_mad", f"WITH g AS (SELECT vec_id, {GRID} AS g FROM embeddings WHERE vec_id < 500), m AS (SELECT *, list_sum(g) / 64.0 AS m FROM g) SELECT a.vec_id, round(list_sum(list_transform(range(1, 65), lambda i: abs((a.g[i] - a.m) - (b.g[i] - b.m)))) / 64.0, 6) AS mad FROM m a JOIN m b ON b.vec_id = a.vec_id + 1")
+def _(spark, d):
+    return _grid_pairs(spark, d).select("vec_id", F.round(vectors.centred_distance(F.col("ga"), F.col("gb")), 6).alias("mad"))
+
+
+@query("vec_dhash", f"WITH g AS (SELECT vec_id, {GRID} AS g FROM embeddings) SELECT vec_id, CAST(list_sum(list_transform(range(0, 56), lambda k: CASE WHEN g[k // 7 * 8 + k % 7 + 1] - g[k // 7 * 8 + k % 7 + 2] > 6 THEN CAST(1 AS BIGINT) << CAST(55 - k AS INTEGER) ELSE 0 END)) AS BIGINT) AS bits FROM g")
+def _(spark, d):
+    return _grids(spark, d).select("vec_id", vectors.gradient_hash(F.col("g"), 8, 8, 6).alias("bits"))
+
+
+@query("vec_reduce", f"WITH g AS (SELECT vec_id, {GRID} AS g FROM embeddings) SELECT vec_id, k AS cell, CAST(floor((g[k // 4 * 16 + k % 4 * 2 + 1] + g[k // 4 * 16 + k % 4 * 2 + 2] + g[k // 4 * 16 + k % 4 * 2 + 9] + g[k // 4 * 16 + k % 4 * 2 + 10]) / 4) AS BIGINT) AS mean FROM g, range(0, 16) r(k)")
+def _(spark, d):
+    return _grids(spark, d).select("vec_id", F.posexplode(vectors.box_means(F.col("g"), 8, 2)).alias("cell", "mean")).select("vec_id", F.col("cell").cast("long").alias("cell"), "mean")
+
+
+@query("vec_hamming", f"SELECT a.vec_id, CAST({HAM.format(a='a', b='b')} AS BIGINT) AS bits, CAST(bit_count(xor(a.lo, b.lo)) AS BIGINT) AS low_bits FROM hashes a JOIN hashes b ON b.vec_id = a.vec_id + 1")
+def _(spark, d):
+    h = A.hashes(spark, d)
+    b = h.select((F.col("vec_id") - 1).alias("vec_id"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
+    bits = sequences.hamming(F.col("lo"), F.col("hi"), F.col("lo2"), F.col("hi2")).cast("long")
+    return h.join(b, "vec_id").select("vec_id", bits.alias("bits"), F.bit_count(F.col("lo").bitwiseXOR(F.col("lo2"))).cast("long").alias("low_bits"))
+
+
+@query("join_nearest", f"WITH p AS (SELECT a.vec_id, b.vec_id AS other, {HAM.format(a='a', b='b')} AS bits FROM hashes a JOIN hashes b ON a.label = b.label AND b.vec_id % 2 = 1 WHERE a.vec_id % 2 = 0), r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY bits, other) AS k FROM p) SELECT vec_id, other, CAST(bits AS BIGINT) AS bits FROM r WHERE k = 1")
+def _(spark, d):
+    h = A.hashes(spark, d)
+    right = h.where("vec_id % 2 = 1").toDF("other", "lo2", "hi2", "label")
+    pairs = h.where("vec_id % 2 = 0").join(right, "label").select("vec_id", F.struct(sequences.hamming(F.col("lo"), F.col("hi"), F.col("lo2"), F.col("hi2")).cast("long").alias("bits"), "other").alias("near"))
+    return pairs.groupBy("vec_id").agg(F.min("near").alias("near")).select("vec_id", "near.other", "near.bits")
+
+
+# More joins and sets
+
+
+@query("join_frame_set", "SELECT asset_id, max(group_id) AS group_id FROM members GROUP BY 1")
+def _(spark, d):
+    return A.members(spark, d).groupBy("asset_id").agg(F.max("group_id").alias("group_id"))
+
+
+@query("join_forget_merges", "SELECT asset_id FROM meta WHERE asset_id NOT IN (SELECT original_id FROM listing WHERE original_id IS NOT NULL)")
+def _(spark, d):
+    gone = A.listing(spark, d).where("original_id is not null").select(F.col("original_id").alias("asset_id"))
+    return tables.delete(A.meta(spark, d).select("asset_id"), gone, ["asset_id"])
+
+
+@query("join_decided", "SELECT id, album, coalesce(status, 'backlog') AS status FROM listing l LEFT JOIN verdicts v ON v.asset_id = l.id WHERE original_id IS NULL")
+def _(spark, d):
+    live = A.listing(spark, d).where("original_id is null")
+    return live.join(A.verdicts(spark, d).withColumnRenamed("asset_id", "id"), "id", "left").select("id", "album", F.coalesce("status", F.lit("backlog")).alias("status"))
+
+
+@query("join_verdict_work", "SELECT (SELECT count(*) FROM meta) = 0 OR EXISTS (SELECT 1 FROM meta WHERE asset_id NOT IN (SELECT asset_id FROM verdicts WHERE status <> 'backlog')) OR EXISTS (SELECT 1 FROM verdicts WHERE status = 'toEdit') AS work")
+def _(spark, d):
+    meta, verdicts = A.meta(spark, d), A.verdicts(spark, d)
+    open_ = meta.join(lineage.decided(verdicts), "asset_id", "left_anti").agg(F.count("*").alias("open"))
+    return open_.join(verdicts.agg(F.count_if(F.col("status") == "toEdit").alias("edits"))).join(meta.agg(F.count("*").alias("known"))).select(((F.col("known") == 0) | (F.col("open") > 0) | (F.col("edits") > 0)).alias("work"))
+
+
+@query("join_edit_candidates", "SELECT f.asset_id, filed_at FROM filings f JOIN verdicts v USING (asset_id) WHERE f.album = 'Edit' AND v.status = 'toEdit' AND f.asset_id NOT IN (SELECT original_id FROM listing WHERE original_id IS NOT NULL)")
+def _(spark, d):
+    queued = A.filings(spark, d).where("album = 'Edit'").join(A.verdicts(spark, d).where("status = 'toEdit'"), "asset_id", "left_semi")
+    gone = A.listing(spark, d).where("original_id is not null").select(F.col("original_id").alias("asset_id"))
+    return queued.join(gone, "asset_id", "left_anti").select("asset_id", "filed_at")
+
+
+@query("clu_mixed", "WITH b AS (SELECT DISTINCT asset_id FROM members WHERE group_id % 300 = 0) SELECT group_id, count(*) AS n FROM members WHERE group_id % 300 <> 0 GROUP BY 1 HAVING NOT bool_or(asset_id IN (SELECT asset_id FROM b))")
+def _(spark, d):
+    members = A.members(spark, d)
+    bursts, panos = members.where("group_id % 300 = 0"), members.where("group_id % 300 <> 0")
+    hit = panos.join(bursts.select("asset_id"), "asset_id", "left_semi").select("group_id").distinct()
+    return panos.join(hit, "group_id", "left_anti").groupBy("group_id").agg(F.count("*").alias("n"))
+
+
+@query("clu_merge_sets", "WITH m AS (SELECT group_id, asset_id FROM members WHERE group_id <= 400 AND asset_id % 3 = 0), e AS (SELECT DISTINCT a.group_id AS x, b.group_id AS y FROM m a JOIN m b USING (asset_id)), r AS (SELECT x AS node, x AS seen FROM e UNION SELECT r.node, e.y FROM r JOIN e ON e.x = r.seen) SELECT node, min(seen) AS component FROM r GROUP BY node")
+def _(spark, d):
+    m = A.members(spark, d).where("group_id <= 400 and asset_id % 3 = 0").select("group_id", "asset_id")
+    first = m.groupBy("asset_id").agg(F.min("group_id").alias("b"))
+    return lineage.components(m.join(first, "asset_id").select(F.col("group_id").alias("a"), "b"))
+
+
+@query("mat_drift", "WITH p AS (SELECT asset_id, ms - lag(ms) OVER (PARTITION BY album_id ORDER BY ms NULLS FIRST, asset_id) AS gap FROM assets) SELECT asset_id, coalesce(abs(gap - 1000), 9007199254740991) AS drift FROM p")
+def _(spark, d):
+    gap = F.col("ms") - F.lag("ms").over(Window.partitionBy("album_id").orderBy(F.col("ms").asc_nulls_first(), "asset_id"))
+    return A.assets(spark, d).select("asset_id", F.coalesce(F.abs(gap - 1000), F.lit(9007199254740991)).alias("drift"))
+
+
+@query("mat_serial_sides", "WITH s AS (SELECT user_id, count(DISTINCT event_type) AS n, min(event_type) AS left_serial, max(event_type) AS right_serial FROM events WHERE event_id % 3 = 0 AND event_type IN ('click', 'view', 'purchase') GROUP BY 1) SELECT user_id, left_serial, right_serial FROM s WHERE n = 2")
+def _(spark, d):
+    s = A.read(spark, d, "events").where("event_id % 3 = 0 and event_type in ('click', 'view', 'purchase')").groupBy("user_id")
+    return s.agg(F.count_distinct("event_type").alias("n"), F.min("event_type").alias("left_serial"), F.max("event_type").alias("right_serial")).where("n = 2").drop("n")
+
+
+@query("smp_milestone", "SELECT c_custkey, CAST(floor(c_custkey / 250) * 250 AS BIGINT) AS step, list_max(list_filter([10, 50, 100, 500, 1000], lambda x: x <= c_custkey)) AS rung FROM customer")
+def _(spark, d):
+    n = F.col("c_custkey")
+    rungs = F.array(*map(F.lit, (10, 50, 100, 500, 1000)))
+    return A.read(spark, d, "customer").select("c_custkey", (F.floor(n / 250) * 250).cast("long").alias("step"), F.array_max(F.filter(rungs, lambda x: x <= n)).alias("rung"))
+
+
+@query("smp_claim", "SELECT o_orderkey, CASE o_orderpriority WHEN '1-URGENT' THEN 'once' WHEN '2-HIGH' THEN 'year:' || year(o_orderdate) ELSE 'count:' || CAST(o_custkey // 100 * 100 AS VARCHAR) END AS claim FROM orders")
+def _(spark, d):
+    claim = F.when(F.col("o_orderpriority") == "1-URGENT", "once").when(F.col("o_orderpriority") == "2-HIGH", F.concat(F.lit("year:"), F.year("o_orderdate").cast("string"))).otherwise(F.concat(F.lit("count:"), (F.floor(F.col("o_custkey") / 100) * 100).cast("string")))
+    return A.read(spark, d, "orders").select("o_orderkey", claim.alias("claim"))
+
+
+@query("lim_tag_queue", "WITH k AS (SELECT asset_id, status FROM verdicts WHERE status IN ('kept', 'toPrint')), s AS (SELECT asset_id // 4 AS shot, asset_id, row_number() OVER (PARTITION BY asset_id // 4 ORDER BY asset_id DESC) AS r, bool_or(asset_id % 9 = 0) OVER (PARTITION BY asset_id // 4) AS tagged FROM k) SELECT shot, asset_id FROM s WHERE r = 1 AND NOT tagged")
+def _(spark, d):
+    shot = Window.partitionBy("shot")
+    kept = A.verdicts(spark, d).where("status in ('kept', 'toPrint')").select(F.floor(F.col("asset_id") / 4).alias("shot"), "asset_id")
+    marked = kept.withColumn("r", F.row_number().over(shot.orderBy(F.col("asset_id").desc()))).withColumn("tagged", F.bool_or(F.col("asset_id") % 9 == 0).over(shot))
+    return marked.where("r = 1 and not tagged").select("shot", "asset_id")
+
+
+@query("lim_buffer_take", "SELECT asset_id, r <= 50 AS taken FROM (SELECT asset_id, row_number() OVER (ORDER BY asset_id) AS r FROM meta WHERE asset_id NOT IN (SELECT asset_id FROM verdicts WHERE status <> 'backlog')) ORDER BY asset_id LIMIT 120")
+def _(spark, d):
+    fresh = A.meta(spark, d).join(lineage.decided(A.verdicts(spark, d)), "asset_id", "left_anti").select("asset_id").orderBy("asset_id").limit(120)
+    return fresh.withColumn("taken", F.row_number().over(Window.orderBy("asset_id")) <= 50)
+
+
+@query("lim_drop_album", "SELECT asset_id FROM meta WHERE album IS NULL OR album NOT IN ('src1', 'src2')")
+def _(spark, d):
+    return A.meta(spark, d).join(spark.createDataFrame([("src1",), ("src2",)], "album string"), "album", "left_anti").select("asset_id")
+
+
+@query("st_edit_verdict", "SELECT n.id, CASE WHEN o.updated IS NULL THEN 'unknown' WHEN o.updated = n.updated THEN 'untouched' WHEN n.id % 2 = 0 THEN 'edited' ELSE 'touched' END AS state FROM new_snapshot n LEFT JOIN old_snapshot o USING (id)")
+def _(spark, d):
+    old, new = A.snapshots(spark, d)
+    both = new.join(old.withColumnRenamed("updated", "was"), "id", "left")
+    return both.select("id", F.when(F.col("was").isNull(), "unknown").when(F.col("was") == F.col("updated"), "untouched").when(F.col("id") % 2 == 0, "edited").otherwise("touched").alias("state"))
+
+
+@query("st_baseline_fix", "SELECT id, updated FROM new_snapshot UNION ALL SELECT id, updated FROM old_snapshot WHERE id NOT IN (SELECT id FROM new_snapshot)")
+def _(spark, d):
+    return tables.upsert(*A.snapshots(spark, d), ["id"])
+
+
+@query("st_forget_baseline", "SELECT id, updated FROM old_snapshot WHERE id IN (SELECT id FROM new_snapshot)")
+def _(spark, d):
+    old, new = A.snapshots(spark, d)
+    return tables.keep_only(old, new, ["id"])
+
+
+# Mutations
+
+
+@query("dml_decide", "SELECT 'unit:' || group_id AS asset_id, 'kept' AS status FROM members GROUP BY group_id UNION ALL SELECT DISTINCT CAST(asset_id AS VARCHAR), 'kept' FROM members")
+def _(spark, d):
+    units = A.members(spark, d).groupBy(F.concat(F.lit("unit:"), F.col("group_id").cast("string")).alias("unit_id")).agg(F.collect_list(F.col("asset_id").cast("string")).alias("members"))
+    return tables.decide(units, F.lit("kept")).distinct()
+
+
+@query("dml_save_only", "SELECT asset_id, status, CASE WHEN asset_id % 2 = 0 THEN true ELSE save_only END AS save_only FROM verdicts")
+def _(spark, d):
+    changes = A.meta(spark, d).where("asset_id % 2 = 0").select("asset_id", F.lit(True).alias("save_only"))
+    return tables.update_existing(A.verdicts(spark, d), changes, ["asset_id"], "save_only").select("asset_id", "status", "save_only")
+
+
+@query("dml_reverdict", "SELECT asset_id, CASE WHEN status = 'maybe' THEN 'kept' ELSE status END AS status, starred, save_only FROM verdicts")
+def _(spark, d):
+    verdicts = A.verdicts(spark, d)
+    return tables.upsert(verdicts, verdicts.where("status = 'maybe'").withColumn("status", F.lit("kept")), ["asset_id"])
+
+
+@query("dml_partner", "WITH l AS (SELECT c_custkey AS left_id, c_custkey * 7 % 1009 AS right_id FROM customer WHERE c_custkey % 3 = 0), c AS (SELECT c_custkey AS left_id, c_custkey + 1 AS right_id FROM customer WHERE c_custkey % 30 = 0) SELECT * FROM l WHERE left_id NOT IN (SELECT left_id FROM c) AND right_id NOT IN (SELECT right_id FROM c) UNION ALL SELECT * FROM c")
+def _(spark, d):
+    key = F.col("c_custkey")
+    customers = A.read(spark, d, "customer")
+    links = customers.where("c_custkey % 3 = 0").select(key.alias("left_id"), (key * 7 % 1009).alias("right_id"))
+    return tables.partner_links(links, customers.where("c_custkey % 30 = 0").select(key.alias("left_id"), (key + 1).alias("right_id")))
+
+
+@query("dml_note_contents", "SELECT album, count(*) FILTER (original_id IS NULL) AS live, count(*) FILTER (original_id IS NOT NULL) AS deleted FROM listing GROUP BY 1")
+def _(spark, d):
+    return A.listing(spark, d).groupBy("album").agg(F.count_if(F.col("original_id").isNull()).alias("live"), F.count_if(F.col("original_id").isNotNull()).alias("deleted"))
+
+
+@query("dml_session_pick", "SELECT user_id, CAST(ts AS DATE) AS day, (array_agg(event_id ORDER BY md5('s5:' || CAST(event_id AS VARCHAR)), event_id))[1] AS pick FROM events GROUP BY 1, 2")
+def _(spark, d):
+    e = A.read(spark, d, "events").select("user_id", F.to_date("ts").alias("day"), F.struct(selection.draw("s5", F.col("event_id")), "event_id").alias("draw"))
+    return e.groupBy("user_id", "day").agg(F.min("draw").getField("event_id").alias("pick"))
+
+
+@query("hlp_album_search", "SELECT DISTINCT album FROM meta WHERE contains(lower(album), 'c1') AND album NOT IN ('src11')")
+def _(spark, d):
+    found = A.meta(spark, d).select("album").distinct().where(F.contains(F.lower("album"), F.lit("c1")))
+    return found.join(spark.createDataFrame([("src11",)], "album string"), "album", "left_anti")
+
+
+@query("io_json", "SELECT event_id, json_extract_string(props, '$.k') AS k FROM events")
+def _(spark, d):
+    guarded = F.concat(F.lit("while(1){}"), F.col("props"))
+    return A.read(spark, d, "events").select("event_id", F.get_json_object(S.json_guard(guarded), "$.k").alias("k"))
+
+
+@query("fn_units", "SELECT asset_id, contains('pano:' || name, ':') AS is_unit, 'burst:' || name AS retyped, CASE WHEN regexp_matches(name, '(?i)-hdr(-[0-9]+)?\\.[^.]+$') THEN 'HDR' WHEN regexp_matches(name, '(?i)-hdr-pano') THEN 'HDR panorama' END AS kind FROM meta")
+def _(spark, d):
+    unit = F.concat(F.lit("pano:burst:pano:"), F.col("name"))
+    return A.meta(spark, d).select("asset_id", S.is_unit(unit).alias("is_unit"), S.retyped(unit, "burst").alias("retyped"), S.merge_kind(S.file_stem(F.col("name"))).alias("kind"))
+
+
+@query("fn_times", "WITH t AS (SELECT event_id, CAST(event_id % 30 AS VARCHAR) || ':' || lpad(CAST(event_id % 70 AS VARCHAR), 2, '0') AS t FROM events) SELECT event_id, CASE WHEN event_id % 30 <= 23 AND event_id % 70 <= 59 THEN CAST(event_id % 30 * 60 + event_id % 70 AS BIGINT) END AS minute FROM t")
+def _(spark, d):
+    n = F.col("event_id")
+    text = F.concat((n % 30).cast("string"), F.lit(":"), F.lpad((n % 70).cast("string"), 2, "0"))
+    return A.read(spark, d, "events").select("event_id", S.time_of_day(text).cast("long").alias("minute"))
+
+
+@query("fn_chunk", "SELECT (r - 1) // 40 AS page, count(*) AS n, min(name) AS first_name FROM (SELECT name, row_number() OVER (ORDER BY asset_id) AS r FROM meta WHERE asset_id < 200) GROUP BY 1")
+def _(spark, d):
+    r = F.row_number().over(Window.orderBy("asset_id"))
+    paged = A.meta(spark, d).where("asset_id < 200").withColumn("page", F.floor((r - 1) / 40))
+    return paged.groupBy("page").agg(F.count("*").alias("n"), F.min("name").alias("first_name"))
