@@ -1,5 +1,6 @@
 import pytest
 
+from shoal.plans import reconcile, scalars  # noqa: F401
 from shoal.plans.catalog import ORACLES, QUERIES
 
 
