@@ -1,7 +1,8 @@
 """Approximate nearest neighbours by additive quantisation.
 
 A vector is the sum of one entry from each of BOOKS full-dimensional codebooks. The codebooks are fitted on at most SAMPLE vectors
-(those of smallest hashed id): k-means on residuals gives the first ones, then least squares fit all of them to beam-search codes.
+(those of smallest hashed id): k-means on residuals gives the first ones, then each in turn is
+fitted by least squares to beam-search codes.
 Every row of the table is encoded by a beam search over all codebooks and kept as its codes and the squared norm of the sum, so
 the distance to a query is that norm less twice a sum of table lookups, one table a query. The DEPTH best candidates of each query
 are then ranked by exact distances on the original vectors.
@@ -20,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -27,12 +29,23 @@ from shoal.llm.shared import materialise, table
 
 BOOKS, ENTRIES, BEAM, SAMPLE, DEPTH = 16, 256, 4, 12_000, 600
 BLOCK, PART = 128, 16_384
-ROUNDS = 1
+ROUNDS, SWEEPS = 1, 4
 
 
 class Codebooks:
     def __init__(self, entries: np.ndarray):
         self.entries = entries.astype(np.float32)  # (books, entries, dim)
+        self._tables()
+
+    def __getstate__(self) -> np.ndarray:
+        return self.entries
+
+    def __setstate__(self, entries: np.ndarray) -> None:
+        self.entries = entries
+        self._tables()
+
+    def _tables(self) -> None:
+        entries = self.entries
         self.flat = self.entries.reshape(-1, entries.shape[2])
         self.cross = self.flat @ self.flat.T
         self.norms = (self.flat**2).sum(1).reshape(entries.shape[:2])
@@ -78,14 +91,15 @@ def fit_codebooks(x: np.ndarray, books: int = BOOKS, entries: int = ENTRIES, rou
         rest -= first[-1][((first[-1] ** 2).sum(1) - 2 * rest @ first[-1].T).argmin(1)]
     model = Codebooks(np.stack(first))
     for _ in range(rounds):
-        codes = model.encode(x) + np.arange(books) * k
-        gram, target = np.zeros((books * k, books * k)), np.zeros((books * k, x.shape[1]))
-        for i in range(books):
-            np.add.at(target, codes[:, i], x)
-            for j in range(books):
-                np.add.at(gram, (codes[:, i], codes[:, j]), 1)
-        prior = model.flat.astype(float)
-        model = Codebooks(np.linalg.solve(gram + np.eye(books * k) * 0.5, target + 0.5 * prior).reshape(books, k, -1))
+        codes = np.concatenate([model.encode(x[lo : lo + 512]) for lo in range(0, len(x), 512)])
+        table, rest = model.entries.copy(), x - model.decode(codes)
+        for m in [*range(books)] * SWEEPS:  # each book's least squares with the others held
+            rest += table[m][codes[:, m]]
+            count = np.bincount(codes[:, m], minlength=k)
+            for d in range(x.shape[1]):
+                table[m][:, d] = np.where(count > 0, np.bincount(codes[:, m], rest[:, d], k) / np.maximum(count, 1), table[m][:, d])
+            rest -= table[m][codes[:, m]]
+        model = Codebooks(table)
     return model
 
 
@@ -129,10 +143,11 @@ def search(rows: DataFrame, queries: DataFrame, k: int = 10, depth: int = DEPTH,
     spark = rows.sparkSession
     vectors, asked = usable(rows), usable(queries)
     if model is None:
-        got = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("v").toArrow()["v"].to_pylist()
-        sizes = [len(v) for v in got]
-        dim = max(set(sizes), key=sizes.count, default=1)
-        model = fit_codebooks(np.array([v for v in got if len(v) == dim] or [[1.0] * dim]))
+        got = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("v").toArrow()["v"].combine_chunks()
+        sizes = pa.compute.list_value_length(got).to_numpy()
+        dim = int(np.bincount(sizes).argmax()) if len(sizes) else 1
+        sample = _matrix(got.filter(pa.array(sizes == dim))).astype(np.float32) if len(sizes) else np.ones((1, 1), np.float32)
+        model = fit_codebooks(sample)
     dim = model.entries.shape[2]
     vectors, asked = (d.where(F.size("v") == dim).dropDuplicates(["vec_id"]) for d in (vectors, asked))
     shared = spark.sparkContext.broadcast(model)
