@@ -14,10 +14,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from shoal.llm.shared import table, word_count
+from shoal.llm.shared import materialise, table, word_count
 
 MAX_RATE = 3.0
 CYCLE = 3
+FEW_SOURCES = 10_000
 
 
 def source_targets(sizes: DataFrame, max_rate: float = MAX_RATE, cycle: int = CYCLE) -> DataFrame:
@@ -47,9 +48,11 @@ def draw(doc_id, seed: str = "mix"):
 def with_copies(docs: DataFrame, max_rate: float = MAX_RATE, cycle: int = CYCLE, seed: str = "mix") -> DataFrame:
     """docs with size, source_size, target and copies (0 to ceil(max_rate)); doc_id, text and source are read, others ride along."""
     sized = docs.withColumn("size", word_count(F.col("text")))
-    sizes = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
+    sizes = materialise(sized.groupBy("source").agg(F.sum("size").alias("source_size")))
     targets = source_targets(sizes, max_rate, cycle).withColumnRenamed("source", "mix_source")
-    joined = sized.join(targets, sized["source"].eqNullSafe(targets["mix_source"])).drop("mix_source")
+    if sizes.count() <= FEW_SOURCES:  # else both sides are shuffled
+        targets = F.broadcast(targets)
+    joined = sized.join(targets, F.col("source").eqNullSafe(F.col("mix_source"))).drop("mix_source")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     whole = F.floor(rate)
     return joined.withColumn("copies", (whole + F.when(draw(F.col("doc_id"), seed) < rate - whole, 1).otherwise(0)).cast("long"))
