@@ -223,6 +223,33 @@ def test_repeated_passages(spark, small, odd, empty):
     assert passages.repeated_passages(empty).count() == 0
 
 
+def test_passages_with_replaced_words():
+    """Every token of a stretch that is similar by brute force, over all stretches that begin and end with a common token, is reported."""
+    rng, some = random.Random(7), 0
+    for case in range(300):
+        lines = [[rng.randrange(1 << 40) for _ in range(rng.randrange(30))] for _ in range(4)]
+        passage = [rng.randrange(1 << 40) for _ in range(rng.randrange(45, 110))]
+        edited = list(passage)
+        for at in [len(passage) // 2] if case < 50 else rng.sample(range(len(passage)), rng.randrange(1, 5)):
+            edited[at] = rng.randrange(1 << 40)
+        x, y = ([hash(tuple(w[i : i + 5])) & 0xFFFFFFFF for i in range(len(w) - 4)] for w in (lines[0] + passage + lines[1], lines[2] + edited + lines[3]))
+        shift, places, want = len(lines[2]) - len(lines[0]), [i for i, t in enumerate(x) if t in set(y)], set()
+        for n, s in enumerate(places):
+            for e in places[n:]:
+                one, two = set(x[s : e + 1]), set(y[s + shift : e + 1 + shift])
+                if e + 1 - s >= 46 and 100 * len(one & two) >= 80 * len(one | two):
+                    want |= set(range(s, e + 1))
+        got = passages.verify(np.array(x, np.uint32), np.array(y, np.uint32))
+        assert {i for s, e, *_ in got for i in range(s, e)} == want
+        assert all(p == s + shift and q == e + shift and sim >= 0.8 for s, e, p, q, sim in got)
+        some += bool(want)
+    assert some > 100
+    words = list(range(60))
+    other = [*words[:30], -1, *words[31:]]
+    x, y = (np.array([hash(tuple(w[i : i + 5])) & 0xFFFFFFFF for i in range(56)], np.uint32) for w in (words, other))
+    assert passages.verify(x, y) == [(0, 56, 0, 56, 51 / 61)]
+
+
 # 5
 
 
