@@ -250,6 +250,24 @@ def test_passages_with_replaced_words():
     assert passages.verify(x, y) == [(0, 56, 0, 56, 51 / 61)]
 
 
+def test_every_group_of_windows_is_sent_on(spark):
+    rng = np.random.default_rng(8)
+    w = np.zeros(400, passages._WINDOW)
+    w["key"], w["text"], w["c"] = rng.integers(0, 9, 400), rng.integers(0, 40, 400), np.arange(400)
+    for i in range(3):
+        w[f"near{i}"] = rng.integers(0, 4, 400)
+    sent = w[passages._links(w)[0]]
+    for i in range(3):
+        assert {(r["key"], r[f"near{i}"]) for r in sent} == {(r["key"], r[f"near{i}"]) for r in w}
+    r = random.Random(8)
+    shared = [prose(r, 50, 10**6) for _ in range(40)]
+    rows = [(3 * i + k, prose(r, 60, 10**6) + " " + s + " " + prose(r, 60, 10**6)) for i, s in enumerate(shared) for k in range(3)]
+    docs = spark.createDataFrame(sorted(rows, key=lambda x: x[0] % 3), "doc_id long, text string")
+    for parts in (docs.coalesce(1), docs.repartition(24, "doc_id")):
+        got = passages.repeated_passages(parts).collect()
+        assert {x.doc_id for x in got} == {i for i, _ in rows} and all(x.doc_id // 3 == x.match_doc_id // 3 for x in got)
+
+
 # 5
 
 
