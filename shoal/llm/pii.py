@@ -39,7 +39,8 @@ PATTERN = re.compile(
   | (?P<iban>(?<!\w)[A-Z]{{2}}[0-9]{{2}}(?:[ ]?[A-Z0-9]{{4}}){{2,7}}(?:[ ]?[A-Z0-9]{{1,4}})?(?!\w))
   | (?P<secret>(?<!\w)(?:AKIA|ASIA)[A-Z0-9]{{16}}(?!\w)|(?<![A-Za-z])(?i:password|passwd|pwd|secret|token|api[_-]?key)(?:["']?[ ]?[=:][ ]?["']?)[A-Za-z0-9_+/-]{{8,}}|(?<=")[0-9a-f]{{32,64}}(?="))
   | (?P<ip>(?<![\w.])[0-9]{{1,3}}(?:\.[0-9]{{1,3}}){{3}}(?!\w|\.[0-9]))
-  | (?P<date>(?<![\w/.-])(?:[0-9]{{4}}(?P<sep1>[-/.])[0-9]{{2}}(?P=sep1)[0-9]{{2}}|[0-9]{{1,2}}(?P<sep2>[-/.])[0-9]{{1,2}}(?P=sep2)[0-9]{{4}})(?![\w/-]|\.[0-9])
+  | (?P<date>(?<![\w/.-])[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}(?=[Tt][0-9]{{2}}(?::?[0-9]{{2}}|(?![0-9A-Za-z_])))
+      |(?<![\w/.-])(?:[0-9]{{4}}(?P<sep1>[-/.])[0-9]{{2}}(?P=sep1)[0-9]{{2}}|[0-9]{{1,2}}(?P<sep2>[-/.])[0-9]{{1,2}}(?P=sep2)[0-9]{{4}})(?![\w/-]|\.[0-9])
       |(?<!\w)(?i:[0-9]{{1,2}}(?:st|nd|rd|th)?[ ](?:{_MONTH})[ ,]+[0-9]{{4}}|(?:{_MONTH})[ ][0-9]{{1,2}}(?:st|nd|rd|th)?,?[ ][0-9]{{4}})(?!\w))
   | (?P<ssn>(?<![\w-])[0-9]{{3}}-[0-9]{{2}}-[0-9]{{4}}(?![\w-]))
   | (?P<card>(?<![\w.-])(?:[0-9]{{13,19}}|[0-9]{{4}}(?P<sep3>[ -])[0-9]{{4}}(?P=sep3)[0-9]{{4}}(?P=sep3)[0-9]{{1,7}}|[0-9]{{4}}[ -][0-9]{{6}}[ -][0-9]{{5}})(?![\w-]))
@@ -47,7 +48,7 @@ PATTERN = re.compile(
     """,
     re.X,
 )
-_CANDIDATE = re.compile(r"[0-9@]|(?i:pass|secret|token|key)")
+_CANDIDATE = re.compile(r"[0-9@]|AKIA|ASIA|(?i:passw|pwd|secret|token|key)|\"[a-f]{32}")  # what every alternative of PATTERN needs
 
 
 def permute(index: int, size: int, key: bytes, tweak: str) -> int:
