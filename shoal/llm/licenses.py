@@ -8,8 +8,8 @@ were aligned. A text is only aligned with a template if it holds enough of the t
 coverage, which is an exact bound.
 
 Null and empty texts hold no license. One row is returned for each document and license found, that of the best template and
-window (ties: the first); where windows of several licenses overlap, as those of one family do, only the one of highest coverage
-counts. Repeated rows give repeated results. A null doc_id is carried along.
+window (ties: the first); where windows of several licenses overlap, as those of one family do, only the one with most aligned words
+counts. Short templates must be aligned in full, longer ones with the words that tell the license from its relatives. Repeated rows give repeated results. A null doc_id is carried along.
 """
 
 from __future__ import annotations
@@ -50,7 +50,18 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
     ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
     ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
     ("Unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."),
+    ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details."),
+    ("LGPL-2.1", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version. This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details."),
+    ("LGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details."),
+    ("AGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Affero General Public License for more details."),
+    ("BSD-2-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."),
 )
+# Words that tell a license from those whose texts are nearly alike; those that a template of the license holds must be aligned.
+TELLING = {
+    "Apache-2.0": "apache 2", "GPL-3.0": "gnu general 3", "GPL-2.0": "gnu general 2", "LGPL-3.0": "gnu lesser 3", "LGPL-2.1": "gnu lesser 2 1", "AGPL-3.0": "gnu affero 3",
+    "MPL-2.0": "mozilla 2", "BSD-3-Clause": "neither nor names endorse promote", "BSD-2-Clause": "redistributions source binary",
+}
+SHORT = 16  # templates of up to so many words must be aligned in full
 
 
 def word_hashes(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -62,12 +73,16 @@ def word_hashes(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndar
 class Library:
     def __init__(self, templates: tuple[tuple[str, str], ...] = TEMPLATES):
         self.names = [n for n, _ in templates]
-        hashed = []
+        hashed, telling = [], []
         for _, text in templates:
             data = np.frombuffer(text.encode(), np.uint8)
             hashed.append(word_hashes(data, np.array([0, len(data)]))[0])
+        for name in self.names:
+            data = np.frombuffer(TELLING.get(name, "").encode(), np.uint8)
+            telling.append(word_hashes(data, np.array([0, len(data)]))[0])
         self.words = np.unique(np.concatenate(hashed))
         self.ids = [np.searchsorted(self.words, h) for h in hashed]
+        self.telling = [set(np.searchsorted(self.words, np.intersect1d(t, h)).tolist()) for t, h in zip(telling, hashed, strict=True)]
         self.has = np.zeros((len(templates), len(self.words)), np.int32)
         for t, ids in enumerate(self.ids):
             self.has[t, ids] = 1
@@ -133,12 +148,12 @@ def windows(places: np.ndarray, ids: np.ndarray, template: np.ndarray, n_words:
     return out
 
 
-def best_fit(line: list[int], template: np.ndarray, spans: list[tuple[int, int]]) -> tuple[int, int, int]:
-    """(aligned words, first word, end word) of the best window."""
+def best_fit(line: list[int], template: np.ndarray, spans: list[tuple[int, int]], telling: set[int]) -> tuple[int, int, int]:
+    """(aligned words, first word, end word) of the best window in which all telling words are aligned, and a short template in full."""
     best = (0, 0, 0)
     for lo, hi in spans:
         found = patience(line[lo:hi], template.tolist())
-        if len(found) > best[0]:
+        if len(found) > best[0] and (len(found) == len(template) or (len(template) > SHORT and telling <= {int(template[j]) for _, j in found})):
             best = (len(found), lo + found[0][0], lo + found[-1][0] + 1)
     return best
 
@@ -165,12 +180,12 @@ def scan(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, le
                     best: dict[str, tuple] = {}
                     for t in np.flatnonzero(hopeful[r]):
                         size = len(lib.ids[t])
-                        n, start, end = best_fit(line.tolist(), lib.ids[t], windows(places, line[places], lib.ids[t], len(line)))
+                        n, start, end = best_fit(line.tolist(), lib.ids[t], windows(places, line[places], lib.ids[t], len(line)), lib.telling[t])
                         name = lib.names[t]
                         if 100 * n >= least_percent * size and (n / size, n) > best.get(name, (0.0, 0))[:2]:
                             best[name] = (n / size, n, size, start, end)
                     taken: list[tuple[int, int]] = []
-                    for name, found in sorted(best.items(), key=lambda x: (-x[1][0], -x[1][1])):
+                    for name, found in sorted(best.items(), key=lambda x: (-x[1][1], -x[1][0])):
                         if all(found[4] <= a or found[3] >= b for a, b in taken):
                             taken.append(found[3:])
                             out.append((batch.column(0)[lo + int(r)].as_py(), name, *found))

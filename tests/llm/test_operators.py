@@ -292,6 +292,20 @@ def test_licenses_found(spark, odd, empty):
     assert licenses.scan(odd).count() == 0 == licenses.scan(empty).count()
 
 
+def test_licenses_told_apart(spark):
+    text = {name: max((t for n, t in licenses.TEMPLATES if n == name), key=len) for name, _ in licenses.TEMPLATES}
+    rows, want = [(-1, "Licensed under the BSD License."), (-2, "Licensed under the Apache License."), (-3, "Licensed under CC BY 3.0."), (-4, "it was released under the old license"), (-5, text["Apache-2.0"].replace("2.0", "1.1"))], set()
+    gpl = next(t for n, t in licenses.TEMPLATES if n == "GPL-3.0" and len(t) > 200)
+    long = {
+        "GPL-3.0": gpl, "GPL-2.0": gpl.replace("version 3", "version 2"), "LGPL-3.0": gpl.replace("GNU", "GNU Lesser"), "LGPL-2.1": gpl.replace("GNU", "GNU Lesser").replace("version 3", "version 2.1"), "AGPL-3.0": gpl.replace("GNU", "GNU Affero"),
+        "BSD-3-Clause": text["BSD-3-Clause"].replace("the copyright holder", "Some Company Inc."), "BSD-2-Clause": text["BSD-3-Clause"].split(" Neither")[0],
+    }
+    for i, (name, t) in enumerate(long.items()):
+        rows.append((i, "some words ahead " + t + " and words behind"))
+        want.add((i, name))
+    assert {(r.doc_id, r.license) for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == want
+
+
 # 6
 
 
