@@ -93,6 +93,15 @@ def _lines(t: Texts) -> tuple[np.ndarray, np.ndarray]:
     return n, n - per_row(np.ones(len(distinct)), distinct, t.n)
 
 
+def _unspaced(t: Texts) -> np.ndarray:
+    """Characters of scripts that put no spaces between words: Thai, Lao, Myanmar, Khmer, kana and Han with their punctuation."""
+    a, b = t.data, np.append(t.data[1:], np.uint8(0))
+    return t.count(
+        ((a == 0xE0) & (b >= 0xB8) & (b <= 0xBB)) | ((a == 0xE1) & (((b >= 0x80) & (b <= 0x82)) | (b == 0x9E) | (b == 0x9F))) | ((a == 0xE3) & (((b >= 0x80) & (b <= 0x83)) | (b >= 0x90)))
+        | ((a >= 0xE4) & (a <= 0xE9)) | ((a == 0xEF) & (((b >= 0xA4) & (b <= 0xAB)) | (b == 0xBC) | (b == 0xBD))) | ((a == 0xF0) & (b >= 0xA0) & (b <= 0xB3))
+    )
+
+
 METRICS: dict[str, Callable[[Texts], np.ndarray]] = {
     "words": lambda t: words(t.data, t.offs),
     "prefix": _prefix,
@@ -105,6 +114,8 @@ METRICS: dict[str, Callable[[Texts], np.ndarray]] = {
     "n_repeat_words": _repeat_words,
     "n_upper": lambda t: t.count(_UPPER[t.data]),
     "n_lower": lambda t: t.count(_LOWER[t.data]),
+    "n_other": lambda t: t.count(t.data >= 0xC0),
+    "n_unspaced": _unspaced,
     "n_bang": lambda t: t.count(_BANG[t.data]),
 }
 
@@ -119,7 +130,7 @@ BASE = (
     Rule("few_words", lambda t: t["n_words"] < MIN_WORDS),
     Rule("repeated_windows", lambda t: 100 * t["n_repeat_words"] > REPEAT_PERCENT * t["n_words"]),
 )
-#: Thresholds in whole percents of words, letters or lines. Ordinary prose in any language stays far below all of them.
+#: Thresholds in whole percents of words, letters or lines. Ordinary prose in Latin script stays far below all of them.
 STYLE = (
     Rule("symbols", lambda t: 100 * t["n_symbols"] > 20 * t["n_words"]),
     Rule("shouting", lambda t: 100 * t["n_upper"] > 40 * (t["n_upper"] + t["n_lower"])),
@@ -128,6 +139,12 @@ STYLE = (
     Rule("word_length", lambda t: (t["word_chars"] < 2 * t["n_words"]) | (t["word_chars"] > 15 * t["n_words"])),
 )
 RULES = {r.name: r for r in BASE + STYLE}
+#: The rules of a corpus in any language, by the same names: capitals are related to all letters, and characters of scripts without
+#: spaces don't make words long. op6 keeps the rules of its SQL.
+CORPUS = RULES | {
+    "shouting": Rule("shouting", lambda t: (t["n_upper"] >= MIN_WORDS) & (100 * t["n_upper"] > 40 * (t["n_upper"] + t["n_lower"] + t["n_other"]))),
+    "word_length": Rule("word_length", lambda t: (t["word_chars"] < 2 * t["n_words"]) | (t["word_chars"] - t["n_unspaced"] > 15 * t["n_words"])),
+}
 DIGEST = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
@@ -154,13 +171,13 @@ def plan(measured: list[tuple[str, float, float]], rules: tuple[Rule, ...] = BAS
     return sorted((r.name for r in rules), key=lambda n: -gain.get(n, 0.0))
 
 
-def passes(t: Texts, order: list[str]) -> np.ndarray:
+def passes(t: Texts, order: list[str], rules: dict[str, Rule] = RULES) -> np.ndarray:
     """The cascade: each rule sees only the texts that all before it passed."""
     alive, rest = np.arange(t.n), t
     for name in order:
         if not len(alive):
             break
-        ok = ~RULES[name].rejects(rest)
+        ok = ~rules[name].rejects(rest)
         if not ok.all():
             alive, rest = alive[ok], rest.some(np.flatnonzero(ok))
     out = np.zeros(t.n, bool)
@@ -176,7 +193,7 @@ def quality_filter(docs: DataFrame, order: list[str] | None = None) -> DataFrame
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi, data, offs in slices(batch.column(at)):
-                yield batch.slice(lo, hi - lo).filter(pa.array(passes(Texts(data, offs), order)))
+                yield batch.slice(lo, hi - lo).filter(pa.array(passes(Texts(data, offs), order, CORPUS)))
 
     return docs.mapInArrow(run, docs.schema)
 

@@ -321,6 +321,15 @@ def test_cascade_order():
     assert quality.plan([("few_words", 1.0, 0.1), ("symbols", 0.1, 0.1), ("shouting", 0.1, 0.0)], (quality.BASE[0], *quality.STYLE[:2])) == ["symbols", "few_words", "shouting"]
 
 
+def test_quality_of_other_scripts(spark):
+    rng = random.Random(6)
+    word = lambda lo, hi, n: "".join(chr(rng.randrange(lo, hi)) for _ in range(n))
+    rows = [(i, " ".join(word(lo, hi, 6) for _ in range(40)) + " NATO") for i, (lo, hi) in enumerate([(0x430, 0x450), (0x3B1, 0x3C9), (0x621, 0x64A)])]
+    rows += [(i + 3, " ".join(word(lo, hi, 20) for _ in range(30)) + " NATO") for i, (lo, hi) in enumerate([(0x4E00, 0x9FA5), (0x3041, 0x3096), (0xE01, 0xE2E)])]
+    rows += [(10, " ".join(word(0x41, 0x5B, 6) for _ in range(40))), (11, " ".join(word(0x61, 0x7B, 20) for _ in range(40)))]
+    assert {r.doc_id for r in quality.quality_filter(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == set(range(6))
+
+
 # 7
 
 
