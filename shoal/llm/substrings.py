@@ -328,9 +328,9 @@ def repeated_spans(docs: DataFrame, hot: int = HOT) -> DataFrame:
 
 
 def remove_repeats(docs: DataFrame, with_bytes: bool = False, hot: int = HOT) -> DataFrame:
-    """docs(doc_id, text) to doc_id, n_bytes, n_removed, n_spans, kept_sha256[, kept]; kept holds the remaining bytes."""
+    """docs(doc_id, text) to doc_id, n_bytes, n_removed, n_spans, kept_sha256, has_repeat[, kept]; kept holds the remaining bytes."""
     keyed = docs.select(F.coalesce("doc_id", F.lit(_NO_ID)).alias("did"), F.xxhash64("doc_id", "text").alias("row"), F.coalesce("text", F.lit("")).alias("text"))
-    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_bytes
+    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, has_repeat boolean" + ", kept binary" * with_bytes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -340,8 +340,8 @@ def remove_repeats(docs: DataFrame, with_bytes: bool = False, hot: int = HOT) ->
                 if spans.is_valid:
                     lo, hi = _merged(*(spans.values.field(c).to_numpy() for c in ("lo", "hi")))
                 kept = b"".join(raw[a:b].to_pybytes() for a, b in zip(np.append(0, hi).tolist(), np.append(lo, len(raw)).tolist(), strict=True))
-                rows.append((None if did == _NO_ID else did, len(raw), len(raw) - len(kept), len(lo), hashlib.sha256(kept).hexdigest(), *([kept] if with_bytes else [])))
-            types = [pa.int64()] * 4 + [pa.string()] + [pa.binary()] * with_bytes
+                rows.append((None if did == _NO_ID else did, len(raw), len(raw) - len(kept), len(lo), hashlib.sha256(kept).hexdigest(), len(kept) < len(raw), *([kept] if with_bytes else [])))
+            types = [pa.int64()] * 4 + [pa.string(), pa.bool_()] + [pa.binary()] * with_bytes
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * len(types), types, strict=True)], [c.split()[0] for c in schema.split(", ")])
 
     return repeated_spans(keyed, hot).select("did", "text", "spans").mapInArrow(run, schema)
