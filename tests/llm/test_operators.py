@@ -256,6 +256,7 @@ def test_stars_join_all_texts_of_a_key():
     w = np.zeros(600, passages._WINDOW)
     w["key"], w["text"], w["c"] = rng.integers(0, 60, 600), rng.integers(0, 40, 600), np.arange(600)
     w["l"], w["r"] = w["c"], w["c"]
+    assert (passages.unpack(np.frombuffer(passages.pack(w), np.uint8)) == w).all()
     for parts in (1, 7):
         made = [passages.stars(x) for x in np.array_split(w, parts)]
         links = np.concatenate([x for x, _ in made] + ([passages.stars(np.concatenate([y for _, y in made]))[0]] if parts > 1 else []))
