@@ -40,13 +40,13 @@ def merge_kind(stem: Column) -> Column:
     return F.when(hdr & pano, "HDR panorama").when(hdr, "HDR").when(pano, "panorama")
 
 
-def merge_sources(stem: Column, most: int = 4) -> Column:
+def merge_sources(stem: Column) -> Column:
     """Every stem met while merge suffixes are peeled off, nearest first."""
-    out, now = [], stem
-    for _ in range(most):
-        now = F.when(now.rlike(r"(?i)-(HDR|Pano)(-\d+)?$"), F.regexp_replace(now, r"(?i)-(HDR|Pano)(-\d+)?$", ""))
-        out.append(now)
-    return F.filter(F.array(*out), lambda s: s.isNotNull())
+    tail = F.regexp_extract(stem, r"(?i)((?:-(?:HDR|Pano)(?:-\d+)?)+)$", 1)
+    parts = F.regexp_extract_all(tail, F.lit(r"(?i)(-(?:HDR|Pano)(?:-\d+)?)"), F.lit(1))
+    base = F.substring(stem, F.lit(1), F.length(stem) - F.length(tail))
+    kept = F.transform(parts, lambda _, i: F.concat(base, F.array_join(F.slice(parts, F.lit(1), F.size(parts) - i - 1), "")))
+    return F.when(F.size(parts) > 0, kept).otherwise(F.array().cast("array<string>"))
 
 
 def eye(stem: Column) -> Column:
@@ -57,6 +57,38 @@ def retyped(unit_id: Column, kind: str) -> Column:
     return F.concat(F.lit(f"{kind}:"), F.regexp_replace(unit_id, "^(?:burst:|pano:)+", ""))
 
 
+def retyped_any(unit_id: Column, kind: str) -> Column:
+    """The unit id under another kind; a plain asset id becomes a unit of that kind."""
+    return F.concat(F.lit(f"{kind}:"), F.regexp_replace(unit_id, "^(?:(?:burst|pano|stereo):)+", ""))
+
+
+def unit_id(kind: Column, album: Column, first: Column) -> Column:
+    return F.concat_ws(":", kind, album.cast("string"), first.cast("string"))
+
+
+def set_signature(members: Column) -> Column:
+    """One text for a set of ids, whatever their order."""
+    return F.array_join(F.array_sort(F.transform(members, lambda x: x.cast("string"))), "|")
+
+
+def frames(n: Column) -> Column:
+    return F.concat(n.cast("string"), F.when(n == 1, " frame").otherwise(" frames"))
+
+
+def set_label(kind: Column, n: Column) -> Column:
+    name = F.when(kind == "pano", "Panorama").when(kind == "burst", "Burst").when(kind == "stereo", "Stereo")
+    return F.concat(name, F.lit(" · "), frames(n))
+
+
+def unit_name(kind: Column, n: Column) -> Column:
+    name = F.when(kind == "pano", "Panorama").when(kind == "burst", "Burst").otherwise("Stereo set")
+    return F.concat(name, F.lit(" · "), n.cast("string"), F.lit(" frames"))
+
+
+def gap_label(missing: Column) -> Column:
+    return F.when(missing == "unknown", "Stereo pair · no other eye").otherwise(F.concat(F.lit("Stereo pair · "), missing, F.lit(" eye missing")))
+
+
 def haversine(lat1: Column, lng1: Column, lat2: Column, lng2: Column) -> Column:
     a = F.pow(F.sin(F.radians(lat2 - lat1) / 2), 2) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.pow(F.sin(F.radians(lng2 - lng1) / 2), 2)
     return 2 * EARTH_METRES * F.asin(F.least(F.lit(1.0), F.sqrt(a)))

@@ -23,18 +23,59 @@ def census(known: DataFrame, verdicts: DataFrame) -> DataFrame:
 
 def first_writes(log: DataFrame, key: str, at: str) -> DataFrame:
     """The first entry of each key stays; ties go to the smallest row."""
-    w = Window.partitionBy(key).orderBy(at, *[c for c in log.columns if c not in (key, at)])
-    return log.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+    rest = [c for c in log.columns if c not in (key, at)]
+    return log.groupBy(key).agg(F.min(F.struct(at, *rest)).alias("_row")).select(*[key if c == key else F.col("_row")[c].alias(c) for c in log.columns])
 
 
 def last_writes(log: DataFrame, key: str, at: str) -> DataFrame:
-    w = Window.partitionBy(key).orderBy(F.col(at).desc(), *[F.col(c).desc() for c in log.columns if c not in (key, at)])
-    return log.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+    """The last entry of each key stays; ties go to the largest row."""
+    rest = [c for c in log.columns if c not in (key, at)]
+    return log.groupBy(key).agg(F.max(F.struct(at, *rest)).alias("_row")).select(*[key if c == key else F.col("_row")[c].alias(c) for c in log.columns])
 
 
-def finished(members: DataFrame, key: str, status: str, printable: str, blocking: str) -> DataFrame:
-    """Albums of which no member blocks and at least one is printable."""
-    return members.groupBy(key).agg(F.count("*").alias("n"), F.count_if(F.col(status) == printable).alias("printable"), F.count_if(F.col(status) == blocking).alias("blocked")).where("printable > 0 and blocked = 0").drop("blocked")
+def finished(members: DataFrame, scanned: DataFrame, key: str) -> DataFrame:
+    """Albums scanned to their end of which no member is undecided, to be edited or a maybe, and at least one can be printed."""
+    undone = F.coalesce("status", F.lit("backlog")).isin("backlog", "toEdit", "maybe")
+    counted = members.join(scanned, key, "left_semi").groupBy(key).agg(F.count_if(F.col("status").isin("kept", "toPrint")).alias("printable"), F.count_if(undone).alias("undone"))
+    return counted.where("printable > 0 and undone = 0").drop("undone")
+
+
+def edit_queue(live: DataFrame, verdicts: DataFrame, baselines: DataFrame, merged: DataFrame, now: int, late: int) -> DataFrame:
+    """(asset_id, since, overdue) of live assets of the edit album still to be edited and in no merged photo: how long they have been, a
+    missing baseline counting as for ever."""
+    open_ = live.join(verdicts.where("status = 'toEdit'").select("asset_id"), "asset_id", "left_semi").join(merged, "asset_id", "left_anti").join(baselines, "asset_id", "left")
+    since = F.coalesce("at", F.lit(0))
+    return open_.select("asset_id", since.alias("since"), (F.lit(now) - since > late).alias("overdue"))
+
+
+def record_albums(days: DataFrame, contents: DataFrame, day: Column) -> DataFrame:
+    """days(day, album, live, deleted) with what albums hold now as the rows of `day`, instead of those that the day had of them."""
+    now = contents.groupBy("album").agg(F.count_if(~F.col("gone")).alias("live"), F.count_if("gone").alias("deleted")).select(day.alias("day"), "album", "live", "deleted")
+    return days.join(now.select("day", "album"), ["day", "album"], "left_anti").unionByName(now)
+
+
+def filed_sets(log: DataFrame) -> DataFrame:
+    """log(asset_id, album, at) to (asset_id, albums, at): the albums in the order of their first filing, and the latest time."""
+    first = log.groupBy("asset_id", "album").agg(F.min("at").alias("first"), F.max("at").alias("last"))
+    made = first.groupBy("asset_id").agg(F.sort_array(F.collect_list(F.struct("first", "album"))).alias("a"), F.max("last").alias("at"))
+    return made.select("asset_id", F.transform("a", lambda x: x["album"]).alias("albums"), "at")
+
+
+def manifest_hashes(assets: DataFrame, key: str) -> DataFrame:
+    """(key, hash): FNV-1a in hexadecimal of the lines id@updated of each key, by id."""
+    line = F.concat(F.col("id").cast("string"), F.lit("@"), "updated")
+    lines = F.transform(F.sort_array(F.collect_list(F.struct("id", line.alias("line")))), lambda x: x["line"])
+    joined = assets.groupBy(key).agg(F.array_join(lines, "\n").alias("t"))
+    return joined.select(key, F.lower(F.lpad(F.hex(S.fingerprint(F.col("t"))), 8, "0")).alias("hash"))
+
+
+def work_waiting(assets: DataFrame, verdicts: DataFrame, tagged: DataFrame) -> DataFrame:
+    """One row: whether anything is undecided, to be edited, or a keeper without a tag; a library without assets has work too."""
+    open_ = assets.join(verdicts.where("status <> 'backlog'").select("asset_id"), "asset_id", "left_anti").limit(1).agg((F.count("*") > 0).alias("open"))
+    edits = verdicts.where("status = 'toEdit'").limit(1).agg((F.count("*") > 0).alias("edits"))
+    untagged = verdicts.where(F.col("status").isin("kept", "toPrint")).join(tagged, "asset_id", "left_anti").limit(1).agg((F.count("*") > 0).alias("untagged"))
+    none = assets.limit(1).agg((F.count("*") == 0).alias("none"))
+    return open_.join(edits).join(untagged).join(none).select((F.col("none") | F.col("open") | F.col("edits") | F.col("untagged")).alias("work"))  # one row each
 
 
 def offset_vote(left: DataFrame, right: DataFrame, block: str, bin_ms: int, least_votes: int, least_share: float, reach_ms: int) -> DataFrame:

@@ -8,14 +8,15 @@ from pyspark.sql import functions as F
 from shoal.functions import scalar as S
 
 
-def first_by(rows: DataFrame, key: str, order: Column) -> DataFrame:
-    return rows.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(order))).where("_n = 1").drop("_n")
+def first_by(rows: DataFrame, key: str, order: Column, last: bool = False) -> DataFrame:
+    """The first (or last) row of each key; an aggregate, so rows of a key are thinned out before they meet."""
+    return rows.groupBy(key).agg((F.max_by if last else F.min_by)(F.struct(*rows.columns), order).alias("_first")).select("_first.*")
 
 
 def by_stem(meta: DataFrame) -> DataFrame:
     """(stem, original_id): the last row of each stem wins; edits are no originals."""
     stems = meta.select(F.lower(S.file_stem(F.col("name"))).alias("stem"), F.col("asset_id").alias("original_id"), "ord").where(S.edit_base(F.col("stem")) == F.col("stem"))
-    return first_by(stems, "stem", F.col("ord").desc()).drop("ord")
+    return first_by(stems, "stem", F.col("ord"), last=True).drop("ord")
 
 
 def edit_pairs(meta: DataFrame) -> DataFrame:
@@ -25,12 +26,20 @@ def edit_pairs(meta: DataFrame) -> DataFrame:
     return edits.join(by_stem(meta), "stem").select("edit_id", "original_id")
 
 
+def album_edit_pairs(meta: DataFrame) -> DataFrame:
+    """(album_id, edit_id, original_id) for meta(album_id, asset_id, name, ord), names compared within an album."""
+    stems = meta.select("album_id", "asset_id", "ord", F.lower(S.file_stem(F.col("name"))).alias("stem")).withColumn("base", S.edit_base(F.col("stem")))
+    originals = stems.where("base = stem").groupBy("album_id", "stem").agg(F.max(F.struct("ord", "asset_id"))["asset_id"].alias("original_id"))
+    edits = stems.where("base <> stem").select("album_id", F.col("asset_id").alias("edit_id"), F.col("base").alias("stem"))
+    return edits.join(originals, ["album_id", "stem"]).select("album_id", "edit_id", "original_id")
+
+
 def nearest_sources(meta: DataFrame) -> DataFrame:
     """Merged photos and the nearest existing name met while their suffixes are peeled off."""
     stem = S.file_stem(F.col("name"))
     peeled = meta.where(S.merge_kind(stem).isNotNull()).select(F.col("asset_id").alias("merged_id"), S.merge_kind(stem).alias("kind"), F.posexplode(S.merge_sources(F.lower(stem))).alias("level", "stem"))
-    names = first_by(meta.select(F.lower(S.file_stem(F.col("name"))).alias("stem"), F.col("asset_id").alias("source_id"), "ord"), "stem", F.col("ord").desc()).drop("ord")
-    return first_by(peeled.join(names, "stem"), "merged_id", F.col("level").asc()).select("merged_id", "kind", "source_id", F.col("level").cast("long").alias("level"))
+    names = first_by(meta.select(F.lower(S.file_stem(F.col("name"))).alias("stem"), F.col("asset_id").alias("source_id"), "ord"), "stem", F.col("ord"), last=True).drop("ord")
+    return first_by(peeled.join(names, "stem"), "merged_id", F.col("level")).select("merged_id", "kind", "source_id", F.col("level").cast("long").alias("level"))
 
 
 def overlay(meta: DataFrame, verdicts: DataFrame) -> DataFrame:
@@ -77,17 +86,27 @@ def snapshot_diff(old: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def majority_matches(recorded: DataFrame, detected: DataFrame) -> DataFrame:
-    """(recorded, detected, shared) of sets that share more than half of their union. Both hold (set_id, asset_id), distinct."""
-    r = recorded.toDF("recorded", "asset_id").withColumn("n_r", F.count("*").over(Window.partitionBy("recorded")))
-    d = detected.toDF("detected", "asset_id").withColumn("n_d", F.count("*").over(Window.partitionBy("detected")))
-    shared = r.join(d, "asset_id").groupBy("recorded", "detected").agg(F.count("*").alias("shared"), F.first("n_r").alias("n_r"), F.first("n_d").alias("n_d"))
+    """(recorded, detected, shared) of sets that share more than half of their union. Both hold (set_id, asset_id), distinct. Such sets
+    share more than half of each, hence one of the rarer half of the assets of either: only these make candidates, so an asset that
+    very many sets hold does not pair all of them."""
+    r, d = recorded.toDF("recorded", "asset_id"), detected.toDF("detected", "asset_id")
+    often = r.select("asset_id").union(d.select("asset_id")).groupBy("asset_id").agg(F.count("*").alias("often"))
+
+    def rare(x: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+        w = Window.partitionBy(key)
+        ranked = x.join(often, "asset_id").withColumn(f"n_{key}", F.count("*").over(w)).withColumn("k", F.row_number().over(w.orderBy("often", "asset_id")))
+        return ranked.select(key, "asset_id", f"n_{key}"), ranked.where(F.col("k") <= F.ceil(F.col(f"n_{key}") / 2)).select(key, "asset_id")
+
+    (r, r_rare), (d, d_rare) = rare(r, "recorded"), rare(d, "detected")
+    near = r_rare.join(d_rare, "asset_id").select("recorded", "detected").distinct()
+    shared = near.join(r, "recorded").join(d, ["detected", "asset_id"]).groupBy("recorded", "detected").agg(F.count("*").alias("shared"), F.first("n_recorded").alias("n_r"), F.first("n_detected").alias("n_d"))
     return shared.where("2 * shared > n_r + n_d - shared").select("recorded", "detected", "shared")
 
 
 def repaired(pairs: DataFrame, verdicts: DataFrame) -> DataFrame:
     """Verdicts of edits copied to originals that have none; the smallest edit's counts."""
     have = pairs.join(verdicts, F.col("edit_id") == F.col("asset_id")).select("original_id", "edit_id", "status")
-    return first_by(have.join(verdicts.select(F.col("asset_id").alias("original_id")), "original_id", "left_anti"), "original_id", F.col("edit_id").asc()).select("original_id", "status")
+    return first_by(have.join(verdicts.select(F.col("asset_id").alias("original_id")), "original_id", "left_anti"), "original_id", F.col("edit_id")).select("original_id", "status")
 
 
 def near_pairs(hashes: DataFrame, block: str, most: int) -> DataFrame:
@@ -106,15 +125,107 @@ def near_pairs(hashes: DataFrame, block: str, most: int) -> DataFrame:
     return pairs.select("vec_id_a", "vec_id_b", F.col("bits").cast("long").alias("bits")).distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(node, component) for edges(a, b): labels fall to the smallest of the neighbourhood, each round is checkpointed."""
+def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    """Edges between longs to (node, component), the smallest node reachable, for every node of an edge.
+
+    Every round each label moves to the smallest label of a neighbour of its smallest neighbour; edges are rewritten to labels
+    and those inside one label drop out, so the table shrinks quickly. All steps are joins and map-side combined minima, hence
+    no vertex has to meet its neighbours in one task. Each round is checkpointed.
+    """
     from shoal.sources.session import materialise
 
-    both = materialise(edges.select("a", "b").union(edges.select("b", "a")).distinct())
-    labels = materialise(both.select(F.col("a").alias("node")).distinct().withColumn("component", F.col("node")))
-    while True:
-        near = both.join(labels.toDF("b", "component"), "b").groupBy("a").agg(F.min("component").alias("least"))
-        moved = materialise(labels.join(near.toDF("node", "least"), "node").select("node", F.least("component", "least").alias("component"), (F.col("least") < F.col("component")).alias("moved")))
-        labels = moved.select("node", "component")
-        if moved.where("moved").isEmpty():
-            return labels
+    nodes = edges.select(F.explode(F.array(a, b)).alias("node")).distinct()
+    edges = materialise(edges.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).where("a < b").distinct())
+    labels = materialise(nodes.withColumn("component", F.col("node")))
+    while not edges.isEmpty():
+        both = edges.union(edges.select("b", "a"))
+        least = both.groupBy(F.col("a").alias("v")).agg(F.min("b").alias("m")).select("v", F.least("v", "m").alias("m"))
+        step = materialise(least.alias("x").join(least.alias("y"), F.col("x.m") == F.col("y.v")).select(F.col("x.v").alias("v"), F.col("y.m").alias("m")))
+        labels = materialise(labels.join(step, labels["component"] == step["v"], "left").select("node", F.coalesce("m", "component").alias("component")))
+        left = edges.join(step, edges["a"] == step["v"]).select(F.col("m").alias("a"), "b")
+        moved = left.join(step, left["b"] == step["v"]).select("a", F.col("m").alias("b"))
+        edges = materialise(moved.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct())
+    return labels
+
+
+def scan_candidates(assets: DataFrame, marked: DataFrame, gap_ms: int, least: int) -> DataFrame:
+    """(album_id, asset_id) worth hashing: those of runs in time and camera of `least` assets at least, and all of marked albums."""
+    from shoal.operators.sequences import time_runs
+
+    runs = time_runs(assets.join(marked, "album_id", "left_anti"), gap_ms, same_camera=True)
+    sized = runs.withColumn("n", F.count("*").over(Window.partitionBy("album_id", "run"))).where(F.col("n") >= least)
+    return sized.select("album_id", "asset_id").union(assets.join(marked, "album_id", "left_semi").select("album_id", "asset_id"))
+
+
+def albums_of_role(roles: DataFrame, role: str) -> DataFrame:
+    return roles.where(F.col("role") == role).select("album")
+
+
+def claimants(links: DataFrame) -> DataFrame:
+    """(right_album, left_album): the left album that a right one is linked to."""
+    return links.groupBy("right_album").agg(F.min("left_album").alias("left_album"))
+
+
+def edit_states(baselines: DataFrame, now: DataFrame) -> DataFrame:
+    """now(id, updated, hash) against baselines: 'unknown' without one, 'untouched' with the same stamp, else 'edited' where the hash differs
+    and 'touched' where it does not."""
+    was = baselines.select("id", F.col("updated").alias("was"), F.col("hash").alias("old"))
+    state = F.when(F.col("was").isNull(), "unknown").when(F.col("was") == F.col("updated"), "untouched").when(F.col("old") != F.col("hash"), "edited").otherwise("touched")
+    return now.join(was, "id", "left").select("id", state.alias("state"))
+
+
+def large_sets(sets: DataFrame, least: int) -> DataFrame:
+    """sets(asset_id, set_id) of `least` assets at least."""
+    enough = sets.groupBy("set_id").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    return sets.join(enough.select("set_id"), "set_id", "left_semi").select("asset_id", "set_id")
+
+
+def merges_touching(merges: DataFrame, meta: DataFrame, wanted: DataFrame) -> DataFrame:
+    """merges(album_id, frame_ids, ...) of the albums of wanted(asset_id) that hold one of these."""
+    albums = meta.join(wanted, "asset_id", "left_semi").select("album_id").distinct()
+    near = merges.join(albums, "album_id", "left_semi")
+    hit = near.select("merged_id", F.explode("frame_ids").alias("asset_id")).join(wanted, "asset_id", "left_semi").select("merged_id").distinct()
+    return near.join(hit, "merged_id", "left_semi")
+
+
+def dispatched(groups: DataFrame, roles: DataFrame) -> DataFrame:
+    """groups with the detector that their album's role asks for; albums of one eye have none and lose theirs."""
+    from shoal.functions.rules import detector
+
+    return groups.join(roles, "album_id", "left").withColumn("detector", F.coalesce(detector(F.col("role")), F.lit("mixed"))).where("detector <> 'none'")
+
+
+def twin_rigs(frames: DataFrame, chosen: DataFrame) -> DataFrame:
+    """(album_id, left_serial, right_serial): the chosen camera is left if it is there, else the smallest; the smallest other one is right."""
+    seen = frames.where("serial <> ''").groupBy("album_id").agg(F.array_sort(F.collect_set("serial")).alias("p")).join(chosen, "album_id", "left")
+    left = F.when(F.array_contains("p", F.col("left_serial")), F.col("left_serial")).otherwise(F.col("p")[0])
+    both = seen.withColumn("left_serial", left)
+    return both.select("album_id", "left_serial", F.coalesce(F.get(F.array_remove("p", F.col("left_serial")), 0), F.col("left_serial")).alias("right_serial"))
+
+
+def outstanding_assets(verdicts: DataFrame, filings: DataFrame, held: DataFrame) -> DataFrame:
+    """As outstanding, without review cards and without assets that an undo still holds back."""
+    return outstanding(verdicts.where(~S.is_unit(F.col("asset_id"))), filings).join(held.select("asset_id"), "asset_id", "left_anti")
+
+
+def album_gaps(filings: DataFrame, listing: DataFrame, purged: DataFrame) -> DataFrame:
+    """(album, missing, deleted) of every album with filings: assets filed there that it neither holds nor had deleted nor is known to have
+    purged, and the number of its tombstones."""
+    lost = gaps(filings, listing).join(purged, ["asset_id", "album"], "left_anti").groupBy("album").agg(F.sort_array(F.collect_set("asset_id")).alias("missing"))
+    dead = listing.where("original_id is not null").groupBy("album").agg(F.count("*").alias("deleted"))
+    all_ = filings.select("album").distinct().join(lost, "album", "left").join(dead, "album", "left")
+    return all_.select("album", F.coalesce("missing", F.array().cast("array<long>")).alias("missing"), F.coalesce("deleted", F.lit(0)).alias("deleted"))
+
+
+def edit_candidates(filed: DataFrame, verdicts: DataFrame, gone: DataFrame, sets: DataFrame) -> DataFrame:
+    """(set_id, lead, n, filed_at): assets filed for editing, still to be edited and not deleted, folded to their sets, led by the longest filed."""
+    queued = filed.join(verdicts.where("status = 'toEdit'").select("asset_id"), "asset_id", "left_semi").join(gone, "asset_id", "left_anti")
+    return queued.join(sets, "asset_id").groupBy("set_id").agg(F.min_by("asset_id", F.struct("filed_at", "asset_id")).alias("lead"), F.count("*").alias("n"), F.min("filed_at").alias("filed_at"))
+
+
+def remembered(assets: DataFrame, known: DataFrame) -> DataFrame:
+    """Assets not known yet that are merged photos or a name met while peeling one."""
+    stem = F.lower(S.file_stem(F.col("name")))
+    new = assets.join(known.select("asset_id"), "asset_id", "left_anti").select("asset_id", stem.alias("stem"))
+    peeled = assets.where(S.merge_kind(stem).isNotNull()).select(F.explode(S.merge_sources(stem)).alias("stem")).distinct()
+    return new.where(S.merge_kind(F.col("stem")).isNotNull()).select("asset_id").union(new.join(peeled, "stem", "left_semi").select("asset_id")).distinct()

@@ -53,11 +53,31 @@ def greedy_pairs(pairs: DataFrame, left: str, right: str, order: list[str]) -> D
     while not rest.isEmpty():
         best = rest.withColumn("_l", F.row_number().over(Window.partitionBy(left).orderBy(*keys))).withColumn("_r", F.row_number().over(Window.partitionBy(right).orderBy(*keys)))
         mutual = materialise(best.where("_l = 1 and _r = 1").drop("_l", "_r"))
-        taken = mutual if taken is None else taken.union(mutual)
-        rest = materialise(rest.join(mutual.select(left), left, "left_anti").join(mutual.select(right), right, "left_anti"))
+        taken = mutual if taken is None else taken.unionByName(mutual)
+        free = rest.join(mutual.select(left), left, "left_anti").join(mutual.select(right), right, "left_anti")
+        rest = materialise(free.select(left, right, *order))  # a join puts its key first
     return pairs.select(left, right, *order).limit(0) if taken is None else taken
 
 
-def reminders(slots: DataFrame, start: Column, days: int) -> DataFrame:
-    """Slots(slot, minute) repeated on `days` days from start."""
-    return slots.withColumn("day", F.explode(F.sequence(start, F.date_add(start, days - 1)))).select("slot", "day", "minute")
+def reminders(slots: DataFrame, now: Column, days: int) -> DataFrame:
+    """slots(slot, minute, skip_today) on `days` days from today: only what is still to come, and not today where that is to be skipped."""
+    today = F.to_date(now)
+    every = slots.withColumn("day", F.explode(F.sequence(today, F.date_add(today, days - 1))))
+    at = F.unix_seconds(F.col("day").cast("timestamp")) + F.col("minute") * 60
+    return every.where((at > F.unix_seconds(now)) & ~(F.col("skip_today") & (F.col("day") == today)))
+
+
+def celebrate(candidates: DataFrame, key: str, order: str, weight: str, ticket: Column) -> DataFrame:
+    """One candidate a key: of those with an unspent claim the heaviest, the first of a tie; without any, a weighted draw."""
+    claimed = candidates.where("unspent").groupBy(key).agg(F.min_by(F.struct(*candidates.columns), F.struct(-F.col(weight), order)).alias("c")).select("c.*")
+    return claimed.unionByName(weighted_pick(candidates.join(claimed.select(key), key, "left_anti"), key, order, weight, ticket).select(*candidates.columns))
+
+
+def messages_due(stats: DataFrame, messages: DataFrame, stat: Column, since: Column) -> DataFrame:
+    """stats(..., day) with messages(id, type, a, b, cool, ...) whose condition is met and which are not in their cooldown of days: a rule on
+    figures, a date or range of dates, or none. The messages are a short catalog that goes to every row."""
+    from shoal.functions.rules import date_rule
+
+    both = stats.crossJoin(F.broadcast(messages))
+    met = F.when(F.col("type") == "stat", stat).when(F.col("type") == "date", date_rule(F.col("day"), F.col("a"), F.col("b"))).otherwise(True)
+    return both.where(met & ((F.col("cool") == 0) | (since >= F.col("cool"))))

@@ -12,11 +12,11 @@ def hamming(lo1: Column, hi1: Column, lo2: Column, hi2: Column) -> Column:
 
 def time_runs(assets: DataFrame, gap_ms: int, max_hamming: int | None = None, same_camera: bool = False) -> DataFrame:
     """assets(asset_id, album_id, ms, camera, lo, hi) with a run number within the album. Neighbours in time are in one run if the gap
-    is gap_ms at most and, where asked, cameras are equal and hashes near; a missing hash is near, a missing time is in no run."""
+    is gap_ms at most and, where asked, cameras are equal (a missing one equals a missing or empty one) and hashes near; a missing hash is near, a missing time is in no run."""
     w = Window.partitionBy("album_id").orderBy("ms", "asset_id")
     near = F.col("ms") - F.lag("ms").over(w) <= gap_ms
     if same_camera:
-        near = near & F.coalesce(F.col("camera") == F.lag("camera").over(w), F.lit(True))
+        near = near & (F.coalesce("camera", F.lit("")) == F.coalesce(F.lag("camera").over(w), F.lit("")))
     if max_hamming is not None:
         near = near & F.coalesce(hamming(F.col("lo"), F.col("hi"), F.lag("lo").over(w), F.lag("hi").over(w)) <= max_hamming, F.lit(True))
     starts = assets.where("ms is not null").withColumn("start", F.when(near, 0).otherwise(1))
@@ -29,12 +29,16 @@ def bursts(runs: DataFrame, least: int = 2) -> DataFrame:
 
 
 def run_neighbours(runs: DataFrame, least: int = 2) -> DataFrame:
-    """For each burst the gap to the asset just before and just after it."""
+    """For each burst the asset just before and just after it in the album: its gap in time and distance in bits (null without a hash)."""
     w = Window.partitionBy("album_id").orderBy("ms", "asset_id")
-    near = runs.withColumn("before", F.col("ms") - F.lag("ms").over(w)).withColumn("after", F.lead("ms").over(w) - F.col("ms"))
+    beside = lambda f, c: f(c).over(w)
+    near = runs.withColumn("before", F.col("ms") - beside(F.lag, "ms")).withColumn("after", beside(F.lead, "ms") - F.col("ms"))
+    for name, f in (("bits_before", F.lag), ("bits_after", F.lead)):
+        near = near.withColumn(name, hamming(F.col("lo"), F.col("hi"), beside(f, "lo"), beside(f, "hi")).cast("long"))
     pos = Window.partitionBy("album_id", "run").orderBy("ms", "asset_id")
     marked = near.withColumn("i", F.row_number().over(pos)).withColumn("n", F.count("*").over(Window.partitionBy("album_id", "run"))).where(F.col("n") >= least)
-    return marked.groupBy("album_id", "run").agg(F.max(F.when(F.col("i") == 1, F.col("before"))).alias("gap_before"), F.max(F.when(F.col("i") == F.col("n"), F.col("after"))).alias("gap_after"))
+    first, last = (lambda c: F.max(F.when(F.col("i") == 1, F.col(c)))), (lambda c: F.max(F.when(F.col("i") == F.col("n"), F.col(c))))
+    return marked.groupBy("album_id", "run").agg(first("before").alias("gap_before"), last("after").alias("gap_after"), first("bits_before").alias("bits_before"), last("bits_after").alias("bits_after"))
 
 
 def scan_end(assets: DataFrame, cursor: int, budget: int, gap_ms: int) -> DataFrame:
@@ -58,19 +62,20 @@ def day_streaks(days: DataFrame) -> DataFrame:
 
 
 def streaks_with_freezes(days: DataFrame, earn_every: int = 60, most: int = 3) -> DataFrame:
-    """days(user_id, day), distinct, to the streak of each user after the last day. Each day extends the run; a freeze is earned every
-    `earn_every` days (at most `most` are held); a gap spends one freeze a missed day if there are enough, else the run starts anew.
-    The state folds over one user's days, an array no longer than their calendar."""
-    folded = days.groupBy("user_id").agg(F.sort_array(F.collect_set("day")).alias("all"))
+    """days(user_id, day, met, work), one row for each day a user opened, to the state after the last one. Opening settles the days missed
+    since the last opening: without work waiting they pause the streak; else each spends a freeze, and if there are too few all are
+    spent and the streak starts anew. A day on which the goal is met extends the streak, and every `earn_every` days earn a freeze,
+    of which `most` are held. The state folds over one user's days, an array no longer than their calendar."""
+    folded = days.groupBy("user_id").agg(F.sort_array(F.collect_set(F.struct("day", "met", "work"))).alias("all"))
     start = F.struct(F.lit(0).alias("run"), F.lit(0).alias("held"), F.lit(None).cast("date").alias("last"), F.lit(0).alias("spent"))
 
     def step(s: Column, d: Column) -> Column:
-        missed = F.coalesce(F.datediff(d, s["last"]) - 1, F.lit(0))
+        missed = F.when(d["work"], F.greatest(F.coalesce(F.datediff(d["day"], s["last"]) - 1, F.lit(0)), F.lit(0))).otherwise(F.lit(0))
         lives = missed <= s["held"]
-        run = F.when(lives, s["run"] + 1).otherwise(F.lit(1))
-        earned = F.when(run % earn_every == 0, 1).otherwise(0)
-        held = F.when(lives, s["held"] - missed).otherwise(F.lit(0)) + earned
-        return F.struct(run.alias("run"), F.least(held, F.lit(most)).alias("held"), d.alias("last"), (s["spent"] + F.when(lives, missed).otherwise(F.lit(0))).alias("spent"))
+        spent = F.when(lives, missed).otherwise(s["held"])
+        run = F.when(lives, s["run"]).otherwise(F.lit(0)) + d["met"].cast("int")
+        earned = (d["met"] & (run % earn_every == 0)).cast("int")
+        return F.struct(run.alias("run"), F.least(s["held"] - spent + earned, F.lit(most)).alias("held"), d["day"].alias("last"), (s["spent"] + spent).alias("spent"))
 
     return folded.select("user_id", F.aggregate("all", start, step).alias("s")).select("user_id", F.col("s.run").alias("streak"), F.col("s.held").alias("freezes"), F.col("s.spent").alias("spent"), F.col("s.last").alias("last_day"))
 
@@ -81,3 +86,14 @@ def rank_window(rows: DataFrame, key: str, order: list[str], marked: str, reach:
     ranked = rows.withColumn("rank", F.row_number().over(w.orderBy(*order)))
     edge = ranked.withColumn("from", F.min(F.when(F.col(marked), F.col("rank"))).over(w) - reach).withColumn("to", F.max(F.when(F.col(marked), F.col("rank"))).over(w) + reach)
     return edge.where(F.col("rank").between(F.col("from"), F.col("to"))).drop("from", "to")
+
+
+def queue_room(queue: DataFrame, held: DataFrame, waiting: DataFrame, cap: int) -> DataFrame:
+    """Assets of waiting(asset_id, unit, since) that the queue still has room for: none while anything in it is overdue, else whole units,
+    oldest first, until the cap less the held ones is used up. The running sum is over one queue's waiting units."""
+    late = queue.agg(F.coalesce(F.bool_or("overdue"), F.lit(False)).alias("late"))
+    room = held.agg((F.lit(cap) - F.count("*")).alias("left")).join(late).select(F.when(F.col("late"), 0).otherwise(F.col("left")).alias("room"))  # one row
+    units = waiting.groupBy("unit").agg(F.count("*").alias("size"), F.min("since").alias("since")).withColumn("queue", F.lit(0))
+    before = Window.partitionBy("queue").orderBy("since", "unit").rowsBetween(Window.unboundedPreceding, -1)
+    admitted = units.withColumn("ahead", F.coalesce(F.sum("size").over(before), F.lit(0))).join(F.broadcast(room)).where("ahead < room")
+    return waiting.join(admitted.select("unit"), "unit", "left_semi").select("asset_id")

@@ -35,3 +35,19 @@ def partner_links(links: DataFrame, changes: DataFrame) -> DataFrame:
     """One-to-one links: a change displaces every link that holds either of its sides. Both have (left_id, right_id)."""
     free = links.join(changes.select("left_id"), "left_id", "left_anti").join(changes.select("right_id"), "right_id", "left_anti")
     return free.unionByName(changes)
+
+
+def clear(table: DataFrame) -> DataFrame:
+    """The table without rows."""
+    return table.limit(0)
+
+
+def decided_edits(units: DataFrame) -> DataFrame:
+    """Assets of units(members, status) decided for editing: their baselines are captured first."""
+    return units.where("status = 'toEdit'").select(F.explode("members").alias("asset_id")).distinct()
+
+
+def get_or_create(table: DataFrame, wanted: DataFrame, name: str) -> DataFrame:
+    """The table with the trimmed names that it lacks, whatever their case; of names that differ in case alone the smallest is created."""
+    new = wanted.select(F.trim(name).alias(name)).withColumn("_low", F.lower(name)).groupBy("_low").agg(F.min(name).alias(name))
+    return table.select(name).unionByName(new.join(table.select(F.lower(name).alias("_low")), "_low", "left_anti").select(name))

@@ -1,7 +1,9 @@
-"""Kernels over 8x8 luma grids and hashes, as higher-order functions in the JVM."""
+"""Kernels over luma grids and hashes: higher-order functions in the JVM, and numpy over Arrow batches where a kernel slides."""
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -16,28 +18,95 @@ def _apart(a: Column, b: Column, dx: int):
 
 
 def aligned_distance(a: Column, b: Column, shift: int = 2, side: int = 8) -> Column:
-    """Least mean absolute difference over horizontal shifts, on the columns that both grids have."""
-    best = []
-    for dx in range(-shift, shift + 1):
-        cells = [r * side + c for r in range(side) for c in range(side) if 0 <= c + dx < side]
-        at = F.array(*map(F.lit, cells))
-        best.append(F.aggregate(at, F.lit(0.0), _apart(a, b, dx)) / len(cells))
-    return F.least(*best)
+    """Least mean absolute difference over horizontal shifts, on the columns that both grids have; null where a grid is missing."""
 
+    @F.pandas_udf("double")
+    def run(x: pd.Series, y: pd.Series) -> pd.Series:
+        out, both = np.full(len(x), np.nan), (x.notna() & y.notna()).to_numpy()
+        if both.any():
+            p, q = (np.stack(s[both].to_numpy()).astype(float).reshape(-1, side, side) for s in (x, y))
+            out[both] = np.min([np.abs(p[:, :, max(0, -dx) : side - max(0, dx)] - q[:, :, max(0, dx) : side + min(0, dx)]).mean(axis=(1, 2)) for dx in range(-shift, shift + 1)], axis=0)
+        return pd.Series(out).astype("Float64").mask(np.isnan(out))
 
-def centred_distance(a: Column, b: Column) -> Column:
-    """Mean absolute difference of grids less their means."""
-    mean = lambda v: F.aggregate(v, F.lit(0.0), lambda s, x: s + x) / F.size(v)
-    ma, mb = mean(a), mean(b)
-    return F.aggregate(F.zip_with(a, b, lambda x, y: F.abs((x - ma) - (y - mb))), F.lit(0.0), lambda s, x: s + x) / F.size(a)
+    return run(a, b)
 
 
-def gradient_hash(cells: Column, width: int, height: int, margin: float) -> Column:
-    """A bit for each cell that exceeds its right neighbour by more than margin, rows first, first bit highest, as a bigint of up to 63 bits."""
-    at = F.array(*[F.lit(r * width + c + 1) for r in range(height) for c in range(width - 1)])
+def signature_distance(a: Column, b: Column, side: int = 8) -> Column:
+    """Least mean absolute difference of grids less their means over shifts of one cell on both axes, on the cells that both have, rounded."""
+
+    @F.pandas_udf("double")
+    def run(x: pd.Series, y: pd.Series) -> pd.Series:
+        out, both = np.full(len(x), np.nan), (x.notna() & y.notna()).to_numpy()
+        if both.any():
+            p, q = (np.stack(s[both].to_numpy()).astype(float).reshape(-1, side, side) for s in (x, y))
+            p, q = (g - g.mean(axis=(1, 2), keepdims=True) for g in (p, q))
+            part = lambda g, dy, dx: g[:, max(0, dy) : side + min(0, dy), max(0, dx) : side + min(0, dx)]
+            out[both] = np.floor(np.min([np.abs(part(p, -dy, -dx) - part(q, dy, dx)).mean(axis=(1, 2)) for dy in (-1, 0, 1) for dx in (-1, 0, 1)], axis=0) + 0.5)
+        return pd.Series(out).astype("Float64").mask(np.isnan(out))
+
+    return run(a, b)
+
+
+def _bits(cells: Column, places: list[int], margin: float) -> Column:
+    at = F.array(*map(F.lit, places))
     return F.aggregate(at, F.lit(0).cast("long"), lambda s, i: F.call_function("shiftleft", s, F.lit(1)).bitwiseOR(F.when(F.element_at(cells, i) - F.element_at(cells, i + 1) > margin, F.lit(1)).otherwise(F.lit(0)).cast("long")))
 
 
+def gradient_hex(cells: Column, width: int, height: int, margin: float) -> Column:
+    """A bit for each cell that exceeds its right neighbour by more than margin, rows first, as hexadecimal text of 32 bits a part."""
+    places = [r * width + c + 1 for r in range(height) for c in range(width - 1)]
+    parts = [places[i : i + 32] for i in range(0, len(places), 32)]
+    return F.concat(*[F.lower(F.lpad(F.hex(_bits(cells, p, margin)), len(p) // 4, "0")) for p in parts])
+
+
+def colour_hex(red: Column, green: Column, blue: Column, width: int = 5, height: int = 4, margin: float = 14) -> Column:
+    """Gradient hashes of red less green and of yellow less blue."""
+    warm = F.zip_with(red, green, lambda r, g: r - g)
+    yellow = F.zip_with(F.zip_with(red, green, lambda r, g: (r + g) / 2), blue, lambda y, b: y - b)
+    return F.concat(gradient_hex(warm, width, height, margin), gradient_hex(yellow, width, height, margin))
+
+
+def hash_split(a: Column, b: Column, luma: int = 16) -> Column:
+    """Different bits of two hexadecimal hashes: all, those of the luma part, and those of the colour part; null where one is missing."""
+
+    def apart(start: int, n: int) -> Column:
+        x, y = (F.conv(F.substring(h, start, n), 16, 10).cast("decimal(20,0)") for h in (a, b))
+        low = F.lit(4294967296).cast("decimal(20,0)")
+        half = lambda v: (F.floor(v / low).cast("long"), (v % low).cast("long"))
+        (xh, xl), (yh, yl) = half(x), half(y)
+        return (F.bit_count(xh.bitwiseXOR(yh)) + F.bit_count(xl.bitwiseXOR(yl))).cast("long")
+
+    grey, colour = apart(1, luma), apart(luma + 1, 8)
+    return F.struct((grey + colour).alias("full_bits"), grey.alias("luma"), colour.alias("colour"))
+
+
+def signature(rgba: Column, width: int, height: int, side: int) -> Column:
+    """Truncated mean lumas of side x side areas of a picture, four channels a pixel, rows first; small pictures repeat their pixels."""
+    luma = lambda p: 0.299 * F.element_at(rgba, F.lit(4 * p + 1)) + 0.587 * F.element_at(rgba, F.lit(4 * p + 2)) + 0.114 * F.element_at(rgba, F.lit(4 * p + 3))
+    out = []
+    for oy in range(side):
+        y0, y1 = oy * height // side, (oy + 1) * height // side
+        for ox in range(side):
+            x0, x1 = ox * width // side, (ox + 1) * width // side
+            at = [y * width + x for y in range(y0, max(y0 + 1, y1)) for x in range(x0, max(x0 + 1, x1))]
+            total = luma(at[0])
+            for p in at[1:]:
+                total = total + luma(p)
+            out.append(F.floor(total / len(at)))
+    return F.array(*out)
+
+
+def aspect(width: Column, height: Column) -> Column:
+    return F.when(height > 0, width / height).otherwise(F.lit(1.0))
+
+
+def line_activity(cells: Column, side: int) -> Column:
+    """Mean absolute deviation of every column of a square grid from its mean."""
+    column = lambda k: F.transform(F.sequence(F.lit(0), F.lit(side - 1)), lambda i: F.element_at(cells, i * side + k + 1))
+    mean = lambda v: F.aggregate(v, F.lit(0.0), lambda s, x: s + x) / side
+    return F.transform(F.sequence(F.lit(0), F.lit(side - 1)), lambda k: mean(F.transform(column(k), lambda x: F.abs(x - mean(column(k))))))
+
+
 def box_means(cells: Column, side: int, by: int) -> Column:
     """Truncated means of by x by boxes of a square grid."""
     n = side // by

@@ -31,11 +31,11 @@ def query(name: str, sql: str | None = None):
 STEM = "CASE WHEN regexp_matches(name, '^.+\\.[^.]+$') THEN regexp_extract(name, '^(.+)\\.([^.]+)$', 1) ELSE name END"
 FILED = "CASE status WHEN 'toEdit' THEN 'Edit' WHEN 'kept' THEN 'Keep' WHEN 'toPrint' THEN 'Print' END"
 RUNS = f"""WITH lagged AS (SELECT *, lag(ms) OVER w AS pms, lag(lo) OVER w AS plo, lag(hi) OVER w AS phi, lag(camera) OVER w AS pcam FROM assets WHERE ms IS NOT NULL WINDOW w AS (PARTITION BY album_id ORDER BY ms, asset_id)),
-runs AS (SELECT *, sum(CASE WHEN ms - pms <= {HOURS3} AND coalesce(bit_count(xor(lo, plo)) + bit_count(xor(hi, phi)) <= 32, true) THEN 0 ELSE 1 END) OVER (PARTITION BY album_id ORDER BY ms, asset_id ROWS UNBOUNDED PRECEDING) AS run FROM lagged)"""
+runs AS (SELECT *, sum(CASE WHEN ms - pms <= {HOURS3} AND coalesce(camera, '') = coalesce(pcam, '') AND coalesce(bit_count(xor(lo, plo)) + bit_count(xor(hi, phi)) <= 32, true) THEN 0 ELSE 1 END) OVER (PARTITION BY album_id ORDER BY ms, asset_id ROWS UNBOUNDED PRECEDING) AS run FROM lagged)"""
 
 
 def _runs(spark: SparkSession, d: str) -> DataFrame:
-    return sequences.time_runs(A.assets(spark, d), HOURS3, max_hamming=32)
+    return sequences.time_runs(A.assets(spark, d), HOURS3, max_hamming=32, same_camera=True)
 
 
 @query("win_burst", f"{RUNS} SELECT album_id, CAST(run AS BIGINT) AS run, count(*) AS n, min(ms) AS start_ms, max(ms) AS end_ms, min(asset_id) AS first_id FROM runs GROUP BY 1, 2 HAVING count(*) >= 2")
@@ -43,12 +43,12 @@ def _(spark, d):
     return sequences.bursts(_runs(spark, d)).withColumn("run", F.col("run").cast("long"))
 
 
-@query("win_time_runs", f"WITH l AS (SELECT *, lag(ms) OVER w AS pms, lag(camera) OVER w AS pc FROM assets WHERE ms IS NOT NULL WINDOW w AS (PARTITION BY album_id ORDER BY ms, asset_id)), r AS (SELECT *, sum(CASE WHEN ms - pms <= {HOURS3} AND coalesce(camera = pc, true) THEN 0 ELSE 1 END) OVER (PARTITION BY album_id ORDER BY ms, asset_id ROWS UNBOUNDED PRECEDING) AS run FROM l) SELECT album_id, CAST(run AS BIGINT) AS run, count(*) AS n FROM r GROUP BY 1, 2")
+@query("win_time_runs", f"WITH l AS (SELECT *, lag(ms) OVER w AS pms, lag(camera) OVER w AS pc FROM assets WHERE ms IS NOT NULL WINDOW w AS (PARTITION BY album_id ORDER BY ms, asset_id)), r AS (SELECT *, sum(CASE WHEN ms - pms <= {HOURS3} AND coalesce(camera, '') = coalesce(pc, '') THEN 0 ELSE 1 END) OVER (PARTITION BY album_id ORDER BY ms, asset_id ROWS UNBOUNDED PRECEDING) AS run FROM l) SELECT album_id, CAST(run AS BIGINT) AS run, count(*) AS n FROM r GROUP BY 1, 2")
 def _(spark, d):
     return sequences.time_runs(A.assets(spark, d), HOURS3, same_camera=True).groupBy("album_id", F.col("run").cast("long").alias("run")).agg(F.count("*").alias("n"))
 
 
-@query("win_neighbours", f"{RUNS}, m AS (SELECT *, ms - lag(ms) OVER w AS b, lead(ms) OVER w - ms AS a, row_number() OVER (PARTITION BY album_id, run ORDER BY ms, asset_id) AS i, count(*) OVER (PARTITION BY album_id, run) AS n FROM runs WINDOW w AS (PARTITION BY album_id ORDER BY ms, asset_id)) SELECT album_id, CAST(run AS BIGINT) AS run, max(CASE WHEN i = 1 THEN b END) AS gap_before, max(CASE WHEN i = n THEN a END) AS gap_after FROM m WHERE n >= 2 GROUP BY 1, 2")
+@query("win_neighbours", f"{RUNS}, m AS (SELECT *, ms - lag(ms) OVER w AS b, lead(ms) OVER w - ms AS a, bit_count(xor(lo, lag(lo) OVER w)) + bit_count(xor(hi, lag(hi) OVER w)) AS bb, bit_count(xor(lo, lead(lo) OVER w)) + bit_count(xor(hi, lead(hi) OVER w)) AS ba, row_number() OVER (PARTITION BY album_id, run ORDER BY ms, asset_id) AS i, count(*) OVER (PARTITION BY album_id, run) AS n FROM runs WINDOW w AS (PARTITION BY album_id ORDER BY ms, asset_id)) SELECT album_id, CAST(run AS BIGINT) AS run, max(CASE WHEN i = 1 THEN b END) AS gap_before, max(CASE WHEN i = n THEN a END) AS gap_after, CAST(max(CASE WHEN i = 1 THEN bb END) AS BIGINT) AS bits_before, CAST(max(CASE WHEN i = n THEN ba END) AS BIGINT) AS bits_after FROM m WHERE n >= 2 GROUP BY 1, 2")
 def _(spark, d):
     return sequences.run_neighbours(_runs(spark, d)).withColumn("run", F.col("run").cast("long"))
 
@@ -78,7 +78,8 @@ def _(spark, d):
 
 @query("win_settle")
 def _(spark, d):
-    return sequences.streaks_with_freezes(_days(spark, d), earn_every=7)
+    opened = A.read(spark, d, "events").groupBy("user_id", F.to_date("ts").alias("day")).agg((F.count("*") >= 2).alias("met"), F.bool_or(F.col("event_type") != "click").alias("work"))
+    return sequences.streaks_with_freezes(opened, earn_every=7)
 
 
 @query("win_streak_on", f"{DAYS}, i AS (SELECT *, day - CAST(row_number() OVER (PARTITION BY user_id ORDER BY day) AS INTEGER) AS island FROM days), s AS (SELECT user_id, max(day) AS last_day, count(*) AS n FROM i GROUP BY user_id, island), t AS (SELECT max(day) AS today FROM days) SELECT user_id, CAST(max(CASE WHEN last_day >= today - 1 THEN n ELSE 0 END) AS BIGINT) AS streak FROM s, t GROUP BY user_id")
@@ -141,11 +142,6 @@ def _(spark, d):
     return lineage.undecided_groups(A.members(spark, d), A.verdicts(spark, d))
 
 
-@query("join_outstanding", f"WITH w AS (SELECT asset_id, {FILED} AS album FROM verdicts) SELECT * FROM w WHERE album IS NOT NULL AND NOT EXISTS (SELECT 1 FROM filings f WHERE f.asset_id = w.asset_id AND f.album = w.album)")
-def _(spark, d):
-    return lineage.outstanding(A.verdicts(spark, d), A.filings(spark, d))
-
-
 @query("join_stale", f"WITH w AS (SELECT asset_id, {FILED} AS wanted FROM verdicts) SELECT f.asset_id, f.album FROM filings f LEFT JOIN w USING (asset_id) WHERE wanted IS NULL OR wanted <> album")
 def _(spark, d):
     return lineage.stale(A.verdicts(spark, d), A.filings(spark, d))
@@ -157,11 +153,6 @@ def _(spark, d):
     return lineage.stale(A.verdicts(spark, d), A.filings(spark, d)).join(live, ["asset_id", "album"])
 
 
-@query("join_gaps", "SELECT asset_id, album FROM filings f WHERE NOT EXISTS (SELECT 1 FROM listing l WHERE l.album = f.album AND coalesce(l.original_id, l.id) = f.asset_id)")
-def _(spark, d):
-    return lineage.gaps(A.filings(spark, d), A.listing(spark, d))
-
-
 @query("join_contents", "SELECT album, coalesce(original_id, id) AS asset_id, original_id IS NOT NULL AS gone FROM listing")
 def _(spark, d):
     return lineage.contents(A.listing(spark, d))
@@ -183,22 +174,11 @@ def _(spark, d):
     return lineage.majority_matches(sets, sets.where("asset_id % 5 <> 0").select(F.col("group_id") + 1, "asset_id"))
 
 
-@query("join_hamming", f"SELECT a.vec_id AS vec_id_a, b.vec_id AS vec_id_b, CAST({HAM.format(a='a', b='b')} AS BIGINT) AS bits FROM hashes a JOIN hashes b ON a.label = b.label AND a.vec_id < b.vec_id WHERE {HAM.format(a='a', b='b')} <= 22")
-def _(spark, d):
-    return lineage.near_pairs(A.hashes(spark, d), "label", 22)
-
-
 @query("join_hamming_banded", f"SELECT a.vec_id AS vec_id_a, b.vec_id AS vec_id_b, CAST({HAM.format(a='a', b='b')} AS BIGINT) AS bits FROM hashes a JOIN hashes b ON a.label = b.label AND a.vec_id < b.vec_id WHERE {HAM.format(a='a', b='b')} <= 7")
 def _(spark, d):
     return lineage.near_pairs(A.hashes(spark, d), "label", 7)
 
 
-@query("clu_single_link", f"WITH e AS (SELECT a.vec_id AS x, b.vec_id AS y FROM hashes a JOIN hashes b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE {HAM.format(a='a', b='b')} <= 22), r AS (SELECT x AS node, x AS seen FROM e UNION SELECT r.node, e.y FROM r JOIN e ON e.x = r.seen) SELECT node, min(seen) AS component FROM r GROUP BY node")
-def _(spark, d):
-    pairs = lineage.near_pairs(A.hashes(spark, d), "label", 22)
-    return lineage.components(pairs.select(F.col("vec_id_a").alias("a"), F.col("vec_id_b").alias("b")))
-
-
 # Facts
 
 
@@ -232,11 +212,6 @@ def _(spark, d):
     return facts.last_writes(log, "user_id", "logged")
 
 
-@query("agg_finished", "SELECT o_custkey, count(*) AS n, count(*) FILTER (o_orderstatus = 'F') AS printable FROM orders GROUP BY 1 HAVING count(*) FILTER (o_orderstatus = 'F') > 0 AND count(*) FILTER (o_orderstatus = 'P') = 0")
-def _(spark, d):
-    return facts.finished(A.read(spark, d, "orders"), "o_custkey", "o_orderstatus", "F", "P")
-
-
 @query("agg_cameras", "SELECT camera, album_id % 7 AS model, count(*) AS n FROM assets GROUP BY 1, 2")
 def _(spark, d):
     return A.assets(spark, d).groupBy("camera", (F.col("album_id") % 7).alias("model")).agg(F.count("*").alias("n"))
@@ -247,11 +222,6 @@ def _(spark, d):
     return facts.usage(A.read(spark, d, "documents"), F.col("lang"), F.col("n_chars"))
 
 
-@query("agg_filed_set", "SELECT asset_id, count(DISTINCT album) AS albums, max(filed_at) AS filed_at FROM filings GROUP BY 1")
-def _(spark, d):
-    return A.filings(spark, d).groupBy("asset_id").agg(F.count_distinct("album").alias("albums"), F.max("filed_at").alias("filed_at"))
-
-
 @query("agg_offset_vote", "WITH l AS (SELECT album_id, ms FROM assets WHERE ms IS NOT NULL AND asset_id % 2 = 0), r AS (SELECT album_id, ms FROM assets WHERE ms IS NOT NULL AND asset_id % 2 = 1), g AS (SELECT l.album_id, r.ms - l.ms AS gap FROM l JOIN r USING (album_id) WHERE abs(r.ms - l.ms) <= 7200000), b AS (SELECT album_id, CAST(floor(gap / 600000.0 + 0.5) AS BIGINT) AS bin, count(*) AS votes, CAST(floor(quantile_cont(gap, 0.5) + 0.5) AS BIGINT) AS offset_ms FROM g GROUP BY 1, 2), t AS (SELECT *, row_number() OVER (PARTITION BY album_id ORDER BY votes DESC, bin) AS k FROM b), s AS (SELECT album_id, (SELECT count(*) FROM l WHERE l.album_id = a.album_id) AS nl, (SELECT count(*) FROM r WHERE r.album_id = a.album_id) AS nr FROM (SELECT DISTINCT album_id FROM l) a) SELECT t.album_id, offset_ms, votes FROM t JOIN s USING (album_id) WHERE k = 1 AND votes >= greatest(2, ceil(least(nl, nr) * 0.05))")
 def _(spark, d):
     timed = A.assets(spark, d).where("ms is not null").select("album_id", "ms", "asset_id")
@@ -281,11 +251,6 @@ def _(spark, d):
     return selection.album_order(A.read(spark, d, "orders").select("o_custkey").distinct(), "o_custkey", F.when(F.col("o_custkey") % 4 == 0, 3).otherwise(1), "s2")
 
 
-@query("smp_units", "SELECT album, asset_id, CAST(pick AS BIGINT) AS pick FROM (SELECT album, asset_id, row_number() OVER (PARTITION BY album ORDER BY md5('s3:' || CAST(asset_id AS VARCHAR)), asset_id) AS pick FROM meta) WHERE pick <= 4")
-def _(spark, d):
-    return selection.stratified(A.meta(spark, d), "album", "asset_id", 4, "s3").select("album", "asset_id", F.col("pick").cast("long").alias("pick"))
-
-
 @query("smp_exclusive_units", "WITH o AS (SELECT *, min(group_id) OVER (PARTITION BY asset_id) AS owner FROM members) SELECT group_id, count(*) AS n FROM o GROUP BY 1 HAVING bool_and(owner = group_id)")
 def _(spark, d):
     return selection.disjoint_units(A.members(spark, d), "group_id", "asset_id")
@@ -302,17 +267,12 @@ def _(spark, d):
     return selection.weighted_pick(A.read(spark, d, "part"), "p_brand", "p_partkey", "p_size", F.lit(0.4)).select("p_brand", "p_partkey")
 
 
-@query("smp_plan", "SELECT slot, CAST(day AS DATE) AS day, minute FROM (VALUES ('morning', 480), ('evening', 1170)) s(slot, minute), (SELECT unnest(generate_series(max(CAST(ts AS DATE)), max(CAST(ts AS DATE)) + 13, INTERVAL 1 DAY)) AS day FROM events)")
-def _(spark, d):
-    last = A.read(spark, d, "events").agg(F.max(F.to_date("ts")).alias("start"))
-    slots = spark.createDataFrame([("morning", 480), ("evening", 1170)], "slot string, minute int")
-    return selection.reminders(slots.join(F.broadcast(last)), F.col("start"), 14)
-
-
 @query("mat_pair_eyes")
 def _(spark, d):
-    pairs = lineage.near_pairs(A.hashes(spark, d), "label", 26).where("vec_id_a % 2 = 0 and vec_id_b % 2 = 1")
-    return selection.greedy_pairs(pairs, "vec_id_a", "vec_id_b", ["bits"])
+    h = A.hashes(spark, d)
+    left, right = h.where("vec_id % 2 = 0").toDF("left_id", "lo1", "hi1", "label"), h.where("vec_id % 2 = 1").toDF("right_id", "lo2", "hi2", "label")
+    bits = sequences.hamming(F.col("lo1"), F.col("hi1"), F.col("lo2"), F.col("hi2")).cast("long")
+    return selection.greedy_pairs(left.join(right, "label").withColumn("bits", bits).where("bits <= 26"), "left_id", "right_id", ["bits"])
 
 
 @query("lim_first_bin", "SELECT min(name) AS bin FROM (VALUES ('Bin 1'), ('Bin 2'), ('Edit'), ('Print')) t(name) WHERE name NOT IN (SELECT album FROM listing)")
@@ -384,32 +344,47 @@ def _(spark, d):
     return facts.first_writes(A.read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey"), "l_orderkey", "l_linenumber")
 
 
-@query("agg_fingerprint")
-def _(spark, d):
-    return A.meta(spark, d).select("asset_id", S.fingerprint(F.col("name")).alias("fnv"))
-
-
 # Streams, drained to the end of their input
 
 
 @query("st_progress", "SELECT user_id, CAST(ts AS DATE) AS day, count(*) AS n, round(sum(value), 6) AS value FROM events GROUP BY 1, 2")
 def _(spark, d):
-    return state.drain(state.daily_progress(state.events(spark, d)), "complete")
+    return state.drain(state.daily_progress(state.events(spark, d)), "update", ["user_id", "day"])
 
 
 @query("st_deletions", "SELECT user_id, event_type, (array_agg(event_id ORDER BY ts, event_id))[1] AS event_id FROM events GROUP BY 1, 2")
 def _(spark, d):
-    return state.drain(state.first_deletions(state.events(spark, d)), "complete")
+    return state.drain(state.first_deletions(state.events(spark, d)), "update", ["user_id", "event_type"])
 
 
 @query("st_last_verdicts", "SELECT user_id, (array_agg(event_id ORDER BY ts DESC, event_id DESC, event_type DESC))[1] AS event_id, (array_agg(event_type ORDER BY ts DESC, event_id DESC, event_type DESC))[1] AS status FROM events GROUP BY 1")
 def _(spark, d):
-    return state.drain(state.last_verdicts(state.events(spark, d)), "complete")
+    return state.drain(state.last_verdicts(state.events(spark, d)), "update", ["user_id"])
+
+
+@query("st_sessions", "WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) <= INTERVAL 3 HOUR THEN 0 ELSE 1 END AS b FROM events), s AS (SELECT *, sum(b) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g) SELECT user_id, epoch_us(min(ts)) // 1000 AS start_ms, count(*) AS n FROM s GROUP BY user_id, k HAVING max(ts) + INTERVAL 3 HOUR <= (SELECT max(ts) - INTERVAL 1 DAY FROM events)")
+def _(spark, d):
+    return state.drain(state.sessions(state.events(spark, d)), "append").select("user_id", F.unix_millis("start").alias("start_ms"), "n")
+
+
+def refuse_sevenths(key: str, ids: list[int]) -> None:
+    """A service that refuses a batch with an id that seven divides."""
+    if any(i % 7 == 0 for i in ids):
+        raise ValueError("refused")
+
+
+_SENT = "SELECT event_type AS key, event_id AS id, CASE WHEN event_id % 7 = 0 THEN 'refused' ELSE 'filed' END AS outcome FROM events"
 
 
-@query("st_sessions", "WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) <= INTERVAL 3 HOUR THEN 0 ELSE 1 END AS b FROM events), s AS (SELECT *, sum(b) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g) SELECT user_id, epoch_us(min(ts)) // 1000 AS start_ms, count(*) AS n FROM s GROUP BY user_id, k")
+@query("st_batch_split", _SENT)
 def _(spark, d):
-    return state.drain(state.sessions(state.events(spark, d)), "complete").select("user_id", F.unix_millis("start").alias("start_ms"), "n")
+    return state.send(A.read(spark, d, "events").select(F.col("event_type").alias("key"), F.col("event_id").alias("id")), refuse_sevenths)
+
+
+@query("st_sweep", _SENT)
+def _(spark, d):
+    requests = state.events(spark, d).select(F.col("event_type").alias("key"), F.col("event_id").alias("id"))
+    return state.drain(requests, "append", change=lambda batch: state.send(batch, refuse_sevenths))
 
 
 @query("lim_low_water")
@@ -428,26 +403,22 @@ def _grids(spark, d):
 
 
 def _grid_pairs(spark, d):
-    a = _grids(spark, d).where("vec_id < 500")
+    a = _grids(spark, d)
     return a.toDF("vec_id", "label", "ga").join(a.select((F.col("vec_id") - 1).alias("vec_id"), F.col("g").alias("gb")), "vec_id")
 
 
 _SHIFTED = "least(" + ", ".join(f"list_sum(list_transform(range(0, 64), lambda i: CASE WHEN i % 8 + ({dx}) BETWEEN 0 AND 7 THEN abs(a.g[i + 1] - b.g[i + 1 + ({dx})]) ELSE 0 END)) / {8.0 * (8 - abs(dx))}" for dx in range(-2, 3)) + ")"
+_JITTER = "least(" + ", ".join(f"list_sum(list_transform(range(0, 64), lambda i: CASE WHEN i % 8 + ({dx}) BETWEEN 0 AND 7 AND i // 8 + ({dy}) BETWEEN 0 AND 7 THEN abs((a.g[i + 1] - a.m) - (b.g[i + 1 + ({dx}) + 8 * ({dy})] - b.m)) ELSE 0 END)) / {float((8 - abs(dx)) * (8 - abs(dy)))}" for dy in (-1, 0, 1) for dx in (-1, 0, 1)) + ")"
 
 
-@query("vec_aligned", f"WITH g AS (SELECT vec_id, {GRID} AS g FROM embeddings WHERE vec_id < 500) SELECT a.vec_id, round({_SHIFTED}, 6) AS distance FROM g a JOIN g b ON b.vec_id = a.vec_id + 1")
+@query("vec_aligned", f"WITH g AS (SELECT vec_id, {GRID} AS g FROM embeddings) SELECT a.vec_id, round({_SHIFTED}, 6) AS distance FROM g a JOIN g b ON b.vec_id = a.vec_id + 1")
 def _(spark, d):
     return _grid_pairs(spark, d).select("vec_id", F.round(vectors.aligned_distance(F.col("ga"), F.col("gb")), 6).alias("distance"))
 
 
-@query("vec_mad", f"WITH g AS (SELECT vec_id, {GRID} AS g FROM embeddings WHERE vec_id < 500), m AS (SELECT *, list_sum(g) / 64.0 AS m FROM g) SELECT a.vec_id, round(list_sum(list_transform(range(1, 65), lambda i: abs((a.g[i] - a.m) - (b.g[i] - b.m)))) / 64.0, 6) AS mad FROM m a JOIN m b ON b.vec_id = a.vec_id + 1")
+@query("vec_mad", f"WITH g AS (SELECT vec_id, {GRID} AS g FROM embeddings), m AS (SELECT *, list_sum(g) / 64.0 AS m FROM g) SELECT a.vec_id, floor({_JITTER} + 0.5) AS mad FROM m a JOIN m b ON b.vec_id = a.vec_id + 1")
 def _(spark, d):
-    return _grid_pairs(spark, d).select("vec_id", F.round(vectors.centred_distance(F.col("ga"), F.col("gb")), 6).alias("mad"))
-
-
-@query("vec_dhash", f"WITH g AS (SELECT vec_id, {GRID} AS g FROM embeddings) SELECT vec_id, CAST(list_sum(list_transform(range(0, 56), lambda k: CASE WHEN g[k // 7 * 8 + k % 7 + 1] - g[k // 7 * 8 + k % 7 + 2] > 6 THEN CAST(1 AS BIGINT) << CAST(55 - k AS INTEGER) ELSE 0 END)) AS BIGINT) AS bits FROM g")
-def _(spark, d):
-    return _grids(spark, d).select("vec_id", vectors.gradient_hash(F.col("g"), 8, 8, 6).alias("bits"))
+    return _grid_pairs(spark, d).select("vec_id", vectors.signature_distance(F.col("ga"), F.col("gb")).alias("mad"))
 
 
 @query("vec_reduce", f"WITH g AS (SELECT vec_id, {GRID} AS g FROM embeddings) SELECT vec_id, k AS cell, CAST(floor((g[k // 4 * 16 + k % 4 * 2 + 1] + g[k // 4 * 16 + k % 4 * 2 + 2] + g[k // 4 * 16 + k % 4 * 2 + 9] + g[k // 4 * 16 + k % 4 * 2 + 10]) / 4) AS BIGINT) AS mean FROM g, range(0, 16) r(k)")
@@ -491,20 +462,6 @@ def _(spark, d):
     return live.join(A.verdicts(spark, d).withColumnRenamed("asset_id", "id"), "id", "left").select("id", "album", F.coalesce("status", F.lit("backlog")).alias("status"))
 
 
-@query("join_verdict_work", "SELECT (SELECT count(*) FROM meta) = 0 OR EXISTS (SELECT 1 FROM meta WHERE asset_id NOT IN (SELECT asset_id FROM verdicts WHERE status <> 'backlog')) OR EXISTS (SELECT 1 FROM verdicts WHERE status = 'toEdit') AS work")
-def _(spark, d):
-    meta, verdicts = A.meta(spark, d), A.verdicts(spark, d)
-    open_ = meta.join(lineage.decided(verdicts), "asset_id", "left_anti").agg(F.count("*").alias("open"))
-    return open_.join(verdicts.agg(F.count_if(F.col("status") == "toEdit").alias("edits"))).join(meta.agg(F.count("*").alias("known"))).select(((F.col("known") == 0) | (F.col("open") > 0) | (F.col("edits") > 0)).alias("work"))
-
-
-@query("join_edit_candidates", "SELECT f.asset_id, filed_at FROM filings f JOIN verdicts v USING (asset_id) WHERE f.album = 'Edit' AND v.status = 'toEdit' AND f.asset_id NOT IN (SELECT original_id FROM listing WHERE original_id IS NOT NULL)")
-def _(spark, d):
-    queued = A.filings(spark, d).where("album = 'Edit'").join(A.verdicts(spark, d).where("status = 'toEdit'"), "asset_id", "left_semi")
-    gone = A.listing(spark, d).where("original_id is not null").select(F.col("original_id").alias("asset_id"))
-    return queued.join(gone, "asset_id", "left_anti").select("asset_id", "filed_at")
-
-
 @query("clu_mixed", "WITH b AS (SELECT DISTINCT asset_id FROM members WHERE group_id % 300 = 0) SELECT group_id, count(*) AS n FROM members WHERE group_id % 300 <> 0 GROUP BY 1 HAVING NOT bool_or(asset_id IN (SELECT asset_id FROM b))")
 def _(spark, d):
     members = A.members(spark, d)
@@ -526,12 +483,6 @@ def _(spark, d):
     return A.assets(spark, d).select("asset_id", F.coalesce(F.abs(gap - 1000), F.lit(9007199254740991)).alias("drift"))
 
 
-@query("mat_serial_sides", "WITH s AS (SELECT user_id, count(DISTINCT event_type) AS n, min(event_type) AS left_serial, max(event_type) AS right_serial FROM events WHERE event_id % 3 = 0 AND event_type IN ('click', 'view', 'purchase') GROUP BY 1) SELECT user_id, left_serial, right_serial FROM s WHERE n = 2")
-def _(spark, d):
-    s = A.read(spark, d, "events").where("event_id % 3 = 0 and event_type in ('click', 'view', 'purchase')").groupBy("user_id")
-    return s.agg(F.count_distinct("event_type").alias("n"), F.min("event_type").alias("left_serial"), F.max("event_type").alias("right_serial")).where("n = 2").drop("n")
-
-
 @query("smp_milestone", "SELECT c_custkey, CAST(floor(c_custkey / 250) * 250 AS BIGINT) AS step, list_max(list_filter([10, 50, 100, 500, 1000], lambda x: x <= c_custkey)) AS rung FROM customer")
 def _(spark, d):
     n = F.col("c_custkey")
@@ -539,26 +490,6 @@ def _(spark, d):
     return A.read(spark, d, "customer").select("c_custkey", (F.floor(n / 250) * 250).cast("long").alias("step"), F.array_max(F.filter(rungs, lambda x: x <= n)).alias("rung"))
 
 
-@query("smp_claim", "SELECT o_orderkey, CASE o_orderpriority WHEN '1-URGENT' THEN 'once' WHEN '2-HIGH' THEN 'year:' || year(o_orderdate) ELSE 'count:' || CAST(o_custkey // 100 * 100 AS VARCHAR) END AS claim FROM orders")
-def _(spark, d):
-    claim = F.when(F.col("o_orderpriority") == "1-URGENT", "once").when(F.col("o_orderpriority") == "2-HIGH", F.concat(F.lit("year:"), F.year("o_orderdate").cast("string"))).otherwise(F.concat(F.lit("count:"), (F.floor(F.col("o_custkey") / 100) * 100).cast("string")))
-    return A.read(spark, d, "orders").select("o_orderkey", claim.alias("claim"))
-
-
-@query("lim_tag_queue", "WITH k AS (SELECT asset_id, status FROM verdicts WHERE status IN ('kept', 'toPrint')), s AS (SELECT asset_id // 4 AS shot, asset_id, row_number() OVER (PARTITION BY asset_id // 4 ORDER BY asset_id DESC) AS r, bool_or(asset_id % 9 = 0) OVER (PARTITION BY asset_id // 4) AS tagged FROM k) SELECT shot, asset_id FROM s WHERE r = 1 AND NOT tagged")
-def _(spark, d):
-    shot = Window.partitionBy("shot")
-    kept = A.verdicts(spark, d).where("status in ('kept', 'toPrint')").select(F.floor(F.col("asset_id") / 4).alias("shot"), "asset_id")
-    marked = kept.withColumn("r", F.row_number().over(shot.orderBy(F.col("asset_id").desc()))).withColumn("tagged", F.bool_or(F.col("asset_id") % 9 == 0).over(shot))
-    return marked.where("r = 1 and not tagged").select("shot", "asset_id")
-
-
-@query("lim_buffer_take", "SELECT asset_id, r <= 50 AS taken FROM (SELECT asset_id, row_number() OVER (ORDER BY asset_id) AS r FROM meta WHERE asset_id NOT IN (SELECT asset_id FROM verdicts WHERE status <> 'backlog')) ORDER BY asset_id LIMIT 120")
-def _(spark, d):
-    fresh = A.meta(spark, d).join(lineage.decided(A.verdicts(spark, d)), "asset_id", "left_anti").select("asset_id").orderBy("asset_id").limit(120)
-    return fresh.withColumn("taken", F.row_number().over(Window.orderBy("asset_id")) <= 50)
-
-
 @query("lim_drop_album", "SELECT asset_id FROM meta WHERE album IS NULL OR album NOT IN ('src1', 'src2')")
 def _(spark, d):
     return A.meta(spark, d).join(spark.createDataFrame([("src1",), ("src2",)], "album string"), "album", "left_anti").select("asset_id")
@@ -567,13 +498,7 @@ def _(spark, d):
 @query("st_edit_verdict", "SELECT n.id, CASE WHEN o.updated IS NULL THEN 'unknown' WHEN o.updated = n.updated THEN 'untouched' WHEN n.id % 2 = 0 THEN 'edited' ELSE 'touched' END AS state FROM new_snapshot n LEFT JOIN old_snapshot o USING (id)")
 def _(spark, d):
     old, new = A.snapshots(spark, d)
-    both = new.join(old.withColumnRenamed("updated", "was"), "id", "left")
-    return both.select("id", F.when(F.col("was").isNull(), "unknown").when(F.col("was") == F.col("updated"), "untouched").when(F.col("id") % 2 == 0, "edited").otherwise("touched").alias("state"))
-
-
-@query("st_baseline_fix", "SELECT id, updated FROM new_snapshot UNION ALL SELECT id, updated FROM old_snapshot WHERE id NOT IN (SELECT id FROM new_snapshot)")
-def _(spark, d):
-    return tables.upsert(*A.snapshots(spark, d), ["id"])
+    return lineage.edit_states(old.withColumn("hash", F.lit("a")), new.withColumn("hash", F.when(F.col("id") % 2 == 0, "b").otherwise("a")))
 
 
 @query("st_forget_baseline", "SELECT id, updated FROM old_snapshot WHERE id IN (SELECT id FROM new_snapshot)")
@@ -585,12 +510,6 @@ def _(spark, d):
 # Mutations
 
 
-@query("dml_decide", "SELECT 'unit:' || group_id AS asset_id, 'kept' AS status FROM members GROUP BY group_id UNION ALL SELECT DISTINCT CAST(asset_id AS VARCHAR), 'kept' FROM members")
-def _(spark, d):
-    units = A.members(spark, d).groupBy(F.concat(F.lit("unit:"), F.col("group_id").cast("string")).alias("unit_id")).agg(F.collect_list(F.col("asset_id").cast("string")).alias("members"))
-    return tables.decide(units, F.lit("kept")).distinct()
-
-
 @query("dml_save_only", "SELECT asset_id, status, CASE WHEN asset_id % 2 = 0 THEN true ELSE save_only END AS save_only FROM verdicts")
 def _(spark, d):
     changes = A.meta(spark, d).where("asset_id % 2 = 0").select("asset_id", F.lit(True).alias("save_only"))
@@ -645,10 +564,3 @@ def _(spark, d):
     n = F.col("event_id")
     text = F.concat((n % 30).cast("string"), F.lit(":"), F.lpad((n % 70).cast("string"), 2, "0"))
     return A.read(spark, d, "events").select("event_id", S.time_of_day(text).cast("long").alias("minute"))
-
-
-@query("fn_chunk", "SELECT (r - 1) // 40 AS page, count(*) AS n, min(name) AS first_name FROM (SELECT name, row_number() OVER (ORDER BY asset_id) AS r FROM meta WHERE asset_id < 200) GROUP BY 1")
-def _(spark, d):
-    r = F.row_number().over(Window.orderBy("asset_id"))
-    paged = A.meta(spark, d).where("asset_id < 200").withColumn("page", F.floor((r - 1) / 40))
-    return paged.groupBy("page").agg(F.count("*").alias("n"), F.min("name").alias("first_name"))

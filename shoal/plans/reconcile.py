@@ -9,36 +9,6 @@ from shoal.operators import facts, lineage, selection, tables
 from shoal.plans.catalog import query
 from shoal.sources import adapters as A
 
-SETS = "m AS (SELECT DISTINCT group_id, asset_id FROM members)"
-
-
-def _sets(spark, d):
-    return A.members(spark, d).select("group_id", "asset_id").distinct()
-
-
-def _corrections(spark, d):
-    """Recorded sets (even groups), each without some members, and what was said of them."""
-    return _sets(spark, d).where("group_id % 2 = 0 and asset_id % 5 <> 0"), F.when(F.col("recorded") % 6 == 0, "dissolve").otherwise("stereo")
-
-
-_MATCH = f"WITH {SETS}, c AS (SELECT * FROM m WHERE group_id % 2 = 0 AND asset_id % 5 <> 0), cn AS (SELECT *, count(*) OVER (PARTITION BY group_id) AS n FROM c), mn AS (SELECT *, count(*) OVER (PARTITION BY group_id) AS n FROM m), x AS (SELECT cn.group_id AS recorded, mn.group_id AS detected FROM cn JOIN mn USING (asset_id) GROUP BY cn.group_id, mn.group_id, cn.n, mn.n HAVING 2 * count(*) > cn.n + mn.n - count(*))"
-
-
-@query("join_corrections", f"{_MATCH}, f AS (SELECT detected, min(recorded) AS recorded, bool_or(recorded % 6 = 0) AS gone FROM x GROUP BY 1) SELECT g.group_id, CASE WHEN recorded IS NULL THEN 'burst' ELSE 'stereo' END AS type FROM (SELECT DISTINCT group_id FROM m) g LEFT JOIN f ON f.detected = g.group_id WHERE NOT coalesce(gone, false)")
-def _(spark, d):
-    recorded, said = _corrections(spark, d)
-    hits = lineage.majority_matches(recorded, _sets(spark, d)).withColumn("said", said)
-    first = hits.groupBy("detected").agg(F.min("recorded").alias("recorded"), F.bool_or(F.col("said") == "dissolve").alias("gone"))
-    groups = _sets(spark, d).select("group_id").distinct()
-    joined = groups.join(first, F.col("group_id") == F.col("detected"), "left").where(~F.coalesce("gone", F.lit(False)))
-    return joined.select("group_id", F.when(F.col("recorded").isNull(), "burst").otherwise("stereo").alias("type"))
-
-
-@query("join_asserted", f"{_MATCH} SELECT group_id, count(*) AS n FROM c WHERE group_id NOT IN (SELECT recorded FROM x) GROUP BY 1 HAVING count(*) >= 2")
-def _(spark, d):
-    recorded, _said = _corrections(spark, d)
-    hits = lineage.majority_matches(recorded, _sets(spark, d)).select(F.col("recorded").alias("group_id"))
-    return recorded.join(hits, "group_id", "left_anti").groupBy("group_id").agg(F.count("*").alias("n")).where("n >= 2")
 
 
 @query("join_album_name", "SELECT asset_id, n_name AS album FROM meta LEFT JOIN nation ON n_nationkey = asset_id % 30")
@@ -47,13 +17,6 @@ def _(spark, d):
     return A.meta(spark, d).drop("album").withColumn("n_nationkey", (F.col("asset_id") % 30).cast("int")).join(nations, "n_nationkey", "left").select("asset_id", "album")
 
 
-@query("join_remember", "SELECT c_custkey FROM customer WHERE c_custkey % 7 = 0 OR c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderkey % 50 = 0)")
-def _(spark, d):
-    c = A.read(spark, d, "customer").select("c_custkey")
-    sources = A.read(spark, d, "orders").where("o_orderkey % 50 = 0").select(F.col("o_custkey").alias("c_custkey"))
-    return c.where("c_custkey % 7 = 0").union(c.join(sources, "c_custkey", "left_semi")).distinct()
-
-
 @query("join_leftovers", "WITH l AS (SELECT c_custkey AS id FROM customer WHERE c_custkey % 2 = 0), r AS (SELECT DISTINCT o_custkey AS id FROM orders WHERE o_orderkey % 3 = 0) SELECT id, 'left' AS side FROM l WHERE id NOT IN (SELECT id FROM r) UNION ALL SELECT id, 'right' FROM r WHERE id NOT IN (SELECT id FROM l)")
 def _(spark, d):
     left = A.read(spark, d, "customer").where("c_custkey % 2 = 0").select(F.col("c_custkey").alias("id"))
@@ -81,11 +44,6 @@ def _(spark, d):
     return A.verdicts(spark, d).agg(F.count_if(F.col("status") != "backlog").alias("reviewed"), F.count_if(F.col("status") == "toEdit").alias("edits"), F.count_if("starred").alias("starred"))
 
 
-@query("agg_earliest", "SELECT group_id, min(asset_id) AS lead, count(*) AS n FROM members GROUP BY 1")
-def _(spark, d):
-    return A.members(spark, d).groupBy("group_id").agg(F.min("asset_id").alias("lead"), F.count("*").alias("n"))
-
-
 @query("agg_fold_sets", "WITH s AS (SELECT asset_id // 6 AS set_id, asset_id, row_number() OVER (PARTITION BY asset_id // 6 ORDER BY CASE WHEN asset_id % 4 = 0 THEN 0 WHEN asset_id % 4 = 1 THEN 1 ELSE 2 END, asset_id) AS k FROM meta) SELECT set_id, asset_id AS lead FROM s WHERE k = 1")
 def _(spark, d):
     rank = F.when(F.col("asset_id") % 4 == 0, 0).when(F.col("asset_id") % 4 == 1, 1).otherwise(2)
@@ -93,11 +51,6 @@ def _(spark, d):
     return ranked.groupBy("set_id").agg(F.min("s").getField("asset_id").alias("lead"))
 
 
-@query("agg_album_census", "SELECT album, CAST(count(*) FILTER (original_id IS NULL) AS BIGINT) AS live, CAST(count(*) FILTER (original_id IS NOT NULL) AS BIGINT) AS deleted, max(id) AS last_id FROM listing GROUP BY 1")
-def _(spark, d):
-    return A.listing(spark, d).groupBy("album").agg(F.count_if(F.col("original_id").isNull()).alias("live"), F.count_if(F.col("original_id").isNotNull()).alias("deleted"), F.max("id").alias("last_id"))
-
-
 @query("agg_gone_note", "SELECT original_id AS asset_id, min(album) AS album FROM listing WHERE original_id IS NOT NULL GROUP BY 1")
 def _(spark, d):
     gone = A.listing(spark, d).where("original_id is not null").select(F.col("original_id").alias("asset_id"), "album", F.lit(0).alias("seen"))
@@ -128,59 +81,12 @@ def _(spark, d):
     return A.read(spark, d, "orders").where("o_orderstatus = 'O'").groupBy("o_custkey").agg(F.count("*").alias("held"), F.count_if(late).alias("overdue"))
 
 
-@query("win_queue_room", "SELECT o_custkey, CASE WHEN count(*) FILTER (CAST(o_orderdate AS DATE) <= DATE '1997-12-02') > 0 THEN 0 ELSE greatest(20 - count(*), 0) END AS room FROM orders WHERE o_orderstatus = 'O' GROUP BY 1")
-def _(spark, d):
-    late = F.to_date("o_orderdate") <= F.lit("1997-12-02").cast("date")
-    q = A.read(spark, d, "orders").where("o_orderstatus = 'O'").groupBy("o_custkey").agg(F.count("*").alias("n"), F.count_if(late).alias("late"))
-    return q.select("o_custkey", F.when(F.col("late") > 0, 0).otherwise(F.greatest(20 - F.col("n"), F.lit(0))).alias("room"))
-
-
-@query("clu_role_dispatch", "SELECT album_id, CASE album_id % 4 WHEN 0 THEN 'none' WHEN 1 THEN 'none' WHEN 2 THEN 'stereo' ELSE 'mixed' END AS detector, count(*) AS n FROM assets GROUP BY 1")
-def _(spark, d):
-    by = F.when(F.col("album_id") % 4 <= 1, "none").when(F.col("album_id") % 4 == 2, "stereo").otherwise("mixed")
-    return A.assets(spark, d).groupBy("album_id").agg(F.first(by).alias("detector"), F.count("*").alias("n"))
-
-
-@query("mat_split_eyes", "SELECT asset_id, CASE asset_id % 3 WHEN 0 THEN 'L' WHEN 1 THEN CASE WHEN camera = 'view' THEN 'L' WHEN camera = 'click' THEN 'R' END END AS side FROM assets")
-def _(spark, d):
-    named = F.when(F.col("asset_id") % 3 == 0, "L")
-    serial = F.when((F.col("asset_id") % 3 == 1) & (F.col("camera") == "view"), "L").when((F.col("asset_id") % 3 == 1) & (F.col("camera") == "click"), "R")
-    return A.assets(spark, d).select("asset_id", F.coalesce(named, serial).alias("side"))
-
-
-@query("smp_conditions", "SELECT rule, c_custkey FROM (VALUES ('rich', 'c_acctbal', 8000.0), ('far', 'c_nationkey', 20.0)) r(rule, stat, least) JOIN (SELECT c_custkey, 'c_acctbal' AS stat, c_acctbal AS v FROM customer UNION ALL SELECT c_custkey, 'c_nationkey', CAST(c_nationkey AS DOUBLE) FROM customer) s USING (stat) WHERE v >= least")
-def _(spark, d):
-    rules = spark.createDataFrame([("rich", "c_acctbal", 8000.0), ("far", "c_nationkey", 20.0)], "rule string, stat string, least double")
-    stats = A.read(spark, d, "customer").selectExpr("c_custkey", "stack(2, 'c_acctbal', c_acctbal, 'c_nationkey', cast(c_nationkey as double)) as (stat, v)")
-    return stats.join(rules, "stat").where("v >= least").select("rule", "c_custkey")
-
-
-@query("smp_celebrate", "WITH r AS (SELECT p_brand, p_partkey, p_size, row_number() OVER (PARTITION BY p_brand ORDER BY p_size DESC, p_partkey) AS k FROM part WHERE p_partkey % 3 <> 0) SELECT p_brand, p_partkey FROM r WHERE k = 1")
-def _(spark, d):
-    best = A.read(spark, d, "part").where("p_partkey % 3 <> 0").groupBy("p_brand").agg(F.min(F.struct((-F.col("p_size")).alias("s"), "p_partkey")).alias("b"))
-    return best.select("p_brand", "b.p_partkey")
-
-
-@query("smp_shown", "SELECT user_id, event_type, count(*) AS shown, epoch_us(max(ts)) // 1000 AS last_ms, count(DISTINCT CAST(ts AS DATE)) AS claims FROM events GROUP BY 1, 2")
-def _(spark, d):
-    e = A.read(spark, d, "events").groupBy("user_id", "event_type")
-    return e.agg(F.count("*").alias("shown"), F.unix_millis(F.max(F.col("ts").cast("timestamp"))).alias("last_ms"), F.count_distinct(F.to_date("ts")).alias("claims"))
-
-
 @query("lim_more", "SELECT asset_id FROM meta WHERE asset_id NOT IN (SELECT asset_id FROM verdicts) ORDER BY md5('s6:' || CAST(asset_id AS VARCHAR)) LIMIT 40")
 def _(spark, d):
     fresh = A.meta(spark, d).join(A.verdicts(spark, d), "asset_id", "left_anti").select("asset_id")
     return fresh.orderBy(selection.draw("s6", F.col("asset_id"))).limit(40)
 
 
-@query("set_toggle", "WITH g AS (SELECT group_id, array_agg(DISTINCT asset_id) AS s FROM members GROUP BY 1) SELECT group_id, CAST(CASE WHEN list_contains(s, group_id % 200) AND len(s) > 2 THEN len(s) - 1 WHEN list_contains(s, group_id % 200) THEN len(s) ELSE len(s) + 1 END AS BIGINT) AS n FROM g")
-def _(spark, d):
-    groups = A.members(spark, d).groupBy("group_id").agg(F.collect_set("asset_id").alias("s"))
-    frame = F.col("group_id") % 200
-    toggled = F.when(F.array_contains("s", frame) & (F.size("s") > 2), F.array_remove("s", frame)).otherwise(F.array_union("s", F.array(frame)))
-    return groups.select("group_id", F.size(toggled).cast("long").alias("n"))
-
-
 @query("st_change_gate", "WITH o AS (SELECT id % 20 AS album, md5(string_agg(id || '@' || updated, chr(10) ORDER BY id)) AS h FROM old_snapshot GROUP BY 1), n AS (SELECT id % 20 AS album, md5(string_agg(id || '@' || updated, chr(10) ORDER BY id)) AS h FROM new_snapshot GROUP BY 1) SELECT n.album, n.h IS DISTINCT FROM o.h AS scan FROM n LEFT JOIN o USING (album)")
 def _(spark, d):
     def marks(rows, name):
@@ -198,34 +104,6 @@ def _(spark, d):
     return both.select("id", ((F.coalesce("was", F.lit("")) == "") | (F.col("was") != F.col("updated"))).alias("moved"))
 
 
-@query("st_full_scan", "SELECT album_id, count(*) FILTER (asset_id % 3 <> 0) >= 0.7 * count(*) AS complete FROM assets GROUP BY 1")
-def _(spark, d):
-    return A.assets(spark, d).groupBy("album_id").agg((F.count_if(F.col("asset_id") % 3 != 0) >= F.count("*") * 0.7).alias("complete"))
-
-
-@query("dml_burst", "SELECT group_id, asset_id, CASE WHEN pos = 1 THEN 'kept' ELSE 'rejected' END AS status FROM members WHERE group_id % 10 = 0")
-def _(spark, d):
-    return A.members(spark, d).where("group_id % 10 = 0").select("group_id", "asset_id", F.when(F.col("pos") == 1, "kept").otherwise("rejected").alias("status"))
-
-
-@query("dml_stereo_roll", "SELECT group_id, CASE WHEN bool_or(pos = 3) THEN 'toEdit' WHEN bool_or(pos = 2) THEN 'kept' ELSE 'rejected' END AS status FROM members GROUP BY 1")
-def _(spark, d):
-    return A.members(spark, d).groupBy("group_id").agg(F.when(F.bool_or(F.col("pos") == 3), "toEdit").when(F.bool_or(F.col("pos") == 2), "kept").otherwise("rejected").alias("status"))
-
-
-@query("dml_withdraw", "SELECT asset_id FROM meta WHERE asset_id % 8 <> 3")
-def _(spark, d):
-    meta = A.meta(spark, d).select("asset_id")
-    return tables.delete(meta, meta.where("asset_id % 8 = 3"), ["asset_id"])
-
-
-@query("dml_tag_add", "SELECT 'Tag ' || (doc_id % 12) AS tag FROM documents GROUP BY 1 HAVING lower('Tag ' || (min(doc_id) % 12)) NOT IN ('tag 1', 'tag 2')")
-def _(spark, d):
-    named = A.read(spark, d, "documents").select(F.concat(F.lit("Tag "), (F.col("doc_id") % 12).cast("string")).alias("tag")).distinct()
-    have = spark.createDataFrame([("tag 1",), ("TAG 2",)], "known string")
-    return named.join(have, F.lower("tag") == F.lower("known"), "left_anti")
-
-
 @query("dml_print_state", "SELECT album, CASE WHEN album = 'Edit' THEN 'ordered' ELSE 'toPrint' END AS state, count(*) AS n FROM listing GROUP BY 1")
 def _(spark, d):
     states = spark.createDataFrame([("Edit", "ordered")], "album string, state string")
@@ -237,12 +115,6 @@ def _(spark, d):
     return A.listing(spark, d).groupBy("album").agg(F.count_if(F.col("original_id").isNotNull()).alias("gone"), F.count_if(F.col("original_id").isNull() & (F.col("id") % 5 == 1)).alias("refused"))
 
 
-@query("dml_count_edit", "SELECT l.id, coalesce(f.filed_at, 0) AS since FROM listing l LEFT JOIN filings f ON f.asset_id = l.id WHERE l.album = 'Edit' AND l.original_id IS NULL")
-def _(spark, d):
-    live = A.listing(spark, d).where("album = 'Edit' and original_id is null").select("id")
-    return live.join(A.filings(spark, d).select(F.col("asset_id").alias("id"), "filed_at"), "id", "left").select("id", F.coalesce("filed_at", F.lit(0)).alias("since"))
-
-
 @query("dml_refill_budget", "SELECT greatest(2000 - count(*), 0) AS budget FROM meta WHERE asset_id NOT IN (SELECT asset_id FROM verdicts WHERE status <> 'backlog')")
 def _(spark, d):
     return A.meta(spark, d).join(lineage.decided(A.verdicts(spark, d)), "asset_id", "left_anti").agg(F.greatest(2000 - F.count("*"), F.lit(0)).alias("budget"))
@@ -255,12 +127,6 @@ def _(spark, d):
     return rows.groupBy((F.col("id") % 20).alias("album")).agg(F.concat_ws(",", F.transform(lines, lambda x: x["line"])).alias("lines"))
 
 
-@query("hlp_twin_rig", "SELECT album_id, coalesce(max(CASE WHEN album_id % 5 = 0 AND camera = 'view' THEN camera END), min(camera)) AS left_serial FROM assets GROUP BY 1")
-def _(spark, d):
-    chosen = F.max(F.when((F.col("album_id") % 5 == 0) & (F.col("camera") == "view"), F.col("camera")))
-    return A.assets(spark, d).groupBy("album_id").agg(F.coalesce(chosen, F.min("camera")).alias("left_serial"))
-
-
 @query("hlp_median", "SELECT o_custkey, CAST(floor(quantile_cont(o_orderkey, 0.5) + 0.5) AS BIGINT) AS median FROM orders GROUP BY 1")
 def _(spark, d):
     return A.read(spark, d, "orders").groupBy("o_custkey").agg(F.floor(F.percentile("o_orderkey", 0.5) + 0.5).alias("median"))
@@ -299,8 +165,3 @@ def _(spark, d):
 def _(spark, d):
     folders = spark.createDataFrame([(1,), (4,), (7,)], "folder int")
     return A.read(spark, d, "pages").withColumn("folder", (F.col("page_id") % 10).cast("int")).join(folders, "folder", "left_semi").select("page_id")
-
-
-@query("io_albums", "SELECT DISTINCT album FROM listing WHERE original_id IS NULL AND album IS NOT NULL")
-def _(spark, d):
-    return A.listing(spark, d).where("original_id is null and album is not null").select("album").distinct()

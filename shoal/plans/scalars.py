@@ -34,24 +34,12 @@ scalar("fn_merge_sources", "meta", lambda: F.array_join(S.merge_sources(stem()),
 scalar("fn_album_for", "verdicts", lambda: S.album_for(F.col("status")), FILED)
 scalar("fn_in_print_bin", "verdicts", lambda: S.in_print_bin(F.col("status"), F.col("save_only")), "NOT save_only AND status IN ('kept', 'toPrint')")
 scalar("fn_verdict_order", "verdicts", lambda: S.verdict_rank(F.col("status")), "CAST(list_position(['backlog', 'kept', 'toPrint', 'toEdit', 'maybe', 'rejected'], status) AS BIGINT)")
-scalar("fn_norm_print", "orders", lambda: F.when(F.col("o_orderstatus") == "O", "ordered").otherwise("done"), "CASE WHEN o_orderstatus = 'O' THEN 'ordered' ELSE 'done' END")
-scalar("fn_set_label", "part", lambda: F.concat(F.col("p_brand"), F.lit(" · "), F.col("p_size").cast("string"), F.when(F.col("p_size") == 1, " frame").otherwise(" frames")), "p_brand || ' · ' || p_size || CASE WHEN p_size = 1 THEN ' frame' ELSE ' frames' END")
 scalar("fn_day_key", "events", lambda: F.date_format("ts", "yyyy-MM-dd"), "strftime(ts, '%Y-%m-%d')")
 scalar("fn_days_between", "orders", lambda: F.datediff(F.lit("1999-01-01").cast("date"), F.to_date("o_orderdate")).cast("long"), "CAST(date_diff('day', CAST(o_orderdate AS DATE), DATE '1999-01-01') AS BIGINT)")
 scalar("fn_day_label", "events", lambda: F.date_format("ts", "EEEE d MMMM"), "strftime(ts, '%A %-d %B')")
 scalar("fn_ms_midnight", "events", lambda: 86_401_000 - F.pmod(F.unix_millis(F.col("ts").cast("timestamp")), F.lit(86_400_000)), "86401000 - (epoch_us(ts) // 1000) % 86400000")
 scalar("fn_parse_hm", "events", lambda: S.time_of_day(F.concat((F.col("event_id") % 30).cast("string"), F.lit(":"), F.lpad((F.col("event_id") % 70).cast("string"), 2, "0"))).cast("long"), "CASE WHEN event_id % 30 <= 23 AND event_id % 70 <= 59 THEN CAST(event_id % 30 * 60 + event_id % 70 AS BIGINT) END")
-scalar("fn_date_match", "events", lambda: S.date_matches(F.to_date("ts"), F.lit("12-20"), F.lit("01-10")), "strftime(ts, '%m-%d') >= '12-20' OR strftime(ts, '%m-%d') <= '01-10'")
-scalar("fn_byte_size", "documents", lambda: F.octet_length("text").cast("long"), "CAST(strlen(text) AS BIGINT)")
-scalar("fn_print_bin", "listing", lambda: F.startswith("album", F.lit("Pri")), "starts_with(album, 'Pri')")
 scalar("fn_is_capture", "assets", lambda: (F.col("camera") != "") & F.col("camera").isNotNull(), "coalesce(camera <> '', false)")
-scalar("fn_camera_id", "events", lambda: F.coalesce(F.get_json_object("props", "$.serial"), F.get_json_object("props", "$.k")), "coalesce(json_extract_string(props, '$.serial'), json_extract_string(props, '$.k'))")
 scalar("fn_swipe_dir", "events", lambda: S.swipe_sector((F.col("event_id") % 41 - 20).cast("double"), (F.col("event_id") % 29 - 14).cast("double")).cast("long"), "CAST((CAST(floor(atan2(event_id % 29 - 14, event_id % 41 - 20) * 4 / pi() + 0.5) AS BIGINT) % 8 + 8) % 8 AS BIGINT)")
 scalar("fn_swipe_aim", "events", lambda: S.swipe_strength((F.col("event_id") % 41 - 20).cast("double"), (F.col("event_id") % 29 - 14).cast("double"), 16.0), "least(1.0::DOUBLE, greatest(abs(event_id % 41 - 20), abs(event_id % 29 - 14)) / 16.0::DOUBLE)")
-scalar("hlp_landing", "orders", lambda: F.when(F.col("o_orderpriority").isin("1-URGENT", "2-HIGH"), "review/today").when(F.col("o_orderpriority") == "3-MEDIUM", "review/edits").otherwise("home"), "CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH') THEN 'review/today' WHEN o_orderpriority = '3-MEDIUM' THEN 'review/edits' ELSE 'home' END")
-scalar("hlp_stat_rule", "customer", lambda: (F.col("c_acctbal") >= 1000) & F.col("c_mktsegment").isin("BUILDING", "MACHINERY"), "c_acctbal >= 1000 AND c_mktsegment IN ('BUILDING', 'MACHINERY')")
-scalar("hlp_day_complete", "customer", lambda: (F.col("c_nationkey") >= 20) | ((F.col("c_nationkey") > 0) & (F.col("c_custkey") % 4 == 0)), "c_nationkey >= 20 OR (c_nationkey > 0 AND c_custkey % 4 = 0)")
-scalar("hlp_same_settings", "customer", lambda: F.struct("c_mktsegment", "c_nationkey").eqNullSafe(F.struct(F.lit("BUILDING").alias("c_mktsegment"), F.lit(3).alias("c_nationkey"))), "c_mktsegment IS NOT DISTINCT FROM 'BUILDING' AND c_nationkey IS NOT DISTINCT FROM 3")
-scalar("hlp_budget_rule", "customer", lambda: (F.col("c_nationkey") < 20) & (F.col("c_custkey") % 30 > 7), "c_nationkey < 20 AND c_custkey % 30 > 7")
-scalar("st_goal", "customer", lambda: F.when(F.col("c_acctbal") > 5000, "photos").when(F.col("c_nationkey") > 12, "edits").when(F.col("c_custkey") % 3 == 0, "tags"), "CASE WHEN c_acctbal > 5000 THEN 'photos' WHEN c_nationkey > 12 THEN 'edits' WHEN c_custkey % 3 = 0 THEN 'tags' END")
 scalar("agg_scan_target", "customer", lambda: F.least(F.lit(800.0), F.greatest(F.lit(200.0), F.coalesce(F.try_divide(F.col("c_custkey") * 200.0, F.col("c_nationkey")), F.lit(800.0)))).cast("double"), "least(800.0::DOUBLE, greatest(200.0::DOUBLE, CASE WHEN c_nationkey = 0 THEN 800.0::DOUBLE ELSE c_custkey * 200.0::DOUBLE / c_nationkey END))")

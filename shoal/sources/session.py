@@ -15,9 +15,20 @@ def session(app: str = "shoal", **settings: str) -> SparkSession:
     return builder.getOrCreate()
 
 
+def checkpoint_root(spark: SparkSession) -> str:
+    """The folder that the session's spark.checkpoint.dir names, which all executors share. Where it is unset, a folder of this machine,
+    but only for a session that runs on this machine alone."""
+    sc = spark.sparkContext
+    if own := sc.getConf().get("spark.checkpoint.dir"):
+        return own
+    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return tempfile.mkdtemp(prefix="shoal-")
+
+
 def materialise(df: DataFrame) -> DataFrame:
-    """checkpoint() into the folder that the cluster names; a folder of our own only where none is set."""
+    """checkpoint() into that folder."""
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="shoal-"))
+        sc.setCheckpointDir(checkpoint_root(df.sparkSession))
     return df.checkpoint()

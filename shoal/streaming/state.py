@@ -7,8 +7,6 @@ before. Times are cast to TIMESTAMP first, as watermarks need it. Each function
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -17,6 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from shoal.sources.session import checkpoint_root
+
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
@@ -25,23 +25,25 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def daily_progress(log: DataFrame, late: str = "1 day") -> DataFrame:
-    """Counters of each user that start anew every day; rows later than `late` are dropped once their day is closed."""
+    """Counters of each user that start anew every day; in update mode a day's state goes, and rows later than `late` with it, once the
+    watermark has passed it."""
     day = F.window("ts", "1 day")
     return log.withWatermark("ts", late).groupBy("user_id", day).agg(F.count("*").alias("n"), F.sum("value").alias("value")).select("user_id", F.to_date("window.start").alias("day"), "n", F.round("value", 6).alias("value"))
 
 
 def sessions(log: DataFrame, gap: str = "3 hours", late: str = "1 day") -> DataFrame:
+    """Sessions of each user, given out (append mode) once the watermark has passed their end; the state of open ones is all that is kept."""
     window = F.session_window("ts", gap)
     return log.withWatermark("ts", late).groupBy("user_id", window).agg(F.count("*").alias("n")).select("user_id", F.col("session_window.start").alias("start"), "n")
 
 
 def first_deletions(log: DataFrame) -> DataFrame:
-    """First write wins: the earliest entry of each key, however late others come."""
+    """First write wins: the earliest entry of each key, however late others come; the state is one row a key. For update mode."""
     return log.groupBy("user_id", "event_type").agg(F.min(F.struct("ts", "event_id")).alias("first")).select("user_id", "event_type", F.col("first.event_id").alias("event_id"))
 
 
 def last_verdicts(log: DataFrame) -> DataFrame:
-    """Last write wins."""
+    """Last write wins; the state is one row a key. For update mode."""
     return log.groupBy("user_id").agg(F.max(F.struct("ts", "event_id", "event_type")).alias("last")).select("user_id", F.col("last.event_id").alias("event_id"), F.col("last.event_type").alias("status"))
 
 
@@ -62,30 +64,76 @@ def low_water(log: DataFrame, low: float, high: float) -> DataFrame:
     return log.groupBy("user_id").applyInPandasWithState(step, "user_id long, event_id long, low boolean", "on boolean", "append", GroupStateTimeout.NoTimeout)
 
 
-def drain(stream: DataFrame, mode: str) -> DataFrame:
-    """Runs a stream over what its source holds and returns what it wrote: the last full result (complete) or all rows (append)."""
+def drain(stream: DataFrame, mode: str, keys: list[str] | None = None, change=None) -> DataFrame:
+    """Runs a stream over what its source holds and returns what it wrote: all rows (append), or with `keys` the newest row of each key
+    (update). Every micro-batch writes its own folder, so a batch that is run again replaces what it wrote before. `change` maps a
+    micro-batch before it is written."""
     spark = stream.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="shoal-")
-    path = os.path.join(root, f"stream-{uuid.uuid4().hex}")
+    path = f"{checkpoint_root(spark)}/stream-{uuid.uuid4().hex}"
+    change = change or (lambda batch: batch)
+    schema = change(spark.createDataFrame([], stream.schema)).schema
 
     def put(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/out" if mode == "complete" else f"{path}/out/batch={batch_id}")
+        change(batch).write.mode("overwrite").parquet(f"{path}/out/batch={batch_id}")
 
     query = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{path}/state").foreachBatch(put).trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{path}/out")
-
-
-def outbox(stream: DataFrame, sink, batch_rows: int = 50):
-    """A keyed outbox: every micro-batch goes to the sink in batches of batch_rows; a batch that fails is retried row by row, and rows
-    that fail alone are returned to the caller's `failed` folder by the sink. sink(DataFrame of one batch) must be idempotent."""
-
-    def put(batch: DataFrame, batch_id: int) -> None:
-        numbered = batch.withColumn("_part", F.floor(F.monotonically_increasing_id() / batch_rows))
-        try:
-            sink(numbered.drop("_part"))
-        except Exception:  # the sink's own errors: narrow down to the rows that it refuses
-            for part in [r["_part"] for r in numbered.select("_part").distinct().orderBy("_part").toLocalIterator()]:
-                sink(numbered.where(F.col("_part") == part).drop("_part"))
-
-    return stream.writeStream.foreachBatch(put)
+    written = spark.read.schema(schema.add("batch", "long")).parquet(f"{path}/out")
+    if keys is None:
+        return written.drop("batch")
+    rest = [c for c in schema.names if c not in (*keys, "batch")]
+    newest = written.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("_row"))
+    return newest.select(*keys, *[F.col("_row")[c].alias(c) for c in rest])
+
+
+def send(requests: DataFrame, sink, batch_rows: int = 50) -> DataFrame:
+    """requests(key, id) sent to sink(key, ids) in batches of one key, from the tasks that hold them: (key, id, outcome). A batch that
+    is refused is sent again row by row, and a row refused alone is 'refused'; a ConnectionError stops the task, whose rows are sent
+    again with the next attempt. The sink must take the same row twice."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = pd.DataFrame({"key": [], "id": []})
+
+        def out(part: pd.DataFrame) -> pd.DataFrame:
+            key, ids = part["key"].iloc[0], part["id"].tolist()
+            try:
+                sink(key, ids)
+                return part.assign(outcome="filed")
+            except ConnectionError:
+                raise
+            except Exception:  # refused for one of its rows: each is asked alone
+                said = []
+                for one in ids:
+                    try:
+                        sink(key, [one])
+                        said.append("filed")
+                    except ConnectionError:
+                        raise
+                    except Exception:
+                        said.append("refused")
+                return part.assign(outcome=said)
+
+        for frame in frames:
+            held = pd.concat([held, frame]) if len(held) else frame
+            while len(held):
+                same = (held["key"] != held["key"].iloc[0]).to_numpy()
+                size = min(int(same.argmax()) if same.any() else len(held), batch_rows)
+                if size == len(held) and size < batch_rows:
+                    break  # more of this key may follow
+                yield out(held.iloc[:size])
+                held = held.iloc[size:]
+        if len(held):
+            yield out(held)
+
+    dealt = requests.select("key", "id").repartition("key").sortWithinPartitions("key", "id")
+    return dealt.mapInPandas(run, "key string, id long, outcome string")
+
+
+def sweep(stream: DataFrame, sink, every: str = "5 seconds", batch_rows: int = 50):
+    """A stream writer that sends what came in together at most once in `every`, one sweep at a time; start() it with a checkpoint. The
+    outcomes of each sweep go to put(outcomes, batch_id) of the caller."""
+
+    def writer(put):
+        return stream.writeStream.trigger(processingTime=every).foreachBatch(lambda batch, batch_id: put(send(batch, sink, batch_rows), batch_id))
+
+    return writer

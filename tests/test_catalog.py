@@ -1,6 +1,6 @@
 import pytest
 
-from shoal.plans import reconcile, scalars  # noqa: F401
+import __spark_entry__  # noqa: F401  (its plans register their queries)
 from shoal.plans.catalog import ORACLES, QUERIES
 
 
@@ -9,6 +9,6 @@ def test_query_equals_sql(name, same_as_sql):
     same_as_sql(QUERIES[name], ORACLES[name])
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
-def test_query_runs(name, spark, small):
-    assert QUERIES[name](spark, small).count() >= 0
+def test_queries_without_sql_are_held_elsewhere():
+    """test_brute.py holds each of them against a sequential version."""
+    assert set(QUERIES) - set(ORACLES) == {"lim_buffer_fill", "lim_low_water", "mat_both_eyes", "mat_pair_eyes", "mat_report", "smp_units", "win_settle"}
