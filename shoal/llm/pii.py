@@ -7,7 +7,14 @@ passes the same validation. A value that fails validation is no personal data an
 
 Formats: card numbers, IBANs, US social security numbers, phone numbers, IPv4 addresses, dates of 1900 to 2099 (one day has one
 pseudonym in every notation), e-mail addresses (letters and digits before the top-level domain), access keys and the values of
-password-like settings. Null and empty texts stay as they are. Rows are judged one by one; other columns ride along.
+password-like settings. Days up to the 12th and later ones are permuted among themselves, so a date in numbers is read in the same
+order after as before, and different days never meet.
+
+The key comes from the caller, or from the setting spark.shoal.pii.key; without either a run draws a key of its own and forgets it,
+so its pseudonyms link values within that run alone and nobody can turn them back.
+
+Null and empty texts stay as they are. Rows are judged one by one, repeated ones alike; there is nothing to tie. A text is scanned
+whole, however long. An empty table gives an empty table. Other columns ride along, whatever their names.
 """
 
 from __future__ import annotations
@@ -16,6 +23,7 @@ import datetime
 import hashlib
 import math
 import re
+import secrets
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
@@ -26,12 +34,14 @@ from pyspark.sql.types import LongType, StructField, StructType
 
 from shoal.llm.shared import table
 
-KEY = b"shoal"
+KEY_SETTING = "spark.shoal.pii.key"
 ROUNDS = 8
 KINDS = ("email", "iban", "secret", "ip", "date", "ssn", "card", "phone")
 _MONTHS = ("january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december")
 _MONTH = "|".join(f"{m[:3]}(?:{m[3:]})?" if m[3:] else m for m in _MONTHS)
-_DAY0, _DAYS = datetime.date(1900, 1, 1).toordinal(), datetime.date(2100, 1, 1).toordinal() - datetime.date(1900, 1, 1).toordinal()
+_DAYS = [datetime.date.fromordinal(n) for n in range(datetime.date(1900, 1, 1).toordinal(), datetime.date(2100, 1, 1).toordinal())]
+_CLASSES = ([d for d in _DAYS if d.day <= 12], [d for d in _DAYS if d.day > 12])  # a day over 12 tells the order of a date in numbers
+_PLACE = {d: i for days in _CLASSES for i, d in enumerate(days)}
 
 PATTERN = re.compile(
     rf"""
@@ -168,13 +178,11 @@ def _date(text: str, key: bytes) -> str | None:
             day = datetime.date(*{"ymd": (a, b, c), "dmy": (c, b, a), "mdy": (c, a, b)}[order])
     except (ValueError, StopIteration):
         return None
-    at = day.toordinal() - _DAY0
-    if not 0 <= at < _DAYS:
+    if day not in _PLACE:
         return None
-    new = datetime.date.fromordinal(_DAY0 + permute(at, _DAYS, key, "date"))
+    days = _CLASSES[day.day > 12]
+    new = days[permute(_PLACE[day], len(days), key, "date")]
     if not words:
-        if order != "ymd" and {order, "dmy" if new.day > 12 else order} == {"dmy", "mdy"}:
-            order = "mdy"  # a day above 12 can only be read month first where the pattern was
         values = {"ymd": (new.year, new.month, new.day), "dmy": (new.day, new.month, new.year), "mdy": (new.month, new.day, new.year)}[order]
         return re.sub(r"[0-9]+", lambda _, left=iter(values): f"{next(left):02d}", text)
     month_word = _MONTHS[new.month - 1] if len(words[0]) > 3 or month == 5 else _MONTHS[new.month - 1][:3]
@@ -203,12 +211,12 @@ _MAKE = {"email": _email, "iban": _iban, "secret": _secret, "ip": _ip, "date": _
 
 
 @lru_cache(1 << 14)
-def pseudonym(kind: str, value: str, key: bytes = KEY) -> str | None:
+def pseudonym(kind: str, value: str, key: bytes) -> str | None:
     """The value's pseudonym, None if the value is not valid."""
     return _MAKE[kind](value, key)
 
 
-def replace(text: str, key: bytes = KEY) -> tuple[str, Counter]:
+def replace(text: str, key: bytes) -> tuple[str, Counter]:
     found: Counter = Counter()
     if not _CANDIDATE.search(text):
         return text, found
@@ -224,8 +232,15 @@ def replace(text: str, key: bytes = KEY) -> tuple[str, Counter]:
     return PATTERN.sub(one, text), found
 
 
-def pseudonymise(docs: DataFrame, key: bytes = KEY, counts: bool = False) -> DataFrame:
+def run_key(spark: SparkSession) -> bytes:
+    """The key that the session sets, else a fresh one."""
+    own = spark.conf.get(KEY_SETTING, None)
+    return hashlib.blake2b(own.encode(), digest_size=32).digest() if own else secrets.token_bytes(32)
+
+
+def pseudonymise(docs: DataFrame, key: bytes | None = None, counts: bool = False) -> DataFrame:
     """docs with text replaced; with `counts`, also the number of values of each kind (n_email, n_card, ...)."""
+    key = key or run_key(docs.sparkSession)
     at = docs.columns.index("text")
     schema = StructType([*docs.schema.fields, *(StructField(f"n_{k}", LongType()) for k in KINDS if counts)])
 
