@@ -128,9 +128,10 @@ def near_pairs(hashes: DataFrame, block: str, most: int) -> DataFrame:
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Edges between longs to (node, component), the smallest node reachable, for every node of an edge.
 
-    Every round each label moves to the smallest label of a neighbour of its smallest neighbour; edges are rewritten to labels
-    and those inside one label drop out, so the table shrinks quickly. All steps are joins and map-side combined minima, hence
-    no vertex has to meet its neighbours in one task. Each round is checkpointed.
+    In every round each node points at its smallest neighbour if that is smaller, and follows these pointers to their end by doubling,
+    so a chain of any length takes a logarithm of it. Edges are rewritten to the ends and those inside one label drop out, so the
+    table shrinks quickly. All steps are joins and map-side combined minima, hence no node has to meet its neighbours in one task.
+    Each step is checkpointed.
     """
     from shoal.sources.session import materialise
 
@@ -140,7 +141,11 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     while not edges.isEmpty():
         both = edges.union(edges.select("b", "a"))
         least = both.groupBy(F.col("a").alias("v")).agg(F.min("b").alias("m")).select("v", F.least("v", "m").alias("m"))
-        step = materialise(least.alias("x").join(least.alias("y"), F.col("x.m") == F.col("y.v")).select(F.col("x.v").alias("v"), F.col("y.m").alias("m")))
+        step, moving = materialise(least), True
+        while moving:
+            ahead = step.alias("x").join(step.alias("y"), F.col("x.m") == F.col("y.v"))
+            both = materialise(ahead.select(F.col("x.v").alias("v"), F.col("y.m").alias("m"), (F.col("x.m") != F.col("y.m")).alias("moved")))
+            step, moving = both.select("v", "m"), not both.where("moved").isEmpty()
         labels = materialise(labels.join(step, labels["component"] == step["v"], "left").select("node", F.coalesce("m", "component").alias("component")))
         left = edges.join(step, edges["a"] == step["v"]).select(F.col("m").alias("a"), "b")
         moved = left.join(step, left["b"] == step["v"]).select("a", F.col("m").alias("b"))
