@@ -25,9 +25,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shoal.llm.components import components
 from shoal.llm.shared import materialise, table
 from shoal.llm.text import Polynomial, constants, mix, row_of, shingles, slices, words
+from shoal.operators.lineage import components
 
 BANDS, ROWS, BITS, MARGIN = 32, 5, 4, 5.0
 PERMS = BANDS * ROWS
