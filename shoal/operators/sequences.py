@@ -97,3 +97,20 @@ def queue_room(queue: DataFrame, held: DataFrame, waiting: DataFrame, cap: int)
     before = Window.partitionBy("queue").orderBy("since", "unit").rowsBetween(Window.unboundedPreceding, -1)
     admitted = units.withColumn("ahead", F.coalesce(F.sum("size").over(before), F.lit(0))).join(F.broadcast(room)).where("ahead < room")
     return waiting.join(admitted.select("unit"), "unit", "left_semi").select("asset_id")
+
+
+def advance_cursors(assets: DataFrame, cursors: DataFrame, failed: DataFrame, budget: int, gap_ms: int) -> DataFrame:
+    """(album_id, start, reached, exhausted, skipped) of one scan of every album. assets(album_id, asset_id, ms) in time order;
+    cursors(album_id, scanned, unchanged): a changed album starts anew. A scan takes `budget` assets from the cursor and goes on while the
+    next is within the gap; where an asset of the prefix is in failed(asset_id), as its pixels could not be had, the cursor stays."""
+    w = Window.partitionBy("album_id").orderBy(F.col("ms").asc_nulls_first(), "asset_id")
+    whole = Window.partitionBy("album_id")
+    start = F.when(F.col("unchanged"), F.coalesce("scanned", F.lit(0))).otherwise(0)
+    placed = assets.withColumn("pos", F.row_number().over(w)).withColumn("n", F.count("*").over(whole)).withColumn("near", F.coalesce(F.lead("ms").over(w) - F.col("ms") <= gap_ms, F.lit(False)))
+    known = placed.join(cursors, "album_id", "left").withColumn("start", F.coalesce(start, F.lit(0))).join(failed.select("asset_id", F.lit(True).alias("bad")).distinct(), "asset_id", "left")
+    least = F.least(F.col("start") + max(budget, 1), F.col("n"))
+    stop = F.min(F.when((F.col("pos") >= least) & ~F.col("near"), F.col("pos")))
+    ends = known.groupBy("album_id", "start", "n").agg(stop.alias("end"), F.min(F.when(F.col("bad"), F.col("pos"))).alias("bad_at"), F.bool_or(F.coalesce("unchanged", F.lit(False))).alias("unchanged"))
+    skipped = F.col("unchanged") & (F.col("start") >= F.col("n"))
+    reached = F.when(skipped | (F.col("bad_at") <= F.col("end")), F.col("start")).otherwise(F.col("end"))
+    return ends.select("album_id", F.col("start").cast("long").alias("start"), reached.cast("long").alias("reached"), (reached >= F.col("n")).alias("exhausted"), skipped.alias("skipped"))

@@ -547,7 +547,7 @@ def _(spark, d):
     return found.join(spark.createDataFrame([("src11",)], "album string"), "album", "left_anti")
 
 
-@query("io_json", "SELECT event_id, json_extract_string(props, '$.k') AS k FROM events")
+@query("io_json_guard", "SELECT event_id, json_extract_string(props, '$.k') AS k FROM events")
 def _(spark, d):
     guarded = F.concat(F.lit("while(1){}"), F.col("props"))
     return A.read(spark, d, "events").select("event_id", F.get_json_object(S.json_guard(guarded), "$.k").alias("k"))

@@ -105,6 +105,13 @@ def _(spark, d):
     return whole.join(whole.select((F.col("vec_id") - 1).alias("vec_id"), F.col("hash").alias("other")), "vec_id").select("vec_id", split.alias("x")).select("vec_id", "x.full_bits", "x.luma", "x.colour")
 
 
+@query("vec_luma_hamming", f"{_CELLS}, h AS (SELECT vec_id, {_LUMA} AS luma FROM q) SELECT a.vec_id, CAST({_XOR.format(a='a.luma', b='b.luma')} AS BIGINT) AS bits FROM h a JOIN h b ON b.vec_id = a.vec_id + 1")
+def _(spark, d):
+    whole = _hashed(spark, d).select("vec_id", F.concat("luma", "colour").alias("hash"))
+    both = whole.join(whole.select((F.col("vec_id") - 1).alias("vec_id"), F.col("hash").alias("other")), "vec_id")
+    return both.select("vec_id", vectors.hash_split(F.col("hash"), F.col("other"))["luma"].alias("bits"))
+
+
 @query("vec_sig", f"WITH g AS (SELECT vec_id, {GRID} AS g FROM embeddings), l AS (SELECT vec_id, list_transform(range(0, 16), lambda p: 0.299::DOUBLE * g[p * 4 + 1] + 0.587::DOUBLE * g[p * 4 + 2] + 0.114::DOUBLE * g[p * 4 + 3]) AS y FROM g) SELECT vec_id, k AS cell, CAST(floor((y[k // 2 * 8 + k % 2 * 4 + 1] + y[k // 2 * 8 + k % 2 * 4 + 2] + y[k // 2 * 8 + k % 2 * 4 + 3] + y[k // 2 * 8 + k % 2 * 4 + 4]) / 4) AS BIGINT) AS luma FROM l, range(0, 4) r(k)")
 def _(spark, d):
     return _grids(spark, d).select("vec_id", F.posexplode(vectors.signature(F.col("g"), 8, 2, 2)).alias("cell", "luma")).select("vec_id", F.col("cell").cast("long").alias("cell"), "luma")

@@ -13,8 +13,6 @@ from shoal.plans.units import _DECK, BUILT, HELD, _SETS, built, deck, sets
 from shoal.sources import adapters as A
 from shoal.sources import paged
 
-N, C = F.col("asset_id"), F.col("c_custkey")
-
 
 def _pick(values, n):
     return F.element_at(F.array(*map(F.lit, values)), (n % len(values) + 1).cast("int"))
@@ -33,7 +31,7 @@ def _(spark, d):
 
 @query("hlp_landing", "SELECT c_custkey, CASE WHEN c_custkey % 4 = 3 THEN 'prints' ELSE 'review' END AS tab, CASE c_custkey % 4 WHEN 0 THEN 'sort' WHEN 1 THEN 'edit' WHEN 2 THEN CASE WHEN c_nationkey > 12 THEN 'tag' ELSE 'sort' END END AS mode FROM customer")
 def _(spark, d):
-    return A.read(spark, d, "customer").select("c_custkey", rules.landing(_pick(("sort", "edit", "tag", "prints"), C), F.col("c_nationkey") > 12).alias("l")).select("c_custkey", "l.*")
+    return A.read(spark, d, "customer").select("c_custkey", rules.landing(_pick(("sort", "edit", "tag", "prints"), F.col("c_custkey")), F.col("c_nationkey") > 12).alias("l")).select("c_custkey", "l.*")
 
 
 _DONE = "done AS (SELECT user_id, count(*) FILTER (event_type = 'view') AS reviews, count(*) FILTER (event_type = 'purchase') AS edits, count(*) FILTER (event_type = 'click') AS tags FROM events GROUP BY 1)"
@@ -87,7 +85,7 @@ def _(spark, d):
 @query("hlp_same_settings", "SELECT c_custkey, a IS NOT DISTINCT FROM b AND (ca > 0) = (cb > 0) AS same FROM (SELECT c_custkey, c_mktsegment AS a, lag(c_mktsegment) OVER w AS b, c_custkey % 5 AS ca, lag(c_custkey % 5) OVER w AS cb FROM customer WINDOW w AS (PARTITION BY c_nationkey ORDER BY c_custkey)) WHERE cb IS NOT NULL")
 def _(spark, d):
     w = Window.partitionBy("c_nationkey").orderBy("c_custkey")
-    now = F.struct(F.col("c_mktsegment").alias("morning"), (C % 5).alias("pile"))
+    now = F.struct(F.col("c_mktsegment").alias("morning"), (F.col("c_custkey") % 5).alias("pile"))
     rows = A.read(spark, d, "customer").withColumn("now", now).withColumn("was", F.lag("now").over(w)).where("was is not null")
     return rows.select("c_custkey", rules.same_settings(F.col("now"), F.col("was"), ["morning"], "pile").alias("same"))
 
@@ -121,13 +119,13 @@ def _(spark, d):
 
 @query("st_full_scan", "SELECT album_id, CASE WHEN album_id % 5 <> 0 THEN count(*) FILTER (asset_id % 20 <> 3) >= count(*) ELSE false END AS complete FROM assets GROUP BY 1")
 def _(spark, d):
-    counted = A.assets(spark, d).groupBy("album_id").agg(F.count_if(N % 20 != 3).alias("scanned"), F.when(F.col("album_id") % 5 != 0, F.count("*")).alias("population"))
+    counted = A.assets(spark, d).groupBy("album_id").agg(F.count_if(F.col("asset_id") % 20 != 3).alias("scanned"), F.when(F.col("album_id") % 5 != 0, F.count("*")).alias("population"))
     return counted.select("album_id", rules.fully_scanned(F.col("scanned"), F.col("population")).alias("complete"))
 
 
 @query("dml_stereo_roll", "WITH s AS (SELECT group_id, array_agg(CASE asset_id % 3 WHEN 0 THEN 'keep' WHEN 1 THEN 'reject' ELSE 'edit' END) AS v, bool_or(asset_id % 31 = 0) AS flat FROM shot_groups WHERE type = 'stereo' GROUP BY 1) SELECT group_id, CASE WHEN flat OR list_contains(v, 'edit') THEN 'toEdit' WHEN list_contains(v, 'keep') THEN 'kept' ELSE 'rejected' END AS status FROM s")
 def _(spark, d):
-    said = A.shot_groups(spark, d).where("type = 'stereo'").groupBy("group_id").agg(F.collect_set(_pick(("keep", "reject", "edit"), N)).alias("v"), F.bool_or(N % 31 == 0).alias("flat"))
+    said = A.shot_groups(spark, d).where("type = 'stereo'").groupBy("group_id").agg(F.collect_set(_pick(("keep", "reject", "edit"), F.col("asset_id"))).alias("v"), F.bool_or(F.col("asset_id") % 31 == 0).alias("flat"))
     return said.select("group_id", rules.stereo_verdict(F.col("flat"), F.col("v")).alias("status"))
 
 
@@ -194,7 +192,7 @@ def _(spark, d):
 @query("lim_buffer_take", f"WITH {_DECK}, bad AS (SELECT asset_id FROM shot_verdicts WHERE status <> 'backlog' UNION SELECT asset_id FROM shots WHERE asset_id % 19 = 0), us AS (SELECT deck_id, pos, unit_id FROM deck WHERE unit_id NOT IN (SELECT unit_id FROM holds WHERE asset_id IN (SELECT asset_id FROM bad))) SELECT deck_id, unit_id, row_number() OVER (PARTITION BY deck_id ORDER BY pos) <= 3 AS taken FROM us")
 def _(spark, d):
     queue = built(spark, d).withColumn("deck_id", F.col("album_id")).withColumn("pos", F.col("unit_id"))
-    return units.take_front(queue, A.shot_verdicts(spark, d), A.shots(spark, d).where(N % 19 == 0), 3).select("deck_id", "unit_id", "taken")
+    return units.take_front(queue, A.shot_verdicts(spark, d), A.shots(spark, d).where(F.col("asset_id") % 19 == 0), 3).select("deck_id", "unit_id", "taken")
 
 
 @query("dml_withdraw", f"WITH {_DECK}, cur AS (SELECT deck_id, arg_min(unit_id, abs(pos - 2)) AS cur FROM deck GROUP BY 1), k AS (SELECT d.deck_id, d.unit_id, cur, row_number() OVER (PARTITION BY d.deck_id ORDER BY pos) - 1 AS i, kind <> 'photo' AS open FROM deck d JOIN cur USING (deck_id) WHERE kind <> 'edit') SELECT deck_id, count(*) AS n, coalesce(max(CASE WHEN unit_id = cur THEN i END), min(CASE WHEN open THEN i END), 0) AS cursor_at FROM k GROUP BY 1")
@@ -207,7 +205,7 @@ def _(spark, d):
 @query("dml_burst", f"WITH {BUILT}, b AS (SELECT unit_id, unnest(members) AS asset_id FROM units WHERE kind = 'burst'), w AS (SELECT *, count(*) FILTER (asset_id % 2 = 0) OVER (PARTITION BY unit_id) AS kept, count(*) OVER (PARTITION BY unit_id) AS n FROM b) SELECT unit_id, CAST(asset_id AS VARCHAR) AS asset_id, CASE WHEN asset_id % 2 = 0 THEN 'single' ELSE 'rejected' END AS what FROM w UNION ALL SELECT DISTINCT unit_id, unit_id, CASE WHEN kept = 0 THEN 'rejected' WHEN kept = n THEN 'gone' ELSE 'culled' END FROM w")
 def _(spark, d):
     bursts = built(spark, d).where("kind = 'burst'")
-    kept = bursts.select(F.explode("members").alias("asset_id")).where(N % 2 == 0)
+    kept = bursts.select(F.explode("members").alias("asset_id")).where(F.col("asset_id") % 2 == 0)
     return units.resolve_bursts(bursts, kept)
 
 
@@ -240,7 +238,7 @@ def _(spark, d):
     listed = A.listing(spark, d).where("album = 'Edit' and original_id is null").select(F.col("id").alias("asset_id"))
     since = A.filings(spark, d).select("asset_id", F.col("filed_at").alias("at"))
     queue = facts.edit_queue(listed, A.verdicts(spark, d), since, listed.limit(0), 5_000_000, 6_000_000)
-    waiting = lineage.outstanding(A.verdicts(spark, d), A.filings(spark, d)).where("album = 'Edit'").select("asset_id", F.floor(N / 3).alias("unit"), N.alias("since"))
+    waiting = lineage.outstanding(A.verdicts(spark, d), A.filings(spark, d)).where("album = 'Edit'").select("asset_id", F.floor(F.col("asset_id") / 3).alias("unit"), F.col("asset_id").alias("since"))
     return sequences.queue_room(queue, listed, waiting, 60)
 
 
@@ -253,8 +251,8 @@ def _(spark, d):
 @query("agg_filed_set", "WITH f AS (SELECT asset_id, ['Edit', 'Keep', 'Print'][k + 1] AS album, asset_id * 10 + (asset_id + k) % 3 AS ts FROM meta, range(0, 3) r(k) WHERE (asset_id + k) % 4 <> 0), g AS (SELECT asset_id, array_to_string(list(album ORDER BY ts, album), ',') AS albums, max(ts) AS at FROM f WHERE NOT (album = 'Keep' AND asset_id % 2 = 0) GROUP BY 1) SELECT * FROM g")
 def _(spark, d):
     k = F.explode(F.sequence(F.lit(0), F.lit(2)))
-    log = A.meta(spark, d).select("asset_id", k.alias("k")).where((N + F.col("k")) % 4 != 0).select("asset_id", _pick(("Edit", "Keep", "Print"), F.col("k")).alias("album"), (N * 10 + (N + F.col("k")) % 3).alias("at"))
-    forget = A.meta(spark, d).where(N % 2 == 0).select("asset_id", F.lit("Keep").alias("album"))
+    log = A.meta(spark, d).select("asset_id", k.alias("k")).where((F.col("asset_id") + F.col("k")) % 4 != 0).select("asset_id", _pick(("Edit", "Keep", "Print"), F.col("k")).alias("album"), (F.col("asset_id") * 10 + (F.col("asset_id") + F.col("k")) % 3).alias("at"))
+    forget = A.meta(spark, d).where(F.col("asset_id") % 2 == 0).select("asset_id", F.lit("Keep").alias("album"))
     return facts.filed_sets(tables.delete(log, forget, ["asset_id", "album"])).select("asset_id", F.array_join("albums", ",").alias("albums"), "at")
 
 
@@ -294,35 +292,35 @@ def _(spark, d):
 
 @query("join_outstanding", f"WITH w AS (SELECT CAST(asset_id AS VARCHAR) AS asset_id, {FILED} AS album FROM verdicts UNION ALL SELECT 'burst:' || asset_id, 'Edit' FROM verdicts) SELECT asset_id, album FROM w WHERE album IS NOT NULL AND NOT contains(asset_id, ':') AND CAST(asset_id AS BIGINT) % 6 <> 0 AND NOT EXISTS (SELECT 1 FROM filings f WHERE CAST(f.asset_id AS VARCHAR) = w.asset_id AND f.album = w.album)")
 def _(spark, d):
-    v = A.verdicts(spark, d).withColumn("asset_id", N.cast("string"))
+    v = A.verdicts(spark, d).withColumn("asset_id", F.col("asset_id").cast("string"))
     cards = v.withColumn("asset_id", F.concat(F.lit("burst:"), "asset_id")).withColumn("status", F.lit("toEdit"))
-    held = A.verdicts(spark, d).where(N % 6 == 0).select(N.cast("string").alias("asset_id"))
-    filed = A.filings(spark, d).withColumn("asset_id", N.cast("string"))
+    held = A.verdicts(spark, d).where(F.col("asset_id") % 6 == 0).select(F.col("asset_id").cast("string").alias("asset_id"))
+    filed = A.filings(spark, d).withColumn("asset_id", F.col("asset_id").cast("string"))
     return lineage.outstanding_assets(v.unionByName(cards), filed, held)
 
 
 @query("join_gaps", "WITH g AS (SELECT asset_id, album FROM filings f WHERE NOT EXISTS (SELECT 1 FROM listing l WHERE l.album = f.album AND coalesce(l.original_id, l.id) = f.asset_id) AND asset_id % 12 <> 0) SELECT album, count(g.asset_id) AS missing, coalesce(min(g.asset_id), 0) AS first_missing, (SELECT count(*) FROM listing l WHERE l.album = a.album AND original_id IS NOT NULL) AS deleted FROM (SELECT DISTINCT album FROM filings) a LEFT JOIN g USING (album) GROUP BY 1")
 def _(spark, d):
-    purged = A.filings(spark, d).where(N % 12 == 0).select("asset_id", "album")
+    purged = A.filings(spark, d).where(F.col("asset_id") % 12 == 0).select("asset_id", "album")
     found = lineage.album_gaps(A.filings(spark, d), A.listing(spark, d), purged)
     return found.select("album", F.size("missing").cast("long").alias("missing"), F.coalesce(F.array_min("missing"), F.lit(0)).alias("first_missing"), "deleted")
 
 
 @query("join_edit_candidates", f"WITH {_SETS}, s AS (SELECT asset_id, coalesce(set_id, asset_id) AS set_id FROM shots LEFT JOIN c ON node = asset_id), q AS (SELECT s.asset_id, set_id FROM s JOIN shot_verdicts v USING (asset_id) WHERE v.status = 'toEdit' AND asset_id % 9 <> 4 AND asset_id % 21 <> 0) SELECT set_id, min(asset_id) AS lead, count(*) AS n, min(asset_id) * 10 AS filed_at FROM q GROUP BY 1")
 def _(spark, d):
-    filed = A.shots(spark, d).where(N % 9 != 4).select("asset_id", (N * 10).alias("filed_at"))
-    gone = A.shots(spark, d).where(N % 21 == 0).select("asset_id")
+    filed = A.shots(spark, d).where(F.col("asset_id") % 9 != 4).select("asset_id", (F.col("asset_id") * 10).alias("filed_at"))
+    gone = A.shots(spark, d).where(F.col("asset_id") % 21 == 0).select("asset_id")
     return lineage.edit_candidates(filed, A.shot_verdicts(spark, d), gone, sets(spark, d))
 
 
 @query("join_remember", "WITH known AS (SELECT asset_id FROM meta WHERE asset_id % 3 = 0), m AS (SELECT asset_id, asset_id % 5 AS k, asset_id - asset_id % 5 AS base FROM meta), un AS (SELECT * FROM m WHERE asset_id NOT IN (SELECT asset_id FROM known)) SELECT asset_id FROM un WHERE k IN (3, 4) UNION SELECT asset_id FROM un WHERE k = 0 AND base IN (SELECT base FROM m WHERE k IN (3, 4))")
 def _(spark, d):
-    return lineage.remembered(A.meta(spark, d), A.meta(spark, d).where(N % 3 == 0))
+    return lineage.remembered(A.meta(spark, d), A.meta(spark, d).where(F.col("asset_id") % 3 == 0))
 
 
 @query("join_verdict_work", "SELECT (SELECT count(*) FROM meta) = 0 OR EXISTS (SELECT 1 FROM meta WHERE asset_id NOT IN (SELECT asset_id FROM verdicts WHERE status <> 'backlog')) OR EXISTS (SELECT 1 FROM verdicts WHERE status = 'toEdit') OR EXISTS (SELECT 1 FROM verdicts WHERE status IN ('kept', 'toPrint') AND asset_id % 4 <> 0) AS work")
 def _(spark, d):
-    tagged = A.meta(spark, d).where(N % 4 == 0).select("asset_id")
+    tagged = A.meta(spark, d).where(F.col("asset_id") % 4 == 0).select("asset_id")
     return facts.work_waiting(A.meta(spark, d), A.verdicts(spark, d), tagged)
 
 
@@ -337,3 +335,11 @@ def _(spark, d):
     wanted = spark.createDataFrame([("pile", "stat", 15, None, None, 0), ("new year", "date", None, "12-20", "01-10", 0), ("spring", "date", None, "03-01", "05-31", 0), ("plain", "any", None, None, None, 30)], "id string, type string, least long, a string, b string, cool int")
     stat = rules.stat_matches(F.lit("pile"), F.col("least"), F.array().cast("array<long>"), F.col("reviews"), F.lit(0).cast("long"), F.lit(0), F.lit(0))
     return selection.messages_due(_done(spark, d).withColumn("day", F.lit("2024-01-05").cast("date")), wanted, stat, F.col("user_id") % 40).select("user_id", "id")
+
+
+@query("st_cursor", "WITH c AS (SELECT DISTINCT album_id, album_id % 4 * 6 + CASE WHEN album_id % 5 = 0 THEN 100000 ELSE 0 END AS scanned, album_id % 3 <> 0 AS unchanged FROM assets WHERE album_id % 6 <> 1), p AS (SELECT *, row_number() OVER w AS pos, count(*) OVER (PARTITION BY album_id) AS n, coalesce(lead(ms) OVER w - ms <= 10800000, false) AS near FROM assets WINDOW w AS (PARTITION BY album_id ORDER BY ms NULLS FIRST, asset_id)), k AS (SELECT p.*, CASE WHEN unchanged THEN scanned ELSE 0 END AS start, coalesce(unchanged, false) AS same FROM p LEFT JOIN c USING (album_id)), e AS (SELECT album_id, start, n, same, min(CASE WHEN pos >= least(start + 10, n) AND NOT near THEN pos END) AS stop, min(CASE WHEN asset_id % 40 = 7 THEN pos END) AS bad FROM k GROUP BY 1, 2, 3, 4), r AS (SELECT *, CASE WHEN (same AND start >= n) OR coalesce(bad <= stop, false) THEN start ELSE stop END AS reached FROM e) SELECT album_id, CAST(start AS BIGINT) AS start, CAST(reached AS BIGINT) AS reached, reached >= n AS exhausted, same AND start >= n AS skipped FROM r")
+def _(spark, d):
+    n = F.col("album_id")
+    assets = A.assets(spark, d).select("album_id", "asset_id", "ms")
+    cursors = assets.select("album_id").distinct().where(n % 6 != 1).select("album_id", (n % 4 * 6 + F.when(n % 5 == 0, 100_000).otherwise(0)).alias("scanned"), (n % 3 != 0).alias("unchanged"))
+    return sequences.advance_cursors(assets, cursors, assets.where(F.col("asset_id") % 40 == 7), 10, 10_800_000)

@@ -10,13 +10,12 @@ from shoal.plans.catalog import GRID, HAM, query
 from shoal.plans.units import built
 from shoal.sources import adapters as A
 
-N = F.col("asset_id")
 FRAMES = "frames AS (SELECT *, CASE WHEN album_id % 2 = 0 THEN 's' || asset_id % 2 ELSE camera END AS serial, CASE pos % 4 WHEN 2 THEN 'L' WHEN 3 THEN 'R' END AS named FROM shots)"
 SIDES = f"{FRAMES}, votes AS (SELECT album_id, serial, sum(CASE named WHEN 'L' THEN 1 WHEN 'R' THEN -1 ELSE 0 END) AS score FROM frames WHERE serial <> '' GROUP BY 1, 2), pick AS (SELECT album_id, (array_agg(serial ORDER BY score DESC, serial))[1] AS l FROM votes GROUP BY 1 HAVING count(*) = 2), sides AS (SELECT album_id, serial, CASE WHEN serial = l THEN 'L' ELSE 'R' END AS eye FROM votes JOIN pick USING (album_id))"
 
 
 def frames(spark, d):
-    serial = F.when(F.col("album_id") % 2 == 0, F.concat(F.lit("s"), (N % 2).cast("string"))).otherwise(F.col("camera"))
+    serial = F.when(F.col("album_id") % 2 == 0, F.concat(F.lit("s"), (F.col("asset_id") % 2).cast("string"))).otherwise(F.col("camera"))
     return A.shots(spark, d).withColumn("serial", serial)
 
 
@@ -136,8 +135,8 @@ def split(spark, d):
     roles = albums.where(n % 4 < 3).select("album_id", role.alias("role"))
     links = roles.where("role = 'left' and album_id % 8 = 0").select(n.alias("left_album"), (n + 1).alias("right_album"))
     there = links.join(albums.select(n.alias("right_album")), "right_album")
-    left = shots.where("pos % 5 <> 0").select(n.alias("left_album"), "pos", N.alias("left_id")).join(there, "left_album")
-    pairs = left.join(shots.select(n.alias("right_album"), "pos", N.alias("right_id")), ["right_album", "pos"]).select("left_id", "right_id")
+    left = shots.where("pos % 5 <> 0").select(n.alias("left_album"), "pos", F.col("asset_id").alias("left_id")).join(there, "left_album")
+    pairs = left.join(shots.select(n.alias("right_album"), "pos", F.col("asset_id").alias("right_id")), ["right_album", "pos"]).select("left_id", "right_id")
     out = stereo.split_albums(shots, roles, links, albums.where(n % 3 != 0), A.shot_groups(spark, d), pairs)
     return out, roles, links, pairs
 
@@ -187,10 +186,10 @@ def _(spark, d):
 @query("clu_stereo_union", f"WITH {_NEAR}, nm AS (SELECT a.asset_id AS a, b.asset_id AS b FROM shots a JOIN shots b ON a.album_id = b.album_id AND b.pos = a.pos + 1 WHERE a.pos % 4 = 2), lg AS (SELECT asset_id, album_id, ms, camera, lag(asset_id) OVER w AS p, lag(ms) OVER w AS pm, lag(camera) OVER w AS pc FROM assets WHERE ms IS NOT NULL WINDOW w AS (PARTITION BY album_id ORDER BY ms, asset_id)), al AS (SELECT a, b FROM e UNION ALL SELECT a, b FROM nm UNION ALL SELECT p, asset_id FROM lg WHERE ms - pm <= 10800000 AND coalesce(camera, '') = coalesce(pc, '')), {_CLOSE.format(e='al')} SELECT node AS asset_id, set_id FROM c")
 def _(spark, d):
     s = A.shots(spark, d).select("album_id", "pos", "asset_id")
-    named = s.where("pos % 4 = 2").select("album_id", (F.col("pos") + 1).alias("pos"), N.alias("a")).join(s.withColumnRenamed("asset_id", "b"), ["album_id", "pos"])
+    named = s.where("pos % 4 = 2").select("album_id", (F.col("pos") + 1).alias("pos"), F.col("asset_id").alias("a")).join(s.withColumnRenamed("asset_id", "b"), ["album_id", "pos"])
     runs = sequences.time_runs(A.assets(spark, d), 10_800_000, same_camera=True)
     before = F.lag("asset_id").over(Window.partitionBy("album_id", "run").orderBy("ms", "asset_id"))
-    steps = runs.select(before.alias("a"), N.alias("b")).where("a is not null")
+    steps = runs.select(before.alias("a"), F.col("asset_id").alias("b")).where("a is not null")
     return stereo.union_sets(near(spark, d), named, steps)
 
 

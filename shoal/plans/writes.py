@@ -12,11 +12,9 @@ from shoal.plans.units import _SETS, sets
 from shoal.sources import adapters as A
 from shoal.sources import paged
 
-N = F.col("asset_id")
-
 
 def _some(spark, d, rest, by=8):
-    return A.shots(spark, d).where(N % by == rest).select("asset_id")
+    return A.shots(spark, d).where(F.col("asset_id") % by == rest).select("asset_id")
 
 
 def _set_status(status, ids, save_only="save_only"):
@@ -27,7 +25,7 @@ _BASES = "bases AS (SELECT asset_id, 'h' || asset_id AS hash, 's' || asset_id %
 
 
 def _bases(spark, d):
-    return A.shots(spark, d).where(N % 3 != 1).select("asset_id", F.concat(F.lit("h"), N.cast("string")).alias("hash"), F.concat(F.lit("s"), (N % 50).cast("string")).alias("stamp"))
+    return A.shots(spark, d).where(F.col("asset_id") % 3 != 1).select("asset_id", F.concat(F.lit("h"), F.col("asset_id").cast("string")).alias("hash"), F.concat(F.lit("s"), (F.col("asset_id") % 50).cast("string")).alias("stamp"))
 
 
 @query("dml_printable", _set_status("toPrint", "SELECT asset_id FROM shots WHERE asset_id % 8 = 3"))
@@ -39,7 +37,7 @@ def _(spark, d):
 def _(spark, d):
     events = A.read(spark, d, "events").select(F.col("event_id").alias("asset_id"), F.to_date("ts").alias("day"), "event_type")
     progress = events.where("event_type = 'purchase'").groupBy("day").agg(F.count("*").alias("edits"))
-    return writes.promote(A.shot_verdicts(spark, d), progress, events.where(N % 8 == 3))[1]
+    return writes.promote(A.shot_verdicts(spark, d), progress, events.where(F.col("asset_id") % 8 == 3))[1]
 
 
 @query("dml_stand_down", f"WITH {_BASES} SELECT 'verdict' AS part, asset_id, status, save_only FROM ({_set_status('kept', 'SELECT asset_id FROM shots WHERE asset_id % 8 = 5', 'true')}) UNION ALL SELECT 'baseline', asset_id, NULL, NULL FROM bases WHERE asset_id % 8 <> 5")
@@ -58,7 +56,7 @@ _MANIFEST = "manifest AS (SELECT album_id, asset_id, 'm' || asset_id % 9 AS stam
 
 
 def _manifest(spark, d):
-    return A.shots(spark, d).where(N % 5 != 2).select("album_id", "asset_id", F.concat(F.lit("m"), (N % 9).cast("string")).alias("stamp"))
+    return A.shots(spark, d).where(F.col("asset_id") % 5 != 2).select("album_id", "asset_id", F.concat(F.lit("m"), (F.col("asset_id") % 9).cast("string")).alias("stamp"))
 
 
 @query("dml_stamp_lookup", f"WITH {_MANIFEST} SELECT asset_id, stamp FROM manifest WHERE asset_id % 8 = 1")
@@ -68,7 +66,7 @@ def _(spark, d):
 
 @query("dml_baseline", f"WITH {_BASES}, {_MANIFEST} SELECT asset_id, hash, stamp, 0 AS at FROM bases WHERE asset_id % 8 <> 1 UNION ALL SELECT s.asset_id, CASE WHEN s.asset_id % 3 = 0 THEN 'seen' WHEN lo IS NOT NULL THEN CAST(lo AS VARCHAR) ELSE 'fresh' END, CASE WHEN s.asset_id % 7 = 0 THEN 'now' ELSE m.stamp END, 1 FROM shots s JOIN assets a USING (asset_id) LEFT JOIN manifest m ON m.asset_id = s.asset_id WHERE s.asset_id % 8 = 1")
 def _(spark, d):
-    seen = _some(spark, d, 1).select("asset_id", F.when(N % 3 == 0, "seen").alias("hash"), F.when(N % 7 == 0, "now").alias("stamp"))
+    seen = _some(spark, d, 1).select("asset_id", F.when(F.col("asset_id") % 3 == 0, "seen").alias("hash"), F.when(F.col("asset_id") % 7 == 0, "now").alias("stamp"))
     cached = A.assets(spark, d).where("lo is not null").select("asset_id", F.col("lo").cast("string").alias("hash"))
     fresh = A.shots(spark, d).select("asset_id", F.lit("fresh").alias("hash"))
     stamps = writes.manifest_stamps(seen, A.shots(spark, d), _manifest(spark, d))
@@ -77,14 +75,14 @@ def _(spark, d):
 
 @query("dml_keep_editing", f"WITH {_BASES}, t AS (SELECT asset_id, 'n' || asset_id AS hash, 'u' || asset_id % 50 AS stamp FROM shots WHERE asset_id // 6 % 4 = 1 AND asset_id % 3 <> 0) SELECT asset_id, hash, stamp, 0 AS at FROM bases WHERE asset_id NOT IN (SELECT asset_id FROM t) UNION ALL SELECT asset_id, hash, stamp, 1 FROM t")
 def _(spark, d):
-    state = F.when(N % 3 == 0, "untouched").otherwise("edited")
-    findings = A.shots(spark, d).select("asset_id", F.floor(N / 6).alias("set_id"), state.alias("state"), F.concat(F.lit("n"), N.cast("string")).alias("hash"), F.concat(F.lit("u"), (N % 50).cast("string")).alias("stamp"))
+    state = F.when(F.col("asset_id") % 3 == 0, "untouched").otherwise("edited")
+    findings = A.shots(spark, d).select("asset_id", F.floor(F.col("asset_id") / 6).alias("set_id"), state.alias("state"), F.concat(F.lit("n"), F.col("asset_id").cast("string")).alias("hash"), F.concat(F.lit("u"), (F.col("asset_id") % 50).cast("string")).alias("stamp"))
     return writes.keep_editing(_bases(spark, d).withColumn("at", F.lit(0)), findings, findings.where("set_id % 4 = 1"), F.lit(1))
 
 
 @query("dml_requeue", f"WITH w AS (SELECT asset_id, {FILED} AS album FROM verdicts), o AS (SELECT asset_id FROM w WHERE album = 'Edit' AND (asset_id % 10 = 0 OR asset_id NOT IN (SELECT asset_id FROM filings WHERE album = 'Edit'))) SELECT asset_id, 'Edit' AS album FROM o ORDER BY asset_id LIMIT 25")
 def _(spark, d):
-    again = A.meta(spark, d).where(N % 10 == 0).select("asset_id")
+    again = A.meta(spark, d).where(F.col("asset_id") % 10 == 0).select("asset_id")
     return writes.requeue(A.verdicts(spark, d), A.filings(spark, d), again, "Edit", 25)
 
 
@@ -98,8 +96,8 @@ _TAGS = "tags AS (SELECT asset_id, 't' || asset_id % 4 AS a, CASE WHEN asset_id
 
 
 def _tags(spark, d):
-    own = F.concat(F.lit("t"), (N % 4).cast("string"))
-    return A.shots(spark, d).where(N % 2 == 0).select("asset_id", F.when(N % 6 == 0, F.array(own, F.lit("t9"))).otherwise(F.array(own)).alias("tags"))
+    own = F.concat(F.lit("t"), (F.col("asset_id") % 4).cast("string"))
+    return A.shots(spark, d).where(F.col("asset_id") % 2 == 0).select("asset_id", F.when(F.col("asset_id") % 6 == 0, F.array(own, F.lit("t9"))).otherwise(F.array(own)).alias("tags"))
 
 
 def _flat(tags):
@@ -118,7 +116,7 @@ def _(spark, d):
 
 @query("dml_tag_swipe", f"WITH {_SETS}, {_TAGS}, s AS (SELECT asset_id, coalesce(set_id, asset_id) AS set_id FROM shots LEFT JOIN c ON node = asset_id), sw AS (SELECT set_id, 't' || max(asset_id) % 4 AS tag FROM s WHERE asset_id % 10 = 1 GROUP BY 1) SELECT asset_id, concat_ws(',', a, b) AS tags FROM tags WHERE asset_id NOT IN (SELECT asset_id FROM s JOIN sw USING (set_id)) UNION ALL SELECT asset_id, tag FROM s JOIN sw USING (set_id)")
 def _(spark, d):
-    swipes = _some(spark, d, 1, 10).withColumn("tag", F.concat(F.lit("t"), (N % 4).cast("string")))
+    swipes = _some(spark, d, 1, 10).withColumn("tag", F.concat(F.lit("t"), (F.col("asset_id") % 4).cast("string")))
     return _flat(writes.swipe_tag(_tags(spark, d), sets(spark, d), swipes))
 
 
