@@ -7,9 +7,9 @@ anchors are aligned alike, with what is unique in them, until nothing more is. C
 were aligned. A text is only aligned with a template if it holds enough of the template's distinct words to reach the least
 coverage, which is an exact bound.
 
-Null and empty texts hold no license. One row is returned for each document and license found, that of the best template and
-window (ties: the first); where windows of several licenses overlap, as those of one family do, only the one with most aligned words
-counts. Short templates must be aligned in full, longer ones with the words that tell the license from its relatives. Repeated rows give repeated results. A null doc_id is carried along.
+Null and empty texts hold no license. One row is returned for each place of a document where a license is found; where places overlap, as
+those of one family do, only the one with most aligned words counts (ties: the higher coverage, then the first). A text is read whole,
+however long. An empty table gives no rows; other columns are ignored. Short templates must be aligned in full, longer ones with the words that tell the license from its relatives. Repeated rows give repeated results. A null doc_id is carried along.
 """
 
 from __future__ import annotations
@@ -148,14 +148,12 @@ def windows(places: np.ndarray, ids: np.ndarray, template: np.ndarray, n_words:
     return out
 
 
-def best_fit(line: list[int], template: np.ndarray, spans: list[tuple[int, int]], telling: set[int]) -> tuple[int, int, int]:
-    """(aligned words, first word, end word) of the best window in which all telling words are aligned, and a short template in full."""
-    best = (0, 0, 0)
+def fits(line: list[int], template: np.ndarray, spans: list[tuple[int, int]], telling: set[int]) -> Iterator[tuple[int, int, int]]:
+    """(aligned words, first word, end word) of the windows in which all telling words are aligned, and a short template in full."""
     for lo, hi in spans:
         found = patience(line[lo:hi], template.tolist())
-        if len(found) > best[0] and (len(found) == len(template) or (len(template) > SHORT and telling <= {int(template[j]) for _, j in found})):
-            best = (len(found), lo + found[0][0], lo + found[-1][0] + 1)
-    return best
+        if found and (len(found) == len(template) or (len(template) > SHORT and telling <= {int(template[j]) for _, j in found})):
+            yield len(found), lo + found[0][0], lo + found[-1][0] + 1
 
 
 def scan(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, least_percent: int = LEAST_PERCENT) -> DataFrame:
@@ -177,18 +175,17 @@ def scan(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, le
                 for r in np.flatnonzero(hopeful.any(1)):
                     line = np.where(known[first[r] : first[r + 1]], at[first[r] : first[r + 1]], -1)
                     places = np.flatnonzero(line >= 0)
-                    best: dict[str, tuple] = {}
+                    found: list[tuple] = []
                     for t in np.flatnonzero(hopeful[r]):
                         size = len(lib.ids[t])
-                        n, start, end = best_fit(line.tolist(), lib.ids[t], windows(places, line[places], lib.ids[t], len(line)), lib.telling[t])
-                        name = lib.names[t]
-                        if 100 * n >= least_percent * size and (n / size, n) > best.get(name, (0.0, 0))[:2]:
-                            best[name] = (n / size, n, size, start, end)
+                        for n, start, end in fits(line.tolist(), lib.ids[t], windows(places, line[places], lib.ids[t], len(line)), lib.telling[t]):
+                            if 100 * n >= least_percent * size:
+                                found.append((-n, -n / size, start, end, size, lib.names[t]))
                     taken: list[tuple[int, int]] = []
-                    for name, found in sorted(best.items(), key=lambda x: (-x[1][1], -x[1][0])):
-                        if all(found[4] <= a or found[3] >= b for a, b in taken):
-                            taken.append(found[3:])
-                            out.append((batch.column(0)[lo + int(r)].as_py(), name, *found))
+                    for n, share, start, end, size, name in sorted(found):
+                        if all(start >= b or end <= a for a, b in taken):
+                            taken.append((start, end))
+                            out.append((batch.column(0)[lo + int(r)].as_py(), name, -share, -n, size, start, end))
             types = (pa.int64(), pa.string(), pa.float64(), pa.int32(), pa.int32(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * 7, types, strict=True)], [c.split()[0] for c in schema.split(", ")])
 
