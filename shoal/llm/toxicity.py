@@ -10,10 +10,10 @@ windows of other documents that it finds most toxic and as many random ones. A d
 of its highest window. As the softmax is linear, scoring folds each bucket's vector to one number and reads every text once.
 
 The model is fitted on at most MAX_POSITIVE and MAX_NEGATIVE labelled rows (those of smallest hashed id) and at most MAX_WINDOWS
-windows of each; it holds BUCKETS numbers (1 MB) whatever the size of the corpus, which bounds its broadcast.
+windows of each, all three parameters of fit; scores come from all windows of all texts. It holds BUCKETS numbers (1 MB) whatever the size of the corpus, which bounds its broadcast.
 
 Null and empty texts, and all texts where no labelled row of both classes exists, score the prior (0 without positives).
-Repeated rows score alike. Labels with a null id or mark are ignored; of several labels for an id the highest counts.
+Repeated rows score alike, as do ties; a very long text is scored by all its windows; an empty table gives no rows. Labels with a null id or mark are ignored; of several labels for an id the highest counts.
 """
 
 from __future__ import annotations
@@ -216,7 +216,9 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_positive: int = MAX_POSITIVE, max_negative: int = MAX_NEGATIVE) -> tuple[np.ndarray, float]:
+def fit(docs: DataFrame, labels: DataFrame, max_positive: int = MAX_POSITIVE, max_negative: int = MAX_NEGATIVE, max_windows: int = MAX_WINDOWS) -> tuple[np.ndarray, float]:
+    """Vectors folded to one number a bucket, and a bias, fitted on at most max_positive and max_negative labelled texts and max_windows
+    windows of each, those of smallest hash."""
     known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where(~held_out(F.col("doc_id")))
     of = lambda mark, n: known.where(mark).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
     chosen = of("toxic > 0", max_positive).union(of("toxic <= 0", max_negative))  # at most the two bounds: it may be broadcast
@@ -227,9 +229,9 @@ def fit(docs: DataFrame, labels: DataFrame, max_positive: int = MAX_POSITIVE, ma
             for doc_id, mark, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 ws = (text or "").encode().split()
                 lo = windows(len(ws))
-                if len(lo) > MAX_WINDOWS:
+                if len(lo) > max_windows:
                     key = mix(lo.astype(np.uint64) + np.uint64(doc_id & (1 << 62) - 1))
-                    lo = np.sort(lo[np.argsort(key)[:MAX_WINDOWS]])
+                    lo = np.sort(lo[np.argsort(key)[:max_windows]])
                 out += [(doc_id, mark, b" ".join(ws[i : i + WINDOW]).decode(errors="replace")) for i in lo]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * 3, (pa.int64(), pa.int32(), pa.string()), strict=True)], ["doc_id", "toxic", "text"])
 
