@@ -156,7 +156,9 @@ def measure(docs: DataFrame, rules: tuple[Rule, ...] = BASE + STYLE, sample_rows
         for batch in batches:
             for _, _, data, offs in slices(batch.column(0)):
                 for name in names:
-                    t, began = Texts(data, offs), time.perf_counter()
+                    t = Texts(data, offs)
+                    t["words"]  # every rule finds them there, so none is charged for them
+                    began = time.perf_counter()
                     out = RULES[name].rejects(t).sum()
                     yield pa.RecordBatch.from_pydict({"rule": [name], "seconds": [time.perf_counter() - began], "rejected": [float(out)], "texts": [float(t.n)]})
 
