@@ -4,14 +4,17 @@ Documents (pieces, where one is longer than a sequence) and gaps are whole numbe
 either is run-length coded: one row per length with a count, one row per gap with runs of sequences. Each bulk-synchronous
 round takes all pieces of the next length at once, sweeps for the successor among the gaps (the smallest that holds the
 length), gives the pieces places by their rank within the length, updates the gaps and repeats. The rounds thus read a
-histogram of at most `capacity` rows, whatever the size of the corpus; the result is that of best-fit decreasing. Ranks are
-dealt by Spark: pieces are counted per (length, salt), prefix sums over the salts give each (length, salt) its first rank,
-and a row number within (length, salt) the rest, so no length has to meet in one task.
+histogram of at most `capacity` rows, whatever the size of the corpus; the result is that of best-fit decreasing. Pieces that fill a
+sequence, which are most of a corpus of long documents, take part in no round and get numbers of their own where they lie. Ranks
+of the others are dealt by Spark: a length has a salt for every SHARE pieces, pieces are counted per (length, salt), prefix sums over
+the salts give each (length, salt) its first rank, and a row number within (length, salt) the rest, so no length meets in one task.
 
 Every run of sequences is split at most twice a round and each visit halves its gap at least, so a plan has at most
 4 * capacity * log2(capacity) steps (3 MB for 2,048): that bounds what is broadcast.
 
-A null text is empty, which is the closing id alone. Repeated rows are packed once each. An empty table gives no rows.
+A null text is empty, which is the closing id alone; a null doc_id stays null. Repeated rows are packed once each; pieces that tie in
+doc_id, piece and ids share ranks in any order, which changes only which of the equal pieces lies where. A very long text is
+tokenised whole, by the task that reads it. An empty table gives no rows. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,7 +34,7 @@ from pyspark.sql import functions as F
 
 from shoal.llm.shared import materialise, table
 
-CAPACITY, END_ID, SALTS = 2048, 0, 32
+CAPACITY, END_ID, SHARE = 2048, 0, 1_000_000
 #: Characters on which both tokenizer libraries agree for certain: Latin letters, ASCII and common typographic marks.
 _PLAIN = re.compile(r"[\t\n\v\f\r\x20-\x7e\xa0-ɏ‐-‧‰-›€]*")
 
@@ -116,16 +119,19 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, in
     return steps
 
 
-def pack(parts: DataFrame, capacity: int = CAPACITY, salts: int = SALTS) -> DataFrame:
-    """parts (doc_id, piece, length, ids_crc32, ...) with sequence_id and offset; parts should be cheap to read twice."""
+def pack(parts: DataFrame, capacity: int = CAPACITY, share: int = SHARE) -> DataFrame:
+    """parts (doc_id, piece, length, ids_crc32, ...) with sequence_id and offset; parts should be a checkpoint or a table, as the numbers
+    of full pieces are those of their places in it."""
     spark = parts.sparkSession
-    salted = parts.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(salts)).cast("int"))
-    counts = salted.groupBy("length", "salt").agg(F.count("*").alias("n"))
-    histogram: dict[int, int] = {}
-    bases = []
-    for r in sorted(counts.collect()):  # at most capacity * salts rows
-        bases.append((r["length"], r["salt"], histogram.get(r["length"], 0)))
-        histogram[r["length"]] = histogram.get(r["length"], 0) + r["n"]
+    full = parts.where(F.col("length") == capacity).select(*[F.col(f"`{c}`") for c in parts.columns], (-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    rest = parts.where(F.col("length") < capacity)
+    histogram = {r["length"]: r["count"] for r in rest.groupBy("length").count().collect()}  # fewer than capacity rows
+    salts = spark.createDataFrame([(k, -(-n // share)) for k, n in histogram.items()], "length long, salts int")
+    salted = rest.join(F.broadcast(salts), "length").withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.col("salts")).cast("int"))
+    bases, before = [], {}
+    for r in sorted(salted.groupBy("length", "salt").agg(F.count("*").alias("n")).collect()):  # capacity rows, and one for every `share` pieces
+        bases.append((r["length"], r["salt"], before.get(r["length"], 0)))
+        before[r["length"]] = before.get(r["length"], 0) + r["n"]
     steps: dict[int, list] = {}
     for length, *step in plan(histogram, capacity):
         steps.setdefault(length, []).append(tuple(step))
@@ -139,7 +145,7 @@ def pack(parts: DataFrame, capacity: int = CAPACITY, salts: int = SALTS) -> Data
         *[F.col(f"`{c}`") for c in parts.columns],
         (F.col("step.first") + F.floor(ahead / F.col("step.each"))).cast("long").alias("sequence_id"),
         (F.col("step.offset") + F.pmod(ahead, F.col("step.each")) * F.col("length")).cast("long").alias("offset"),
-    )
+    ).unionByName(full)
 
 
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
