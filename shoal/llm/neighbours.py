@@ -7,12 +7,14 @@ Every row of the table is encoded by a beam search over all codebooks and kept a
 the distance to a query is that norm less twice a sum of table lookups, one table a query. The DEPTH best candidates of each query
 are then ranked by exact distances on the original vectors.
 
-Queries are cut into blocks and codes into parts; a task scores one block against one part, so neither side is held whole. Of equal
-vectors a query can only return those with the smallest ids, so a part offers at most k + 1 of them and a vector that fills a third of
-the table cannot crowd out others; that drops no possible answer.
-
-Vectors that are null, zero, of another length than most of the sample, or that hold null or non-finite components take no part, nor
-do rows with a null id. Rows that repeat an id count as that one row. Fewer than k candidates are all returned.
+Codes stay where they are encoded: rounds of at most BLOCK queries are broadcast to them, every task keeps the DEPTH best of its codes
+for each query, and only these are sent on. Of equal vectors a query can only return those with the smallest ids, so PART codes
+offer at most k + 1 of them and a vector that fills a third of the table cannot crowd out others; that drops no possible answer.
+
+Vectors that are null, zero, of another length than most of the sample (no distance is defined between lengths), or that hold null or
+non-finite components take no part, nor do rows with a null id. Rows that repeat an id count as one, with the smallest of their
+vectors. Equal distances go by vec_id. Fewer than k candidates are all returned; an empty table gives no rows. Other columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ from pyspark.sql import functions as F
 from shoal.llm.shared import materialise, table
 
 BOOKS, ENTRIES, BEAM, SAMPLE, DEPTH = 16, 256, 4, 12_000, 600
-BLOCK, PART = 128, 16_384
+BLOCK, PART = 2048, 65_536
 ROUNDS, SWEEPS = 1, 4
 
 
@@ -107,7 +109,7 @@ def usable(rows: DataFrame) -> DataFrame:
     """(vec_id, v) with v an array of doubles that may take part, one row for each id."""
     v = F.transform("embedding", lambda e: e.cast("double"))
     ok = F.forall("v", lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < float("inf"))) & F.exists("v", lambda e: e != 0)
-    return rows.where("vec_id is not null and embedding is not null").select("vec_id", v.alias("v")).where(ok)
+    return rows.where("vec_id is not null and embedding is not null").select("vec_id", v.alias("v")).where(ok).groupBy("vec_id").agg(F.min("v").alias("v"))
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -138,6 +140,52 @@ def _top(score: np.ndarray, ids: np.ndarray, n: int) -> np.ndarray:
     return near[np.lexsort((ids[near], score[near]))[:n]]
 
 
+def _scored(codes: DataFrame, model, queries, k: int, depth: int) -> DataFrame:
+    """(query_id, vec_id): the `depth` codes nearest to each of the broadcast queries."""
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m, (query_ids, q) = model.value, queries.value
+        tables = (q @ m.flat.T).reshape(len(q), len(m.entries), -1)
+        best: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64), np.zeros(0, np.float32))] * len(q)
+        held: list[pa.RecordBatch] = []
+
+        def take() -> None:
+            t = pa.Table.from_batches(held)
+            held.clear()
+            ids, same = t["vec_id"].to_numpy(), t["same"].to_numpy()
+            order = np.lexsort((ids, same))
+            new = np.ones(len(order), bool)
+            new[1:] = same[order][1:] != same[order][:-1]
+            order = order[np.arange(len(order)) - np.flatnonzero(new)[np.cumsum(new) - 1] <= k]
+            ids, norm = ids[order], t["norm"].to_numpy()[order]
+            code = np.frombuffer(b"".join(t["codes"].to_pylist()), np.uint8).reshape(t.num_rows, -1)[order].T.astype(np.intp)
+            for i, lookup in enumerate(tables):
+                found = norm - 2 * sum(lookup[b][c] for b, c in enumerate(code))
+                top = _top(found, ids, depth + 1)
+                both_ids, both = np.concatenate([best[i][0], ids[top]]), np.concatenate([best[i][1], found[top]])
+                top = _top(both, both_ids, depth + 1)
+                best[i] = both_ids[top], both[top]
+
+        for batch in batches:
+            held.append(batch)
+            if sum(b.num_rows for b in held) >= PART:
+                take()
+        if held:
+            take()
+        for i in range(0, len(q), 64):
+            part = best[i : i + 64]
+            yield pa.RecordBatch.from_arrays([pa.array(query_ids[i : i + 64]), pa.array([b[0] for b in part], pa.list_(pa.int64())), pa.array([b[1].astype(float) for b in part], pa.list_(pa.float64()))], ["query_id", "ids", "scores"])
+
+    def gather(key: tuple, t: pa.Table) -> pa.Table:
+        ids, scores = (t[c].combine_chunks().flatten().to_numpy() for c in ("ids", "scores"))
+        ids, scores = (a[ids != key[0].as_py()] for a in (ids, scores))
+        ids = ids[_top(scores, ids, depth)]
+        return pa.table({"query_id": np.full(len(ids), key[0].as_py(), np.int64), "vec_id": ids.astype(np.int64)})
+
+    found = codes.mapInArrow(score, "query_id long, ids array<long>, scores array<double>").where(F.size("ids") > 0)
+    return found.groupBy("query_id").applyInArrow(gather, "query_id long, vec_id long")
+
+
 def search(rows: DataFrame, queries: DataFrame, k: int = 10, depth: int = DEPTH, model: Codebooks | None = None) -> DataFrame:
     """The k nearest rows found of each query: (query_id, rank, vec_id, score). rows and queries have vec_id and embedding."""
     spark = rows.sparkSession
@@ -149,46 +197,22 @@ def search(rows: DataFrame, queries: DataFrame, k: int = 10, depth: int = DEPTH,
         sample = _matrix(got.filter(pa.array(sizes == dim))).astype(np.float32) if len(sizes) else np.ones((1, 1), np.float32)
         model = fit_codebooks(sample)
     dim = model.entries.shape[2]
-    vectors, asked = (d.where(F.size("v") == dim).dropDuplicates(["vec_id"]) for d in (vectors, asked))
+    vectors, asked = (d.where(F.size("v") == dim) for d in (vectors, asked))
     shared = spark.sparkContext.broadcast(model)
     codes = materialise(encode_rows(vectors, shared))
-    n_parts, n_blocks = (-(-d.count() // size) or 1 for d, size in ((codes, PART), (asked, BLOCK)))
-    code_part = F.pmod(F.xxhash64("vec_id"), F.lit(n_parts)).cast("int")
-    query_block = F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(n_blocks)).cast("int")
-    sides = codes.select(code_part.alias("part"), F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("block"), "vec_id", "codes", "norm", "same", F.lit(None).cast("array<double>").alias("v")).union(
-        asked.select(F.explode(F.sequence(F.lit(0), F.lit(n_parts - 1))).alias("part"), query_block.alias("block"), "vec_id", F.lit(None).cast("binary"), F.lit(None).cast("float"), F.lit(None).cast("long"), "v")
-    )
-
-    def score(key: tuple, t: pa.Table) -> pa.Table:
-        is_query = t["codes"].is_null()
-        q, c = t.filter(is_query), t.filter(pa.compute.invert(is_query))
-        out: dict[str, list] = {"query_id": [], "ids": [], "scores": []}
-        if q.num_rows and c.num_rows:
-            ids, same = c["vec_id"].to_numpy(), c["same"].to_numpy()
-            order = np.lexsort((ids, same))
-            new = np.ones(len(order), bool)
-            new[1:] = same[order][1:] != same[order][:-1]
-            order = order[np.arange(len(order)) - np.flatnonzero(new)[np.cumsum(new) - 1] <= k]
-            ids, norm = ids[order], c["norm"].to_numpy()[order]
-            code = np.frombuffer(b"".join(c["codes"].to_pylist()), np.uint8).reshape(c.num_rows, -1)[order].astype(np.int64)
-            m = shared.value
-            tables = (_matrix(q["v"].combine_chunks()).astype(np.float32) @ m.flat.T).reshape(q.num_rows, len(m.entries), -1)
-            for query, lookup in zip(q["vec_id"].to_pylist(), tables, strict=True):
-                found = norm - 2 * sum(lookup[b][code[:, b]] for b in range(code.shape[1]))
-                top = _top(found, ids, depth + 1)
-                out["query_id"].append(query)
-                out["ids"].append(ids[top])
-                out["scores"].append(found[top].astype(np.float64))
-        return pa.table(out, schema=pa.schema([("query_id", pa.int64()), ("ids", pa.list_(pa.int64())), ("scores", pa.list_(pa.float64()))]))
-
-    def gather(key: tuple, t: pa.Table) -> pa.Table:
-        ids, scores = (t[c].combine_chunks().flatten().to_numpy() for c in ("ids", "scores"))
-        ids, scores = (a[ids != key[0].as_py()] for a in (ids, scores))
-        ids = ids[_top(scores, ids, depth)]
-        return pa.table({"query_id": np.full(len(ids), key[0].as_py(), np.int64), "vec_id": ids.astype(np.int64)})
-
-    found = sides.groupBy("part", "block").applyInArrow(score, "query_id long, ids array<long>, scores array<double>")
-    near = found.groupBy("query_id").applyInArrow(gather, "query_id long, vec_id long")
+    asked = materialise(asked)
+    n_rounds = -(-asked.count() // (BLOCK * 3 // 4)) or 1  # queries are dealt by a hash, so rounds differ a little
+    round_of = F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(n_rounds))
+    near = None
+    for n in range(n_rounds):
+        block = asked.where(round_of == n).toArrow()
+        if block.num_rows:
+            own = spark.sparkContext.broadcast((block["vec_id"].to_numpy(), _matrix(block["v"].combine_chunks()).astype(np.float32)))
+            got = materialise(_scored(codes, shared, own, k, depth))
+            own.destroy()
+            near = got if near is None else near.union(got)
+    if near is None:
+        near = spark.createDataFrame([], "query_id long, vec_id long")
     pairs = near.join(vectors, "vec_id").join(asked.select(F.col("vec_id").alias("query_id"), F.col("v").alias("q")), "query_id")
     exact = pairs.withColumn("score", F.sqrt(F.aggregate(F.zip_with("v", "q", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, e: s + e)))
     ranked = exact.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id")))
