@@ -275,8 +275,10 @@ def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """docs without all but one document of each group of near duplicates (that of the smallest doc_id), all columns kept.
-    Rows with a null doc_id stay."""
+    """docs without all but one document of each group of near duplicates (that of the smallest doc_id), all columns kept. Of rows that
+    repeat a doc_id the one of smallest hash stays, the same on every run. Rows with a null doc_id stay."""
     kept = near_duplicates(docs, k, percent).where("kept and doc_id is not null").select("doc_id").distinct()
-    single = docs.join(kept.hint("shuffle_hash"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    rows = docs.join(kept.hint("shuffle_hash"), "doc_id", "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+    row, least = F.struct(*[F.col(f"`{c}`") for c in docs.columns]), F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])
+    single = rows.groupBy("doc_id").agg(F.min_by(row, least).alias("_row")).select("_row.*")
     return single.unionByName(docs.where("doc_id is null"))
