@@ -234,3 +234,14 @@ def remembered(assets: DataFrame, known: DataFrame) -> DataFrame:
     new = assets.join(known.select("asset_id"), "asset_id", "left_anti").select("asset_id", stem.alias("stem"))
     peeled = assets.where(S.merge_kind(stem).isNotNull()).select(F.explode(S.merge_sources(stem)).alias("stem")).distinct()
     return new.where(S.merge_kind(F.col("stem")).isNotNull()).select("asset_id").union(new.join(peeled, "stem", "left_semi").select("asset_id")).distinct()
+
+
+def find_merges(meta: DataFrame, sets: DataFrame, queued: DataFrame) -> DataFrame:
+    """(merged_id, kind, frame_id): merged photos whose nearest existing source, or any frame of the set that holds it, is queued, with all
+    these frames. sets(set_id, asset_id): of several sets of an asset the last counts; a source in none stands for itself."""
+    near = nearest_sources(meta).select("merged_id", "kind", "source_id")
+    of = sets.groupBy("asset_id").agg(F.max("set_id").alias("set_id"))
+    held = near.join(of.withColumnRenamed("asset_id", "source_id"), "source_id", "left")
+    frames = held.join(sets.select("set_id", F.col("asset_id").alias("frame_id")), "set_id", "left").select("merged_id", "kind", F.coalesce("frame_id", "source_id").alias("frame_id"))
+    hit = frames.join(queued.select(F.col("asset_id").alias("frame_id")), "frame_id", "left_semi").select("merged_id").distinct()
+    return frames.join(hit, "merged_id", "left_semi").select("merged_id", "kind", "frame_id").distinct()

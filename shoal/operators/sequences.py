@@ -80,14 +80,6 @@ def streaks_with_freezes(days: DataFrame, earn_every: int = 60, most: int = 3) -
     return folded.select("user_id", F.aggregate("all", start, step).alias("s")).select("user_id", F.col("s.run").alias("streak"), F.col("s.held").alias("freezes"), F.col("s.spent").alias("spent"), F.col("s.last").alias("last_day"))
 
 
-def rank_window(rows: DataFrame, key: str, order: list[str], marked: str, reach: int) -> DataFrame:
-    """Rows of a key within `reach` ranks of any from its first to its last marked row."""
-    w = Window.partitionBy(key)
-    ranked = rows.withColumn("rank", F.row_number().over(w.orderBy(*order)))
-    edge = ranked.withColumn("from", F.min(F.when(F.col(marked), F.col("rank"))).over(w) - reach).withColumn("to", F.max(F.when(F.col(marked), F.col("rank"))).over(w) + reach)
-    return edge.where(F.col("rank").between(F.col("from"), F.col("to"))).drop("from", "to")
-
-
 def queue_room(queue: DataFrame, held: DataFrame, waiting: DataFrame, cap: int) -> DataFrame:
     """Assets of waiting(asset_id, unit, since) that the queue still has room for: none while anything in it is overdue, else whole units,
     oldest first, until the cap less the held ones is used up. The running sum is over one queue's waiting units."""

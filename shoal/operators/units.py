@@ -171,20 +171,22 @@ def shot_sets(names: DataFrame, groups: DataFrame, merges: DataFrame) -> DataFra
 
 
 def candidate_window(wanted: DataFrame, assets: DataFrame, verdicts: DataFrame, groups: DataFrame, reach: int) -> DataFrame:
-    """(album_id, asset_id) offered as further frames of the units in wanted(album_id, asset_id): undecided assets of the album within
-    `reach` ranks of the unit's, stretched over groups that touch the window, are undecided throughout and hold none of the unit's."""
+    """(album_id, asset_id, mine) offered as further frames of the units in wanted(album_id, asset_id): undecided assets of the album within
+    `reach` ranks of the unit's, stretched over groups that overlap the window, and over those that overlap it then, to the end. Only
+    groups that are undecided throughout and hold none of the unit's stretch it."""
     decided = lineage.decided(verdicts).withColumn("decided", F.lit(True))
     mine = wanted.select("album_id", "asset_id").distinct().withColumn("mine", F.lit(True))
     marked = assets.select("album_id", "asset_id", "ms").join(decided, "asset_id", "left").join(mine, ["album_id", "asset_id"], "left").where("mine or decided is null")
     w = Window.partitionBy("album_id")
     ranked = marked.withColumn("rank", F.row_number().over(w.orderBy(F.col("ms").asc_nulls_first(), "asset_id")))
-    ranked = ranked.withColumn("lo", F.min(F.when(F.col("mine"), F.col("rank"))).over(w) - reach).withColumn("hi", F.max(F.when(F.col("mine"), F.col("rank"))).over(w) + reach).where("lo is not null")
-    spans = groups.join(ranked.select("album_id", "asset_id", "rank", "lo", "hi", "mine"), ["album_id", "asset_id"], "left").groupBy("album_id", "group_id").agg(
-        F.count("*").alias("n"), F.count("rank").alias("offered"), F.count_if("mine").alias("own"), F.min("rank").alias("first"), F.max("rank").alias("last"), F.max("lo").alias("lo"), F.max("hi").alias("hi")
-    )
-    touching = spans.where("n = offered and own = 0 and first <= hi and last >= lo").groupBy("album_id").agg(F.min("first").alias("first"), F.max("last").alias("last"))
-    wide = ranked.join(touching, "album_id", "left")
-    return wide.where(F.col("rank").between(F.least("lo", F.coalesce("first", "lo")), F.greatest("hi", F.coalesce("last", "hi")))).select("album_id", "asset_id", F.coalesce("mine", F.lit(False)).alias("mine"))
+    windows = ranked.where("mine").groupBy("album_id").agg((F.min("rank") - reach).alias("first"), (F.max("rank") + reach).alias("last")).withColumn("own", F.lit(True))
+    spans = groups.join(ranked.select("album_id", "asset_id", "rank", "mine"), ["album_id", "asset_id"], "left").groupBy("album_id", "group_id").agg(F.count("*").alias("n"), F.count("rank").alias("offered"), F.count_if("mine").alias("held"), F.min("rank").alias("first"), F.max("rank").alias("last"))
+    every = windows.unionByName(spans.where("n = offered and held = 0").select("album_id", "first", "last", F.lit(False).alias("own")))
+    order = w.orderBy("first", "last", "own")
+    before = F.max("last").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    islands = every.withColumn("island", F.sum(F.when(F.col("first") <= before, 0).otherwise(1)).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    wide = islands.groupBy("album_id", "island").agg(F.min("first").alias("lo"), F.max("last").alias("hi"), F.bool_or("own").alias("own")).where("own")
+    return ranked.join(wide.select("album_id", "lo", "hi"), "album_id").where(F.col("rank").between(F.col("lo"), F.col("hi"))).select("album_id", "asset_id", F.coalesce("mine", F.lit(False)).alias("mine"))
 
 
 def settle(halves: DataFrame, status: str) -> DataFrame:

@@ -95,12 +95,6 @@ def _(spark, d):
     return A.read(spark, d, "events").withColumn("n", F.row_number().over(w).cast("long")).where("n <= 20").select("user_id", "event_id", "n")
 
 
-@query("win_candidate_frames", "WITH r AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS rk, length(text) > 200 AS m FROM conversations), e AS (SELECT *, min(CASE WHEN m THEN rk END) OVER (PARTITION BY conv_id) - 1 AS a, max(CASE WHEN m THEN rk END) OVER (PARTITION BY conv_id) + 1 AS b FROM r) SELECT conv_id, turn, CAST(rk AS BIGINT) AS rank FROM e WHERE rk BETWEEN a AND b")
-def _(spark, d):
-    rows = A.read(spark, d, "conversations").withColumn("m", F.length("text") > 200)
-    return sequences.rank_window(rows, "conv_id", ["turn", "role", "text"], "m", 1).select("conv_id", "turn", F.col("rank").cast("long").alias("rank"))
-
-
 @query("win_overdue", "SELECT o_orderkey, CAST(date_diff('day', CAST(o_orderdate AS DATE), DATE '1998-01-01') AS BIGINT) AS age FROM orders WHERE o_orderstatus = 'O' AND CAST(o_orderdate AS DATE) <= DATE '1998-01-01' - 30")
 def _(spark, d):
     day = F.to_date("o_orderdate")
@@ -127,9 +121,13 @@ def _(spark, d):
     return meta.join(lineage.edit_pairs(meta).select(F.col("edit_id").alias("asset_id")), "asset_id", "left_anti").select("asset_id")
 
 
-@query("join_merges", f"WITH RECURSIVE s AS (SELECT asset_id, ord, lower({STEM}) AS stem FROM meta), p AS (SELECT asset_id, 0 AS level, regexp_replace(stem, '-(hdr|pano)(-[0-9]+)?$', '') AS st FROM s WHERE regexp_matches(stem, '-(hdr|pano)(-[0-9]+)?$') UNION ALL SELECT asset_id, level + 1, regexp_replace(st, '-(hdr|pano)(-[0-9]+)?$', '') FROM p WHERE regexp_matches(st, '-(hdr|pano)(-[0-9]+)?$')), n AS (SELECT stem, arg_max(asset_id, ord) AS source_id FROM s GROUP BY stem), m AS (SELECT p.asset_id AS merged_id, level, source_id, row_number() OVER (PARTITION BY p.asset_id ORDER BY level) AS k FROM p JOIN n ON n.stem = p.st) SELECT merged_id, CASE WHEN stem LIKE '%-hdr%' AND stem LIKE '%-pano%' THEN 'HDR panorama' WHEN stem LIKE '%-hdr%' THEN 'HDR' ELSE 'panorama' END AS kind, source_id, CAST(level AS BIGINT) AS level FROM m JOIN s ON s.asset_id = merged_id WHERE k = 1".replace("WITH RECURSIVE ", "WITH "))
+_NEAREST = f"s AS (SELECT asset_id, ord, lower({STEM}) AS stem FROM meta), p AS (SELECT asset_id, 0 AS level, regexp_replace(stem, '-(hdr|pano)(-[0-9]+)?$', '') AS st FROM s WHERE regexp_matches(stem, '-(hdr|pano)(-[0-9]+)?$') UNION ALL SELECT asset_id, level + 1, regexp_replace(st, '-(hdr|pano)(-[0-9]+)?$', '') FROM p WHERE regexp_matches(st, '-(hdr|pano)(-[0-9]+)?$')), n AS (SELECT stem, arg_max(asset_id, ord) AS source_id FROM s GROUP BY stem), m AS (SELECT p.asset_id AS merged_id, level, source_id, row_number() OVER (PARTITION BY p.asset_id ORDER BY level) AS k FROM p JOIN n ON n.stem = p.st), near AS (SELECT merged_id, CASE WHEN stem LIKE '%-hdr%' AND stem LIKE '%-pano%' THEN 'HDR panorama' WHEN stem LIKE '%-hdr%' THEN 'HDR' ELSE 'panorama' END AS kind, source_id, CAST(level AS BIGINT) AS level FROM m JOIN s ON s.asset_id = merged_id WHERE k = 1)"
+
+
+@query("join_merges", f"WITH {_NEAREST}, st AS (SELECT asset_id // 12 AS set_id, asset_id FROM meta WHERE asset_id % 12 < 7), fr AS (SELECT merged_id, kind, coalesce(f.asset_id, source_id) AS frame_id FROM near LEFT JOIN st h ON h.asset_id = source_id LEFT JOIN st f ON f.set_id = h.set_id) SELECT DISTINCT merged_id, kind, frame_id FROM fr WHERE merged_id IN (SELECT merged_id FROM fr WHERE frame_id IN (SELECT asset_id FROM verdicts WHERE status = 'toEdit'))")
 def _(spark, d):
-    return lineage.nearest_sources(A.meta(spark, d))
+    sets = A.meta(spark, d).where("asset_id % 12 < 7").select(F.floor(F.col("asset_id") / 12).alias("set_id"), "asset_id")
+    return lineage.find_merges(A.meta(spark, d), sets, A.verdicts(spark, d).where("status = 'toEdit'"))
 
 
 @query("join_verdict_overlay", "SELECT m.asset_id, album, coalesce(status, 'backlog') AS status, coalesce(starred, false) AS starred, coalesce(save_only, false) AS save_only FROM meta m LEFT JOIN verdicts v USING (asset_id)")

@@ -142,10 +142,20 @@ def _(spark, d):
     return units.undo(A.shot_verdicts(spark, d), prior)
 
 
-@query("hlp_pano_candidates", f"""WITH mine AS (SELECT album_id, asset_id FROM (SELECT *, min(group_id) OVER (PARTITION BY album_id) AS f FROM shot_groups WHERE type = 'pano') WHERE group_id = f), dec AS (SELECT asset_id FROM shot_verdicts WHERE status <> 'backlog'),
+_WINDOW = """{mine}, dec AS (SELECT asset_id FROM shot_verdicts WHERE status <> 'backlog'),
 r AS (SELECT s.album_id, s.asset_id, m.asset_id IS NOT NULL AS own, row_number() OVER (PARTITION BY s.album_id ORDER BY ms NULLS FIRST, s.asset_id) AS rk FROM shots s LEFT JOIN mine m USING (album_id, asset_id) WHERE m.asset_id IS NOT NULL OR s.asset_id NOT IN (SELECT asset_id FROM dec)),
-b AS (SELECT *, min(CASE WHEN own THEN rk END) OVER (PARTITION BY album_id) - 3 AS lo, max(CASE WHEN own THEN rk END) OVER (PARTITION BY album_id) + 3 AS hi FROM r), g AS (SELECT g.album_id, group_id, count(*) AS n, count(rk) AS k, count(*) FILTER (own) AS o, min(rk) AS a, max(rk) AS z, max(lo) AS lo, max(hi) AS hi FROM shot_groups g LEFT JOIN (SELECT * FROM b WHERE lo IS NOT NULL) b USING (album_id, asset_id) GROUP BY 1, 2),
-t AS (SELECT album_id, min(a) AS a, max(z) AS z FROM g WHERE n = k AND o = 0 AND a <= hi AND z >= lo GROUP BY 1) SELECT b.album_id, b.asset_id, own AS mine FROM b LEFT JOIN t USING (album_id) WHERE lo IS NOT NULL AND rk BETWEEN least(lo, coalesce(a, lo)) AND greatest(hi, coalesce(z, hi))""")
+iv AS (SELECT album_id, min(rk) - {reach} AS a, max(rk) + {reach} AS z, true AS own FROM r WHERE own GROUP BY 1 UNION ALL SELECT album_id, a, z, false FROM (SELECT g.album_id, group_id, count(*) AS n, count(rk) AS k, count(*) FILTER (own) AS o, min(rk) AS a, max(rk) AS z FROM shot_groups g LEFT JOIN r USING (album_id, asset_id) GROUP BY 1, 2) WHERE n = k AND o = 0),
+grown AS (SELECT album_id, a, z FROM iv WHERE own UNION SELECT g.album_id, least(g.a, iv.a), greatest(g.z, iv.z) FROM grown g JOIN iv ON iv.album_id = g.album_id AND iv.a <= g.z AND iv.z >= g.a), wide AS (SELECT album_id, min(a) AS a, max(z) AS z FROM grown GROUP BY 1) SELECT r.album_id, r.asset_id, own AS mine FROM r JOIN wide USING (album_id) WHERE rk BETWEEN a AND z"""
+_FIRST_PANO = "mine AS (SELECT album_id, asset_id FROM (SELECT *, min(group_id) OVER (PARTITION BY album_id) AS f FROM shot_groups WHERE type = 'pano') WHERE group_id = f)"
+
+
+@query("win_candidate_frames", f"WITH {_WINDOW.format(mine='mine AS (SELECT album_id, min(asset_id) AS asset_id FROM shots WHERE pos % 7 = 5 GROUP BY 1)', reach=6)}")
+def _(spark, d):
+    some = A.shots(spark, d).where("pos % 7 = 5").groupBy("album_id").agg(F.min("asset_id").alias("asset_id"))
+    return units.candidate_window(some, A.shots(spark, d), A.shot_verdicts(spark, d), A.shot_groups(spark, d), 6)
+
+
+@query("hlp_pano_candidates", f"WITH {_WINDOW.format(mine=_FIRST_PANO, reach=3)}")
 def _(spark, d):
     groups = A.shot_groups(spark, d)
     panos = groups.where("type = 'pano'")
