@@ -6,7 +6,7 @@ round takes all pieces of the next length at once, sweeps for the successor amon
 length), gives the pieces places by their rank within the length, updates the gaps and repeats. The rounds thus read a
 histogram of at most `capacity` rows, whatever the size of the corpus; the result is that of best-fit decreasing. Pieces that fill a
 sequence, which are most of a corpus of long documents, take part in no round and get numbers of their own where they lie. Ranks
-of the others are dealt by Spark: a length has a salt for every SHARE pieces, pieces are counted per (length, salt), prefix sums over
+of the others are dealt by Spark: a length has SALTS salts and one more for every SHARE pieces, pieces are counted per (length, salt), prefix sums over
 the salts give each (length, salt) its first rank, and a row number within (length, salt) the rest, so no length meets in one task.
 
 Every run of sequences is split at most twice a round and each visit halves its gap at least, so a plan has at most
@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from shoal.llm.shared import materialise, table
 
-CAPACITY, END_ID, SHARE = 2048, 0, 1_000_000
+CAPACITY, END_ID, SALTS, SHARE = 2048, 0, 32, 1_000_000
 #: Characters on which both tokenizer libraries agree for certain: Latin letters, ASCII and common typographic marks.
 _PLAIN = re.compile(r"[\t\n\v\f\r\x20-\x7e\xa0-ɏ‐-‧‰-›€]*")
 
@@ -126,10 +126,10 @@ def pack(parts: DataFrame, capacity: int = CAPACITY, share: int = SHARE) -> Data
     full = parts.where(F.col("length") == capacity).select(*[F.col(f"`{c}`") for c in parts.columns], (-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     rest = parts.where(F.col("length") < capacity)
     histogram = {r["length"]: r["count"] for r in rest.groupBy("length").count().collect()}  # fewer than capacity rows
-    salts = spark.createDataFrame([(k, -(-n // share)) for k, n in histogram.items()], "length long, salts int")
+    salts = spark.createDataFrame([(k, SALTS + n // share) for k, n in histogram.items()], "length long, salts int")
     salted = rest.join(F.broadcast(salts), "length").withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.col("salts")).cast("int"))
     bases, before = [], {}
-    for r in sorted(salted.groupBy("length", "salt").agg(F.count("*").alias("n")).collect()):  # capacity rows, and one for every `share` pieces
+    for r in sorted(salted.groupBy("length", "salt").agg(F.count("*").alias("n")).collect()):  # capacity * SALTS rows, and one for every `share` pieces
         bases.append((r["length"], r["salt"], before.get(r["length"], 0)))
         before[r["length"]] = before.get(r["length"], 0) + r["n"]
     steps: dict[int, list] = {}
