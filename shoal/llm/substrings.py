@@ -17,8 +17,8 @@ places, so only suffixes whose anchors share a gram can agree on SPAN bytes.
 
 Texts are UTF-8 bytes, null counts as empty; matches never cross documents; strings are judged on the input. Rows are told apart
 by doc_id and text: rows that repeat both are separate documents, equal to each other. A null doc_id is returned as null. Runs of
-very long texts are made piece by piece, so no array is longer than a piece; a text may have up to 2 GB. An empty table gives an
-empty result.
+very long texts are made piece by piece, so no array is longer than a piece; a text may have up to 2 GB. Of tied hashes the first place
+is the anchor. Other columns are ignored. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -36,7 +36,7 @@ from shoal.llm.text import Polynomial, mix, slices
 
 SPAN, GRAM = 400, 128
 HOT, HOT_BUCKETS, HOT_FLUSH = 256, 256, 500_000
-UNIT_BYTES = 1 << 20
+UNIT_BYTES, PIECE = 1 << 20, 1 << 22
 _FIRST, _SECOND = Polynomial(51), Polynomial(52)
 _PLACE = 28
 _WINDOW = np.dtype([("one", "<u8"), ("two", "<u8"), ("did", "<i8"), ("row", "<i8"), ("start", "<i8"), ("quiet", "?")])
@@ -74,19 +74,19 @@ def anchors(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, ...]:
     return row, first - offs[row], last - offs[row], a - offs[row], grams[a], whole
 
 
-def _long_pieces(data: np.ndarray, limit: int = 1 << 22) -> Iterator[tuple[int, np.ndarray]]:
+def _long_pieces(data: np.ndarray, limit: int) -> Iterator[tuple[int, np.ndarray]]:
     """Pieces of one text that share SPAN - 1 bytes with the next, so that each span lies in exactly one."""
     for lo in range(0, max(len(data) - SPAN + 1, 1), limit):
         yield lo, data[lo : lo + limit + SPAN - 1]
 
 
-def runs(docs: DataFrame) -> DataFrame:
-    """docs(did, row, text) to one row for each run of spans with one anchor."""
+def runs(docs: DataFrame, piece: int = PIECE) -> DataFrame:
+    """docs(did, row, text) to one row for each run of spans with one anchor; a text longer than a slice is cut into pieces."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi, data, offs in slices(batch.column(2)):
-                parts = [(0, data, offs)] if hi - lo > 1 else [(p, d, np.array([0, len(d)])) for p, d in _long_pieces(data)]
+                parts = [(0, data, offs)] if hi - lo > 1 else [(p, d, np.array([0, len(d)])) for p, d in _long_pieces(data, piece)]
                 for base, d, o in parts:
                     r, first, last, a, gram, whole = anchors(d, o)
                     take = pa.array(lo + r)
@@ -311,9 +311,9 @@ def _resolve(passed: DataFrame) -> DataFrame:
     return passed.repartition("kind", "unit").sortWithinPartitions("kind", "unit").mapInArrow(run, "did long, row long, lo long, hi long")
 
 
-def repeated_spans(docs: DataFrame, hot: int = HOT) -> DataFrame:
+def repeated_spans(docs: DataFrame, hot: int = HOT, piece: int = PIECE) -> DataFrame:
     """docs(did, row, text) to (did, row, text, spans): repeated intervals of each text, not merged; null where there are none."""
-    found = runs(docs)
+    found = runs(docs, piece)
     token = F.xxhash64("did", "row", "first")
     seen = found.groupBy("gram", "whole").agg(F.count("*").alias("n"), F.min(token).alias("token"))
     grams = seen.groupBy("gram").agg(F.sum("n").alias("total"), F.count("*").alias("m")).where("total > 1").select("gram", "m")
@@ -327,7 +327,7 @@ def repeated_spans(docs: DataFrame, hot: int = HOT) -> DataFrame:
     return texts.join(spans.hint("shuffle_hash"), ["did", "row"], "left").select("did", "row", "text", "spans")
 
 
-def remove_repeats(docs: DataFrame, with_bytes: bool = False, hot: int = HOT) -> DataFrame:
+def remove_repeats(docs: DataFrame, with_bytes: bool = False, hot: int = HOT, piece: int = PIECE) -> DataFrame:
     """docs(doc_id, text) to doc_id, n_bytes, n_removed, n_spans, kept_sha256, has_repeat[, kept]; kept holds the remaining bytes."""
     keyed = docs.select(F.coalesce("doc_id", F.lit(_NO_ID)).alias("did"), F.xxhash64("doc_id", "text").alias("row"), F.coalesce("text", F.lit("")).alias("text"))
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, has_repeat boolean" + ", kept binary" * with_bytes
@@ -344,7 +344,7 @@ def remove_repeats(docs: DataFrame, with_bytes: bool = False, hot: int = HOT) ->
             types = [pa.int64()] * 4 + [pa.string(), pa.bool_()] + [pa.binary()] * with_bytes
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * len(types), types, strict=True)], [c.split()[0] for c in schema.split(", ")])
 
-    return repeated_spans(keyed, hot).select("did", "text", "spans").mapInArrow(run, schema)
+    return repeated_spans(keyed, hot, piece).select("did", "text", "spans").mapInArrow(run, schema)
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -82,6 +82,18 @@ def test_repeats_removed(spark, odd, hot):
     assert sorted((tuple(r)[:5] for r in got), key=str) == brute_spans(rows) and all(r.has_repeat == (r.n_removed > 0) for r in got)
 
 
+def test_repeats_across_pieces_of_long_texts(spark):
+    """Texts cut into pieces: a repeat may cross a cut, lie within one text, or be the whole of another."""
+    rng = random.Random(10)
+    shared, one = prose(rng, 150), prose(rng, 2000)
+    rows = [(1, one + shared + prose(rng, 300)), (2, prose(rng, 210) + shared), (3, prose(rng, 100) + shared + prose(rng, 333) + shared), (4, shared), (5, one[3000:5000]), (6, "x" * 5000), (7, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(7, "doc_id")
+    for piece in (401, 1000, substrings.PIECE):
+        got = substrings.remove_repeats(docs, piece=piece).collect()
+        assert sorted((tuple(r)[:5] for r in got), key=str) == brute_spans(rows)
+    assert substrings.remove_repeats(docs.limit(0)).count() == 0
+
+
 def test_suffixes_are_sorted():
     rng = np.random.default_rng(0)
     data = rng.integers(97, 99, 3000).astype(np.uint8)
