@@ -8,7 +8,8 @@ the distance to a query is that norm less twice a sum of table lookups, one tabl
 are then ranked by exact distances on the original vectors.
 
 Codes stay where they are encoded: rounds of at most BLOCK queries are broadcast to them, every task keeps the DEPTH best of its codes
-for each query, and only these are sent on. Of equal vectors a query can only return those with the smallest ids, so PART codes
+for each query, and only these are sent on; a round's best candidates are then broadcast to the vectors, at most BLOCK * DEPTH ids, so that
+no vector is moved to be compared. Of equal vectors a query can only return those with the smallest ids, so PART codes
 offer at most k + 1 of them and a vector that fills a third of the table cannot crowd out others; that drops no possible answer.
 
 Vectors that are null, zero, of another length than most of the sample (no distance is defined between lengths), or that hold null or
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 from shoal.llm.shared import materialise, table
 
 BOOKS, ENTRIES, BEAM, SAMPLE, DEPTH = 16, 256, 4, 12_000, 600
-BLOCK, PART = 2048, 65_536
+BLOCK, PART = 1024, 65_536
 ROUNDS, SWEEPS = 1, 4
 
 
@@ -199,22 +200,21 @@ def search(rows: DataFrame, queries: DataFrame, k: int = 10, depth: int = DEPTH,
     dim = model.entries.shape[2]
     vectors, asked = (d.where(F.size("v") == dim) for d in (vectors, asked))
     shared = spark.sparkContext.broadcast(model)
+    vectors, asked = materialise(vectors), materialise(asked)
     codes = materialise(encode_rows(vectors, shared))
-    asked = materialise(asked)
     n_rounds = -(-asked.count() // (BLOCK * 3 // 4)) or 1  # queries are dealt by a hash, so rounds differ a little
     round_of = F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(n_rounds))
-    near = None
+    square = F.aggregate(F.zip_with("v", "q", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, e: s + e)
+    exact = spark.createDataFrame([], "query_id long, vec_id long, score double")
     for n in range(n_rounds):
-        block = asked.where(round_of == n).toArrow()
-        if block.num_rows:
-            own = spark.sparkContext.broadcast((block["vec_id"].to_numpy(), _matrix(block["v"].combine_chunks()).astype(np.float32)))
-            got = materialise(_scored(codes, shared, own, k, depth))
+        block = asked.where(round_of == n)
+        some = block.toArrow()
+        if some.num_rows:
+            own = spark.sparkContext.broadcast((some["vec_id"].to_numpy(), _matrix(some["v"].combine_chunks()).astype(np.float32)))
+            near = materialise(_scored(codes, shared, own, k, depth))
             own.destroy()
-            near = got if near is None else near.union(got)
-    if near is None:
-        near = spark.createDataFrame([], "query_id long, vec_id long")
-    pairs = near.join(vectors, "vec_id").join(asked.select(F.col("vec_id").alias("query_id"), F.col("v").alias("q")), "query_id")
-    exact = pairs.withColumn("score", F.sqrt(F.aggregate(F.zip_with("v", "q", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, e: s + e)))
+            pairs = vectors.join(F.broadcast(near), "vec_id").join(F.broadcast(block.select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"))), "query_id")  # a round's queries and candidates
+            exact = exact.union(materialise(pairs.select("query_id", "vec_id", F.sqrt(square).alias("score"))))
     ranked = exact.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id")))
     return ranked.where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
