@@ -91,7 +91,7 @@ def gap_label(missing: Column) -> Column:
 
 def haversine(lat1: Column, lng1: Column, lat2: Column, lng2: Column) -> Column:
     a = F.pow(F.sin(F.radians(lat2 - lat1) / 2), 2) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.pow(F.sin(F.radians(lng2 - lng1) / 2), 2)
-    return 2 * EARTH_METRES * F.asin(F.least(F.lit(1.0), F.sqrt(a)))
+    return F.when(a.isNotNull(), 2 * EARTH_METRES * F.asin(F.least(F.lit(1.0), F.sqrt(a))))  # least() would pass over a null
 
 
 def swipe_verdict(dx: Column, dy: Column, right: str = "kept", left: str = "rejected", up: str = "toEdit", down: str = "maybe") -> Column:

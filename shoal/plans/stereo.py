@@ -41,7 +41,7 @@ def _(spark, d):
     return stereo.left_ids(set_frames(spark, d))
 
 
-_METRES = "floor(2 * 6371000.0 * asin(least(1.0, sqrt(pow(sin(radians(lat - lat0) / 2), 2) + cos(radians(lat0)) * cos(radians(lat)) * pow(sin(radians(lng - lng0) / 2), 2)))) + 0.5)"
+_METRES = "floor(2 * 6371000.0 * asin(sqrt(pow(sin(radians(lat - lat0) / 2), 2) + cos(radians(lat0)) * cos(radians(lat)) * pow(sin(radians(lng - lng0) / 2), 2))) + 0.5)"
 
 
 @query("agg_stereo_baselines", f"""WITH {_SIDED}, ch AS (SELECT DISTINCT album_id, 's1' AS chosen FROM frames WHERE album_id % 4 = 0), b AS (SELECT m.*, (m.group_id, m.asset_id) IN (SELECT (group_id, asset_id) FROM lid) AS named_left, m.group_id IN (SELECT group_id FROM lid) AS by_name, ch.chosen, row_number() OVER w AS i, first_value(lat) OVER w AS lat0, first_value(lng) OVER w AS lng0 FROM mem m LEFT JOIN ch USING (album_id) WINDOW w AS (PARTITION BY m.group_id ORDER BY m.pos, m.asset_id)),
@@ -164,7 +164,7 @@ def _(spark, d):
 
 # Near sets
 
-_NEAR = f"fr AS (SELECT s.asset_id, s.album_id, a.lo, a.hi, lat, lng FROM shots s JOIN assets a USING (asset_id)), e AS (SELECT a.asset_id AS a, b.asset_id AS b FROM fr a JOIN fr b ON a.album_id = b.album_id AND a.asset_id < b.asset_id WHERE coalesce({HAM.format(a='a', b='b')} <= 22, true) AND coalesce(2 * 6371000.0 * asin(least(1.0, sqrt(pow(sin(radians(b.lat - a.lat) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin(radians(b.lng - a.lng) / 2), 2)))) <= 4000, true))"
+_NEAR = f"fr AS (SELECT s.asset_id, s.album_id, a.lo, a.hi, lat, lng FROM shots s JOIN assets a USING (asset_id)), e AS (SELECT a.asset_id AS a, b.asset_id AS b FROM fr a JOIN fr b ON a.album_id = b.album_id AND a.asset_id < b.asset_id WHERE coalesce({HAM.format(a='a', b='b')} <= 22, true) AND coalesce(2 * 6371000.0 * asin(sqrt(pow(sin(radians(b.lat - a.lat) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin(radians(b.lng - a.lng) / 2), 2))) <= 4000, true))"
 _CLOSE = "u AS (SELECT a, b FROM {e} UNION SELECT b, a FROM {e}), r AS (SELECT a AS node, a AS seen FROM u UNION SELECT r.node, u.b FROM r JOIN u ON u.a = r.seen), c AS (SELECT node, min(seen) AS set_id FROM r GROUP BY 1)"
 
 
