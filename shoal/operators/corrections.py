@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shoal.operators import lineage
+from shoal.sources.session import materialise
 
 
 def corrected(groups: DataFrame, members: DataFrame, dissolved: DataFrame, reclassified: DataFrame, memberships: DataFrame, meta: DataFrame) -> DataFrame:
@@ -16,7 +17,8 @@ def corrected(groups: DataFrame, members: DataFrame, dissolved: DataFrame, recla
     reclassified(set_id, asset_id, ord, type, orientation); memberships(set_id, asset_id, ord, frame_ids); meta(asset_id, album_id). A
     dissolved group goes; of the reclassifications and memberships of a group the first one (by ord) counts. A membership that fits no
     group asserts one of its own if it has two frames and a known one: of the type it was given, else a panorama."""
-    own = members.select("group_id", "asset_id").distinct()
+    own = materialise(members.select("group_id", "asset_id").distinct())
+    memberships, reclassified = materialise(memberships), materialise(reclassified)
     gone = lineage.majority_matches(dissolved.select("set_id", "asset_id").distinct(), own).select(F.col("detected").alias("group_id")).distinct()
     said = _first(reclassified, own, ["type", "orientation"]).select("group_id", F.col("type").alias("new_type"), F.col("orientation").alias("new_orientation"), F.lit(True).alias("said"))
     listed = _first(memberships, own, ["frame_ids"]).select("group_id", "frame_ids")
@@ -31,7 +33,7 @@ def _first(corrections: DataFrame, sets: DataFrame, values: list[str]) -> DataFr
     """(group_id, values...): the first correction of each set that it fits."""
     fits = lineage.majority_matches(corrections.select("set_id", "asset_id").distinct(), sets).select(F.col("recorded").alias("set_id"), F.col("detected").alias("group_id"))
     facts = corrections.select("set_id", "ord", *values).dropDuplicates(["set_id"])
-    best = fits.join(facts, "set_id").groupBy("group_id").agg(F.min_by(F.struct(*values), F.struct("ord", "set_id")).alias("v"))
+    best = materialise(fits.join(facts, "set_id").groupBy("group_id").agg(F.min_by(F.struct(*values), F.struct("ord", "set_id")).alias("v")))
     return best.select("group_id", *[F.col("v")[c].alias(c) for c in values])
 
 
@@ -39,6 +41,7 @@ def asserted(sets: DataFrame, reclassified: DataFrame, memberships: DataFrame, m
     """Groups that memberships assert which fit no detected one."""
     claimed = lineage.majority_matches(memberships.select("set_id", "asset_id").distinct(), sets).select(F.col("recorded").alias("set_id")).distinct()
     free = memberships.select("set_id", "asset_id", "ord", "frame_ids").join(claimed, "set_id", "left_anti").where(F.size("frame_ids") >= 2)
+    free = materialise(free)
     said = _first(reclassified, free.select(F.col("set_id").alias("group_id"), "asset_id").distinct(), ["type", "orientation"]).withColumnRenamed("group_id", "set_id")
     frames = free.select("set_id", "frame_ids").dropDuplicates(["set_id"]).select("set_id", F.posexplode("frame_ids").alias("place", "asset_id"))
     album = frames.join(meta.select("asset_id", "album_id"), "asset_id").groupBy("set_id").agg(F.min_by("album_id", "place").alias("album_id"))
