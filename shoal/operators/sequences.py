@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from shoal.operators.running import running_sums
+
 
 def hamming(lo1: Column, hi1: Column, lo2: Column, hi2: Column) -> Column:
     return F.bit_count(lo1.bitwiseXOR(lo2)) + F.bit_count(hi1.bitwiseXOR(hi2))
@@ -82,12 +84,11 @@ def streaks_with_freezes(days: DataFrame, earn_every: int = 60, most: int = 3) -
 
 def queue_room(queue: DataFrame, held: DataFrame, waiting: DataFrame, cap: int) -> DataFrame:
     """Assets of waiting(asset_id, unit, since) that the queue still has room for: none while anything in it is overdue, else whole units,
-    oldest first, until the cap less the held ones is used up. The running sum is over one queue's waiting units."""
+    oldest first, until the cap less the held ones is used up. The running sum over the waiting units is a distributed one."""
     late = queue.agg(F.coalesce(F.bool_or("overdue"), F.lit(False)).alias("late"))
     room = held.agg((F.lit(cap) - F.count("*")).alias("left")).join(late).select(F.when(F.col("late"), 0).otherwise(F.col("left")).alias("room"))  # one row
-    units = waiting.groupBy("unit").agg(F.count("*").alias("size"), F.min("since").alias("since")).withColumn("queue", F.lit(0))
-    before = Window.partitionBy("queue").orderBy("since", "unit").rowsBetween(Window.unboundedPreceding, -1)
-    admitted = units.withColumn("ahead", F.coalesce(F.sum("size").over(before), F.lit(0))).join(F.broadcast(room)).where("ahead < room")
+    units = waiting.groupBy("unit").agg(F.count("*").alias("size"), F.min("since").alias("since"))
+    admitted = running_sums(units, ["since", "unit"], {"ahead": F.col("size")}).join(F.broadcast(room)).where("ahead < room")
     return waiting.join(admitted.select("unit"), "unit", "left_semi").select("asset_id")
 
 

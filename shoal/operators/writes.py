@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shoal.functions import scalar as S
-from shoal.operators import lineage, sequences, tables
+from shoal.operators import lineage, tables
+from shoal.operators.running import running_sums
 
 
 def set_status(verdicts: DataFrame, ids: DataFrame, status: str, save_only: bool | None = None) -> DataFrame:
@@ -56,8 +57,8 @@ def keep_editing(baselines: DataFrame, findings: DataFrame, chosen: DataFrame, a
 def requeue(verdicts: DataFrame, filings: DataFrame, ids: DataFrame, album: str, room: int) -> DataFrame:
     """Filings of ids in the album are forgotten; of all that is then outstanding there the oldest go again while there is room."""
     forgotten = tables.delete(filings, ids.select("asset_id", F.lit(album).alias("album")), ["asset_id", "album"])
-    waiting = lineage.outstanding(verdicts, forgotten).where(F.col("album") == album).select(F.col("album").alias("queue"), F.col("asset_id").alias("unit"), F.lit(1).alias("size"), F.col("asset_id").alias("since"))
-    return sequences.admission(waiting, room).select(F.col("unit").alias("asset_id"), F.col("queue").alias("album"))
+    waiting = lineage.outstanding(verdicts, forgotten).where(F.col("album") == album).select("asset_id", "album").distinct()
+    return running_sums(waiting, ["asset_id"], {"ahead": F.lit(1)}).where(F.col("ahead") < room).select("asset_id", "album")
 
 
 def file_in_batches(requests: DataFrame, present: DataFrame, batch: int) -> DataFrame:

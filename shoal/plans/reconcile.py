@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from shoal.operators import facts, lineage, selection, tables
+from shoal.operators.running import running_sums
 from shoal.plans.catalog import query
 from shoal.sources import adapters as A
 
@@ -60,8 +61,7 @@ def _(spark, d):
 @query("agg_scan_summary", "WITH a AS (SELECT album_id, count(*) AS n FROM assets GROUP BY 1), r AS (SELECT *, coalesce(sum(n) OVER (ORDER BY album_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM a) SELECT count(*) AS albums, CAST(sum(n) AS BIGINT) AS images FROM r WHERE before < 800")
 def _(spark, d):
     albums = A.assets(spark, d).groupBy("album_id").agg(F.count("*").alias("n"))
-    before = Window.orderBy("album_id").rowsBetween(Window.unboundedPreceding, -1)  # one row an album
-    return albums.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).where("before < 800").agg(F.count("*").alias("albums"), F.sum("n").alias("images"))
+    return running_sums(albums, ["album_id"], {"before": F.col("n")}).where("before < 800").agg(F.count("*").alias("albums"), F.sum("n").alias("images"))
 
 
 @query("win_capture_order", "SELECT album_id, asset_id, row_number() OVER (PARTITION BY album_id ORDER BY ms NULLS FIRST, asset_id) AS pos FROM assets")

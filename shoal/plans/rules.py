@@ -233,13 +233,16 @@ def _(spark, d):
     return facts.edit_queue(live, A.verdicts(spark, d), since, merged, 5_000_000, 4_000_000).withColumnRenamed("asset_id", "id")
 
 
-@query("win_queue_room", f"WITH live AS (SELECT l.id, 5000000 - coalesce(f.filed_at, 0) > 6000000 AS late FROM listing l JOIN verdicts v ON v.asset_id = l.id LEFT JOIN filings f ON f.asset_id = l.id WHERE l.album = 'Edit' AND l.original_id IS NULL AND v.status = 'toEdit'), room AS (SELECT CASE WHEN (SELECT count(*) FROM live WHERE late) > 0 THEN 0 ELSE 60 - (SELECT count(*) FROM listing WHERE album = 'Edit' AND original_id IS NULL) END AS room), w AS (SELECT asset_id, {FILED} AS album FROM verdicts), o AS (SELECT asset_id, asset_id // 3 AS unit FROM w WHERE album = 'Edit' AND NOT EXISTS (SELECT 1 FROM filings f WHERE f.asset_id = w.asset_id AND f.album = 'Edit')), u AS (SELECT unit, count(*) AS n, min(asset_id) AS since FROM o GROUP BY 1), r AS (SELECT *, coalesce(sum(n) OVER (ORDER BY since, unit ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ahead FROM u) SELECT o.asset_id FROM o JOIN r USING (unit), room WHERE ahead < room")
+CAP = 100  # assets that the queue holds at most
+
+
+@query("win_queue_room", f"WITH live AS (SELECT l.id, 5000000 - coalesce(f.filed_at, 0) > 6000000 AS late FROM listing l JOIN verdicts v ON v.asset_id = l.id LEFT JOIN filings f ON f.asset_id = l.id WHERE l.album = 'Edit' AND l.original_id IS NULL AND v.status = 'toEdit'), room AS (SELECT CASE WHEN (SELECT count(*) FROM live WHERE late) > 0 THEN 0 ELSE {CAP} - (SELECT count(*) FROM live) END AS room), w AS (SELECT asset_id, {FILED} AS album FROM verdicts), o AS (SELECT asset_id, asset_id // 12 AS unit FROM w WHERE album = 'Edit' AND NOT EXISTS (SELECT 1 FROM filings f WHERE f.asset_id = w.asset_id AND f.album = 'Edit')), u AS (SELECT unit, count(*) AS n, min(asset_id) AS since FROM o GROUP BY 1), r AS (SELECT *, coalesce(sum(n) OVER (ORDER BY since, unit ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ahead FROM u) SELECT o.asset_id FROM o JOIN r USING (unit), room WHERE ahead < room")
 def _(spark, d):
     listed = A.listing(spark, d).where("album = 'Edit' and original_id is null").select(F.col("id").alias("asset_id"))
     since = A.filings(spark, d).select("asset_id", F.col("filed_at").alias("at"))
-    queue = facts.edit_queue(listed, A.verdicts(spark, d), since, listed.limit(0), 5_000_000, 6_000_000)
-    waiting = lineage.outstanding(A.verdicts(spark, d), A.filings(spark, d)).where("album = 'Edit'").select("asset_id", F.floor(F.col("asset_id") / 3).alias("unit"), F.col("asset_id").alias("since"))
-    return sequences.queue_room(queue, listed, waiting, 60)
+    queue = facts.edit_queue(listed, A.verdicts(spark, d), since, listed.where("asset_id < 0"), 5_000_000, 6_000_000)
+    waiting = lineage.outstanding(A.verdicts(spark, d), A.filings(spark, d)).where("album = 'Edit'").select("asset_id", F.floor(F.col("asset_id") / 12).alias("unit"), F.col("asset_id").alias("since"))
+    return sequences.queue_room(queue, queue, waiting, CAP)
 
 
 @query("agg_album_census", "WITH h AS (SELECT album, count(*) FILTER (original_id IS NULL) AS live, count(*) FILTER (original_id IS NOT NULL) AS deleted FROM listing GROUP BY 1) SELECT day, album, live, deleted FROM (SELECT DATE '2024-01-01' AS day, 'Edit' AS album, 1 AS live, 0 AS deleted UNION ALL SELECT DATE '2024-01-02', 'Old', 5, 2 UNION ALL SELECT DATE '2024-01-02', album, live, deleted FROM h)")

@@ -39,7 +39,7 @@ def same_as_sql(spark, small):
                 df[c] = pd.to_datetime(df[c]).dt.strftime("%F")
             elif df[c].dtype.kind in "iuf":
                 df[c] = df[c].astype(float).round(6)
-        return df.astype(str).sort_values(list(df.columns)).reset_index(drop=True)
+        return df.astype(object).where(df.notna(), None).astype(str).sort_values(list(df.columns)).reset_index(drop=True)
 
     def check(query, sql):
         ours, theirs = normal(query(spark, small).toPandas()), normal(db.sql(sql).df())
