@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from shoal.llm import licenses, minhash, mixing, neighbours, packing, passages, pii, quality, substrings, toxicity
+from shoal.llm import licenses, minhash, mixing, neighbours, packing, passages, pieces, pii, quality, substrings, toxicity
 
 QUERIES = {
     "op1_suffix_dedup": substrings.op1_suffix_dedup,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_best_fit_packing": packing.op8_best_fit_packing,
     "op9_source_mix": mixing.op9_source_mix,
     "op10_additive_neighbours": neighbours.op10_additive_neighbours,
+    "op12_piece_encoding": pieces.op12_piece_encoding,
 }
 ORACLES = {
     "op6_quality_cascade": quality.SQL,
