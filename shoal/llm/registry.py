@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from shoal.llm import licenses, minhash, mixing, neighbours, packing, passages, pieces, pii, quality, substrings, toxicity
+from shoal.llm import licenses, minhash, mixing, neighbours, packing, passages, phrases, pieces, pii, quality, substrings, toxicity
 
 QUERIES = {
     "op1_suffix_dedup": substrings.op1_suffix_dedup,
@@ -16,8 +16,10 @@ QUERIES = {
     "op9_source_mix": mixing.op9_source_mix,
     "op10_additive_neighbours": neighbours.op10_additive_neighbours,
     "op12_piece_encoding": pieces.op12_piece_encoding,
+    "op13_phrase_collocations": phrases.op13_phrase_collocations,
 }
 ORACLES = {
     "op6_quality_cascade": quality.SQL,
     "op9_source_mix": mixing.SQL,
+    "op13_phrase_collocations": phrases.SQL,
 }

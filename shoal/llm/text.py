@@ -75,9 +75,10 @@ def slices(texts: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int
         lo = hi
 
 
-def words(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of all words, and for each row the index of its first word (one more entry than rows)."""
-    word = ~_SPACE[data]
+def words(data: np.ndarray, offs: np.ndarray, space: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of all words (runs of bytes that are not in `space`), and for each row the index of its first word (one more entry
+    than rows)."""
+    word = ~space[data]
     start, end = word.copy(), word.copy()
     start[1:] &= ~word[:-1]
     end[:-1] &= ~word[1:]
