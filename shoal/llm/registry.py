@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from shoal.llm import licenses, minhash, mixing, neighbours, packing, passages, phrases, pieces, pii, quality, substrings, toxicity
+from shoal.llm import licenses, minhash, mixing, neighbours, packing, passages, phrases, pieces, pii, quality, substrings, toxicity, trie
 
 QUERIES = {
     "op1_suffix_dedup": substrings.op1_suffix_dedup,
@@ -15,11 +15,13 @@ QUERIES = {
     "op8_best_fit_packing": packing.op8_best_fit_packing,
     "op9_source_mix": mixing.op9_source_mix,
     "op10_additive_neighbours": neighbours.op10_additive_neighbours,
+    "op11_conversation_trie": trie.op11_conversation_trie,
     "op12_piece_encoding": pieces.op12_piece_encoding,
     "op13_phrase_collocations": phrases.op13_phrase_collocations,
 }
 ORACLES = {
     "op6_quality_cascade": quality.SQL,
     "op9_source_mix": mixing.SQL,
+    "op11_conversation_trie": trie.SQL,
     "op13_phrase_collocations": phrases.SQL,
 }
