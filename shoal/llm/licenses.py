@@ -22,10 +22,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from shoal.llm.shared import table
-from shoal.llm.text import Polynomial, row_of, slices, words
+from shoal.llm.text import row_of, slices, word_hashes, words
 
 LEAST_PERCENT = 80
-_HASH = Polynomial(61)
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[[b for b in range(128) if not chr(b).isalnum()]] = 0x20
 _FOLD[0x41:0x5B] += 32
@@ -64,10 +63,10 @@ TELLING = {
 SHORT = 16  # templates of up to so many words must be aligned in full
 
 
-def word_hashes(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def hashed_words(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     folded = _FOLD[data]
     starts, ends, first = words(folded, offs)
-    return _HASH.spans(_HASH.prefix(folded), starts, ends), first
+    return word_hashes(folded, starts, ends, 61), first
 
 
 class Library:
@@ -76,10 +75,10 @@ class Library:
         hashed, telling = [], []
         for _, text in templates:
             data = np.frombuffer(text.encode(), np.uint8)
-            hashed.append(word_hashes(data, np.array([0, len(data)]))[0])
+            hashed.append(hashed_words(data, np.array([0, len(data)]))[0])
         for name in self.names:
             data = np.frombuffer(TELLING.get(name, "").encode(), np.uint8)
-            telling.append(word_hashes(data, np.array([0, len(data)]))[0])
+            telling.append(hashed_words(data, np.array([0, len(data)]))[0])
         self.words = np.unique(np.concatenate(hashed))
         self.ids = [np.searchsorted(self.words, h) for h in hashed]
         self.telling = [set(np.searchsorted(self.words, np.intersect1d(t, h)).tolist()) for t, h in zip(telling, hashed, strict=True)]
@@ -165,7 +164,7 @@ def scan(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, le
         for batch in batches:
             out: list[tuple] = []
             for lo, hi, data, offs in slices(batch.column(1)):
-                hashes, first = word_hashes(data, offs)
+                hashes, first = hashed_words(data, offs)
                 at = np.minimum(np.searchsorted(lib.words, hashes), len(lib.words) - 1)
                 known = lib.words[at] == hashes
                 rows = row_of(first)

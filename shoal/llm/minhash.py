@@ -26,14 +26,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shoal.llm.shared import materialise, table
-from shoal.llm.text import Polynomial, constants, mix, row_of, shingles, slices, words
+from shoal.llm.text import constants, mix, row_of, shingles, slices, word_hashes, words
 from shoal.operators.lineage import components
 
 BANDS, ROWS, BITS, MARGIN = 32, 5, 4, 5.0
 PERMS = BANDS * ROWS
 WORDS64 = PERMS * BITS // 64
 BLOCK_ROWS, BLOCK_SHINGLES = 1024, 1 << 20
-_HASH = Polynomial(31, fold_case=True)
 _MUL = (constants(41, PERMS) >> np.uint64(32)) | np.uint64(1)
 _ADD = constants(42, PERMS) >> np.uint64(32)
 _ONES = 0x1111111111111111
@@ -42,7 +41,7 @@ _ONES = 0x1111111111111111
 def sets(data: np.ndarray, offs: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """The distinct shingle hashes of each row in ascending order, and the index of each row's first."""
     starts, ends, first = words(data, offs)
-    hashes, at = shingles(mix(_HASH.spans(_HASH.prefix(data), starts, ends)), first, k)
+    hashes, at = shingles(word_hashes(data, starts, ends, 31, fold_case=True), first, k)
     rows = row_of(at)
     order = np.lexsort((hashes, rows))
     hashes = hashes[order]

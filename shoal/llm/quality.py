@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shoal.llm.shared import table
-from shoal.llm.text import Polynomial, per_row, row_of, shingles, slices, words
+from shoal.llm.text import Polynomial, per_row, row_of, shingles, slices, word_hashes, words
 
 SAMPLE_ROWS = 400
 MIN_WORDS, REPEAT_PERCENT, WINDOW = 20, 30, 8
@@ -59,7 +59,7 @@ def _prefix(t: Texts) -> np.ndarray:
 
 def _repeat_words(t: Texts) -> np.ndarray:
     starts, ends, first = t["words"]
-    windows, at = shingles(_HASH.spans(t["prefix"], starts, ends), first, WINDOW, whole=False)
+    windows, at = shingles(word_hashes(t.data, starts, ends, 11), first, WINDOW, whole=False)
     rows = row_of(at)
     keys = windows + rows.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)  # one sort for all rows
     order = np.argsort(keys, kind="stable")

@@ -51,7 +51,7 @@ def anchors(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, ...]:
         return *(np.zeros(0, np.int64) for _ in range(4)), *(np.zeros(0, np.uint64) for _ in range(2))
     prefix = _FIRST.prefix(data)
     n, width = len(data) - GRAM + 1, SPAN - GRAM + 1
-    grams = mix((prefix[GRAM:] - prefix[:n]) * _FIRST.down[:n])
+    grams = mix(_FIRST.windows(prefix, GRAM))
     blocks = np.full(-(-n // width) * width, np.iinfo(np.uint64).max, np.uint64)
     blocks[:n] = (grams >> np.uint64(_PLACE) << np.uint64(_PLACE)) | np.arange(n, dtype=np.uint64)
     ahead = np.minimum.accumulate(blocks.reshape(-1, width), axis=1).ravel()
@@ -98,19 +98,18 @@ def runs(docs: DataFrame, piece: int = PIECE) -> DataFrame:
     return docs.mapInArrow(run, "did long, row long, gram long, whole long, first long, more int, ahead int")
 
 
-def _compare(prefix: np.ndarray, down: np.ndarray, data: np.ndarray, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _compare(prefix: np.ndarray, data: np.ndarray, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Common extension of the suffixes at x and y, up to SPAN, and whether the first is less."""
     common, most = np.zeros(len(x), np.int64), np.full(len(x), SPAN)
-    px, py, dx, dy = prefix[x], prefix[y], down[x], down[y]
     for _ in range(SPAN.bit_length()):
         mid = (common + most + 1) >> 1
-        same = (prefix[x + mid] - px) * dx == (prefix[y + mid] - py) * dy
+        same = _FIRST.spans(prefix, x, x + mid) == _FIRST.spans(prefix, y, y + mid)
         common, most = np.where(same, mid, common), np.where(same, most, np.maximum(mid - 1, common))
     short = np.minimum(common, SPAN - 1)
     return common, (common < SPAN) & (data[x + short] < data[y + short])
 
 
-def merge_sorted(prefix: np.ndarray, down: np.ndarray, data: np.ndarray, starts: np.ndarray, group: np.ndarray) -> np.ndarray:
+def merge_sorted(prefix: np.ndarray, data: np.ndarray, starts: np.ndarray, group: np.ndarray) -> np.ndarray:
     """Suffix starts, already together by group, in order of their SPAN bytes within each group: a bottom-up mergesort whose
     merges place every element of a run by binary search in the neighbouring run."""
     order = np.arange(len(starts))
@@ -131,7 +130,7 @@ def merge_sorted(prefix: np.ndarray, down: np.ndarray, data: np.ndarray, starts:
             mid = (lo[live] + hi[live]) >> 1
             other = starts[order[mid]]
             x, y = np.where(left[live], other, me[live]), np.where(left[live], me[live], other)
-            less = _compare(prefix, down, data, x, y)[1]
+            less = _compare(prefix, data, x, y)[1]
             before = np.where(left[live], less, ~less)  # the other run's element goes first
             lo[live] = np.where(before, mid + 1, lo[live])
             hi[live] = np.where(before, hi[live], mid)
@@ -151,11 +150,11 @@ def repeats(data: np.ndarray, begin: np.ndarray, n: np.ndarray, ahead: np.ndarra
     group = unit[run] * 2048 + within - ahead[run] + 1024
     together = np.argsort(group, kind="stable")
     prefix = _FIRST.prefix(data)
-    order = together[merge_sorted(prefix, _FIRST.down, data, starts[together], group[together])]
+    order = together[merge_sorted(prefix, data, starts[together], group[together])]
     x, y = order[:-1], order[1:]
     near = np.flatnonzero(group[x] == group[y])
     x, y = x[near], y[near]
-    full = _compare(prefix, _FIRST.down, data, starts[x], starts[y])[0] == SPAN
+    full = _compare(prefix, data, starts[x], starts[y])[0] == SPAN
     x, y = x[full], y[full]
     # Verification: all bytes of the first of neighbouring spans of one pair of runs, and of each other its last byte.
     by_pair = np.lexsort((within[x], run[y], run[x]))
@@ -319,11 +318,11 @@ def repeated_spans(docs: DataFrame, hot: int = HOT, piece: int = PIECE) -> DataF
     grams = seen.groupBy("gram").agg(F.sum("n").alias("total"), F.count("*").alias("m")).where("total > 1").select("gram", "m")
     known = seen.join(grams, "gram")
     facts = F.struct("first", "more", "ahead", "n", "m", (token == F.col("token")).alias("rep"), "gram")
-    listed = found.join(known, ["gram", "whole"]).groupBy("did", "row").agg(F.collect_list(facts).alias("found"))
+    listed = found.join(known, ["gram", "whole"]).groupBy("did", "row").agg(F.collect_set(facts).alias("found"))  # a set: rows equal in id and text have the same runs
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     texts = docs.repartition(parts, "did", "row")
     joined = texts.join(listed.hint("shuffle_hash"), ["did", "row"]).select("did", "row", "text", "found")
-    spans = _resolve(_collect(joined, hot)).groupBy("did", "row").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
+    spans = _resolve(_collect(joined, hot)).groupBy("did", "row").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
     return texts.join(spans.hint("shuffle_hash"), ["did", "row"], "left").select("did", "row", "text", "spans")
 
 

@@ -29,33 +29,60 @@ def constants(seed: int, n: int) -> np.ndarray:
     return mix(np.arange(1, n + 1, dtype=np.uint64) * _ODD + np.uint64(seed * 0xD1B54A32D192ED03 & (1 << 64) - 1))
 
 
+PRIME = (1 << 61) - 1
+_P, _LOW31, _LOW30 = np.uint64(PRIME), np.uint64((1 << 31) - 1), np.uint64((1 << 30) - 1)
+_30, _31, _32, _29, _61, _1 = (np.uint64(k) for k in (30, 31, 32, 29, 61, 1))
+
+
+def reduced(x: np.ndarray) -> np.ndarray:
+    """Any 64-bit values modulo PRIME."""
+    x = (x & _P) + (x >> _61)
+    return np.where(x >= _P, x - _P, x)
+
+
+def times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Products modulo PRIME of values below it, by halves of 31 and 30 bits; no step passes 64 bits."""
+    a1, a0, b1, b0 = a >> _31, a & _LOW31, b >> _31, b & _LOW31
+    mid = a0 * b1 + a1 * b0
+    return reduced(((a1 * b1) << _1) + (mid >> _30) + ((mid & _LOW30) << _31) + a0 * b0)
+
+
 class Polynomial:
-    """Hashes of any substring from prefix sums: sum of T[byte] * B**i modulo 2**64, shifted back to the start by B**-i.
+    """Hashes of any substring from prefix sums: sum of T[byte] * B**i modulo the prime 2**61 - 1, shifted back to the start by B**-i.
 
-    T is a table of odd pseudo-random values and B is odd, so B has an inverse; two instances with different seeds are independent.
+    T is a table of pseudo-random values and B a pseudo-random base, so two different strings of n bytes agree for n bases of 2**61 at most
+    (a power of two as modulus has strings that agree for every base). Instances with different seeds are independent.
     """
 
     def __init__(self, seed: int, fold_case: bool = False):
-        self.table = constants(seed, 256)
+        self.table = reduced(constants(seed, 256))
         if fold_case:
             self.table[0x41:0x5B] = self.table[0x61:0x7B]
-        self.base = int(constants(seed + 1000, 1)[0]) | 1
+        self.base = int(constants(seed + 1000, 1)[0]) % (PRIME - 2) + 2
         self.up, self.down = np.ones(1, np.uint64), np.ones(1, np.uint64)
 
     def powers(self, n: int) -> None:
         while len(self.up) < n:
             k = len(self.up)
-            self.up = np.concatenate([self.up, self.up * np.uint64(pow(self.base, k, 1 << 64))])
-            self.down = np.concatenate([self.down, self.down * np.uint64(pow(self.base, -k, 1 << 64))])
+            self.up = np.concatenate([self.up, times(self.up, np.uint64(pow(self.base, k, PRIME)))])
+            self.down = np.concatenate([self.down, times(self.down, np.uint64(pow(self.base, -k, PRIME)))])
 
     def prefix(self, data: np.ndarray) -> np.ndarray:
+        """Prefix sums; those of the upper and of the lower 32 bits are made apart, as neither passes 64 bits."""
         self.powers(len(data) + 1)
         out = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(self.table[data] * self.up[: len(data)], out=out[1:])
+        terms = times(self.table[data], self.up[: len(data)])
+        high = np.cumsum(terms >> _32, dtype=np.uint64)
+        out[1:] = reduced((((high << _32) & _P) | (high >> _29)) + reduced(np.cumsum(terms & np.uint64(0xFFFFFFFF), dtype=np.uint64)))
         return out
 
     def spans(self, prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return (prefix[end] - prefix[start]) * self.down[start]
+        return times(reduced(prefix[end] + (_P - prefix[start])), self.down[start])
+
+    def windows(self, prefix: np.ndarray, width: int) -> np.ndarray:
+        """Hashes of all substrings of `width` bytes."""
+        n = len(prefix) - width
+        return times(reduced(prefix[width:] + (_P - prefix[:n])), self.down[:n])
 
 
 def slices(texts: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -91,6 +118,21 @@ def words(data: np.ndarray, offs: np.ndarray, space: np.ndarray = _SPACE) -> tup
     return starts, np.flatnonzero(end) + 1, np.searchsorted(starts, offs)
 
 
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int, fold_case: bool = False) -> np.ndarray:
+    """64-bit hashes of words: sums of a pseudo-random value for each place in the word and byte there, so different words have equal sums
+    only by chance, whatever their pattern. A word hashes alike wherever it stands."""
+    if not len(starts):
+        return np.zeros(0, np.uint64)
+    low = np.arange(256, dtype=np.uint64)
+    if fold_case:
+        low[0x41:0x5B] += np.uint64(0x20)
+    place = np.arange(starts[0], len(data)) - np.repeat(starts, np.diff(np.append(starts, len(data))))
+    values = mix((place.astype(np.uint64) << np.uint64(8) | low[data[starts[0] :]]) * _ODD + constants(seed, 1))
+    sums = np.zeros(len(data) - starts[0] + 1, np.uint64)
+    np.cumsum(values, out=sums[1:])
+    return sums[ends - starts[0]] - sums[starts - starts[0]]
+
+
 def shingles(word_hashes: np.ndarray, first: np.ndarray, k: int, whole: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all runs of k words of each row, and the index of each row's first. With `whole`, a row of fewer words
     (one at least) has its whole sequence as its only shingle."""

@@ -100,7 +100,7 @@ def test_suffixes_are_sorted():
     data[1000:1600] = data[:600]
     starts = np.arange(0, 2500, 7)
     group = np.repeat([0, 1], [200, len(starts) - 200])
-    order = substrings.merge_sorted(substrings._FIRST.prefix(data), substrings._FIRST.down, data, starts, group)
+    order = substrings.merge_sorted(substrings._FIRST.prefix(data), data, starts, group)
     keys = [(g, bytes(data[s : s + substrings.SPAN])) for g, s in zip(group[order], starts[order], strict=True)]
     assert keys == sorted(keys)
 
@@ -533,3 +533,54 @@ def test_neighbours_of_odd_vectors(spark):
     assert [(r.query_id, r.vec_id, r.score) for r in got] == [(0, v, 0.0) for v in (3, 6, 9, 12, 15)]
     none = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert neighbours.search(none, none).count() == 0
+
+
+# Hashes
+
+
+def thue_morse(n):
+    word = b"a"
+    while len(word) < n:
+        word += word.translate(bytes.maketrans(b"ab", b"ba"))
+    return word.decode(), word.translate(bytes.maketrans(b"ab", b"ba")).decode()
+
+
+@pytest.mark.parametrize("n", [256, 512, 1024, 4096])
+def test_strings_that_agree_modulo_powers_of_two_are_told_apart(spark, tmp_path, n):
+    """A word and its complement have one hash under every odd base modulo 2**64."""
+    import duckdb
+
+    a, b = thue_morse(n)
+    tail = " ".join(f"w{k}" for k in range(40))
+    rows = [(1, a), (2, b), (3, f"{a}\n{b}\n{tail}"), (4, " ".join([a] * 30)), (5, " ".join([b] * 30))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    found = {r["doc_id"]: r["component_id"] for r in QUERIES["op3_minhash_near_dedup"](spark, str(tmp_path)).collect()}
+    assert found[1] == 1 and found[2] == 2 and found[4] == 4 and found[5] == 5
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    have = QUERIES["op6_quality_cascade"](spark, str(tmp_path))
+    assert sorted(map(tuple, have.select("doc_id", "n_dup_lines", "n_repeat_words", "kept").collect())) == sorted(db.sql(f"SELECT doc_id, n_dup_lines, n_repeat_words, kept FROM ({ORACLES['op6_quality_cascade']})").fetchall())
+    assert sorted(tuple(r)[:5] for r in substrings.remove_repeats(docs).collect()) == brute_spans(rows)
+    with_words = spark.createDataFrame([(1, " ".join([a, *(f"x{k}" for k in range(60))])), (2, " ".join([b, *(f"y{k}" for k in range(60))]))], "doc_id long, text string")
+    assert passages.repeated_passages(with_words).count() == 0
+
+
+def test_polynomial_hashes_are_those_of_their_definition():
+    from shoal.llm.text import PRIME, Polynomial
+
+    poly, data = Polynomial(3), np.random.default_rng(1).integers(0, 256, 3000).astype(np.uint8)
+    prefix, table, sofar = poly.prefix(data), [int(x) for x in poly.table], 0
+    for k, x in enumerate(data.tolist()):
+        sofar = (sofar + table[x] * pow(poly.base, k, PRIME)) % PRIME
+        assert sofar == int(prefix[k + 1])
+    assert (poly.windows(prefix, 40) == poly.spans(prefix, np.arange(2961), np.arange(40, 3001))).all()
+
+
+def test_rows_that_repeat_id_and_text(spark):
+    """Rows equal in doc_id and text have one key; their runs are kept once and each row gets the same result."""
+    rng = random.Random(12)
+    text, other = prose(rng, 150), prose(rng, 150)
+    rows = [(None, text)] * 60 + [(7, other)] * 2 + [(8, prose(rng, 150))]
+    got = substrings.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()
+    assert sorted((tuple(r)[:5] for r in got), key=str) == brute_spans(rows)
