@@ -156,6 +156,8 @@ def fragments(docs: DataFrame, sums: np.ndarray, longest: int = LONGEST, least:
                 n = np.bincount(code)
                 first = np.empty(len(n), np.int64)
                 first[code[::-1]] = np.arange(len(code))[::-1]
+                together = np.lexsort((around[longest - 1][first], around[0][first], pivot[first]))  # like rows side by side take less room in a shuffle
+                first, n = first[together], n[together]
                 texts = t.words.cast(pa.string())
                 beside = [texts.take(pa.array(a[first], mask=a[first] == none)) for a in around]
                 join = lambda parts: pc.utf8_trim(pc.binary_join_element_wise(*parts, " ", null_handling="replace", null_replacement=""), " ")
