@@ -1,13 +1,12 @@
-"""Paged JSON listings of albums, and asset documents."""
+"""JSON documents of assets and albums."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shoal.functions import scalar as S
 
-_PAGE = "resources array<struct<asset: struct<id: bigint, name: string>>>, links struct<next: struct<href: string>>"
 _DOC = "subtype string, payload struct<captureDate: string, importSource: struct<fileName: string>, location: struct<latitude: double, longitude: double>, camera: struct<serial: string>>"
 
 
@@ -15,26 +14,6 @@ def first_assets(assets: DataFrame, n: int) -> DataFrame:
     return assets.orderBy("asset_id").limit(n)
 
 
-def as_pages(assets: DataFrame, album: str, page: str) -> DataFrame:
-    """(album, page, body) as a listing service answers: one text of JSON a page, each but the last naming the next."""
-    resource = F.struct(F.struct(F.col("asset_id").alias("id"), "name").alias("asset"))
-    made = assets.groupBy(album, page).agg(F.sort_array(F.collect_list(resource)).alias("resources"))
-    later = F.lead(page).over(Window.partitionBy(album).orderBy(page))
-    links = F.struct(F.when(later.isNotNull(), F.struct(F.concat(F.lit("page="), later.cast("string")).alias("href"))).alias("next"))
-    return made.withColumn("links", links).select(album, page, F.concat(F.lit("while (1) {}"), F.to_json(F.struct("resources", "links"))).alias("body"))
-
-
-def album_assets(pages: DataFrame, most: int = 50) -> DataFrame:
-    """Assets of each album's chain of pages, followed from page 0 by the number that a page names as next, for `most` pages at most."""
-    read = pages.withColumn("p", F.from_json(S.json_guard(F.col("body")), _PAGE))
-    follows = F.regexp_extract("p.links.next.href", r"page=(\d+)", 1)
-    w = Window.partitionBy("album_id").orderBy("page")
-    named = F.lag(follows).over(w)
-    broken = F.when(F.row_number().over(w) == 1, F.col("page") != 0).otherwise(F.coalesce(named != F.col("page").cast("string"), F.lit(True)))
-    kept = read.withColumn("broken", F.max(broken).over(w)).withColumn("n", F.row_number().over(w)).where(~F.col("broken") & (F.col("n") <= most))
-    return kept.select("album_id", "page", F.explode("p.resources.asset").alias("a")).select("album_id", "page", F.col("a.id").alias("asset_id"), F.col("a.name").alias("name"))
-
-
 def asset_meta(docs: DataFrame, doc: Column) -> DataFrame:
     """Flat metadata of asset documents: a name and extension, '' for no time, a place only where both coordinates are there."""
     p = docs.withColumn("p", F.from_json(doc, _DOC)["payload"])
