@@ -32,12 +32,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shoal.llm.shared import table
-from shoal.llm.text import Polynomial, mix, slices
+from shoal.llm.text import Polynomial, WindowKeys, mix, slices, span_hashes
 
 SPAN, GRAM = 400, 128
 HOT, HOT_BUCKETS, HOT_FLUSH = 256, 256, 500_000
 UNIT_BYTES, PIECE = 1 << 20, 1 << 22
-_FIRST, _SECOND = Polynomial(51), Polynomial(52)
+_FIRST, _SECOND, _KEYS = Polynomial(51), Polynomial(52), WindowKeys(50)
 _PLACE = 28
 _WINDOW = np.dtype([("one", "<u8"), ("two", "<u8"), ("did", "<i8"), ("row", "<i8"), ("start", "<i8"), ("quiet", "?")])
 _NO_ID = -(1 << 63)
@@ -49,9 +49,8 @@ def anchors(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, ...]:
     ok = lengths >= SPAN
     if not ok.any():
         return *(np.zeros(0, np.int64) for _ in range(4)), *(np.zeros(0, np.uint64) for _ in range(2))
-    prefix = _FIRST.prefix(data)
     n, width = len(data) - GRAM + 1, SPAN - GRAM + 1
-    grams = mix(_FIRST.windows(prefix, GRAM))
+    grams = _KEYS.of(data, GRAM)
     blocks = np.full(-(-n // width) * width, np.iinfo(np.uint64).max, np.uint64)
     blocks[:n] = (grams >> np.uint64(_PLACE) << np.uint64(_PLACE)) | np.arange(n, dtype=np.uint64)
     ahead = np.minimum.accumulate(blocks.reshape(-1, width), axis=1).ravel()
@@ -70,7 +69,7 @@ def anchors(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, ...]:
     a = at[first]
     row = np.searchsorted(offs, first, "right") - 1
     shape = mix(((a - first) * 1024 + (last - first)).astype(np.uint64))
-    whole = mix(mix(_FIRST.spans(prefix, first, last + SPAN)) + shape)
+    whole = mix(span_hashes(data, first, last + SPAN, 53) + shape)
     return row, first - offs[row], last - offs[row], a - offs[row], grams[a], whole
 
 

@@ -79,10 +79,38 @@ class Polynomial:
     def spans(self, prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return times(reduced(prefix[end] + (_P - prefix[start])), self.down[start])
 
-    def windows(self, prefix: np.ndarray, width: int) -> np.ndarray:
-        """Hashes of all substrings of `width` bytes."""
-        n = len(prefix) - width
-        return times(reduced(prefix[width:] + (_P - prefix[:n])), self.down[:n])
+
+class WindowKeys:
+    """Keys of all substrings of one width, quicker than Polynomial: sums modulo 2**64. Equal substrings have equal keys; the reverse does not
+    hold for texts made for it, so they serve to group what is compared otherwise."""
+
+    def __init__(self, seed: int):
+        self.table = constants(seed, 256)
+        self.base = int(constants(seed + 1000, 1)[0]) | 1
+        self.up, self.down = np.ones(1, np.uint64), np.ones(1, np.uint64)
+
+    def of(self, data: np.ndarray, width: int) -> np.ndarray:
+        while len(self.up) < len(data):
+            k = len(self.up)
+            self.up = np.concatenate([self.up, self.up * np.uint64(pow(self.base, k, 1 << 64))])
+            self.down = np.concatenate([self.down, self.down * np.uint64(pow(self.base, -k, 1 << 64))])
+        prefix = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum(self.table[data] * self.up[: len(data)], out=prefix[1:])
+        n = len(data) - width + 1
+        return mix((prefix[width:] - prefix[:n]) * self.down[:n])
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int) -> np.ndarray:
+    """64-bit hashes of spans of 8 bytes or more, read as words of 8 from their start (the last one from their end): sums of mixed values of
+    each word and its place, so different spans have equal sums only by chance."""
+    if not len(starts):
+        return np.zeros(0, np.uint64)
+    n = (ends - starts + 7) >> 3
+    before = np.cumsum(n) - n
+    place = np.arange(int(n.sum())) - np.repeat(before, n)
+    at = np.minimum(np.repeat(starts, n) + (place << 3), np.repeat(ends, n) - 8)
+    eight = np.ndarray((len(data) - 7,), "<u8", np.ascontiguousarray(data), strides=(1,))
+    return np.add.reduceat(mix(eight[at] ^ constants(seed, int(n.max()))[place]), before)
 
 
 def slices(texts: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
