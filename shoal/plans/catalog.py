@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from shoal.functions import scalar as S
 from shoal.operators import facts, lineage, selection, sequences, tables, vectors
 from shoal.sources import adapters as A
+from shoal.sources.session import checkpoint_root
 from shoal.streaming import state
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -381,8 +383,9 @@ def _(spark, d):
 
 @query("st_sweep", _SENT)
 def _(spark, d):
-    requests = state.events(spark, d).select(F.col("event_type").alias("key"), F.col("event_id").alias("id"))
-    return state.drain(requests, "append", change=lambda batch: state.send(batch, refuse_sevenths))
+    requests, ledger = state.events(spark, d).select(F.col("event_type").alias("key"), F.col("event_id").alias("id")), f"{checkpoint_root(spark)}/ledger-{uuid.uuid4().hex}"
+    state.sweep(requests, refuse_sevenths, ledger, availableNow=True).start().awaitTermination()
+    return state.outcomes(spark, ledger).select("key", "id", "outcome")
 
 
 @query("lim_low_water")
@@ -539,6 +542,13 @@ def _(spark, d):
     return e.groupBy("user_id", "day").agg(F.min("draw").getField("event_id").alias("pick"))
 
 
+@query("st_session_picks", "SELECT user_id AS owner, strftime(ts, '%Y-%m-%d') AS session, (array_agg(event_id ORDER BY md5('s5:' || CAST(event_id AS VARCHAR)), event_id))[1] AS item FROM events GROUP BY 1, 2")
+def _(spark, d):
+    asked = state.events(spark, d).select(F.col("user_id").alias("owner"), F.date_format("ts", "yyyy-MM-dd").alias("session"), F.col("event_id").alias("item"), selection.draw("s5", F.col("event_id")).alias("draw"))
+    with state.keyed_state(spark):
+        return state.drain(state.session_picks(asked), "update", ["owner", "session"], once=True).select("owner", "session", "item")
+
+
 @query("hlp_album_search", "SELECT DISTINCT album FROM meta WHERE contains(lower(album), 'c1') AND album NOT IN ('src11')")
 def _(spark, d):
     found = A.meta(spark, d).select("album").distinct().where(F.contains(F.lower("album"), F.lit("c1")))

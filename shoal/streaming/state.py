@@ -9,11 +9,14 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.readwriter import DataStreamWriter
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from shoal.sources.session import checkpoint_root
 
@@ -64,10 +67,10 @@ def low_water(log: DataFrame, low: float, high: float) -> DataFrame:
     return log.groupBy("user_id").applyInPandasWithState(step, "user_id long, event_id long, low boolean", "on boolean", "append", GroupStateTimeout.NoTimeout)
 
 
-def drain(stream: DataFrame, mode: str, keys: list[str] | None = None, change=None) -> DataFrame:
+def drain(stream: DataFrame, mode: str, keys: list[str] | None = None, change=None, once: bool = False) -> DataFrame:
     """Runs a stream over what its source holds and returns what it wrote: all rows (append), or with `keys` the newest row of each key
     (update). Every micro-batch writes its own folder, so a batch that is run again replaces what it wrote before. `change` maps a
-    micro-batch before it is written."""
+    micro-batch before it is written. `once` takes all input as one batch: state with a time to live asks for further batches without end."""
     spark = stream.sparkSession
     path = f"{checkpoint_root(spark)}/stream-{uuid.uuid4().hex}"
     change = change or (lambda batch: batch)
@@ -76,7 +79,7 @@ def drain(stream: DataFrame, mode: str, keys: list[str] | None = None, change=No
     def put(batch: DataFrame, batch_id: int) -> None:
         change(batch).write.mode("overwrite").parquet(f"{path}/out/batch={batch_id}")
 
-    query = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{path}/state").foreachBatch(put).trigger(availableNow=True).start()
+    query = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{path}/state").foreachBatch(put).trigger(**({"once": True} if once else {"availableNow": True})).start()
     query.awaitTermination()
     written = spark.read.schema(schema.add("batch", "long")).parquet(f"{path}/out")
     if keys is None:
@@ -129,11 +132,71 @@ def send(requests: DataFrame, sink, batch_rows: int = 50) -> DataFrame:
     return dealt.mapInPandas(run, "key string, id long, outcome string")
 
 
-def sweep(stream: DataFrame, sink, every: str = "5 seconds", batch_rows: int = 50):
-    """A stream writer that sends what came in together at most once in `every`, one sweep at a time; start() it with a checkpoint. The
-    outcomes of each sweep go to put(outcomes, batch_id) of the caller."""
+def _exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
 
-    def writer(put):
-        return stream.writeStream.trigger(processingTime=every).foreachBatch(lambda batch, batch_id: put(send(batch, sink, batch_rows), batch_id))
 
-    return writer
+def sweep(stream: DataFrame, sink, ledger: str, batch_rows: int = 50, after=None, **trigger) -> DataStreamWriter:
+    """A stream of requests(key, id) as a writer to start(): what came in together is sent as one sweep, by default 5 seconds after the last
+    one began at the earliest. `ledger` is a folder that keeps the stream's checkpoint and the outcomes of each sweep by number. A sweep's
+    outcomes are kept before the stream moves on, so a sweep that is run again after a crash is not sent again if they are there; what was
+    sent by a sweep that crashed before is sent with it once more, in the same batches. Sweeps of a stream follow each other, and a second
+    query on the ledger stops the first, so no two are under way. after(number) is called when a sweep's outcomes are kept."""
+    spark = stream.sparkSession
+
+    def put(batch: DataFrame, number: int) -> None:
+        kept = f"{ledger}/outcomes/sweep={number}"
+        if not _exists(spark, f"{kept}/_SUCCESS"):
+            send(batch, sink, batch_rows).write.mode("overwrite").parquet(kept)
+        if after is not None:
+            after(number)
+
+    return stream.writeStream.trigger(**(trigger or {"processingTime": "5 seconds"})).option("checkpointLocation", f"{ledger}/stream").foreachBatch(put)
+
+
+def outcomes(spark: SparkSession, ledger: str) -> DataFrame:
+    """(key, id, outcome, sweep) of all sweeps in a ledger."""
+    return spark.read.schema("key string, id long, outcome string, sweep long").parquet(f"{ledger}/outcomes")
+
+
+class _FirstPick(StatefulProcessor):
+    """The pick of a session: of the first rows that came for it the one of least draw; later rows get it back."""
+
+    def __init__(self, keep_ms: int):
+        self.keep_ms = keep_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.pick = handle.getValueState("pick", "item long", ttlDurationMs=self.keep_ms)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timers: object) -> Iterator[pd.DataFrame]:
+        restored = self.pick.exists()
+        if restored:
+            item = int(self.pick.get()[0])
+            for _ in rows:
+                pass
+        else:
+            item = min((draw, item) for frame in rows for draw, item in zip(frame["draw"], frame["item"], strict=True))[1]
+            self.pick.update((item,))
+        yield pd.DataFrame({"owner": [key[0]], "session": [key[1]], "item": [item], "restored": [restored]})
+
+
+def session_picks(requests: DataFrame, keep: str = "36 hours") -> DataFrame:
+    """requests(owner, session, item, draw) to (owner, session, item, restored): one pick for each session, the item of least draw (ties to the
+    smaller item) of the batch that first asks for it. It is kept in the state store, so later batches and later runs of the stream
+    get the same one back; `keep` after it was picked it is forgotten."""
+    amount, unit = keep.split()
+    ms = int(pd.Timedelta(int(amount), unit.rstrip("s")).total_seconds() * 1000)
+    return requests.groupBy("owner", "session").transformWithStateInPandas(_FirstPick(ms), "owner long, session string, item long, restored boolean", "Update", "ProcessingTime")
+
+
+@contextmanager
+def keyed_state(spark: SparkSession) -> Iterator[None]:
+    """Value state needs the RocksDB provider; streams started within use it."""
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before) if before else spark.conf.unset(key)
