@@ -7,8 +7,10 @@ passes the same validation. A value that fails validation is no personal data an
 
 Formats: card numbers, IBANs, US social security numbers, phone numbers, IPv4 addresses, dates of 1900 to 2099 (one day has one
 pseudonym in every notation), e-mail addresses (letters and digits before the top-level domain), access keys and the values of
-password-like settings. Days up to the 12th and later ones are permuted among themselves, so a date in numbers is read in the same
-order after as before, and different days never meet.
+password-like settings. Days up to the 9th, to the 12th and later ones, and months up to September and later ones, are permuted among
+themselves, so a date in numbers keeps its length and is read in the same order after as before, and different days never meet. Phone
+numbers keep their country's code and are permuted by their digits, so one number has one pseudonym in every notation. What looks like an
+IBAN is tried without its last groups too, as a word in capitals may follow.
 
 The key comes from the caller, or from the setting spark.shoal.pii.key; without either a run draws a key of its own and forgets it,
 so its pseudonyms link values within that run alone and nobody can turn them back.
@@ -38,10 +40,13 @@ KEY_SETTING = "spark.shoal.pii.key"
 ROUNDS = 8
 KINDS = ("email", "iban", "secret", "ip", "date", "ssn", "card", "phone")
 _MONTHS = ("january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december")
-_MONTH = "|".join(f"{m[:3]}(?:{m[3:]})?" if m[3:] else m for m in _MONTHS)
+_MONTH = "|".join(f"{m[:3]}(?:{m[3:]})?" if m[3:] else m for m in _MONTHS) + "|sept"
 _DAYS = [datetime.date.fromordinal(n) for n in range(datetime.date(1900, 1, 1).toordinal(), datetime.date(2100, 1, 1).toordinal())]
-_CLASSES = ([d for d in _DAYS if d.day <= 12], [d for d in _DAYS if d.day > 12])  # a day over 12 tells the order of a date in numbers
+_CLASS = lambda d: (d.day > 9) + (d.day > 12) + 3 * (d.month > 9)  # noqa: E731  numbers of digits, and whether the day tells the order of a date in numbers
+_CLASSES = [[d for d in _DAYS if _CLASS(d) == k] for k in range(6)]
 _PLACE = {d: i for days in _CLASSES for i, d in enumerate(days)}
+# The calling codes of two digits; 1 and 7 are the only ones of one digit, all others have three.
+_CODES = frozenset("20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split())
 
 PATTERN = re.compile(
     rf"""
@@ -51,7 +56,7 @@ PATTERN = re.compile(
   | (?P<ip>(?<![\w.])[0-9]{{1,3}}(?:\.[0-9]{{1,3}}){{3}}(?!\w|\.[0-9]))
   | (?P<date>(?<![\w/.-])[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}(?=[Tt][0-9]{{2}}(?::?[0-9]{{2}}|(?![0-9A-Za-z_])))
       |(?<![\w/.-])(?:[0-9]{{4}}(?P<sep1>[-/.])[0-9]{{2}}(?P=sep1)[0-9]{{2}}|[0-9]{{1,2}}(?P<sep2>[-/.])[0-9]{{1,2}}(?P=sep2)[0-9]{{4}})(?![\w/-]|\.[0-9])
-      |(?<!\w)(?i:[0-9]{{1,2}}(?:st|nd|rd|th)?[ ](?:{_MONTH})[ ,]+[0-9]{{4}}|(?:{_MONTH})[ ][0-9]{{1,2}}(?:st|nd|rd|th)?,?[ ][0-9]{{4}})(?!\w))
+      |(?<!\w)(?i:[0-9]{{1,2}}(?:st|nd|rd|th)?[ ](?:{_MONTH})\.?[ ,]+[0-9]{{4}}|(?:{_MONTH})\.?[ ][0-9]{{1,2}}(?:st|nd|rd|th)?,?[ ][0-9]{{4}})(?!\w))
   | (?P<ssn>(?<![\w-])[0-9]{{3}}-[0-9]{{2}}-[0-9]{{4}}(?![\w-]))
   | (?P<card>(?<![\w.-])(?:[0-9]{{13,19}}|[0-9]{{4}}(?P<sep3>[ -])[0-9]{{4}}(?P=sep3)[0-9]{{4}}(?P=sep3)[0-9]{{1,7}}|[0-9]{{4}}[ -][0-9]{{6}}[ -][0-9]{{5}})(?![\w-]))
   | (?P<phone>(?<![\w(])(?:\+1[ .-]?)?(?:\([1-9][0-9]{{2}}\)[ ]?|[1-9][0-9]{{2}}[ .-])[1-9][0-9]{{2}}[ .-][0-9]{{4}}(?!\w)|(?<!\w)\+[1-9][0-9]{{0,2}}[ .-]?(?:\(?[0-9]{{1,4}}\)?[ .-]?){{2,5}}[0-9]{{2,4}}(?!\w))
@@ -152,7 +157,7 @@ def _phone(text: str, key: bytes) -> str | None:
         return _refill(text, list(f"{head}{area + 100}{office + 100}{line:04d}"))
     if not 8 <= len(d) <= 15:
         return None
-    code = len(re.match(r"\+([0-9]{1,3}?)(?:[ .(-]|$)|\+([0-9]{2})", text).group().strip("+ .(-"))
+    code = 1 if d[0] == "7" else 2 if d[:2] in _CODES else 3
     rest = d[code:]
     return _refill(text, list(d[:code] + str(permute(int(rest), 10 ** len(rest), key, f"phone:{d[:code]}")).zfill(len(rest))))
 
@@ -180,12 +185,13 @@ def _date(text: str, key: bytes) -> str | None:
         return None
     if day not in _PLACE:
         return None
-    days = _CLASSES[day.day > 12]
+    days = _CLASSES[_CLASS(day)]
     new = days[permute(_PLACE[day], len(days), key, "date")]
     if not words:
         values = {"ymd": (new.year, new.month, new.day), "dmy": (new.day, new.month, new.year), "mdy": (new.month, new.day, new.year)}[order]
-        return re.sub(r"[0-9]+", lambda _, left=iter(values): f"{next(left):02d}", text)
-    month_word = _MONTHS[new.month - 1] if len(words[0]) > 3 or month == 5 else _MONTHS[new.month - 1][:3]
+        return re.sub(r"[0-9]+", lambda m, left=iter(values): f"{next(left):0{len(m.group())}d}", text)
+    whole = len(words[0]) > 3 and words[0].lower() != "sept" or month == 5
+    month_word = _MONTHS[new.month - 1] if whole else _MONTHS[new.month - 1][:3]
     month_word = month_word.upper() if words[0].isupper() else month_word.capitalize() if words[0][0].isupper() else month_word
     suffix = "th" if 11 <= new.day % 100 <= 13 else {1: "st", 2: "nd", 3: "rd"}.get(new.day % 10, "th")
     text = re.sub(r"(?i)(?<=[0-9])(st|nd|rd|th)(?![A-Za-z])", suffix, text)
@@ -221,15 +227,19 @@ def replace(text: str, key: bytes) -> tuple[str, Counter]:
     if not _CANDIDATE.search(text):
         return text, found
 
-    def one(m: re.Match) -> str:
-        kind = next(k for k in KINDS if m.group(k) is not None)
-        new = pseudonym(kind, m.group(), key)
-        if new is None:
-            return m.group()
-        found[kind] += 1
-        return new
-
-    return PATTERN.sub(one, text), found
+    out, done, at = [], 0, 0
+    while m := PATTERN.search(text, at):
+        kind, value, at = next(k for k in KINDS if m.group(k) is not None), m.group(), m.end()
+        new = pseudonym(kind, value, key)
+        while new is None and kind == "iban" and " " in value:
+            value = value.rpartition(" ")[0]
+            new = pseudonym(kind, value, key)
+        if new is not None:
+            at = m.start() + len(value)
+            out += [text[done : m.start()], new]
+            done, found[kind] = at, found[kind] + 1
+        at += at == m.start()
+    return "".join([*out, text[done:]]), found
 
 
 def run_key(spark: SparkSession) -> bytes:
@@ -239,8 +249,9 @@ def run_key(spark: SparkSession) -> bytes:
 
 
 def pseudonymise(docs: DataFrame, key: bytes | None = None, counts: bool = False) -> DataFrame:
-    """docs with text replaced; with `counts`, also the number of values of each kind (n_email, n_card, ...)."""
+    """docs with text replaced; with `counts`, also the number of values of each kind (n_email, n_card, ...), in place of columns so named."""
     key = key or run_key(docs.sparkSession)
+    docs = docs.drop(*[f"n_{k}" for k in KINDS]) if counts else docs
     at = docs.columns.index("text")
     schema = StructType([*docs.schema.fields, *(StructField(f"n_{k}", LongType()) for k in KINDS if counts)])
 

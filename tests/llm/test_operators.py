@@ -601,3 +601,43 @@ def test_rows_that_repeat_id_and_text(spark):
     rows = [(None, text)] * 60 + [(7, other)] * 2 + [(8, prose(rng, 150))]
     got = substrings.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()
     assert sorted((tuple(r)[:5] for r in got), key=str) == brute_spans(rows)
+
+
+# More of 7
+
+
+def test_values_before_words_in_capitals():
+    key = b"k" * 32
+    for value in ("ES91 2100 0418 4502 0005 1332", "BE68 5390 0754 7034", "AT61 1904 3002 3457 3201", "GB82 WEST 1234 5698 7654 32", "DE89370400440532013000"):
+        for after in ("CALL me", "PLUS x", "NOTE y", "A B C", "1234 ABCD", "", "MORE WORD +353 1 234 5678"):
+            new, found = pii.replace(f"pay {value} {after}", key)
+            assert found["iban"] == 1 and value not in new and value.replace(" ", "")[4:] not in new.replace(" ", "")
+            assert found["phone"] == ("+353" in after) and new.startswith("pay " + value[:2]) and len(new) == len(f"pay {value} {after}")
+            assert new.split(" ")[: 1 + len(value.split(" "))] == pii.replace(f"pay {value}", key)[0].split(" ")
+
+
+def test_phones_link_in_every_notation():
+    key, rng = b"k" * 32, random.Random(3)
+    for code in ("353", "852", "44", "49", "7", "86", "420", "971"):
+        d = "".join(str(rng.randrange(1, 10)) for _ in range(9))
+        notes = [f"+{code}{d}", f"+{code} {d[:1]} {d[1:4]} {d[4:]}", f"+{code}-{d[:2]}-{d[2:5]}-{d[5:]}", f"+{code} ({d[:2]}) {d[2:5]} {d[5:]}", f"+{code}.{d[:3]}.{d[3:6]}.{d[6:]}"]
+        new = [pii.replace(f"call {n} now", key) for n in notes]
+        assert all(f["phone"] == 1 for _, f in new) and len({pii._digits(t) for t, _ in new}) == 1
+        assert all(len(t) == len(f"call {n} now") and t.startswith(f"call +{code}") and n not in t for (t, _), n in zip(new, notes, strict=True))
+
+
+def test_dates_keep_their_lengths_and_links():
+    key = b"k" * 32
+    for y, mo, d in ((2020, 5, 5), (1999, 12, 31), (2001, 10, 9), (2040, 9, 12), (1900, 1, 30)):
+        short, padded, iso = f"{d}/{mo}/{y}", f"{d:02d}.{mo:02d}.{y}", f"{y}-{mo:02d}-{d:02d}"
+        a, b, c = (pii.replace(t, key)[0] for t in (short, padded, iso))
+        assert [len(a), len(b), len(c)] == [len(short), len(padded), len(iso)] and a != short
+        assert tuple(map(int, a.split("/"))) == tuple(map(int, b.split("."))) == tuple(map(int, reversed(c.split("-"))))
+    for text in ("Sept 5, 2020", "Sept. 5, 2020", "5 Sept 2020", "Jan. 7, 2020"):
+        new, found = pii.replace(f"on {text} we", key)
+        assert found["date"] == 1 and text not in new
+
+
+def test_counts_take_the_place_of_columns_so_named(spark):
+    docs = spark.createDataFrame([(1, "a@b.org", 7)], "doc_id long, text string, n_email long")
+    assert pii.pseudonymise(docs, b"k" * 32, counts=True).first()["n_email"] == 1
