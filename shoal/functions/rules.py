@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -85,17 +88,46 @@ def byte_size(value: Column, kind: Column) -> Column:
     return F.when(kind == "number", 8).otherwise(F.coalesce(F.length(value), F.lit(0))).cast("long")
 
 
-def find_key(document: Column, key: str) -> Column:
-    """The first text in JSON whose key matches, whatever its depth, in the order of the document; null if none."""
-    return F.nullif(F.regexp_extract(document, rf'(?i)"{key}"\s*:\s*"([^"]*)"', 1), F.lit(""))
+_CAMERA = ("serial", "make", "model")
+
+
+def _camera_of(document: str | None) -> tuple[str | None, ...]:
+    """(serial, make, model) of one JSON text: of its camera block if the first of these that is there says something, else of the first texts,
+    depth first in the order of the document, whose key holds 'serial' or is 'make' or 'model'. Empty texts are passed over, and so is what
+    is no text. None for what is no JSON."""
+    try:
+        root = json.loads(document or "null")
+    except (ValueError, RecursionError):
+        return None, None, None
+    own = root.get("camera") if isinstance(root, dict) else None
+    if isinstance(own, dict) and next((own[k] for k in _CAMERA if own.get(k) is not None), "") not in ("", 0):
+        return tuple(own[k] if isinstance(own.get(k), str) else None for k in _CAMERA)
+    out: dict[str, str] = {}
+    left = [iter([("", root)])]
+    while left:
+        key, value = next(left[-1], (None, None))
+        if key is None:
+            left.pop()
+        elif isinstance(value, str):
+            name = "serial" if "serial" in key and "serial" not in out else key
+            if value and name in _CAMERA and name not in out:
+                out[name] = value
+        elif isinstance(value, dict):
+            numbered = sorted((k for k in value if k.isascii() and k.isdigit() and str(int(k)) == k), key=int)  # such keys come first
+            left.append(iter([(k.lower(), value[k]) for k in [*numbered, *(k for k in value if k not in set(numbered))]]))
+        elif isinstance(value, list):
+            left.append(iter([("", v) for v in value]))
+    return tuple(out.get(k) for k in _CAMERA)
 
 
 def camera_identity(document: Column) -> Column:
-    """(serial, make, model): the camera block of the document if it has any of them, else the first keys that say so."""
-    own = {c: F.get_json_object(document, f"$.camera.{c}") for c in ("serial", "make", "model")}
-    stated = F.coalesce(*own.values()).isNotNull()
-    keys = {"serial": '[^"]*serial[^"]*', "make": "make", "model": "model"}
-    return F.struct(*[F.when(stated, own[c]).otherwise(find_key(document, keys[c])).alias(c) for c in own])
+    """(serial, make, model) of JSON texts, as _camera_of."""
+
+    @F.pandas_udf("serial string, make string, model string")
+    def run(documents: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([_camera_of(d) for d in documents], columns=_CAMERA)
+
+    return run(document)
 
 
 def sorted_bins(names: Column, prefix: str) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -51,3 +51,29 @@ def get_or_create(table: DataFrame, wanted: DataFrame, name: str) -> DataFrame:
     """The table with the trimmed names that it lacks, whatever their case; of names that differ in case alone the smallest is created."""
     new = wanted.select(F.trim(name).alias(name)).withColumn("_low", F.lower(name)).groupBy("_low").agg(F.min(name).alias(name))
     return table.select(name).unionByName(new.join(table.select(F.lower(name).alias("_low")), "_low", "left_anti").select(name))
+
+
+def replace_partitions(new: DataFrame, path: str, by: list[str]) -> None:
+    """Rows of `new` become the whole of the partitions that they name in the table at path, which is partitioned by `by`; other partitions
+    keep their files. Nothing is replaced before all rows are written, so a write that fails leaves the table as it was."""
+    new.repartition(*by).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
+
+
+def standing(actions: DataFrame, owner: str, seq: str, undo: str) -> DataFrame:
+    """Of actions(owner, seq, undo, ...) those that still stand: an undo takes back the owner's latest action that was not taken back yet,
+    and none if there is none. An owner's height is the number of actions that stand; one stands at the end if the height never falls
+    below the one it made."""
+    order = Window.partitionBy(owner).orderBy(seq)
+    total = F.sum(F.when(F.col(undo), -1).otherwise(1)).over(order)
+    with_total = actions.withColumn("_total", total)
+    high = with_total.withColumn("_height", F.col("_total") - F.least(F.lit(0), F.min("_total").over(order)))
+    later = F.min("_height").over(order.rowsBetween(1, Window.unboundedFollowing))
+    return high.withColumn("_later", later).where(~F.col(undo) & (F.coalesce("_later", F.col("_height")) >= F.col("_height"))).drop("_total", "_height", "_later")
+
+
+def replayed(initial: DataFrame, changes: DataFrame, key: str, seq: str, gone: str) -> DataFrame:
+    """The table that initial and changes(key, seq, gone, ...) leave: each key's last change, or nothing if that removes it, else its initial row.
+    With changes up to a version it is the table of that version."""
+    last = changes.groupBy(key).agg(F.max_by(F.struct(*[F.col(c) for c in changes.columns if c != key]), seq).alias("_last"))
+    kept = last.where(~F.col(f"_last.{gone}")).select(key, *[F.col(f"_last.{c}").alias(c) for c in initial.columns if c != key])
+    return initial.join(last.select(key), key, "left_anti").unionByName(kept.select(initial.columns))

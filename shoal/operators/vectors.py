@@ -80,20 +80,36 @@ def hash_split(a: Column, b: Column, luma: int = 16) -> Column:
     return F.struct((grey + colour).alias("full_bits"), grey.alias("luma"), colour.alias("colour"))
 
 
-def signature(rgba: Column, width: int, height: int, side: int) -> Column:
-    """Truncated mean lumas of side x side areas of a picture, four channels a pixel, rows first; small pictures repeat their pixels."""
-    luma = lambda p: 0.299 * F.element_at(rgba, F.lit(4 * p + 1)) + 0.587 * F.element_at(rgba, F.lit(4 * p + 2)) + 0.114 * F.element_at(rgba, F.lit(4 * p + 3))
-    out = []
-    for oy in range(side):
-        y0, y1 = oy * height // side, (oy + 1) * height // side
-        for ox in range(side):
-            x0, x1 = ox * width // side, (ox + 1) * width // side
-            at = [y * width + x for y in range(y0, max(y0 + 1, y1)) for x in range(x0, max(x0 + 1, x1))]
-            total = luma(at[0])
-            for p in at[1:]:
-                total = total + luma(p)
-            out.append(F.floor(total / len(at)))
-    return F.array(*out)
+def area_means(rgba: np.ndarray, width: int, height: int, side: int) -> np.ndarray:
+    """Truncated mean lumas of side x side areas of a picture, four channels a pixel, rows first; small pictures repeat their pixels. Areas
+    differ by a row and a column at most, so all of them are summed together, pixel by pixel in the order of the rows."""
+    pixels = np.asarray(rgba)[: 4 * width * height].reshape(height, width, 4).astype(float)
+    luma = 0.299 * pixels[..., 0] + 0.587 * pixels[..., 1] + 0.114 * pixels[..., 2]
+    k = np.arange(side)
+    y0, x0 = k * height // side, k * width // side
+    y1, x1 = np.maximum(y0 + 1, (k + 1) * height // side), np.maximum(x0 + 1, (k + 1) * width // side)
+    total = np.zeros((side, side))
+    for dy in range(int((y1 - y0).max())):
+        for dx in range(int((x1 - x0).max())):
+            y, x = y0 + dy, x0 + dx
+            inside = (y < y1)[:, None] & (x < x1)[None, :]
+            total += np.where(inside, luma[np.minimum(y, height - 1)][:, np.minimum(x, width - 1)], 0)
+    return np.floor(total / ((y1 - y0)[:, None] * (x1 - x0)[None, :])).astype(np.int64).ravel()
+
+
+def signature(rgba: Column, width: Column | int, height: Column | int, side: int = 64) -> Column:
+    """area_means of pictures as bytes or as arrays of numbers; null for a picture that lacks pixels."""
+
+    @F.pandas_udf("array<long>")
+    def run(pictures: pd.Series, widths: pd.Series, heights: pd.Series) -> pd.Series:
+        out = []
+        for picture, w, h in zip(pictures, widths, heights, strict=True):
+            data = np.frombuffer(picture, np.uint8) if isinstance(picture, bytes) else picture
+            out.append(area_means(data, int(w), int(h), side) if data is not None and w > 0 and h > 0 and len(data) >= 4 * w * h else None)
+        return pd.Series(out)
+
+    size = [F.lit(x) if isinstance(x, int) else x for x in (width, height)]
+    return run(rgba, *size)
 
 
 def aspect(width: Column, height: Column) -> Column:
@@ -101,14 +117,22 @@ def aspect(width: Column, height: Column) -> Column:
 
 
 def line_activity(cells: Column, side: int) -> Column:
-    """Mean absolute deviation of every column of a square grid from its mean."""
-    column = lambda k: F.transform(F.sequence(F.lit(0), F.lit(side - 1)), lambda i: F.element_at(cells, i * side + k + 1))
+    """Mean absolute deviation of every column of a square grid from its mean, which is taken once a column."""
+    upto = F.sequence(F.lit(0), F.lit(side - 1))
+    column = lambda k: F.transform(upto, lambda i: F.element_at(cells, i * side + k + 1))
     mean = lambda v: F.aggregate(v, F.lit(0.0), lambda s, x: s + x) / side
-    return F.transform(F.sequence(F.lit(0), F.lit(side - 1)), lambda k: mean(F.transform(column(k), lambda x: F.abs(x - mean(column(k))))))
+    lines = F.transform(F.transform(upto, column), lambda v: F.struct(v.alias("v"), mean(v).alias("m")))
+    return F.transform(lines, lambda c: mean(F.transform(c["v"], lambda x: F.abs(x - c["m"]))))
 
 
 def box_means(cells: Column, side: int, by: int) -> Column:
-    """Truncated means of by x by boxes of a square grid."""
+    """Truncated means of by x by boxes of a square grid; the expression is as long for any side."""
     n = side // by
-    boxes = [[(r * by + i) * side + c * by + j + 1 for i in range(by) for j in range(by)] for r in range(n) for c in range(n)]
-    return F.array(*[F.floor(sum((F.element_at(cells, F.lit(i)) for i in box[1:]), F.element_at(cells, F.lit(box[0]))) / (by * by)) for box in boxes])
+    inside = F.sequence(F.lit(0), F.lit(by * by - 1))
+
+    def mean(b: Column) -> Column:
+        first = F.floor(b / n) * (by * side) + b % n * by + 1
+        total = F.aggregate(inside, F.lit(0.0), lambda s, i: s + F.element_at(cells, (first + F.floor(i / by) * side + i % by).cast("int")))
+        return F.floor(total / (by * by))
+
+    return F.transform(F.sequence(F.lit(0), F.lit(n * n - 1)), mean)

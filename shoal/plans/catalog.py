@@ -471,9 +471,9 @@ def _(spark, d):
     return panos.join(hit, "group_id", "left_anti").groupBy("group_id").agg(F.count("*").alias("n"))
 
 
-@query("clu_merge_sets", "WITH m AS (SELECT group_id, asset_id FROM members WHERE group_id <= 400 AND asset_id % 3 = 0), e AS (SELECT DISTINCT a.group_id AS x, b.group_id AS y FROM m a JOIN m b USING (asset_id)), r AS (SELECT x AS node, x AS seen FROM e UNION SELECT r.node, e.y FROM r JOIN e ON e.x = r.seen) SELECT node, min(seen) AS component FROM r GROUP BY node")
+@query("clu_merge_sets")
 def _(spark, d):
-    m = A.members(spark, d).where("group_id <= 400 and asset_id % 3 = 0").select("group_id", "asset_id")
+    m = A.members(spark, d).select("group_id", "asset_id")
     first = m.groupBy("asset_id").agg(F.min("group_id").alias("b"))
     return lineage.components(m.join(first, "asset_id").select(F.col("group_id").alias("a"), "b"))
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -9,6 +11,7 @@ from shoal.operators import facts, lineage, selection, tables
 from shoal.operators.running import running_sums
 from shoal.plans.catalog import query
 from shoal.sources import adapters as A
+from shoal.sources.session import checkpoint_root
 
 
 
@@ -154,11 +157,12 @@ def _(spark, d):
     return previews.join(keep, F.split_part("preview", F.lit(":"), F.lit(1)) == F.col("kept"), "left_semi")
 
 
-@query("io_replace_part", "SELECT group_id, asset_id FROM members WHERE group_id % 4 <> 0 UNION ALL SELECT group_id, asset_id FROM members WHERE group_id % 4 = 0 AND pos = 1")
+@query("io_replace_part", "SELECT album_id, group_id, asset_id FROM shot_groups WHERE album_id % 4 <> 0 OR pos % 3 = 1 OR album_id NOT IN (SELECT album_id FROM shot_groups WHERE pos % 3 = 1)")
 def _(spark, d):
-    members = A.members(spark, d).select("group_id", "asset_id", "pos")
-    new = members.where("group_id % 4 = 0 and pos = 1")
-    return tables.delete(members, members.where("group_id % 4 = 0"), ["group_id"]).union(new).select("group_id", "asset_id")
+    groups, path = A.shot_groups(spark, d), f"{checkpoint_root(spark)}/groups-{uuid.uuid4().hex}"
+    groups.repartition("album_id").write.partitionBy("album_id").parquet(path)
+    tables.replace_partitions(groups.where("album_id % 4 = 0 and pos % 3 = 1"), path, ["album_id"])
+    return spark.read.schema("group_id string, type string, asset_id long, pos long, album_id long").parquet(path).select("album_id", "group_id", "asset_id")
 
 
 @query("io_device", "SELECT page_id FROM pages WHERE page_id % 10 IN (1, 4, 7)")

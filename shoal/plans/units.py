@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from shoal.functions import scalar as S
-from shoal.operators import lineage, units
+from shoal.operators import lineage, tables, units
 from shoal.plans.catalog import STEM, query
 from shoal.sources import adapters as A
 
@@ -142,6 +142,18 @@ def _(spark, d):
     return units.undo(A.shot_verdicts(spark, d), prior)
 
 
+_UNDO = "event_id % 5 IN (2, 4)"
+
+
+@query("dml_undo_log", f"WITH a AS (SELECT user_id, list([event_id] ORDER BY event_id) AS l FROM events GROUP BY 1), s AS (SELECT user_id, unnest(list_reduce(list_prepend(CAST([] AS BIGINT[]), l), lambda s, e: CASE WHEN {_UNDO.replace('event_id', 'e[1]')} THEN s[:-2] ELSE s || e END)) AS event_id FROM a), c AS (SELECT user_id, event_id % 9 AS slot, arg_max(event_type, event_id) AS status FROM s JOIN events USING (user_id, event_id) GROUP BY 1, 2), i AS (SELECT DISTINCT user_id, slot, 'new' AS status FROM events, range(0, 9) r(slot)) SELECT i.user_id, CAST(i.slot AS BIGINT) AS slot, coalesce(c.status, i.status) AS status FROM i LEFT JOIN c USING (user_id, slot) WHERE coalesce(c.status, '') <> 'view'")
+def _(spark, d):
+    e = A.read(spark, d, "events").select("user_id", "event_id", F.expr(_UNDO).alias("undo"), "event_type")
+    initial = e.select("user_id").distinct().select("user_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(8).cast("long"))).alias("slot"), F.lit("new").alias("status"))
+    key = F.concat_ws(":", F.col("user_id").cast("string"), F.col("slot").cast("string")).alias("key")
+    changes = tables.standing(e, "user_id", "event_id", "undo").select("user_id", (F.col("event_id") % 9).alias("slot"), "event_id", F.col("event_type").alias("status"), (F.col("event_type") == "view").alias("gone"))
+    return tables.replayed(initial.select("*", key), changes.select("*", key), "key", "event_id", "gone").select("user_id", "slot", "status")
+
+
 _WINDOW = """{mine}, dec AS (SELECT asset_id FROM shot_verdicts WHERE status <> 'backlog'),
 r AS (SELECT s.album_id, s.asset_id, m.asset_id IS NOT NULL AS own, row_number() OVER (PARTITION BY s.album_id ORDER BY ms NULLS FIRST, s.asset_id) AS rk FROM shots s LEFT JOIN mine m USING (album_id, asset_id) WHERE m.asset_id IS NOT NULL OR s.asset_id NOT IN (SELECT asset_id FROM dec)),
 iv AS (SELECT album_id, min(rk) - {reach} AS a, max(rk) + {reach} AS z, true AS own FROM r WHERE own GROUP BY 1 UNION ALL SELECT album_id, a, z, false FROM (SELECT g.album_id, group_id, count(*) AS n, count(rk) AS k, count(*) FILTER (own) AS o, min(rk) AS a, max(rk) AS z FROM shot_groups g LEFT JOIN r USING (album_id, asset_id) GROUP BY 1, 2) WHERE n = k AND o = 0),

@@ -221,3 +221,139 @@ def test_near_sets_let_missing_sides_pass(spark):
     rows = [(1, 0, 0, 0, 1.0, 1.0), (2, 0, 1, 0, 1.0, 1.0001), (3, 0, None, None, None, None), (4, 0, -1, -1, 1.0, 1.0), (5, 0, 0, 0, 50.0, 1.0), (6, 1, 0, 0, 1.0, 1.0)]
     df = spark.createDataFrame(rows, "asset_id long, album_id long, lo long, hi long, lat double, lng double")
     assert {(r.a, r.b) for r in stereo.near_sets(df, "album_id", 4, 100.0).collect()} == {(1, 2), (1, 3), (2, 3), (3, 4), (3, 5)}
+
+
+def test_merge_sets_of_all_groups(spark, small):
+    """Groups that share an asset, over the whole table, against a union-find."""
+    rows = spark.read.parquet(f"{small}/lineitem.parquet").select("l_orderkey", "l_partkey").collect()
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            root[x] = x = root[root[x]]
+        return x
+
+    first = {}
+    for group, asset in rows:
+        a, b = find(group), find(first.setdefault(asset, group))
+        root[max(a, b)] = min(a, b)
+    assert {r["node"]: r["component"] for r in QUERIES["clu_merge_sets"](spark, small).collect()} == {g: find(g) for g, _ in rows}
+
+
+def camera(document):
+    """The walk as a recursive one over parsed JSON."""
+    import json
+
+    root, out = json.loads(document), {}
+    own = root.get("camera") if isinstance(root, dict) else None
+    said = (own["serial"] if own.get("serial") is not None else own["make"] if own.get("make") is not None else own.get("model")) if isinstance(own, dict) else None
+    if said is not None and said != "" and said != 0:
+        return tuple(own.get(k) if isinstance(own.get(k), str) else None for k in ("serial", "make", "model"))
+
+    def visit(node):
+        for key, value in node.items() if isinstance(node, dict) else enumerate(node) if isinstance(node, list) else []:
+            k = str(key).lower()
+            if isinstance(value, str):
+                if not out.get("serial") and "serial" in k:
+                    out["serial"] = value
+                elif not out.get("make") and k == "make":
+                    out["make"] = value
+                elif not out.get("model") and k == "model":
+                    out["model"] = value
+            else:
+                visit(value)
+
+    visit(root)
+    return tuple(out.get(k) or None for k in ("serial", "make", "model"))
+
+
+def test_camera_identity(spark):
+    import json
+
+    from shoal.functions import rules
+
+    rng = random.Random(6)
+    keys = ["serial", "bodySerialNumber", "Make", "MODEL", "x", "camera", "a\"serial\": \"no", "lens"]
+
+    def made(depth):
+        kind = rng.randrange(6 if depth else 3)
+        if kind < 3:
+            return rng.choice(["", "v1", "v2", None, 7, True, 'text with "serial": "no"', "\\u00e9 \n"])
+        if kind == 3:
+            return [made(depth - 1) for _ in range(rng.randrange(3))]
+        return {k: made(depth - 1) for k in rng.sample(keys, rng.randrange(5))}
+
+    docs = [json.dumps(made(4)) for _ in range(600)] + ['{"camera": {"serial": "", "make": "m"}, "exif": {"Serial": "deep"}}', '{"camera": {"make": "m"}, "serial": "s"}', '{"serial": "", "x": {"mySerial": "later"}}', '[[{"model": "M"}], {"model": "N"}]']
+    odd = [None, "", "no json", "[" * 100_000, "3"]
+    got = [tuple(r["c"]) for r in spark.createDataFrame([(k, x) for k, x in enumerate(docs + odd)], "k long, doc string").select("k", rules.camera_identity("doc").alias("c")).orderBy("k").collect()]
+    assert got[: len(docs)] == [camera(x) for x in docs] and got[len(docs) :] == [(None, None, None)] * 5
+
+
+def test_signatures_of_real_sizes(spark):
+    from shoal.operators import vectors
+
+    rng = np.random.default_rng(3)
+    pictures = [(k, rng.integers(0, 256, 4 * w * h).astype(np.uint8).tobytes(), w, h) for k, (w, h) in enumerate([(640, 480), (100, 300), (64, 64), (40, 7), (1, 1)])]
+    df = spark.createDataFrame([*pictures, (9, b"abc", 2, 2), (10, None, 2, 2)], "k long, rgba binary, w int, h int")
+    have = {r["k"]: r["s"] for r in df.select("k", vectors.signature(F.col("rgba"), F.col("w"), F.col("h")).alias("s")).collect()}
+    assert have.pop(9) is None and have.pop(10) is None
+    for k, rgba, w, h in pictures:
+        want = []
+        for oy in range(64):
+            for ox in range(64):
+                y0, x0 = oy * h // 64, ox * w // 64
+                total, n = 0.0, 0
+                for y in range(y0, max(y0 + 1, (oy + 1) * h // 64)):
+                    for x in range(x0, max(x0 + 1, (ox + 1) * w // 64)):
+                        r, g, b = rgba[4 * (y * w + x) : 4 * (y * w + x) + 3]
+                        total, n = total + (0.299 * r + 0.587 * g + 0.114 * b), n + 1
+                want.append(int(total / n))
+        assert have[k] == want
+
+
+def test_partitions_are_replaced_and_others_keep_their_files(spark, tmp_path):
+    import os
+
+    from shoal.operators import tables
+
+    path = f"{tmp_path}/t"
+    spark.range(30).selectExpr("id % 3 AS album_id", "id").write.partitionBy("album_id").parquet(path)
+    files = lambda: {(d, f): os.stat(f"{path}/{d}/{f}").st_mtime_ns for d in os.listdir(path) if "=" in d for f in os.listdir(f"{path}/{d}")}
+    before = files()
+    tables.replace_partitions(spark.createDataFrame([(1, 100), (1, 101), (5, 500)], "album_id long, id long"), path, ["album_id"])
+    after = files()
+    assert {k: v for k, v in after.items() if k[0] in ("album_id=0", "album_id=2")} == {k: v for k, v in before.items() if k[0] in ("album_id=0", "album_id=2")}
+    rows = lambda: sorted((r["album_id"], r["id"]) for r in spark.read.parquet(path).collect())
+    want = sorted([(i % 3, i) for i in range(30) if i % 3 != 1] + [(1, 100), (1, 101), (5, 500)])
+    assert rows() == want
+    failing = spark.range(40).selectExpr("id % 3 AS album_id", "CASE WHEN id = 39 THEN raise_error('stop') ELSE id END AS id")
+    with pytest.raises(Exception, match="stop"):
+        tables.replace_partitions(failing, path, ["album_id"])
+    assert rows() == want
+
+
+def test_several_undos_in_a_row(spark):
+    from shoal.operators import tables
+
+    rng = random.Random(7)
+    actions = [(owner, seq, rng.random() < 0.45, rng.randrange(5), rng.choice("abx")) for owner in range(8) for seq in range(60)]
+    log = spark.createDataFrame(actions, "owner long, seq long, undo boolean, slot long, status string")
+    initial = [(f"{o}:{s}", "new") for o in range(8) for s in range(0, 5, 2)]
+    for version in (0, 13, 59):
+        stand = tables.standing(log.where(F.col("seq") <= version), "owner", "seq", "undo")
+        changes = stand.select(F.concat_ws(":", "owner", "slot").alias("key"), "seq", "status", (F.col("status") == "x").alias("gone"))
+        have = {r["key"]: r["status"] for r in tables.replayed(spark.createDataFrame(initial, "key string, status string"), changes, "key", "seq", "gone").collect()}
+        want = dict(initial)
+        for owner in range(8):
+            stack = []
+            for o, seq, undo, slot, status in actions:
+                if o == owner and seq <= version:
+                    if undo:
+                        stack = stack[:-1]
+                    else:
+                        stack.append((slot, status))
+            for slot, status in stack:
+                want[f"{owner}:{slot}"] = status
+                if status == "x":
+                    del want[f"{owner}:{slot}"]
+        assert have == want
