@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+import itertools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -127,15 +130,66 @@ def split_albums(frames: DataFrame, roles: DataFrame, links: DataFrame, scanned:
     return f.withColumn("outcome", outcome).where("outcome is not null").select("asset_id", "outcome", F.when(F.col("outcome") == "gap", missing).alias("missing"))
 
 
+#: Hashes are looked up by words of 16 bits with up to PROBED bits changed; beyond that, nearly every word would be a neighbour of every other.
+WORD_BITS, PROBED = 16, 2
+
+
+def _sides(frames: DataFrame, block: str) -> tuple[DataFrame, DataFrame]:
+    columns = ("asset_id", "lo", "hi", "lat", "lng")
+    return tuple(frames.select(block, *[F.col(c) for c in frames.columns if c not in (block, *columns)], *[F.col(c).alias(f"{c}_{s}") for c in columns]) for s in "ab")
+
+
+def _cells(frames: DataFrame, metres: float) -> DataFrame:
+    """frames with the cube of `metres` that holds their place on the globe: x, y, z; a chord is no longer than its arc, so frames that lie
+    near each other are in the same or in neighbouring cubes, at the poles and across the date line too."""
+    size, up, along = metres * (1 + 1e-9) / S.EARTH_METRES, F.radians("lat"), F.radians("lng")
+    place = (F.cos(up) * F.cos(along), F.cos(up) * F.sin(along), F.sin(up))
+    return frames.withColumns({n: F.floor(p / size) for n, p in zip("xyz", place, strict=True)})
+
+
+def _words(frames: DataFrame, changed: int) -> DataFrame:
+    """A row for each word of the hash, and for each way to change up to `changed` of its bits."""
+    masks = [m for m in range(1 << WORD_BITS) if m.bit_count() <= changed]
+    word = [F.call_function("shiftright", F.col(h), F.lit(WORD_BITS * i)).bitwiseAND(F.lit((1 << WORD_BITS) - 1)) for h in ("lo", "hi") for i in range(32 // WORD_BITS)]
+    rows = frames.where("lo is not null").select("*", F.posexplode(F.array(*word)).alias("which", "own"))
+    return rows.withColumn("word", F.explode(F.transform(F.array(*map(F.lit, masks)), lambda m: F.col("own").bitwiseXOR(m)))).drop("own")
+
+
 def near_sets(frames: DataFrame, block: str, most_bits: int, most_metres: float) -> DataFrame:
     """Edges (a, b) of frames(asset_id, lo, hi, lat, lng) of one block whose hashes are near and which lie near each other; a missing hash
-    or place is near everything, so one frame without either stands for its block."""
-    near = frames.select(block, *[F.col(c) for c in ("asset_id", "lo", "hi", "lat", "lng")])
-    a, b = (near.select(block, *[F.col(c).alias(f"{c}_{s}") for c in ("asset_id", "lo", "hi", "lat", "lng")]) for s in "ab")
-    both = a.repartition(block, "asset_id_a").join(b, block).where("asset_id_a < asset_id_b")
-    alike = F.coalesce(hamming(F.col("lo_a"), F.col("hi_a"), F.col("lo_b"), F.col("hi_b")) <= most_bits, F.lit(True))
+    or place is near everything. Frames with places are met within neighbouring cubes of the globe. One without a place is met through the
+    words of its hash: of two hashes that differ in most_bits one of four words differs in a quarter of them at most. Only what has neither
+    to go by, and hashes for which so many bits may differ that words tell nothing (PROBED), is compared with its whole block."""
+    own = frames.select(block, "asset_id", "lo", "hi", "lat", "lng")
+    placed, free = own.where("lat is not null and lng is not null"), own.where("lat is null or lng is null")
+    bits = hamming(F.col("lo_a"), F.col("hi_a"), F.col("lo_b"), F.col("hi_b"))
+    alike = F.coalesce(bits <= most_bits, F.lit(True))
     close = F.coalesce(S.haversine(F.col("lat_a"), F.col("lng_a"), F.col("lat_b"), F.col("lng_b")) <= most_metres, F.lit(True))
-    return both.where(alike & close).select(F.col("asset_id_a").alias("a"), F.col("asset_id_b").alias("b"))
+    celled = _cells(placed, most_metres)
+    steps = F.array(*[F.struct(*[F.lit(d).alias(f"d{n}") for n, d in zip("xyz", step, strict=True)]) for step in itertools.product((-1, 0, 1), repeat=3)])
+    around = celled.select("*", F.explode(steps).alias("step")).select(block, "asset_id", "lo", "hi", "lat", "lng", *[(F.col(n) + F.col(f"step.d{n}")).alias(n) for n in "xyz"])
+    near = [_sides(around, block)[0].join(_sides(celled, block)[1], [block, "x", "y", "z"]).where("asset_id_a < asset_id_b")]
+    once = F.col("placed") | (F.col("asset_id_a") < F.col("asset_id_b"))  # of two frames without a place the smaller looks for the other
+    marked = own.withColumn("placed", F.col("lat").isNotNull() & F.col("lng").isNotNull())
+    probes = most_bits // (64 // WORD_BITS)
+    if probes <= PROBED:
+        words = _sides(_words(free, probes), block)[0].join(_sides(_words(marked, 0), block)[1], [block, "which", "word"])
+        apart = [F.bit_count(F.call_function("shiftright", F.col(f"{h}_a").bitwiseXOR(F.col(f"{h}_b")), F.lit(WORD_BITS * i)).bitwiseAND(F.lit((1 << WORD_BITS) - 1))) for h in ("lo", "hi") for i in range(32 // WORD_BITS)]
+        first = F.array_position(F.transform(F.array(*apart), lambda n: n <= probes), True) - 1  # a pair is taken by the first word that both share
+        near.append(words.where(once & (F.col("asset_id_a") != F.col("asset_id_b")) & (F.col("which") == first)))
+        near += [_sides(x, block)[0].join(_sides(y, block)[1], block).where(once & (F.col("asset_id_a") != F.col("asset_id_b"))) for x, y in ((free.where("lo is null"), marked), (free.where("lo is not null"), marked.where("lo is null")))]
+    else:
+        near.append(_sides(free, block)[0].repartition(block, "asset_id_a").join(_sides(marked, block)[1], block).where(once & (F.col("asset_id_a") != F.col("asset_id_b"))))
+    edges = [n.where(alike & close).select(F.least("asset_id_a", "asset_id_b").alias("a"), F.greatest("asset_id_a", "asset_id_b").alias("b")) for n in near]
+    return functools.reduce(DataFrame.unionByName, edges)
+
+
+def near_links(frames: DataFrame, block: str, most_bits: int, most_metres: float) -> DataFrame:
+    """Edges that connect what near_sets connects, fewer of them: in a block with a frame that has neither hash nor place, which is near all, all
+    are linked to the first such frame and no others are compared."""
+    joker = frames.where("lo is null and (lat is null or lng is null)").groupBy(block).agg(F.min("asset_id").alias("joker"))
+    star = frames.join(joker, block).where("asset_id <> joker").select(F.least("joker", "asset_id").alias("a"), F.greatest("joker", "asset_id").alias("b"))
+    return star.unionByName(near_sets(frames.join(joker, block, "left_anti"), block, most_bits, most_metres))
 
 
 def union_sets(*edges: DataFrame) -> DataFrame:

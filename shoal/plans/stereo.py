@@ -173,6 +173,11 @@ def near(spark, d):
     return stereo.near_sets(hashed, "album_id", 22, 4000.0)
 
 
+def links(spark, d):
+    hashed = A.shots(spark, d).join(A.assets(spark, d).select("asset_id", "lo", "hi"), "asset_id")
+    return stereo.near_links(hashed, "album_id", 22, 4000.0)
+
+
 @query("join_hamming", f"WITH {_NEAR} SELECT a, b FROM e")
 def _(spark, d):
     return near(spark, d)
@@ -180,7 +185,7 @@ def _(spark, d):
 
 @query("clu_single_link", f"WITH {_NEAR}, {_CLOSE.format(e='e')} SELECT node AS asset_id, set_id FROM c WHERE set_id IN (SELECT set_id FROM c GROUP BY 1 HAVING count(*) >= 3)")
 def _(spark, d):
-    return lineage.large_sets(stereo.union_sets(near(spark, d)), 3)
+    return lineage.large_sets(stereo.union_sets(links(spark, d)), 3)
 
 
 @query("clu_stereo_union", f"WITH {_NEAR}, nm AS (SELECT a.asset_id AS a, b.asset_id AS b FROM shots a JOIN shots b ON a.album_id = b.album_id AND b.pos = a.pos + 1 WHERE a.pos % 4 = 2), lg AS (SELECT asset_id, album_id, ms, camera, lag(asset_id) OVER w AS p, lag(ms) OVER w AS pm, lag(camera) OVER w AS pc FROM assets WHERE ms IS NOT NULL WINDOW w AS (PARTITION BY album_id ORDER BY ms, asset_id)), al AS (SELECT a, b FROM e UNION ALL SELECT a, b FROM nm UNION ALL SELECT p, asset_id FROM lg WHERE ms - pm <= 10800000 AND coalesce(camera, '') = coalesce(pc, '')), {_CLOSE.format(e='al')} SELECT node AS asset_id, set_id FROM c")
@@ -190,7 +195,7 @@ def _(spark, d):
     runs = sequences.time_runs(A.assets(spark, d), 10_800_000, same_camera=True)
     before = F.lag("asset_id").over(Window.partitionBy("album_id", "run").orderBy("ms", "asset_id"))
     steps = runs.select(before.alias("a"), F.col("asset_id").alias("b")).where("a is not null")
-    return stereo.union_sets(near(spark, d), named, steps)
+    return stereo.union_sets(links(spark, d), named, steps)
 
 
 # Corrections
@@ -260,4 +265,4 @@ def _(spark, d):
 
 @query("hlp_lab_stereo", f"WITH {_NEAR}, {_CLOSE.format(e='e')} SELECT set_id, 'Stereo set · ' || count(*) || ' frames' AS name, count(*) AS n, min(ms) AS taken FROM c JOIN shots ON asset_id = node GROUP BY 1")
 def _(spark, d):
-    return units.stereo_sets(stereo.union_sets(near(spark, d)), A.shots(spark, d))
+    return units.stereo_sets(stereo.union_sets(links(spark, d)), A.shots(spark, d))

@@ -357,3 +357,40 @@ def test_several_undos_in_a_row(spark):
                 if status == "x":
                     del want[f"{owner}:{slot}"]
         assert have == want
+
+
+@pytest.mark.parametrize("bits", [0, 5, 10, 22])
+def test_near_sets_against_all_pairs(spark, bits):
+    """Random hashes around a few, places around the poles, the date line and elsewhere, missing sides; each pair once."""
+    import math
+
+    rng = random.Random(bits)
+    centres, spots = [rng.getrandbits(64) for _ in range(6)], [(52.1, 5.1), (89.9999, 10.0), (89.9999, -170.0), (-90.0, 0.0), (0.0, 179.9999), (0.0, -179.9999)]
+    rows = []
+    for i in range(220):
+        h = centres[rng.randrange(6)]
+        for b in rng.sample(range(64), rng.randrange(8)):
+            h ^= 1 << b
+        lat, lng = rng.choice(spots)
+        lat, lng = max(-90.0, min(90.0, lat + rng.uniform(-1, 1) * 4e-4)), lng + rng.uniform(-1, 1) * 4e-4
+        kind = rng.random()
+        lo, hi = (None, None) if kind < 0.1 or rng.random() < 0.05 else (h & 0xFFFFFFFF, h >> 32)
+        rows.append((i, rng.randrange(2), lo, hi, None if kind < 0.05 or kind > 0.8 else lat, None if kind > 0.75 else lng))
+    rows.append((900, 0, None, None, None, 1.0))
+
+    def near(x, y):
+        if x[1] != y[1]:
+            return False
+        if x[2] is not None and y[2] is not None and (x[2] ^ y[2]).bit_count() + (x[3] ^ y[3]).bit_count() > bits:
+            return False
+        if None in (x[4], x[5], y[4], y[5]):
+            return True
+        a, b = (math.radians(v[4]) for v in (x, y))
+        s = math.sin((b - a) / 2) ** 2 + math.cos(a) * math.cos(b) * math.sin(math.radians(y[5] - x[5]) / 2) ** 2
+        return 2 * 6_371_000 * math.asin(min(1, math.sqrt(s))) <= 25
+
+    want = sorted((x[0], y[0]) for x in rows for y in rows if x[0] < y[0] and near(x, y))
+    df = spark.createDataFrame(rows, "asset_id long, album_id long, lo long, hi long, lat double, lng double")
+    assert sorted((r.a, r.b) for r in stereo.near_sets(df, "album_id", bits, 25.0).collect()) == want
+    joined = {r.asset_id: r.set_id for r in stereo.union_sets(stereo.near_links(df, "album_id", bits, 25.0)).collect()}
+    assert joined == {r.asset_id: r.set_id for r in stereo.union_sets(spark.createDataFrame(want, "a long, b long")).collect()}
