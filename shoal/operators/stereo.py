@@ -12,7 +12,7 @@ from shoal.functions import scalar as S
 from shoal.operators import lineage
 from shoal.operators.selection import greedy_pairs
 from shoal.operators.sequences import hamming
-from shoal.operators.vectors import aligned_distance, box_means
+from shoal.operators.vectors import aligned_distance, box_means, mean_range
 
 FAR = 9007199254740991  # drift of a pair without two times or an offset
 
@@ -47,14 +47,27 @@ def coarse(fine: Column, side: int, to: int) -> Column:
     return box_means(fine, side, side // to) if side > to else fine
 
 
+def rough_candidates(left: DataFrame, right: DataFrame, block: str, most: float) -> DataFrame:
+    """Pairs of left and right frames of a block whose ranges of means (column m) come within `most` of each other: no shift of others can be
+    nearer, as a mean difference is at least the difference of the means. Met as an interval join over means in steps of `most`, each
+    pair in the first step that both reach."""
+    step = lambda x: F.floor(x / most)
+    l = left.withColumn("ls", step(F.col("lm")[0] - most)).withColumn("step", F.explode(F.sequence("ls", step(F.col("lm")[1] + most))))
+    r = right.withColumn("rs", step(F.col("rm")[0])).withColumn("step", F.explode(F.sequence("rs", step(F.col("rm")[1]))))
+    met = l.join(r, [block, "step"]).where(F.col("step") == F.greatest("ls", "rs"))
+    return met.where((F.col("lm")[0] - most <= F.col("rm")[1]) & (F.col("rm")[0] <= F.col("lm")[1] + most)).drop("step", "ls", "rs", "lm", "rm")
+
+
 def scored_pairs(left: DataFrame, right: DataFrame, block: str, fine: tuple[int, int], rough: tuple[int, int], most: float) -> DataFrame:
-    """(left_id, right_id, rough, distance) of all left and right frames of a block with grids: grids reduced to rough = (side, shift)
-    are compared first, and where these are at most `most` apart the fine ones too; distance is null beyond that. Both frames of a pair
-    come from one block, an album or a pair of albums; a large block is spread over tasks by its left frames."""
-    l = left.select(block, F.col("asset_id").alias("left_id"), F.col("g").alias("gl"), coarse(F.col("g"), fine[0], rough[0]).alias("cl")).repartition(block, "left_id")
-    r = right.select(block, F.col("asset_id").alias("right_id"), F.col("g").alias("gr"), coarse(F.col("g"), fine[0], rough[0]).alias("cr"))
-    near = l.join(r, block).withColumn("rough", aligned_distance(F.col("cl"), F.col("cr"), rough[1], rough[0]))
-    close = near.withColumn("a", F.when(F.col("rough") <= most, F.col("gl"))).withColumn("b", F.when(F.col("rough") <= most, F.col("gr")))
+    """(left_id, right_id, rough, distance) of the left and right frames of a block whose grids can be near. Grids reduced to rough = (side,
+    shift) are compared first, and where these are at most `most` apart the fine ones too; distance is null beyond that. Pairs that
+    their mean lumas rule out (rough_candidates) are left out. Both frames of a pair come from one block, an album or a pair of albums."""
+    least = F.lit(1e-6)  # of rounding in sums
+    grids = lambda f, s: f.select(block, F.col("asset_id").alias(f"{s}_id"), F.col("g").alias(f"g{s}"), coarse(F.col("g"), fine[0], rough[0]).alias(f"c{s}"))
+    l, r = (x.withColumn(f"{s[0]}m", mean_range(F.col(f"c{s}"), *rough)) for x, s in ((grids(left, "left"), "left"), (grids(right, "right"), "right")))
+    l = l.withColumn("lm", F.array(F.col("lm")[0] - least, F.col("lm")[1] + least))
+    near = rough_candidates(l, r, block, most).withColumn("rough", aligned_distance(F.col("cleft"), F.col("cright"), rough[1], rough[0]))
+    close = near.withColumn("a", F.when(F.col("rough") <= most, F.col("gleft"))).withColumn("b", F.when(F.col("rough") <= most, F.col("gright")))
     return close.select(block, "left_id", "right_id", "rough", aligned_distance(F.col("a"), F.col("b"), fine[1], fine[0]).alias("distance"))
 
 
@@ -70,11 +83,11 @@ def pair_eyes(scored: DataFrame, most: float) -> DataFrame:
     return greedy_pairs(scored.where(F.col("distance") <= most), "left_id", "right_id", ["distance", "drift"])
 
 
-def report(left: DataFrame, scored: DataFrame, pairs: DataFrame, most: float) -> DataFrame:
-    """(asset_id, outcome, other_id, distance, reason) of every left frame: paired, notHashed, noCandidates, or rejected with its nearest
-    right frame: over tolerance, or taken by the left frame it went to."""
+def report(left: DataFrame, right: DataFrame, block: str, scored: DataFrame, pairs: DataFrame, most: float) -> DataFrame:
+    """(asset_id, outcome, other_id, distance, reason) of every left frame: paired, notHashed, noCandidates (its block has no right frame with
+    a grid), or rejected with its nearest right frame: over tolerance, or taken by the left frame it went to."""
     best = scored.where("distance is not null").groupBy("left_id").agg(F.min(F.struct("distance", "right_id")).alias("near"))
-    met = scored.select("left_id").distinct().withColumn("met", F.lit(True))
+    met = left.join(right.where("g is not null").select(block).distinct(), block, "left_semi").select(F.col("asset_id").alias("left_id"), F.lit(True).alias("met"))
     p = pairs.select("left_id", F.col("right_id").alias("partner"), F.col("distance").alias("pair_distance"))
     winner = pairs.select(F.col("right_id").alias("wanted"), F.col("left_id").alias("claimed_by"))
     rows = left.select(F.col("asset_id").alias("left_id"), F.col("g").isNotNull().alias("hashed")).join(p, "left_id", "left").join(best, "left_id", "left").join(met, "left_id", "left")

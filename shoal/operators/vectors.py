@@ -116,23 +116,40 @@ def aspect(width: Column, height: Column) -> Column:
     return F.when(height > 0, width / height).otherwise(F.lit(1.0))
 
 
+def _by_grid(kernel, returns: str, cells: Column) -> Column:
+    """kernel(grids, one a row) over the grids of a batch that are there, null for the others."""
+
+    @F.pandas_udf(returns)
+    def run(grids: pd.Series) -> pd.Series:
+        there = grids.notna()
+        made = iter(kernel(np.stack(grids[there].to_list()).astype(float)) if there.any() else ())
+        return pd.Series([next(made) if t else None for t in there], dtype=object)
+
+    return run(cells)
+
+
 def line_activity(cells: Column, side: int) -> Column:
-    """Mean absolute deviation of every column of a square grid from its mean, which is taken once a column."""
-    upto = F.sequence(F.lit(0), F.lit(side - 1))
-    column = lambda k: F.transform(upto, lambda i: F.element_at(cells, i * side + k + 1))
-    mean = lambda v: F.aggregate(v, F.lit(0.0), lambda s, x: s + x) / side
-    lines = F.transform(F.transform(upto, column), lambda v: F.struct(v.alias("v"), mean(v).alias("m")))
-    return F.transform(lines, lambda c: mean(F.transform(c["v"], lambda x: F.abs(x - c["m"]))))
+    """Mean absolute deviation of every column of square grids from its mean."""
+
+    def kernel(g: np.ndarray) -> np.ndarray:
+        g = g[:, : side * side].reshape(-1, side, side)
+        return np.abs(g - g.mean(1, keepdims=True)).mean(1)
+
+    return _by_grid(kernel, "array<double>", cells)
 
 
 def box_means(cells: Column, side: int, by: int) -> Column:
-    """Truncated means of by x by boxes of a square grid; the expression is as long for any side."""
+    """Truncated means of by x by boxes of square grids."""
     n = side // by
-    inside = F.sequence(F.lit(0), F.lit(by * by - 1))
+    return _by_grid(lambda g: np.floor(g[:, : side * side].reshape(-1, n, by, n, by).mean((2, 4))).astype(np.int64).reshape(-1, n * n), "array<long>", cells)
+
+
+def mean_range(cells: Column, side: int, shift: int) -> Column:
+    """[low, high]: the least and the largest mean of the columns of square grids that remain when up to `shift` of either side go."""
 
-    def mean(b: Column) -> Column:
-        first = F.floor(b / n) * (by * side) + b % n * by + 1
-        total = F.aggregate(inside, F.lit(0.0), lambda s, i: s + F.element_at(cells, (first + F.floor(i / by) * side + i % by).cast("int")))
-        return F.floor(total / (by * by))
+    def kernel(g: np.ndarray) -> np.ndarray:
+        columns = g[:, : side * side].reshape(-1, side, side).mean(1)
+        means = np.stack([part.mean(1) for k in range(shift + 1) for part in (columns[:, : side - k], columns[:, k:])], 1)
+        return np.stack([means.min(1), means.max(1)], 1)
 
-    return F.transform(F.sequence(F.lit(0), F.lit(n * n - 1)), mean)
+    return _by_grid(kernel, "array<double>", cells)

@@ -83,7 +83,7 @@ def _(spark, d):
 
 def eyes(spark, d):
     """Both sides of every album, with 16x16 grids (null where a frame has none)."""
-    sided = stereo.split_eyes(frames(spark, d)).where("album_id % 3 = 0").join(fine_grids(spark, d), "asset_id", "left")
+    sided = stereo.split_eyes(frames(spark, d)).join(fine_grids(spark, d), "asset_id", "left")
     return sided.where("eye = 'L'"), sided.where("eye = 'R'")
 
 
@@ -97,26 +97,23 @@ def both_eyes(spark, d):
     timed = [x.where("ms is not null").select("album_id", "ms") for x in (left, right)]
     offsets = facts.offset_vote(*timed, "album_id", 1000, 2, 0.2, 86_400_000)
     pairs = stereo.drift(scored(spark, d), frames(spark, d), offsets, "album_id")
-    return left, pairs, stereo.pair_eyes(pairs, MOST)
+    return left, right, pairs, stereo.pair_eyes(pairs, MOST)
 
 
-_SCORED = f"{SIDES}, fine AS (SELECT asset_id, g, {TO_FINE} AS h FROM shot_grids), sd AS (SELECT f.album_id, f.asset_id, coalesce(named, eye) AS e, g, h FROM frames f LEFT JOIN sides USING (album_id, serial) JOIN fine USING (asset_id) WHERE f.album_id % 3 = 0), pr AS (SELECT a.album_id, a.asset_id AS left_id, b.asset_id AS right_id, a.h AS ah, b.h AS bh, {_align(8, 2, 'a.g', 'b.g')} AS rough FROM sd a JOIN sd b ON a.album_id = b.album_id AND a.e = 'L' AND b.e = 'R'), sc AS (SELECT album_id, left_id, right_id, CASE WHEN rough <= {ROUGH} THEN {_align(16, 3, 'ah', 'bh')} END AS d FROM pr)"
-
-
-@query("join_eye_candidates", f"WITH {_SCORED} SELECT album_id, left_id, right_id, round(d, 6) AS distance FROM sc WHERE d <= {MOST}")
+@query("join_eye_candidates")
 def _(spark, d):
     return scored(spark, d).where(F.col("distance") <= MOST).select("album_id", "left_id", "right_id", F.round("distance", 6).alias("distance"))
 
 
 @query("mat_both_eyes")
 def _(spark, d):
-    return both_eyes(spark, d)[2].select("left_id", "right_id", F.round("distance", 6).alias("distance"))
+    return both_eyes(spark, d)[3].select("left_id", "right_id", F.round("distance", 6).alias("distance"))
 
 
 @query("mat_report")
 def _(spark, d):
-    left, pairs, matched = both_eyes(spark, d)
-    return stereo.report(left, pairs, matched, MOST).withColumn("distance", F.round("distance", 6))
+    left, right, pairs, matched = both_eyes(spark, d)
+    return stereo.report(left, right, "album_id", pairs, matched, MOST).withColumn("distance", F.round("distance", 6))
 
 
 # Split albums

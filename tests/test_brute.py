@@ -45,12 +45,42 @@ def test_pair_eyes_query(spark, small):
     assert {(r.left_id, r.right_id) for r in QUERIES["mat_pair_eyes"](spark, small).collect()} == want
 
 
+def aligned(a, b, side, shift):
+    a, b = (np.array(x).reshape(side, side) for x in (a, b))
+    return min(np.abs(a[:, max(0, -k) : side - max(0, k)] - b[:, max(0, k) : side - max(0, -k)]).mean() for k in range(-shift, shift + 1))
+
+
+def every_pair(lefts, rights, most):
+    """All left with all right frames of an album, rough grids first."""
+    half = lambda g: np.floor(np.array(g).reshape(8, 2, 8, 2).mean((1, 3)))
+    for x in lefts:
+        for y in rights:
+            if x.album_id == y.album_id and aligned(half(x.g), half(y.g), 8, 2) <= most:
+                yield x.asset_id, y.asset_id, round(float(aligned(x.g, y.g, 16, 3)), 6)
+
+
+def test_dark_and_bright_frames_are_not_compared(spark):
+    """Frames that differ in their mean luma alone: all near pairs are found, few others are looked at."""
+    rng = np.random.default_rng(4)
+    made = [(side, k, 0, (np.clip(rng.normal(level, 6, 64), 0, 255)).tolist()) for side in "LR" for k, level in enumerate(rng.uniform(10, 245, 60))]
+    left, right = (spark.createDataFrame([(k + 100 * (s == "R"), a, g) for s, k, a, g in made if s == side], "asset_id long, album_id long, g array<double>") for side in "LR")
+    pairs = stereo.scored_pairs(left, right, "album_id", (8, 2), (8, 2), 12.0).collect()
+    want = {(i, j + 100) for s, i, _, g in made for t, j, _, h in made if (s, t) == ("L", "R") and aligned(g, h, 8, 2) <= 12}
+    assert {(r.left_id, r.right_id) for r in pairs if r.rough <= 12} == want and len(want) <= len(pairs) < 3600 / 4
+
+
 def test_both_eyes_and_report(spark, small):
     from shoal.plans import stereo as plan
 
-    left, pairs, matched = plan.both_eyes(spark, small)
+    left, right, pairs, matched = plan.both_eyes(spark, small)
     every = pairs.collect()
-    rows, met = [(r.distance, r.drift, r.left_id, r.right_id) for r in every if r.distance is not None], {r.left_id for r in every}
+    rows = [(r.distance, r.drift, r.left_id, r.right_id) for r in every if r.distance is not None]
+    lefts, rights = ([r for r in x.select("album_id", "asset_id", "g").collect()] for x in (left, right))
+    sided = {r.album_id for r in rights if r.g is not None}
+    met = {r.asset_id for r in lefts if r.album_id in sided}
+    near = {(a, b): x for a, b, x in every_pair([r for r in lefts if r.g], [r for r in rights if r.g], plan.ROUGH)}
+    assert {(r[2], r[3]): round(r[0], 6) for r in rows} == near
+    assert {(r.left_id, r.right_id): r.distance for r in QUERIES["join_eye_candidates"](spark, small).collect()} == {k: x for k, x in near.items() if x <= plan.MOST}
     want = greedy([r for r in rows if r[0] <= plan.MOST])
     assert {(r.left_id, r.right_id) for r in matched.collect()} == want and {(r.left_id, r.right_id) for r in QUERIES["mat_both_eyes"](spark, small).collect()} == want
     report = {r.asset_id: r for r in QUERIES["mat_report"](spark, small).collect()}

@@ -11,4 +11,4 @@ def test_query_equals_sql(name, same_as_sql):
 
 def test_queries_without_sql_are_held_elsewhere():
     """test_brute.py holds each of them against a sequential version."""
-    assert set(QUERIES) - set(ORACLES) == {"clu_merge_sets", "lim_buffer_fill", "lim_low_water", "mat_both_eyes", "mat_pair_eyes", "mat_report", "smp_units", "win_settle"}
+    assert set(QUERIES) - set(ORACLES) == {"clu_merge_sets", "join_eye_candidates", "lim_buffer_fill", "lim_low_water", "mat_both_eyes", "mat_pair_eyes", "mat_report", "smp_units", "win_settle"}
