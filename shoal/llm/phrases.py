@@ -33,7 +33,7 @@ from shoal.llm.text import row_of, slices, words
 
 LONGEST, LEAST, COVER, TOP = 3, 10, 50, 2000
 BUCKETS = 1 << 20
-SLICE_BYTES = 6 << 20
+SLICE_BYTES = 4 << 20
 _BREAK = np.zeros(256, bool)
 _BREAK[[*b".,;:!?", *range(0x0A, 0x0E)]] = True
 _APART = _BREAK.copy()
@@ -58,7 +58,7 @@ class Tokens:
         pair = langs.indices.to_numpy(zero_copy_only=False)[rows].astype(np.int64) * n + coded.indices.to_numpy(zero_copy_only=False)
         self.item, seen = pd.factorize(pair)
         self.langs, self.words = langs.dictionary.take(pa.array(seen // n)), coded.dictionary.take(pa.array(seen % n))
-        breaks = np.concatenate([[0], np.cumsum(_BREAK[data])])[starts]
+        breaks = np.cumsum(_BREAK[data], dtype=np.int64 if len(data) >> 31 else np.int32)[starts]  # a word's first byte is none
         self.follows = np.zeros(len(starts), bool)
         self.follows[1:] = (breaks[1:] == breaks[:-1]) & (rows[1:] == rows[:-1])
 
