@@ -13,12 +13,17 @@ def status_counts(deck: DataFrame, key: str) -> DataFrame:
     return deck.groupBy(F.coalesce(key, F.lit("No album")).alias(key)).agg(F.count("*").alias("n"), *counts)
 
 
-def census(known: DataFrame, verdicts: DataFrame) -> DataFrame:
-    """One row: known assets, verdicts of each status, verdicts whose asset is gone, and known assets without a decision."""
-    both = known.select("asset_id", F.lit(True).alias("known")).join(verdicts.select("asset_id", "status"), "asset_id", "full_outer")
-    decided = F.col("status").isNotNull() & (F.col("status") != "backlog")
-    counts = [F.count_if(F.col("status") == s).alias(f"n_{s.lower()}") for s in S.VERDICTS_IN_ORDER]
-    return both.agg(F.count_if("known").alias("known"), *counts, F.count_if(F.col("status").isNotNull() & F.col("known").isNull()).alias("gone"), F.greatest(F.count_if("known") - F.count_if(F.col("known") & decided), F.lit(0)).alias("backlog"))
+def census(known: DataFrame, verdicts: DataFrame, deletions: DataFrame, day: Column) -> DataFrame:
+    """One row for a day: known assets, verdicts of each status but backlog, verdicts whose asset is gone, known assets without a verdict
+    (backlog), and deletions that the user made (deletions(asset_id, found_gone): those found gone are not counted). Review cards, which
+    are no assets, are left out."""
+    ruled = verdicts.where(~S.is_unit(F.col("asset_id"))).select("asset_id", "status")
+    both = known.select("asset_id", F.lit(True).alias("known")).join(ruled, "asset_id", "full_outer")
+    counts = [F.count_if(F.col("status") == s).alias(f"n_{s.lower()}") for s in S.VERDICTS_IN_ORDER if s != "backlog"]
+    met = F.count_if(F.col("known") & F.col("status").isNotNull())
+    made = deletions.agg(F.count_if(~F.col("found_gone")).alias("deleted_ever"))  # one row, as the other side
+    counted = both.agg(F.count_if("known").alias("known"), *counts, F.count_if(F.col("status").isNotNull() & F.col("known").isNull()).alias("gone"), F.greatest(F.count_if("known") - met, F.lit(0)).alias("backlog"))
+    return counted.join(F.broadcast(made)).select(day.alias("day"), "*")
 
 
 def first_writes(log: DataFrame, key: str, at: str) -> DataFrame:

@@ -100,10 +100,9 @@ def fresh(units: DataFrame, verdicts: DataFrame, excluded: DataFrame) -> DataFra
     return units.join(hit, "unit_id", "left_anti")
 
 
-def buffer_fill(drawn: DataFrame, verdicts: DataFrame, excluded: DataFrame, count: int, overdraw: int = 3) -> DataFrame:
-    """The first `count` fresh ones of `overdraw` times as many units, in the order of their draw."""
-    some = drawn.orderBy("place", "unit_id").limit(count * overdraw)
-    return fresh(some, verdicts, excluded).orderBy("place", "unit_id").limit(count)
+def buffer_fill(drawn: DataFrame, verdicts: DataFrame, excluded: DataFrame, count: int) -> DataFrame:
+    """The first `count` fresh units in the order of their draw; decided ones take no place."""
+    return fresh(drawn, verdicts, excluded).orderBy("place", "unit_id").limit(count)
 
 
 def server_feed(assets: DataFrame, weight: Column, limit: int, per_album: int, seed: str) -> DataFrame:

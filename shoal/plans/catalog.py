@@ -195,15 +195,39 @@ def _(spark, d):
     return facts.status_counts(lineage.overlay(A.meta(spark, d), A.verdicts(spark, d)), "album")
 
 
-@query("agg_census", f"WITH b AS (SELECT m.asset_id IS NOT NULL AS known, v.status FROM (SELECT asset_id FROM meta WHERE asset_id % 6 <> 0) m FULL JOIN verdicts v ON v.asset_id = m.asset_id) SELECT count(*) FILTER (known) AS known, {_COUNTS}, count(*) FILTER (status IS NOT NULL AND NOT known) AS gone, greatest(count(*) FILTER (known) - count(*) FILTER (known AND status <> 'backlog'), 0) AS backlog FROM b")
+_DELETED = "log AS (SELECT asset_id, album, noted_at, found_gone FROM (SELECT original_id AS asset_id, album, original_id % 1000 AS noted_at, original_id % 3 = 0 AS found_gone FROM listing WHERE original_id IS NOT NULL UNION ALL SELECT asset_id, album, filed_at % 700, asset_id % 4 <> 0 FROM filings WHERE asset_id % 10 = 2) QUALIFY row_number() OVER (PARTITION BY asset_id ORDER BY noted_at, album, found_gone) = 1)"
+
+
+def _deletions(spark, d):
+    """The log of deletions: those noted as they were made and those found gone later, the first entry of an asset staying."""
+    gone = A.listing(spark, d).where("original_id is not null").select(F.col("original_id").alias("asset_id"), "album", (F.col("original_id") % 1000).alias("noted_at"), (F.col("original_id") % 3 == 0).alias("found_gone"))
+    more = A.filings(spark, d).where("asset_id % 10 = 2").select("asset_id", "album", (F.col("filed_at") % 700).alias("noted_at"), (F.col("asset_id") % 4 != 0).alias("found_gone"))
+    return facts.first_writes(gone.unionByName(more), "asset_id", "noted_at")
+
+
+_RULED = [s for s in S.VERDICTS_IN_ORDER if s != "backlog"]
+_DAYS = f"DATE '2024-01-01' + CAST(n_nationkey AS INTEGER) AS day, CAST(n_regionkey AS BIGINT) AS known, {', '.join(f'CAST(0 AS BIGINT) AS n_{s.lower()}' for s in _RULED)}, CAST(0 AS BIGINT) AS gone, CAST(0 AS BIGINT) AS backlog, CAST(n_nationkey AS BIGINT) AS deleted_ever"
+
+
+@query("agg_census", f"WITH {_DELETED}, b AS (SELECT m.asset_id IS NOT NULL AS known, v.status FROM (SELECT CAST(asset_id AS VARCHAR) AS asset_id FROM meta WHERE asset_id % 6 <> 0) m FULL JOIN (SELECT CAST(asset_id AS VARCHAR) AS asset_id, status FROM verdicts) v ON v.asset_id = m.asset_id) SELECT DATE '2024-01-10' AS day, count(*) FILTER (known) AS known, {', '.join(f"count(*) FILTER (status = '{s}') AS n_{s.lower()}" for s in _RULED)}, count(*) FILTER (status IS NOT NULL AND NOT known) AS gone, count(*) FILTER (known AND status IS NULL) AS backlog, (SELECT count(*) FROM log WHERE NOT found_gone) AS deleted_ever FROM b UNION ALL SELECT {_DAYS} FROM nation WHERE n_nationkey <> 9")
 def _(spark, d):
-    return facts.census(A.meta(spark, d).where("asset_id % 6 <> 0"), A.verdicts(spark, d))
+    name = F.col("asset_id").cast("string").alias("asset_id")
+    verdicts = A.verdicts(spark, d)
+    cards = verdicts.where("asset_id % 5 = 0").select(F.concat(F.lit("burst:"), F.col("asset_id").cast("string")).alias("asset_id"), "status")
+    today = facts.census(A.meta(spark, d).where("asset_id % 6 <> 0").select(name), verdicts.select(name, "status").unionByName(cards), _deletions(spark, d), F.to_date(F.lit("2024-01-10")))
+    zeros = [F.lit(0).cast("long").alias(c) for c in [f"n_{s.lower()}" for s in _RULED] + ["gone", "backlog"]]
+    days = A.read(spark, d, "nation").select(F.date_add(F.to_date(F.lit("2024-01-01")), F.col("n_nationkey").cast("int")).alias("day"), F.col("n_regionkey").cast("long").alias("known"), *zeros, F.col("n_nationkey").cast("long").alias("deleted_ever"))
+    return tables.upsert(days, today, ["day"])
 
 
-@query("agg_deletions", "SELECT user_id, event_id, event_type, logged FROM (SELECT user_id, event_id, event_type, epoch_us(ts) // 1000 AS logged, row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts) // 1000, event_id, event_type) AS k FROM events) WHERE k = 1")
+@query("agg_deletions", f"WITH {_DELETED} SELECT album, count(*) FILTER (NOT found_gone) AS deleted, count(*) FILTER (found_gone) AS found FROM log GROUP BY 1")
 def _(spark, d):
-    log = A.read(spark, d, "events").select("user_id", "event_id", "event_type", F.unix_millis(F.col("ts").cast("timestamp")).alias("logged"))
-    return facts.first_writes(log, "user_id", "logged")
+    return _deletions(spark, d).groupBy("album").agg(F.count_if(~F.col("found_gone")).alias("deleted"), F.count_if("found_gone").alias("found"))
+
+
+@query("agg_gone_note", f"WITH {_DELETED} SELECT * FROM log")
+def _(spark, d):
+    return _deletions(spark, d).select("asset_id", "album", "noted_at", "found_gone")
 
 
 @query("st_verdict_log", "SELECT user_id, event_id, event_type, logged FROM (SELECT user_id, event_id, event_type, epoch_us(ts) // 1000 AS logged, row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts) // 1000 DESC, event_id DESC, event_type DESC) AS k FROM events) WHERE k = 1")

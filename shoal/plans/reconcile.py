@@ -55,12 +55,6 @@ def _(spark, d):
     return ranked.groupBy("set_id").agg(F.min("s").getField("asset_id").alias("lead"))
 
 
-@query("agg_gone_note", "SELECT original_id AS asset_id, min(album) AS album FROM listing WHERE original_id IS NOT NULL GROUP BY 1")
-def _(spark, d):
-    gone = A.listing(spark, d).where("original_id is not null").select(F.col("original_id").alias("asset_id"), "album", F.lit(0).alias("seen"))
-    return facts.first_writes(gone, "asset_id", "seen").select("asset_id", "album")
-
-
 @query("agg_scan_summary", "WITH a AS (SELECT album_id, count(*) AS n FROM assets GROUP BY 1), r AS (SELECT *, coalesce(sum(n) OVER (ORDER BY album_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM a) SELECT count(*) AS albums, CAST(sum(n) AS BIGINT) AS images FROM r WHERE before < 800")
 def _(spark, d):
     albums = A.assets(spark, d).groupBy("album_id").agg(F.count("*").alias("n"))
