@@ -222,10 +222,20 @@ def album_gaps(filings: DataFrame, listing: DataFrame, purged: DataFrame) -> Dat
     return all_.select("album", F.coalesce("missing", F.array().cast("array<long>")).alias("missing"), F.coalesce("deleted", F.lit(0)).alias("deleted"))
 
 
-def edit_candidates(filed: DataFrame, verdicts: DataFrame, gone: DataFrame, sets: DataFrame) -> DataFrame:
-    """(set_id, lead, n, filed_at): assets filed for editing, still to be edited and not deleted, folded to their sets, led by the longest filed."""
-    queued = filed.join(verdicts.where("status = 'toEdit'").select("asset_id"), "asset_id", "left_semi").join(gone, "asset_id", "left_anti")
-    return queued.join(sets, "asset_id").groupBy("set_id").agg(F.min_by("asset_id", F.struct("filed_at", "asset_id")).alias("lead"), F.count("*").alias("n"), F.min("filed_at").alias("filed_at"))
+def live_edits(pairs: DataFrame, grouped: DataFrame) -> DataFrame:
+    """(original_id) of originals with an edit that is in no group; pairs(original_id, edit_id), grouped(asset_id)."""
+    return pairs.join(grouped.select(F.col("asset_id").alias("edit_id")), "edit_id", "left_anti").select("original_id").distinct()
+
+
+def edit_candidates(filed: DataFrame, verdicts: DataFrame, gone: DataFrame, merged: DataFrame, sets: DataFrame) -> DataFrame:
+    """(place, set_id, lead, n, filed_at): assets filed for editing, still to be edited, neither deleted nor merged photos nor review cards,
+    folded to their sets, led by the longest filed; place counts the sets from 0 in the order of their filing."""
+    from shoal.operators.running import running_sums
+
+    queued = filed.where(~S.is_unit(F.col("asset_id").cast("string"))).join(verdicts.where("status = 'toEdit'").select("asset_id"), "asset_id", "left_semi")
+    queued = queued.join(gone.select("asset_id").union(merged.select("asset_id")).distinct(), "asset_id", "left_anti")
+    folded = queued.join(sets, "asset_id").groupBy("set_id").agg(F.min_by("asset_id", F.struct("filed_at", "asset_id")).alias("lead"), F.count("*").alias("n"), F.min("filed_at").alias("filed_at"))
+    return running_sums(folded, ["filed_at", "set_id"], {"place": F.lit(1)})
 
 
 def remembered(assets: DataFrame, known: DataFrame) -> DataFrame:

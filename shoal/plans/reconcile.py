@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from shoal.operators import facts, lineage, selection, tables
+from shoal.operators import lineage, selection, tables
 from shoal.operators.running import running_sums
 from shoal.plans.catalog import query
 from shoal.sources import adapters as A
@@ -134,9 +134,10 @@ def _(spark, d):
     return A.read(spark, d, "orders").agg(F.count_if(F.col("o_orderstatus") == "O").alias("due"))
 
 
-@query("hlp_live_edit", "SELECT DISTINCT asset_id - asset_id % 5 AS original_id FROM meta WHERE asset_id % 5 IN (1, 2) AND asset_id - asset_id % 5 IN (SELECT asset_id FROM meta)")
+@query("hlp_live_edit", "SELECT DISTINCT asset_id - asset_id % 5 AS original_id FROM meta WHERE asset_id % 5 IN (1, 2) AND asset_id % 7 <> 3 AND asset_id - asset_id % 5 IN (SELECT asset_id FROM meta)")
 def _(spark, d):
-    return lineage.edit_pairs(A.meta(spark, d)).select("original_id").distinct()
+    grouped = A.meta(spark, d).where("asset_id % 7 = 3").select("asset_id")
+    return lineage.live_edits(lineage.edit_pairs(A.meta(spark, d)), grouped)
 
 
 @query("io_prune", "SELECT asset_id FROM meta WHERE asset_id IN (SELECT asset_id FROM verdicts WHERE starred)")

@@ -225,10 +225,10 @@ def _(spark, d):
     return tables.get_or_create(have, wanted, "tag")
 
 
-@query("dml_count_edit", f"WITH {_SETS} SELECT l.id, coalesce(f.filed_at, 0) AS since, 5000000 - coalesce(f.filed_at, 0) > 4000000 AS overdue FROM listing l JOIN verdicts v ON v.asset_id = l.id LEFT JOIN filings f ON f.asset_id = l.id WHERE l.album = 'Edit' AND l.original_id IS NULL AND v.status = 'toEdit'".replace(f"WITH {_SETS} ", ""))
+@query("dml_count_edit", f"WITH {_SETS} SELECT l.id, coalesce(f.filed_at, 0) AS since, 5000000 - coalesce(f.filed_at, 0) > 4000000 AS overdue FROM listing l JOIN verdicts v ON v.asset_id = l.id LEFT JOIN filings f ON f.asset_id = l.id WHERE l.album = 'Edit' AND l.original_id IS NULL AND v.status = 'toEdit' AND l.id % 5 NOT IN (3, 4)".replace(f"WITH {_SETS} ", ""))
 def _(spark, d):
     live = A.listing(spark, d).where("album = 'Edit' and original_id is null").select(F.col("id").alias("asset_id"))
-    merged = A.listing(spark, d).where("id < 0").select(F.col("id").alias("asset_id"))
+    merged = A.meta(spark, d).where(S.merge_kind(F.lower(S.file_stem(F.col("name")))).isNotNull()).select("asset_id")
     since = A.filings(spark, d).select("asset_id", F.col("filed_at").alias("at"))
     return facts.edit_queue(live, A.verdicts(spark, d), since, merged, 5_000_000, 4_000_000).withColumnRenamed("asset_id", "id")
 
@@ -309,11 +309,12 @@ def _(spark, d):
     return found.select("album", F.size("missing").cast("long").alias("missing"), F.coalesce(F.array_min("missing"), F.lit(0)).alias("first_missing"), "deleted")
 
 
-@query("join_edit_candidates", f"WITH {_SETS}, s AS (SELECT asset_id, coalesce(set_id, asset_id) AS set_id FROM shots LEFT JOIN c ON node = asset_id), q AS (SELECT s.asset_id, set_id FROM s JOIN shot_verdicts v USING (asset_id) WHERE v.status = 'toEdit' AND asset_id % 9 <> 4 AND asset_id % 21 <> 0) SELECT set_id, min(asset_id) AS lead, count(*) AS n, min(asset_id) * 10 AS filed_at FROM q GROUP BY 1")
+@query("join_edit_candidates", f"WITH {_SETS}, s AS (SELECT asset_id, coalesce(set_id, asset_id) AS set_id FROM shots LEFT JOIN c ON node = asset_id), q AS (SELECT s.asset_id, set_id FROM s JOIN shot_verdicts v USING (asset_id) WHERE v.status = 'toEdit' AND asset_id % 9 <> 4 AND asset_id % 21 <> 0 AND asset_id % 8 <> 3), g AS (SELECT set_id, min(asset_id) AS lead, count(*) AS n, min(asset_id) * 10 AS filed_at FROM q GROUP BY 1) SELECT *, row_number() OVER (ORDER BY filed_at, set_id) - 1 AS place FROM g")
 def _(spark, d):
     filed = A.shots(spark, d).where(F.col("asset_id") % 9 != 4).select("asset_id", (F.col("asset_id") * 10).alias("filed_at"))
     gone = A.shots(spark, d).where(F.col("asset_id") % 21 == 0).select("asset_id")
-    return lineage.edit_candidates(filed, A.shot_verdicts(spark, d), gone, sets(spark, d))
+    merged = A.shots(spark, d).where(F.col("asset_id") % 8 == 3).select("asset_id")
+    return lineage.edit_candidates(filed, A.shot_verdicts(spark, d), gone, merged, sets(spark, d))
 
 
 @query("join_remember", "WITH known AS (SELECT asset_id FROM meta WHERE asset_id % 3 = 0), m AS (SELECT asset_id, asset_id % 5 AS k, asset_id - asset_id % 5 AS base FROM meta), un AS (SELECT * FROM m WHERE asset_id NOT IN (SELECT asset_id FROM known)) SELECT asset_id FROM un WHERE k IN (3, 4) UNION SELECT asset_id FROM un WHERE k = 0 AND base IN (SELECT base FROM m WHERE k IN (3, 4))")

@@ -36,11 +36,12 @@ def _(spark, d):
     return writes.set_status(A.shot_verdicts(spark, d), _some(spark, d, 3), "toPrint")
 
 
-@query("dml_promote", "SELECT coalesce(p.day, m.day) AS day, coalesce(edits, 0) + coalesce(more, 0) AS edits FROM (SELECT CAST(ts AS DATE) AS day, count(*) AS edits FROM events WHERE event_type = 'purchase' GROUP BY 1) p FULL JOIN (SELECT CAST(ts AS DATE) AS day, count(*) AS more FROM events WHERE event_id % 8 = 3 GROUP BY 1) m ON p.day = m.day")
+@query("dml_promote", f"SELECT 'verdict' AS part, CAST(asset_id AS VARCHAR) AS id, status, save_only, NULL AS edits FROM ({_set_status('toPrint', 'SELECT event_id AS asset_id FROM events WHERE event_id % 8 = 3')}) UNION ALL SELECT 'day', strftime(coalesce(p.day, m.day), '%Y-%m-%d'), NULL, NULL, coalesce(edits, 0) + coalesce(more, 0) FROM (SELECT CAST(ts AS DATE) AS day, count(*) AS edits FROM events WHERE event_type = 'purchase' GROUP BY 1) p FULL JOIN (SELECT CAST(ts AS DATE) AS day, count(*) AS more FROM events WHERE event_id % 8 = 3 GROUP BY 1) m ON p.day = m.day")
 def _(spark, d):
     events = A.read(spark, d, "events").select(F.col("event_id").alias("asset_id"), F.to_date("ts").alias("day"), "event_type")
     progress = events.where("event_type = 'purchase'").groupBy("day").agg(F.count("*").alias("edits"))
-    return writes.promote(A.shot_verdicts(spark, d), progress, events.where(F.col("asset_id") % 8 == 3))[1]
+    verdicts, days = writes.promote(A.shot_verdicts(spark, d), progress, events.where(F.col("asset_id") % 8 == 3))
+    return verdicts.selectExpr("'verdict' AS part", "CAST(asset_id AS STRING) AS id", "status", "save_only", "CAST(NULL AS LONG) AS edits").unionByName(days.selectExpr("'day' AS part", "CAST(day AS STRING) AS id", "CAST(NULL AS STRING) AS status", "CAST(NULL AS BOOLEAN) AS save_only", "edits"))
 
 
 @query("dml_stand_down", f"WITH {_BASES} SELECT 'verdict' AS part, asset_id, status, save_only FROM ({_set_status('kept', 'SELECT asset_id FROM shots WHERE asset_id % 8 = 5', 'true')}) UNION ALL SELECT 'baseline', asset_id, NULL, NULL FROM bases WHERE asset_id % 8 <> 5")
@@ -49,10 +50,13 @@ def _(spark, d):
     return verdicts.select(F.lit("verdict").alias("part"), "asset_id", "status", "save_only").union(bases.select(F.lit("baseline"), "asset_id", F.lit(None).cast("string"), F.lit(None).cast("boolean")))
 
 
-@query("dml_merge_settle", "WITH m AS (SELECT max(asset_id) AS merged_id, array_agg(asset_id) AS f FROM shot_groups WHERE type = 'pano' GROUP BY group_id), fr AS (SELECT DISTINCT unnest(f) AS asset_id FROM m), mg AS (SELECT merged_id AS asset_id FROM m), k AS (SELECT asset_id, status, starred FROM shot_verdicts UNION ALL SELECT asset_id, NULL, NULL FROM fr WHERE asset_id NOT IN (SELECT asset_id FROM shot_verdicts)) SELECT asset_id, CASE WHEN asset_id IN (SELECT asset_id FROM mg) THEN 'toPrint' WHEN asset_id IN (SELECT asset_id FROM fr) THEN 'kept' ELSE status END AS status, coalesce(starred, false) AS starred FROM k")
+@query("dml_merge_settle", f"WITH {_BASES}, m AS (SELECT max(asset_id) AS merged_id, array_agg(asset_id) AS f FROM shot_groups WHERE type = 'pano' GROUP BY group_id), fr AS (SELECT DISTINCT unnest(f) AS asset_id FROM m), mg AS (SELECT merged_id AS asset_id FROM m), k AS (SELECT asset_id, status, starred FROM shot_verdicts UNION ALL SELECT asset_id, NULL, NULL FROM fr WHERE asset_id NOT IN (SELECT asset_id FROM shot_verdicts)) SELECT 'verdict' AS part, asset_id, CASE WHEN asset_id IN (SELECT asset_id FROM mg) THEN 'toPrint' WHEN asset_id IN (SELECT asset_id FROM fr) THEN 'kept' ELSE status END AS status, coalesce(starred, false) AS starred FROM k UNION ALL SELECT 'baseline', asset_id, NULL, NULL FROM bases WHERE asset_id NOT IN (SELECT asset_id FROM fr) UNION ALL SELECT 'record', merged_id, CAST(len(f) AS VARCHAR), true FROM m UNION ALL SELECT 'record', asset_id, '1', false FROM shots WHERE asset_id % 40 = 0 AND asset_id NOT IN (SELECT merged_id FROM m)")
 def _(spark, d):
     merges = A.shot_groups(spark, d).where("type = 'pano'").groupBy("group_id").agg(F.max("asset_id").alias("merged_id"), F.collect_list("asset_id").alias("frame_ids")).select("merged_id", "frame_ids", F.lit(1).alias("at"))
-    return writes.settle_merge(A.shot_verdicts(spark, d), _bases(spark, d), merges.limit(0), merges)[0].select("asset_id", "status", "starred")
+    older = A.shots(spark, d).where("asset_id % 40 = 0").select(F.col("asset_id").alias("merged_id"), F.array("asset_id").alias("frame_ids"), F.lit(0).alias("at"))
+    verdicts, bases, records = writes.settle_merge(A.shot_verdicts(spark, d), _bases(spark, d), older, merges)
+    parts = [verdicts.selectExpr("'verdict' AS part", "asset_id", "status", "starred"), bases.selectExpr("'baseline' AS part", "asset_id", "CAST(NULL AS STRING) AS status", "CAST(NULL AS BOOLEAN) AS starred")]
+    return parts[0].unionByName(parts[1]).unionByName(records.selectExpr("'record' AS part", "merged_id AS asset_id", "CAST(size(frame_ids) AS STRING) AS status", "at = 1 AS starred"))
 
 
 _MANIFEST = "manifest AS (SELECT album_id, asset_id, 'm' || asset_id % 9 AS stamp FROM shots WHERE asset_id % 5 <> 2)"
