@@ -234,10 +234,28 @@ def withdraw(deck: DataFrame, current: DataFrame, doomed: Column) -> DataFrame:
     return left.groupBy("deck_id").agg(F.count("*").alias("n"), at.alias("cursor_at"))
 
 
-def resolve_bursts(bursts: DataFrame, kept: DataFrame) -> DataFrame:
-    """(unit_id, asset_id, what) of bursts of which some frames are kept: kept frames become singles, others are rejected; the burst's own row
-    says what is left of it: rejected whole, gone, or culled to the rejected frames."""
+def resolve_bursts(bursts: DataFrame, kept: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(verdicts, dissolved, units) of bursts(unit_id, members) of which the frames of kept(asset_id) are kept. verdicts(asset_id, status): frames
+    that are not kept are rejected, and so is the burst itself if none is. dissolved(unit_id, members): its group is never offered again.
+    units(unit_id, kind, status, members) take its place: what is left of it, rejected, and a photo of its own for each kept frame."""
     frames = bursts.select("unit_id", F.explode("members").alias("asset_id")).join(kept.select("asset_id", F.lit(True).alias("kept")).distinct(), "asset_id", "left")
-    each = frames.select("unit_id", F.col("asset_id").cast("string").alias("asset_id"), F.when(F.col("kept"), "single").otherwise("rejected").alias("what"))
-    own = frames.groupBy("unit_id").agg(F.count("kept").alias("k"), F.count("*").alias("n"))
-    return each.union(own.select("unit_id", "unit_id", F.when(F.col("k") == 0, "rejected").when(F.col("k") == F.col("n"), "gone").otherwise("culled")))
+    survivors, culled = frames.where("kept"), frames.where("kept is null")
+    left = culled.groupBy("unit_id").agg(F.sort_array(F.collect_set("asset_id")).alias("members"))
+    whole = culled.select("unit_id").distinct().join(survivors, "unit_id", "left_anti")
+    verdicts = culled.select(F.col("asset_id").cast("string").alias("asset_id")).union(whole).distinct().select("asset_id", F.lit("rejected").alias("status"))
+    singles = survivors.select(F.col("asset_id").cast("string").alias("unit_id"), F.lit("photo").alias("kind"), F.lit(None).cast("string").alias("status"), F.array("asset_id").alias("members"))
+    remains = left.select("unit_id", F.lit("burst").alias("kind"), F.lit("rejected").alias("status"), "members")
+    return verdicts, bursts.select("unit_id", F.sort_array("members").alias("members")), remains.unionByName(singles)
+
+
+def assembly_records(deck: DataFrame, chosen: DataFrame, kind: str) -> DataFrame:
+    """(deck_id, record, unit_id, detected, frames, type) that assemble() leaves for later selections, deck(deck_id, unit_id, assets, ...): the frames
+    that the user put in place of those detected ('members'), what kind of group they are ('type'), and of each unit that they absorb
+    that it is dissolved."""
+    valid = chosen.where(F.size("frames") >= 2).select("deck_id", F.col("unit_id").alias("current"), "frames")
+    both = deck.join(valid, "deck_id")
+    own = both.where(F.col("unit_id") == F.col("current"))
+    none = F.array().cast("array<long>")
+    record = lambda f, name, frames, of: f.select("deck_id", F.lit(name).alias("record"), "unit_id", F.sort_array("assets").alias("detected"), frames.alias("frames"), F.lit(of).alias("type"))
+    absorbed = both.where((F.col("unit_id") != F.col("current")) & F.arrays_overlap("assets", "frames"))
+    return record(own, "members", F.array_sort("frames"), None).unionByName(record(own, "type", none, kind)).unionByName(record(absorbed, "dissolved", none, None))

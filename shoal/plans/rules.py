@@ -202,11 +202,14 @@ def _(spark, d):
     return units.withdraw(all_, current, F.col("kind") == "edit")
 
 
-@query("dml_burst", f"WITH {BUILT}, b AS (SELECT unit_id, unnest(members) AS asset_id FROM units WHERE kind = 'burst'), w AS (SELECT *, count(*) FILTER (asset_id % 2 = 0) OVER (PARTITION BY unit_id) AS kept, count(*) OVER (PARTITION BY unit_id) AS n FROM b) SELECT unit_id, CAST(asset_id AS VARCHAR) AS asset_id, CASE WHEN asset_id % 2 = 0 THEN 'single' ELSE 'rejected' END AS what FROM w UNION ALL SELECT DISTINCT unit_id, unit_id, CASE WHEN kept = 0 THEN 'rejected' WHEN kept = n THEN 'gone' ELSE 'culled' END FROM w")
+@query("dml_burst", f"WITH {BUILT}, b AS (SELECT unit_id, unnest(members) AS asset_id FROM units WHERE kind = 'burst'), w AS (SELECT *, count(*) FILTER (asset_id % 2 = 0) OVER (PARTITION BY unit_id) AS kept FROM b), t(part, unit_id, status, asset_id) AS (SELECT 'verdict', CAST(asset_id AS VARCHAR), 'rejected', NULL FROM w WHERE asset_id % 2 = 1 UNION SELECT 'verdict', unit_id, 'rejected', NULL FROM w WHERE kept = 0 UNION SELECT 'dissolved', unit_id, NULL, asset_id FROM w UNION SELECT 'unit', unit_id, 'rejected', asset_id FROM w WHERE asset_id % 2 = 1 UNION SELECT 'unit', CAST(asset_id AS VARCHAR), NULL, asset_id FROM w WHERE asset_id % 2 = 0) SELECT * FROM t")
 def _(spark, d):
     bursts = built(spark, d).where("kind = 'burst'")
     kept = bursts.select(F.explode("members").alias("asset_id")).where(F.col("asset_id") % 2 == 0)
-    return units.resolve_bursts(bursts, kept)
+    verdicts, dissolved, left = units.resolve_bursts(bursts, kept)
+    rows = verdicts.selectExpr("'verdict' AS part", "asset_id AS unit_id", "status", "CAST(NULL AS LONG) AS asset_id")
+    rows = rows.unionByName(dissolved.selectExpr("'dissolved' AS part", "unit_id", "CAST(NULL AS STRING) AS status", "explode(members) AS asset_id"))
+    return rows.unionByName(left.selectExpr("'unit' AS part", "unit_id", "status", "explode(members) AS asset_id")).distinct()
 
 
 @query("dml_decide", f"WITH {BUILT}, {HELD} SELECT 'verdict' AS part, unit_id AS asset_id FROM units UNION SELECT 'verdict', CAST(asset_id AS VARCHAR) FROM holds UNION SELECT 'baseline', CAST(asset_id AS VARCHAR) FROM holds WHERE unit_id IN (SELECT unit_id FROM units WHERE n % 2 = 1)")

@@ -120,11 +120,25 @@ def deck(spark, d):
 
 @query("dml_assemble", f"WITH {_DECK}, cur AS (SELECT deck_id, arg_min(unit_id, pos) AS current, arg_min(members, pos) AS m FROM deck WHERE kind = 'pano' GROUP BY 1), nxt AS (SELECT deck_id, arg_min(members, pos) AS m2 FROM deck WHERE kind = 'photo' GROUP BY 1), ch AS (SELECT deck_id, current, m || coalesce(m2, []) AS frames FROM cur LEFT JOIN nxt USING (deck_id)) SELECT deck_id, row_number() OVER (PARTITION BY deck_id ORDER BY pos) - 1 AS pos, CASE WHEN unit_id = current THEN 'burst:' || substr(unit_id, 6) ELSE unit_id END AS unit_id FROM deck LEFT JOIN ch USING (deck_id) WHERE current IS NULL OR unit_id = current OR NOT list_has_any(assets, frames)")
 def _(spark, d):
+    all_, chosen = _assembled(spark, d)
+    return units.assemble(all_.select("deck_id", "pos", "unit_id", "assets"), chosen, "burst").drop("assets")
+
+
+def _assembled(spark, d):
+    """Decks, and for each the frames of its first panorama and first photo, put together by hand."""
     all_ = deck(spark, d)
     current = all_.where("kind = 'pano'").groupBy("deck_id").agg(F.min_by("unit_id", "pos").alias("unit_id"), F.min_by("members", "pos").alias("m"))
     other = all_.where("kind = 'photo'").groupBy("deck_id").agg(F.min_by("members", "pos").alias("m2"))
     chosen = current.join(other, "deck_id", "left").select("deck_id", "unit_id", F.concat("m", F.coalesce("m2", F.array().cast("array<long>"))).alias("frames"))
-    return units.assemble(all_.select("deck_id", "pos", "unit_id", "assets"), chosen, "burst").drop("assets")
+    return all_, chosen
+
+
+@query("dml_assemble_records", f"WITH {_DECK}, cur AS (SELECT deck_id, arg_min(unit_id, pos) AS current, arg_min(members, pos) AS m FROM deck WHERE kind = 'pano' GROUP BY 1), nxt AS (SELECT deck_id, arg_min(members, pos) AS m2 FROM deck WHERE kind = 'photo' GROUP BY 1), ch AS (SELECT deck_id, current, m || coalesce(m2, []) AS frames FROM cur LEFT JOIN nxt USING (deck_id)), r AS (SELECT deck_id, unit_id, assets, current, frames FROM deck JOIN ch USING (deck_id)) SELECT deck_id, 'members' AS record, unit_id, len(assets) AS detected, list_sum(frames) AS frames, NULL AS type FROM r WHERE unit_id = current UNION ALL SELECT deck_id, 'type', unit_id, len(assets), NULL, 'burst' FROM r WHERE unit_id = current UNION ALL SELECT deck_id, 'dissolved', unit_id, len(assets), NULL, NULL FROM r WHERE unit_id <> current AND list_has_any(assets, frames)")
+def _(spark, d):
+    all_, chosen = _assembled(spark, d)
+    records = units.assembly_records(all_.select("deck_id", "unit_id", "assets"), chosen, "burst")
+    total = F.when(F.size("frames") > 0, F.aggregate("frames", F.lit(0).cast("long"), lambda s, x: s + x))
+    return records.select("deck_id", "record", "unit_id", F.size("detected").cast("long").alias("detected"), total.alias("frames"), "type")
 
 
 @query("win_bring_back", f"WITH {_DECK}, b AS (SELECT deck_id, arg_max(unit_id, pos) AS back, arg_max(assets, pos) AS own, 2 AS idx, deck_id % 2 = 0 AS place FROM deck GROUP BY 1), x AS (SELECT d.deck_id, unit_id, back, idx, place, row_number() OVER (PARTITION BY d.deck_id ORDER BY pos) - 1 AS i FROM deck d JOIN b USING (deck_id) WHERE (unit_id = back OR NOT list_has_any(assets, own)) AND (deck_id % 3 <> 0 OR unit_id <> back)), y AS (SELECT *, max(CASE WHEN unit_id = back THEN i END) OVER (PARTITION BY deck_id) AS spot, count(*) OVER (PARTITION BY deck_id) AS n FROM x), z AS (SELECT deck_id, unit_id, CASE WHEN NOT (place AND spot IS NOT NULL) AND i > spot THEN i - 1.0::DOUBLE ELSE i::DOUBLE END AS k FROM y WHERE (place AND spot IS NOT NULL) OR unit_id <> back UNION ALL SELECT b.deck_id, b.back, least(CASE WHEN spot < b.idx THEN b.idx - 1 ELSE b.idx END, coalesce(n, 0) - CASE WHEN spot IS NULL THEN 0 ELSE 1 END) - 0.5::DOUBLE FROM b LEFT JOIN (SELECT DISTINCT deck_id, spot, n FROM y) m USING (deck_id) WHERE NOT (b.place AND spot IS NOT NULL)) SELECT deck_id, row_number() OVER (PARTITION BY deck_id ORDER BY k) - 1 AS pos, unit_id FROM z")
