@@ -133,7 +133,7 @@ def _assembled(spark, d):
     return all_, chosen
 
 
-@query("dml_assemble_records", f"WITH {_DECK}, cur AS (SELECT deck_id, arg_min(unit_id, pos) AS current, arg_min(members, pos) AS m FROM deck WHERE kind = 'pano' GROUP BY 1), nxt AS (SELECT deck_id, arg_min(members, pos) AS m2 FROM deck WHERE kind = 'photo' GROUP BY 1), ch AS (SELECT deck_id, current, m || coalesce(m2, []) AS frames FROM cur LEFT JOIN nxt USING (deck_id)), r AS (SELECT deck_id, unit_id, assets, current, frames FROM deck JOIN ch USING (deck_id)) SELECT deck_id, 'members' AS record, unit_id, len(assets) AS detected, list_sum(frames) AS frames, NULL AS type FROM r WHERE unit_id = current UNION ALL SELECT deck_id, 'type', unit_id, len(assets), NULL, 'burst' FROM r WHERE unit_id = current UNION ALL SELECT deck_id, 'dissolved', unit_id, len(assets), NULL, NULL FROM r WHERE unit_id <> current AND list_has_any(assets, frames)")
+@query("dml_assemble_records", f"WITH {_DECK}, cur AS (SELECT deck_id, arg_min(unit_id, pos) AS current, arg_min(members, pos) AS m FROM deck WHERE kind = 'pano' GROUP BY 1), nxt AS (SELECT deck_id, arg_min(members, pos) AS m2 FROM deck WHERE kind = 'photo' GROUP BY 1), ch AS (SELECT deck_id, current, m || coalesce(m2, []) AS frames FROM cur LEFT JOIN nxt USING (deck_id)), r AS (SELECT deck_id, unit_id, assets, current, frames FROM deck JOIN ch USING (deck_id)) SELECT deck_id, 'members' AS record, unit_id, len(assets) AS detected, CAST(list_sum(frames) AS BIGINT) AS frames, NULL AS type FROM r WHERE unit_id = current UNION ALL SELECT deck_id, 'type', unit_id, len(assets), NULL, 'burst' FROM r WHERE unit_id = current UNION ALL SELECT deck_id, 'dissolved', unit_id, len(assets), NULL, NULL FROM r WHERE unit_id <> current AND list_has_any(assets, frames)")
 def _(spark, d):
     all_, chosen = _assembled(spark, d)
     records = units.assembly_records(all_.select("deck_id", "unit_id", "assets"), chosen, "burst")
