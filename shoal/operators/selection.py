@@ -48,11 +48,11 @@ def greedy_pairs(pairs: DataFrame, left: str, right: str, order: list[str]) -> D
     before every pair that could take one of them."""
     from shoal.sources.session import materialise
 
-    keys = [*order, left, right]
+    key = F.struct(*order, left, right)
     rest, taken = materialise(pairs.select(left, right, *order)), None
     while not rest.isEmpty():
-        best = rest.withColumn("_l", F.row_number().over(Window.partitionBy(left).orderBy(*keys))).withColumn("_r", F.row_number().over(Window.partitionBy(right).orderBy(*keys)))
-        mutual = materialise(best.where("_l = 1 and _r = 1").drop("_l", "_r"))
+        best_l, best_r = (rest.groupBy(side).agg(F.min(key).alias("best")).select("best.*") for side in (left, right))  # thinned out before they meet
+        mutual = materialise(best_l.join(best_r.select(left, right), [left, right], "left_semi").select(left, right, *order))
         taken = mutual if taken is None else taken.unionByName(mutual)
         free = rest.join(mutual.select(left), left, "left_anti").join(mutual.select(right), right, "left_anti")
         rest = materialise(free.select(left, right, *order))  # a join puts its key first

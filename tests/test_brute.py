@@ -441,3 +441,14 @@ def test_a_new_frame_comes_last(spark, tmp_path):
     got = {tuple(r) for r in QUERIES["set_toggle"](spark, str(tmp_path)).collect()}
     assert got == set(db.sql(ORACLES["set_toggle"]).fetchall())
     assert ("2:0", "7,2000001,1000007") in got
+
+
+def test_large_blocks_meet_in_parts(spark):
+    """Blocks named as large are dealt in parts: the same pairs, each once, also of cells that are no whole numbers; times come along."""
+    rng = np.random.default_rng(5)
+    rows = [(k, int(k % 3), 1000 * k, (rng.integers(0, 60, 64) + (0.25 if k % 5 == 0 else 0.0)).tolist()) for k in range(120)]
+    left, right = (spark.createDataFrame([r for r in rows if r[0] % 2 == s], "asset_id long, album_id long, at long, g array<double>") for s in (0, 1))
+    large = spark.createDataFrame([(0, 4 * stereo.CHUNK), (2, stereo.CHUNK + 1)], "album_id long, n long")
+    whole, parts = (sorted(tuple(r) for r in stereo.scored_pairs(left, right, "album_id", (8, 2), (8, 2), 19.0, x).select("album_id", "left_id", "right_id", "distance", "left_at", "right_at").collect()) for x in (None, large))
+    want = sorted((a[1], a[0], b[0], a[2], b[2]) for a in rows for b in rows if a[0] % 2 == 0 and b[0] % 2 == 1 and a[1] == b[1] and aligned(a[3], b[3], 8, 2) <= 19)
+    assert whole == parts and [(r[0], r[1], r[2], r[4], r[5]) for r in parts] == want and 0 < len(want) < 1200
