@@ -452,3 +452,17 @@ def test_large_blocks_meet_in_parts(spark):
     whole, parts = (sorted(tuple(r) for r in stereo.scored_pairs(left, right, "album_id", (8, 2), (8, 2), 19.0, x).select("album_id", "left_id", "right_id", "distance", "left_at", "right_at").collect()) for x in (None, large))
     want = sorted((a[1], a[0], b[0], a[2], b[2]) for a in rows for b in rows if a[0] % 2 == 0 and b[0] % 2 == 1 and a[1] == b[1] and aligned(a[3], b[3], 8, 2) <= 19)
     assert whole == parts and [(r[0], r[1], r[2], r[4], r[5]) for r in parts] == want and 0 < len(want) < 1200
+
+
+@pytest.mark.parametrize("part", (4096, 7))
+def test_nearest_hashes_in_parts(spark, part):
+    from shoal.operators import vectors
+
+    rng = random.Random(part)
+    rows = [(k, rng.randrange(-(2**31), 2**32), rng.randrange(8), f"b{k % 3}") for k in range(150)] + [(500, 1, 1, "alone"), (502, 1, 1, None), (503, 1, 1, None)]
+    df = spark.createDataFrame(rows, "vec_id long, lo long, hi long, label string")
+    bits = lambda a, b: sum(((x ^ y) & (2**64 - 1)).bit_count() for x, y in zip(a[1:3], b[1:3], strict=True))
+    want = {(a[0], *min((bits(a, b), b[0]) for b in rows if b[0] % 2 and b[3] == a[3])[::-1]) for a in rows if a[0] % 2 == 0 and a[3] is not None and a[0] < 500}
+    got = vectors.nearest_hashes(df.where("vec_id % 2 = 0"), df.where("vec_id % 2 = 1"), "label", part)
+    assert {tuple(r) for r in got.collect()} == want
+    assert max(r["count"] for r in got.groupBy("query").count().collect()) == 1
