@@ -466,3 +466,13 @@ def test_nearest_hashes_in_parts(spark, part):
     got = vectors.nearest_hashes(df.where("vec_id % 2 = 0"), df.where("vec_id % 2 = 1"), "label", part)
     assert {tuple(r) for r in got.collect()} == want
     assert max(r["count"] for r in got.groupBy("query").count().collect()) == 1
+
+
+@pytest.mark.parametrize("bits", (4, 22))
+def test_small_and_large_blocks_have_the_same_near_sets(spark, bits):
+    """Blocks compared whole and blocks met through cubes and words: the same edges, and few bytes sent for small ones."""
+    rng = random.Random(bits)
+    rows = [(k, k % 4 if k < 90 else 9, *(None if k % 7 == 0 else rng.choice((0, 7, 2**31, rng.randrange(2**32))) for _ in "lh"), *(None if k % 5 == 0 else 10 + rng.random() / 500 for _ in "xy")) for k in range(110)]
+    df = spark.createDataFrame(rows, "asset_id long, album_id long, lo long, hi long, lat double, lng double")
+    found = [sorted((r.a, r.b) for r in stereo.near_sets(df, "album_id", bits, 60.0, few).collect()) for few in (0, 20, 256)]
+    assert found[0] == found[1] == found[2] and len(set(found[0])) == len(found[0]) > 20
