@@ -59,6 +59,14 @@ def replace_partitions(new: DataFrame, path: str, by: list[str]) -> None:
     new.repartition(*by).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
 
 
+def replace_keyed(new: DataFrame, path: str, key: str, shelf: str) -> None:
+    """Rows of `new` become the whole of the keys that they name in the table at path, which is partitioned by `shelf`, a column that follows from
+    the key: many keys share a folder. Shelves without a named key keep their files; nothing is replaced before all rows are written."""
+    old = new.sparkSession.read.schema(new.schema).parquet(path)
+    kept = old.join(new.select(shelf).distinct(), shelf, "left_semi").join(new.select(key).distinct(), key, "left_anti")
+    replace_partitions(kept.select(new.columns).unionByName(new), path, [shelf])
+
+
 def standing(actions: DataFrame, owner: str, seq: str, undo: str) -> DataFrame:
     """Of actions(owner, seq, undo, ...) those that still stand: an undo takes back the owner's latest action that was not taken back yet,
     and none if there is none. An owner's height is the number of actions that stand; one stands at the end if the height never falls

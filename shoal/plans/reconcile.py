@@ -155,9 +155,10 @@ def _(spark, d):
 @query("io_replace_part", "SELECT album_id, group_id, asset_id FROM shot_groups WHERE album_id % 4 <> 0 OR pos % 3 = 1 OR album_id NOT IN (SELECT album_id FROM shot_groups WHERE pos % 3 = 1)")
 def _(spark, d):
     groups, path = A.shot_groups(spark, d), f"{checkpoint_root(spark)}/groups-{uuid.uuid4().hex}"
-    groups.repartition("album_id").write.partitionBy("album_id").parquet(path)
-    tables.replace_partitions(groups.where("album_id % 4 = 0 and pos % 3 = 1"), path, ["album_id"])
-    return spark.read.schema("group_id string, type string, asset_id long, pos long, album_id long").parquet(path).select("album_id", "group_id", "asset_id")
+    groups = groups.withColumn("shelf", F.pmod(F.xxhash64("album_id"), F.lit(64)).cast("int"))
+    groups.repartition("shelf").write.partitionBy("shelf").parquet(path)
+    tables.replace_keyed(groups.where("album_id % 4 = 0 and pos % 3 = 1"), path, "album_id", "shelf")
+    return spark.read.schema("group_id string, type string, asset_id long, pos long, album_id long, shelf int").parquet(path).select("album_id", "group_id", "asset_id")
 
 
 @query("io_device", "SELECT page_id FROM pages WHERE page_id % 10 IN (1, 4, 7)")

@@ -476,3 +476,18 @@ def test_small_and_large_blocks_have_the_same_near_sets(spark, bits):
     df = spark.createDataFrame(rows, "asset_id long, album_id long, lo long, hi long, lat double, lng double")
     found = [sorted((r.a, r.b) for r in stereo.near_sets(df, "album_id", bits, 60.0, few).collect()) for few in (0, 20, 256)]
     assert found[0] == found[1] == found[2] and len(set(found[0])) == len(found[0]) > 20
+
+
+def test_keys_that_share_a_folder_are_replaced(spark, tmp_path):
+    """Only the named keys change; a shelf without one keeps its file."""
+    import os
+
+    from shoal.operators import tables
+
+    path, cut = f"{tmp_path}/t", "k long, v string, shelf int"
+    spark.createDataFrame([(k, f"{k}{x}", k % 3) for k in range(12) for x in "ab"], cut).repartition("shelf").write.partitionBy("shelf").parquet(path)
+    before = os.listdir(f"{path}/shelf=2")
+    tables.replace_keyed(spark.createDataFrame([(3, "new", 0), (4, "n1", 1), (4, "n2", 1), (15, "more", 0)], cut), path, "k", "shelf")
+    got = {(r.k, r.v) for r in spark.read.parquet(path).collect()}
+    assert got == {(k, f"{k}{x}") for k in range(12) if k not in (3, 4) for x in "ab"} | {(3, "new"), (4, "n1"), (4, "n2"), (15, "more")}
+    assert os.listdir(f"{path}/shelf=2") == before and len(os.listdir(path)) < 6
