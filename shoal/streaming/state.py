@@ -16,10 +16,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.readwriter import DataStreamWriter
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from shoal.sources.session import checkpoint_root
 
+STATES = 1 << 12
+
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
@@ -160,39 +161,42 @@ def outcomes(spark: SparkSession, ledger: str) -> DataFrame:
     return spark.read.schema("key string, id long, outcome string, sweep long").parquet(f"{ledger}/outcomes")
 
 
-class _FirstPick(StatefulProcessor):
-    """The pick of a session: of the first rows that came for it the one of least draw; later rows get it back."""
-
-    def __init__(self, keep_ms: int):
-        self.keep_ms = keep_ms
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.pick = handle.getValueState("pick", "item long", ttlDurationMs=self.keep_ms)
-
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timers: object) -> Iterator[pd.DataFrame]:
-        restored = self.pick.exists()
-        if restored:
-            item = int(self.pick.get()[0])
-            for _ in rows:
-                pass
-        else:
-            item = min((draw, item) for frame in rows for draw, item in zip(frame["draw"], frame["item"], strict=True))[1]
-            self.pick.update((item,))
-        yield pd.DataFrame({"owner": [key[0]], "session": [key[1]], "item": [item], "restored": [restored]})
-
-
 def session_picks(requests: DataFrame, keep: str = "36 hours") -> DataFrame:
     """requests(owner, session, item, draw) to (owner, session, item, restored): one pick for each session, the item of least draw (ties to the
     smaller item) of the batch that first asks for it. It is kept in the state store, so later batches and later runs of the stream
-    get the same one back; `keep` after it was picked it is forgotten."""
+    get the same one back; `keep` after it was picked it is forgotten. Sessions share STATES keys of state by hash, as a call of Python and
+    a row of state for each of many millions take far longer than what they do."""
     amount, unit = keep.split()
-    ms = int(pd.Timedelta(int(amount), unit.rstrip("s")).total_seconds() * 1000)
-    return requests.groupBy("owner", "session").transformWithStateInPandas(_FirstPick(ms), "owner long, session string, item long, restored boolean", "Update", "ProcessingTime")
+    keep_ms = int(pd.Timedelta(int(amount), unit.rstrip("s")).total_seconds() * 1000)
+    names = ["owner", "session"]
+
+    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        now = state.getCurrentProcessingTimeMs()
+        owners, sessions, items, at = state.get if state.exists else ([], [], [], [])
+        kept = {(o, s): (i, t) for o, s, i, t in zip(owners, sessions, items, at, strict=True) if t + keep_ms > now}
+        best: pd.DataFrame | None = None
+        for frame in () if state.hasTimedOut else frames:
+            best = pd.concat([frame] if best is None else [best, frame]).sort_values(["draw", "item"]).drop_duplicates(names)
+        if best is not None and len(best):
+            asked = list(zip(best["owner"], best["session"], strict=True))
+            restored = [k in kept for k in asked]
+            for k, item in zip(asked, best["item"].tolist(), strict=True):
+                kept.setdefault(k, (item, now))
+            yield pd.DataFrame({"owner": best["owner"], "session": best["session"], "item": [kept[k][0] for k in asked], "restored": restored})
+        if kept:
+            state.update(([o for o, _ in kept], [s for _, s in kept], [i for i, _ in kept.values()], [t for _, t in kept.values()]))
+            state.setTimeoutDuration(max(t for _, t in kept.values()) + keep_ms - now)
+        elif state.exists:
+            state.remove()
+
+    keyed = requests.select(F.pmod(F.xxhash64(*names), F.lit(STATES)).alias("key"), F.col("owner").cast("string").alias("owner"), "session", "item", "draw")
+    picked = keyed.groupBy("key").applyInPandasWithState(step, "owner string, session string, item long, restored boolean", "owners array<string>, sessions array<string>, items array<long>, at array<long>", "update", GroupStateTimeout.ProcessingTimeTimeout)
+    return picked.select(F.col("owner").cast("long").alias("owner"), "session", "item", "restored")
 
 
 @contextmanager
 def keyed_state(spark: SparkSession) -> Iterator[None]:
-    """Value state needs the RocksDB provider; streams started within use it."""
+    """Streams started within keep their state in RocksDB, outside the heap."""
     key = "spark.sql.streaming.stateStore.providerClass"
     before = spark.conf.get(key, None)
     spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")

@@ -108,3 +108,18 @@ def test_picks_are_forgotten_after_their_time(spark, tmp_path):
             stream.writeStream.outputMode("update").option("checkpointLocation", f"{tmp_path}/state").foreachBatch(lambda b, _: seen.extend((r["item"], r["restored"]) for r in b.collect())).trigger(once=True).start().awaitTermination()
             time.sleep(1.5)
     assert seen == [(1, False), (2, False)]
+
+
+def test_sessions_share_rows_of_state(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(state, "STATES", 8, raising=False)
+    source, schema, seen = f"{tmp_path}/asked", "owner long, session string, item long, draw string", []
+    own = lambda n: (None if n == 7 else (1 << 60) + n % 50, None if n % 90 == 5 else f"s{n % 90}")
+    with state.keyed_state(spark):
+        for run in range(2):
+            spark.createDataFrame([(*own(n), run * 1000 + n, f"{n % 3}") for n in range(300)], schema).coalesce(1).write.mode("append").parquet(source)
+            stream = state.session_picks(spark.readStream.schema(schema).parquet(source))
+            query = stream.writeStream.outputMode("update").option("checkpointLocation", f"{tmp_path}/state").foreachBatch(lambda b, _: seen.append({(r["owner"], r["session"]): (r["item"], r["restored"]) for r in b.collect()})).trigger(once=True).start()
+            query.awaitTermination()
+            assert query.lastProgress["stateOperators"][0]["numRowsTotal"] <= 8
+    want = {k: min((f"{n % 3}", n) for n in range(300) if own(n) == k)[1] for k in map(own, range(300))}
+    assert seen == [{k: (i, False) for k, i in want.items()}, {k: (i, True) for k, i in want.items()}]
