@@ -28,10 +28,10 @@ def edit_pairs(meta: DataFrame) -> DataFrame:
 
 def album_edit_pairs(meta: DataFrame) -> DataFrame:
     """(album_id, edit_id, original_id) for meta(album_id, asset_id, name, ord), names compared within an album."""
-    stems = meta.select("album_id", "asset_id", "ord", F.lower(S.file_stem(F.col("name"))).alias("stem")).withColumn("base", S.edit_base(F.col("stem")))
-    originals = stems.where("base = stem").groupBy("album_id", "stem").agg(F.max(F.struct("ord", "asset_id"))["asset_id"].alias("original_id"))
-    edits = stems.where("base <> stem").select("album_id", F.col("asset_id").alias("edit_id"), F.col("base").alias("stem"))
-    return edits.join(originals, ["album_id", "stem"]).select("album_id", "edit_id", "original_id")
+    stems = meta.where("album_id is not null").select("album_id", "asset_id", "ord", F.lower(S.file_stem(F.col("name"))).alias("stem")).withColumn("base", S.edit_base(F.col("stem")))
+    last = F.max(F.when(F.col("base") == F.col("stem"), F.struct("ord", "asset_id"))).over(Window.partitionBy("album_id", "base"))
+    found = stems.select("album_id", F.col("asset_id").alias("edit_id"), (F.col("base") != F.col("stem")).alias("edited"), last["asset_id"].alias("original_id"))
+    return found.where("edited and original_id is not null").select("album_id", "edit_id", "original_id")
 
 
 def nearest_sources(meta: DataFrame) -> DataFrame:

@@ -15,12 +15,15 @@ def build(assets: DataFrame, groups: DataFrame, gaps: DataFrame) -> DataFrame:
 
     assets(album_id, asset_id, name, ms, ord), groups(group_id, album_id, type, asset_id, pos), gaps(asset_id, missing). A group whose
     album holds two of its members at least, edits not counted, is a unit. Of the assets in no group's unit, a gap is an incomplete
-    pair, an edit whose original is free stands for both, and any other asset is a single unless a free edit stands for it."""
-    edits = lineage.album_edit_pairs(assets).select("album_id", F.col("edit_id").alias("asset_id"), "original_id")
+    pair, an edit whose original is free stands for both, and any other asset is a single unless a free edit stands for it. Edits and group
+    units are kept, as each is read three times or more."""
+    from shoal.sources.session import materialise
+
+    edits = materialise(lineage.album_edit_pairs(assets).select("album_id", F.col("edit_id").alias("asset_id"), "original_id"))
     held = groups.join(assets.select("album_id", "asset_id", "ms"), ["album_id", "asset_id"]).join(edits, ["album_id", "asset_id"], "left_anti")
     member = F.struct("pos", "asset_id")
     grouped = held.groupBy("group_id", "type", "album_id").agg(F.sort_array(F.collect_set(member)).alias("m"), F.min("ms").alias("taken")).where(F.size("m") >= 2)
-    units = grouped.select(S.unit_id(F.col("type"), F.col("album_id"), F.col("m")[0]["asset_id"]).alias("unit_id"), F.col("type").alias("kind"), "album_id", F.size("m").alias("n"), "taken", F.lit(None).cast("long").alias("original_id"), F.transform("m", lambda x: x["asset_id"]).alias("members"))
+    units = materialise(grouped.select(S.unit_id(F.col("type"), F.col("album_id"), F.col("m")[0]["asset_id"]).alias("unit_id"), F.col("type").alias("kind"), "album_id", F.size("m").alias("n"), "taken", F.lit(None).cast("long").alias("original_id"), F.transform("m", lambda x: x["asset_id"]).alias("members")))
     used = units.select("album_id", F.explode("members").alias("asset_id")).distinct()
     free = assets.select("album_id", "asset_id", "ms").join(used, ["album_id", "asset_id"], "left_anti")
     open_edits = edits.join(used.withColumnRenamed("asset_id", "original_id"), ["album_id", "original_id"], "left_anti")
@@ -52,19 +55,24 @@ def holders(units: DataFrame, ids: DataFrame) -> DataFrame:
 
 def disjoint(members: DataFrame, rank: str) -> DataFrame:
     """Units that a greedy pass in order of `rank` takes when no asset may be in two of them: members(unit_id, asset_id, rank).
-    In every round the units that come first for all their assets are taken, and those that share an asset with them go."""
+    Units that share no asset are taken at once. Of the others in every round those that come first for all their assets are taken, and
+    those that share an asset with them go."""
     from shoal.sources.session import materialise
 
-    left, taken = materialise(members.select("unit_id", "asset_id", rank)), None
+    members = materialise(members.select("unit_id", "asset_id", rank))
+    shared = members.groupBy("asset_id").agg(F.min("unit_id").alias("one"), F.max("unit_id").alias("two")).where("one < two").select("asset_id")
+    contested = materialise(members.join(shared, "asset_id", "left_semi").select("unit_id").distinct())
+    taken = members.join(contested, "unit_id", "left_anti").select("unit_id").distinct()
+    left = materialise(members.join(contested, "unit_id", "left_semi"))
     while not left.isEmpty():
         first = left.groupBy("asset_id").agg(F.min(F.struct(rank, "unit_id")).alias("first"))
         won = left.join(first, "asset_id").groupBy("unit_id").agg(F.bool_and(F.col("first.unit_id") == F.col("unit_id")).alias("won")).where("won").select("unit_id")
         won = materialise(won)
-        taken = won if taken is None else taken.union(won)
+        taken = taken.union(won)
         gone = left.join(won, "unit_id", "left_semi").select("asset_id").distinct()
         hit = left.join(gone, "asset_id", "left_semi").select("unit_id").distinct()
         left = materialise(left.join(hit, "unit_id", "left_anti"))
-    return members.select("unit_id").limit(0) if taken is None else taken
+    return taken
 
 
 def select_units(units: DataFrame, weight: Column, limit: int, most: int, seed: str) -> DataFrame:

@@ -491,3 +491,22 @@ def test_keys_that_share_a_folder_are_replaced(spark, tmp_path):
     got = {(r.k, r.v) for r in spark.read.parquet(path).collect()}
     assert got == {(k, f"{k}{x}") for k in range(12) if k not in (3, 4) for x in "ab"} | {(3, "new"), (4, "n1"), (4, "n2"), (15, "more")}
     assert os.listdir(f"{path}/shelf=2") == before and len(os.listdir(path)) < 6
+
+
+def test_units_are_built_from_few_readings(spark, small):
+    """Edits and group units are kept, not worked out again for each of their uses."""
+    plan = QUERIES["hlp_incomplete"](spark, small)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Window [row_number()") <= 2
+    named = spark.createDataFrame([(1, 1, "a.jpg", 1), (1, 2, "A.jpg", 2), (1, 3, "a-Edit.jpg", 3), (None, 4, "a.jpg", 4), (None, 5, "a-Edit.jpg", 5), (2, 6, "b-edit.jpg", 6), (1, 7, None, 7), (1, 8, "A-Enhanced.dng", 8)], "album_id long, asset_id long, name string, ord int")
+    assert sorted(map(tuple, lineage.album_edit_pairs(named).collect())) == [(1, 3, 2), (1, 8, 2)]
+
+
+def test_only_contested_units_go_through_rounds(spark, monkeypatch):
+    from shoal.sources import session
+
+    kept, own = [], session.materialise
+    monkeypatch.setattr(session, "materialise", lambda df: kept.append(own(df)) or kept[-1])
+    rows = [(f"u{i}", i, f"{i:03}") for i in range(60)] + [("x", 3, "000"), ("y", 4, "999")]
+    got = sorted(r.unit_id for r in units.disjoint(spark.createDataFrame(rows, "unit_id string, asset_id long, rank string"), "rank").collect())
+    assert got == sorted({f"u{i}" for i in range(60)} - {"u3"} | {"x"})
+    assert sum(df.count() > 10 for df in kept) == 1
