@@ -30,11 +30,18 @@ def stand_down(verdicts: DataFrame, baselines: DataFrame, frames: DataFrame) ->
 
 
 def settle_merge(verdicts: DataFrame, baselines: DataFrame, records: DataFrame, merges: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """merges(merged_id, frame_ids, at) are recorded, their frames stand down, the merged photos go to print."""
-    frames = merges.select(F.explode("frame_ids").alias("asset_id"))
-    kept, bases = stand_down(verdicts, baselines, frames)
-    printed = set_status(kept, merges.select(F.col("merged_id").alias("asset_id")), "toPrint")
-    return printed, bases, tables.upsert(records, merges, ["merged_id"])
+    """merges(merged_id, frame_ids, at) are recorded, their frames stand down as in stand_down, the merged photos go to print, in one pass
+    over the verdicts."""
+    from shoal.sources.session import materialise
+
+    merges = materialise(merges.select(records.columns))  # read four times
+    frames = merges.select(F.explode("frame_ids").alias("asset_id"), F.lit(False).alias("merged"))
+    marks = materialise(frames.union(merges.select("merged_id", F.lit(True))).groupBy("asset_id").agg(F.bool_or("merged").alias("merged"), (~F.bool_and("merged")).alias("frame")))
+    both = verdicts.join(marks, "asset_id", "full_outer")
+    status = F.when(F.col("merged"), "toPrint").when(F.col("frame"), "kept").otherwise(F.col("status"))
+    new = {"status": status, "starred": F.when(F.col("frame").isNotNull(), F.coalesce("starred", F.lit(False))).otherwise(F.col("starred")), "save_only": F.when(F.col("frame").isNotNull(), F.col("frame") | F.coalesce("save_only", F.lit(False))).otherwise(F.col("save_only"))}
+    decided = both.select(*[new.get(c, F.col(f"`{c}`")).alias(c) for c in verdicts.columns])
+    return decided, tables.delete(baselines, marks.where("frame"), ["asset_id"]), tables.upsert(records, merges, ["merged_id"])
 
 
 def manifest_stamps(ids: DataFrame, meta: DataFrame, manifests: DataFrame) -> DataFrame:

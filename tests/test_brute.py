@@ -510,3 +510,20 @@ def test_only_contested_units_go_through_rounds(spark, monkeypatch):
     got = sorted(r.unit_id for r in units.disjoint(spark.createDataFrame(rows, "unit_id string, asset_id long, rank string"), "rank").collect())
     assert got == sorted({f"u{i}" for i in range(60)} - {"u3"} | {"x"})
     assert sum(df.count() > 10 for df in kept) == 1
+
+
+def test_merges_settle_in_one_pass(spark, small):
+    from shoal.operators import tables, writes
+
+    plan = QUERIES["dml_merge_settle"](spark, small)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Window [row_number()") <= 2 and plan.count("Join") <= 8
+    rng = random.Random(12)
+    verdicts = spark.createDataFrame([(i, rng.choice(["kept", "maybe", None]), rng.choice([True, False, None]), rng.choice([True, False, None])) for i in range(0, 60, 2)], "asset_id long, status string, starred boolean, save_only boolean")
+    bases = spark.createDataFrame([(i, "h") for i in range(0, 60, 3)], "asset_id long, hash string")
+    merges = spark.createDataFrame([(m, rng.sample(range(60), 4), 1) for m in (3, 8, 90)] + [(20, [20, 21], 1)], "merged_id long, frame_ids array<long>, at int")
+    records = merges.where("merged_id < 10").withColumn("at", F.lit(0)).union(spark.createDataFrame([(5, [1], 0)], merges.schema))
+    frames = merges.select(F.explode("frame_ids").alias("asset_id"))
+    kept, want_bases = writes.stand_down(verdicts, bases, frames)
+    want = writes.set_status(kept, merges.select(F.col("merged_id").alias("asset_id")), "toPrint"), want_bases, tables.upsert(records, merges, ["merged_id"])
+    for got, own in zip(writes.settle_merge(verdicts, bases, records, merges), want, strict=True):
+        assert sorted(map(repr, got.collect())) == sorted(map(repr, own.select(got.columns).collect()))
