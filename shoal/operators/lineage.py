@@ -85,22 +85,32 @@ def snapshot_diff(old: DataFrame, new: DataFrame) -> DataFrame:
     return o.join(n, "id", "full_outer").select("id", change.alias("change")).where("change is not null")
 
 
+SMALL_SET = 64
+
+
 def majority_matches(recorded: DataFrame, detected: DataFrame) -> DataFrame:
     """(recorded, detected, shared) of sets that share more than half of their union. Both hold (set_id, asset_id), distinct. Such sets
     share more than half of each, hence one of the rarer half of the assets of either: only these make candidates, so an asset that
-    very many sets hold does not pair all of them."""
+    very many sets hold does not pair all of them. Sets of up to SMALL_SET assets take them along and are compared where they meet; pairs
+    with a larger one are counted asset by asset."""
     r, d = recorded.toDF("recorded", "asset_id"), detected.toDF("detected", "asset_id")
     often = r.select("asset_id").union(d.select("asset_id")).groupBy("asset_id").agg(F.count("*").alias("often"))
 
-    def rare(x: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    def ranked(x: DataFrame, key: str, side: str) -> DataFrame:
         w = Window.partitionBy(key)
-        ranked = x.join(often, "asset_id").withColumn(f"n_{key}", F.count("*").over(w)).withColumn("k", F.row_number().over(w.orderBy("often", "asset_id")))
-        return ranked.select(key, "asset_id", f"n_{key}"), ranked.where(F.col("k") <= F.ceil(F.col(f"n_{key}") / 2)).select(key, "asset_id")
-
-    (r, r_rare), (d, d_rare) = rare(r, "recorded"), rare(d, "detected")
-    near = r_rare.join(d_rare, "asset_id").select("recorded", "detected").distinct()
-    shared = near.join(r, "recorded").join(d, ["detected", "asset_id"]).groupBy("recorded", "detected").agg(F.count("*").alias("shared"), F.first("n_recorded").alias("n_r"), F.first("n_detected").alias("n_d"))
-    return shared.where("2 * shared > n_r + n_d - shared").select("recorded", "detected", "shared")
+        numbered = x.join(often, "asset_id").withColumn("n", F.count("*").over(w)).withColumn("k", F.row_number().over(w.orderBy("often", "asset_id")))
+        own = F.collect_list(F.when(F.col("n") <= SMALL_SET, F.col("asset_id"))).over(w)
+        return numbered.select(key, "asset_id", F.col("n").alias(f"n_{side}"), F.col("k").alias(f"k_{side}"), own.alias(f"own_{side}"))
+
+    r, d = ranked(r, "recorded", "r"), ranked(d, "detected", "d")
+    rare = lambda x, side: x.where(F.col(f"k_{side}") <= F.ceil(F.col(f"n_{side}") / 2))
+    enough = "3 * (1 + least(n_r - k_r, n_d - k_d)) > n_r + n_d"  # an asset and all that follow it in both
+    small = rare(r, "r").where(F.col("n_r") <= SMALL_SET).join(rare(d, "d").where(F.col("n_d") <= SMALL_SET), "asset_id").where(enough)
+    near = small.withColumn("shared", F.size(F.array_intersect("own_r", "own_d")).cast("long")).where("2 * shared > n_r + n_d - shared").select("recorded", "detected", "shared").distinct()
+    r, d = (x.where(F.col(f"n_{side}") > SMALL_SET // 2).drop(f"own_{side}") for x, side in ((r, "r"), (d, "d")))  # a set is less than twice as large as its match
+    large = rare(r, "r").join(rare(d, "d"), "asset_id").where(F.greatest("n_r", "n_d") > SMALL_SET).where(enough).select("recorded", "detected").distinct()
+    shared = large.join(r, "recorded").join(d, ["detected", "asset_id"]).groupBy("recorded", "detected").agg(F.count("*").alias("shared"), F.first("n_r").alias("n_r"), F.first("n_d").alias("n_d"))
+    return near.union(shared.where("2 * shared > n_r + n_d - shared").select("recorded", "detected", "shared"))
 
 
 def repaired(pairs: DataFrame, verdicts: DataFrame) -> DataFrame:

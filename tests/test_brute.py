@@ -527,3 +527,17 @@ def test_merges_settle_in_one_pass(spark, small):
     want = writes.set_status(kept, merges.select(F.col("merged_id").alias("asset_id")), "toPrint"), want_bases, tables.upsert(records, merges, ["merged_id"])
     for got, own in zip(writes.settle_merge(verdicts, bases, records, merges), want, strict=True):
         assert sorted(map(repr, got.collect())) == sorted(map(repr, own.select(got.columns).collect()))
+
+
+def test_majority_matches_of_small_and_large_sets(spark):
+    rng = random.Random(17)
+    base = [rng.sample(range(400), n) for n in (1, 2, 3, 5, 30, 40, 60, 64, 65, 70, 90, 120, 150) for _ in range(3)]
+    grown = [sorted(set(rng.sample(b, max(1, int(len(b) * rng.choice((0.6, 0.8, 1.0)))))) | set(rng.sample(range(400), rng.randrange(1 + len(b) // 3)))) for b in base for _ in range(2)]
+    r, d = ({i: set(s) for i, s in enumerate(x)} for x in (base, grown))
+    frames = [spark.createDataFrame([(i, a) for i, s in x.items() for a in s], "set_id long, asset_id long") for x in (r, d)]
+    want = {(i, j, len(s & t)) for i, s in r.items() for j, t in d.items() if 2 * len(s & t) > len(s | t)}
+    got = lineage.majority_matches(*frames)
+    assert {tuple(x) for x in got.collect()} == want and got.count() == len(want)
+    assert any(len(r[i]) <= 64 < len(d[j]) for i, j, _ in want) and any(len(r[i]) > 64 and len(d[j]) > 64 for i, j, _ in want)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "array_intersect" in plan  # small sets are compared where they meet
