@@ -145,7 +145,8 @@ def confirmed(pairs: DataFrame, percent: int) -> DataFrame:
 
 
 def _units(members: DataFrame) -> DataFrame:
-    """Members of mixed buckets dealt to units (key, i, j) of two blocks at most; a bucket of one block is one unit."""
+    """members(key, rep, component, n_shingles) of mixed buckets dealt to units (key, i, j) of two blocks at most; a bucket of one block
+    is one unit."""
     sizes = members.groupBy("key").agg(F.ceil(F.greatest(F.count("*") / BLOCK_ROWS, F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
     dealt = members.join(sizes, "key").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     other = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -206,8 +207,9 @@ def _open_pairs(t: pa.Table, least: float) -> Iterator[tuple[int, np.ndarray]]:
             yield x, y
 
 
-def across(members: DataFrame, full: DataFrame, percent: int) -> DataFrame:
-    """Links between components of mixed buckets: members(key, rep, component, n_shingles, signature, bands)."""
+def across(members: DataFrame, reps: DataFrame, full: DataFrame, percent: int) -> DataFrame:
+    """Links between components of mixed buckets: members(key, rep, component, n_shingles). What is wide, signatures and bands of
+    reps(rep, signature, bands), joins the dealt rows, so that it moves once."""
     least = least_estimate(percent / 100)
     columns = "key long, rep long, component long, signature array<long>, bands array<long>, block int, i int, j int"
 
@@ -237,7 +239,7 @@ def across(members: DataFrame, full: DataFrame, percent: int) -> DataFrame:
         yield pa.RecordBatch.from_arrays([pa.array([p[q] for p in out], pa.int64()) for q in (0, 1)], ["a", "b"])
 
     names = [c.split()[0] for c in columns.split(", ")]
-    live = materialise(_by_unit(_units(members).select(*names), active, columns))
+    live = materialise(_by_unit(_units(members).join(reps, "rep").select(*names), active, columns))
     return _by_unit(live.join(full, "rep").select(*names, "members"), verify, "a long, b long")
 
 
@@ -246,7 +248,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     feats = materialise(features(docs, k))
     classes = feats.where("set_id is not null and doc_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("rep"))
     reps = materialise(feats.join(classes, (feats["set_id"] == classes["set_id"]) & (feats["doc_id"] == classes["rep"])).select("rep", "n_shingles", "signature", "bands"))
-    buckets = reps.select("rep", F.explode("bands").alias("key"))
+    buckets = reps.select("rep", F.col("n_shingles").cast("int").alias("n_shingles"), F.explode("bands").alias("key"))
     heads = buckets.groupBy("key").agg(F.min("rep").alias("head"), F.max("rep").alias("top")).where("head < top").select("key", "head")
     shared = materialise(buckets.join(heads, "key"))
     full = materialise(full_sets(docs, shared.select("rep").distinct(), k))
@@ -255,10 +257,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     star = star.join(signed.toDF("a", "sig_a"), "a").join(signed.toDF("b", "sig_b"), "b").where(estimate(F.col("sig_a"), F.col("sig_b")) >= least_estimate(percent / 100)).select("a", "b")
     links = confirmed(star.join(full.toDF("a", "set_a"), "a").join(full.toDF("b", "set_b"), "b"), percent)
     found = components(links)
-    named = shared.select("key", "rep").join(found.toDF("rep", "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    named = shared.select("key", "rep", "n_shingles").join(found.toDF("rep", "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     mixed = named.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
-    members = named.join(mixed, "key").join(reps, "rep").select("key", "rep", "component", "n_shingles", "signature", "bands")
-    more = across(members, full, percent)
+    more = across(named.join(mixed, "key"), reps.select("rep", "signature", "bands"), full, percent)
     named_by = found.toDF("node", "component")
     linked = more.join(named_by.toDF("a", "ca"), "a", "left").join(named_by.toDF("b", "cb"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
     second = components(linked).toDF("component", "final")

@@ -141,13 +141,13 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     In every round each node points at its smallest neighbour if that is smaller, and follows these pointers to their end by doubling,
     so a chain of any length takes a logarithm of it. Edges are rewritten to the ends and those inside one label drop out, so the
     table shrinks quickly. All steps are joins and map-side combined minima, hence no node has to meet its neighbours in one task.
-    Each step is checkpointed.
+    Each step is checkpointed, the edges first, as whatever makes them would run twice otherwise.
     """
     from shoal.sources.session import materialise
 
-    nodes = edges.select(F.explode(F.array(a, b)).alias("node")).distinct()
-    edges = materialise(edges.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).where("a < b").distinct())
-    labels = materialise(nodes.withColumn("component", F.col("node")))
+    given = materialise(edges.select(F.col(a).alias("a"), F.col(b).alias("b")).distinct())
+    labels = materialise(given.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("component", F.col("node")))
+    edges = given.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b")
     while not edges.isEmpty():
         both = edges.union(edges.select("b", "a"))
         least = both.groupBy(F.col("a").alias("v")).agg(F.min("b").alias("m")).select("v", F.least("v", "m").alias("m"))

@@ -228,6 +228,19 @@ def test_components_of_a_long_chain(spark):
     assert got == {i: 0 for i in range(301)} | {1000: 1000, 1001: 1000}
 
 
+def test_components_make_their_edges_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            made.add(batch.num_rows)
+            yield batch
+
+    edges = spark.createDataFrame([(1, 2), (2, 3), (7, 7), (9, 8)], "a long, b long").mapInArrow(count, "a long, b long")
+    got = {r.node: r.component for r in lineage.components(edges).collect()}
+    assert got == {1: 1, 2: 1, 3: 1, 7: 7, 8: 8, 9: 8} and made.value == 4
+
+
 def test_send(spark):
     """A refused batch is sent again row by row; a lost connection fails the job; every batch is of one key."""
     calls = spark.sparkContext.accumulator(0)
