@@ -281,6 +281,35 @@ def test_stars_join_all_texts_of_a_key():
             assert met == (texts if len(texts) > 1 else set())
 
 
+def test_stars_of_large_keys(monkeypatch):
+    monkeypatch.setattr(passages, "PAIRS", 3)
+    test_stars_join_all_texts_of_a_key()
+
+
+def test_every_pair_of_a_small_key_is_linked():
+    """Also of windows that neither are the first of their key nor in the task of the other."""
+    w = np.zeros(40, passages._WINDOW)
+    w["key"], w["text"], w["l"] = np.arange(40) % 5, np.arange(40), 100 * np.arange(40)
+    w["c"], w["r"] = w["l"], w["l"]
+    want = {(i, j) for i in range(40) for j in range(i + 1, 40) if i % 5 == j % 5}
+    assert {(a, b) for a, b, *_ in passages.stars(w)[0].tolist()} == want
+    made = [passages.stars(x, last=False) for x in np.array_split(w, 4)]
+    links = np.concatenate([x for x, _ in made] + [passages.stars(np.concatenate([y for _, y in made]))[0]])
+    assert {(a, b) for a, b, *_ in links.tolist()} == want
+
+
+def test_links_past_the_first_text_of_their_keys(spark):
+    """Two of three texts are similar, the third shares minima with both without being similar to either."""
+    rng, rows, want = random.Random(4), [], set()
+    for i in range(0, 600, 3):
+        passage = prose(rng, 51, 10**6).split()
+        hub, edited = [*passage[:15], "h", *passage[16:32], "h", *passage[33:]], [*passage[:-1], "e"]
+        rows += [(i + k, " ".join(x)) for k, x in enumerate((hub, passage, edited))]
+        want |= {(i + 1, i + 2), (i + 2, i + 1)}
+    got = {(r.doc_id, r.match_doc_id) for r in passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert want <= got
+
+
 def test_passages_over_many_partitions(spark):
     r = random.Random(8)
     shared = [prose(r, 50, 10**6) for _ in range(40)]
