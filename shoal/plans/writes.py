@@ -219,7 +219,7 @@ def _(spark, d):
     return paged.first_assets(A.meta(spark, d), 50).select("asset_id", "name")
 
 
-PAGE_ROWS, MOST_PAGES, BUDGET = 20, 50, 15
+PAGE_ROWS, BUDGET = 20, 15
 _PAGES = f"p AS (SELECT *, (row_number() OVER (PARTITION BY album_id ORDER BY asset_id) - 1) // {PAGE_ROWS} AS page FROM shots)"
 
 
@@ -235,9 +235,9 @@ def _(spark, d):
     return pages.read_album_pages(spark, _pages(spark, d), limit=PAGE_ROWS).select("album_id", "asset_id", "name")
 
 
-@query("io_album_all", f"WITH {_PAGES} SELECT album_id, CAST(page AS INTEGER) AS page, asset_id, name FROM p WHERE page < {MOST_PAGES} AND album_id > 3")
+@query("io_album_all", f"WITH {_PAGES} SELECT album_id, CAST(page AS INTEGER) AS page, asset_id, name FROM p WHERE album_id > 3")
 def _(spark, d):
-    return pages.read_album_pages(spark, _pages(spark, d), most=MOST_PAGES).where("album_id > 3").select("album_id", "page", "asset_id", "name")
+    return pages.read_album_pages(spark, _pages(spark, d)).where("album_id > 3").select("album_id", "page", "asset_id", "name")
 
 
 def _no_pixels(album: int, ids: list[int]) -> list[int]:
