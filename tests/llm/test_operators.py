@@ -310,6 +310,62 @@ def test_links_past_the_first_text_of_their_keys(spark):
     assert want <= got
 
 
+def test_pairs_of_large_keys(spark, monkeypatch):
+    """Two of 24 texts of a key are similar, the others, among them mostly the first one, are similar to none; in one block of the home and in several."""
+    rng, rows, want = random.Random(6), [], set()
+    for i in range(0, 720, 24):
+        passage = prose(rng, 51, 10**6).split()
+        hubs = [[*passage[:15], f"h{k}", *passage[16:32], f"h{k}", *passage[33:]] for k in range(22)]
+        rows += [(i + k, " ".join(x)) for k, x in enumerate((passage, [*passage[:-1], "e"], *hubs))]
+        want |= {(i, i + 1), (i + 1, i)}
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {(r.doc_id, r.match_doc_id) for r in passages.repeated_passages(docs).collect()} == want
+    monkeypatch.setattr(passages, "BLOCK_TEXTS", 5)
+    assert {(r.doc_id, r.match_doc_id) for r in passages.repeated_passages(docs).collect()} == want
+
+
+def test_pairs_of_repeated_words():
+    """A word that one text repeats, whichever of the two texts comes first."""
+    many, one = np.full(60, 7, np.uint32), np.append(np.arange(100, 150), 7).astype(np.uint32)
+    for home in (1, 2):
+        m = np.zeros(1, passages._MEMBER)
+        m["group"], m["r"] = 11, 59
+        n = np.zeros(1, passages._MEMBER)
+        n["group"], n["c"], n["r"] = 12, 50, 50
+        got = passages.meet([passages.Piece(1, 0, many, m), passages.Piece(2, 0, one, n)], home)
+        assert {(a, s, e, b, p, q) if a == 1 else (b, p, q, a, s, e) for a, s, e, b, p, q, _ in got} == {(1, 0, 60, 2, 50, 51)}
+
+
+def test_places_of_similar_stretches():
+    """None that `verify` finds is ruled out; all places that can be similar by brute force, where common tokens are in order."""
+    rng, some = np.random.default_rng(5), 0
+    for case in range(600):
+        x = rng.choice(1 << 31, rng.integers(46, 130), replace=False).astype(np.uint32)
+        y = x.copy()
+        for at in rng.integers(0, len(x), rng.integers(0, 10)):
+            y[at : at + 5] = rng.choice(1 << 31, len(y[at : at + 5]))
+        y = np.delete(y, rng.integers(0, len(y), 3)) if case % 3 == 0 else np.roll(y, 30) if case % 3 == 1 else y
+        pos = {int(t): i for i, t in enumerate(y)}
+        here = np.array([i for i, t in enumerate(x) if int(t) in pos])
+        there = np.array([pos[int(x[i])] for i in here])
+        if len(y) < 46 or not len(here):
+            continue
+        around = passages.stretches(np.zeros(len(here), int), here, there, 1, len(x))[0]
+        found = np.zeros(len(x), bool)
+        for s, e, *_ in passages.verify(x, y):
+            found[s:e] = True
+        assert not (found[here] & ~around[here]).any()
+        if case % 3 == 2:
+            want = np.zeros(len(x), bool)
+            for i in range(len(here)):
+                for j in range(i + 36, len(here)):
+                    if here[-1] - here[0] >= 45 and 100 * (j - i + 1) >= 80 * (here[j] - here[i] + there[j] - there[i] + 2 - (j - i + 1)):
+                        want[here[i : j + 1]] = True
+            assert (around == want).all()
+        some += found.any()
+    assert some > 100
+
+
 def test_passages_over_many_partitions(spark):
     r = random.Random(8)
     shared = [prose(r, 50, 10**6) for _ in range(40)]
